@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .packing import op2_packing
 from .simhash import op3_simhash
+from .token_files import op6_token_files
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op6_token_files": op6_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
