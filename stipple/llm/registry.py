@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP4_SQL, op4_chat
 from .packing import op2_packing
 from .simhash import op3_simhash
 from .token_files import op6_token_files
@@ -9,7 +10,10 @@ from .token_files import op6_token_files
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op4_chat": op4_chat,
     "op6_token_files": op6_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat": OP4_SQL,
+}
