@@ -45,8 +45,8 @@ def _ranges(ids: DataFrame, n: int) -> list[int]:
     return sorted({*(row["at"] or []), row["top"]} - {None})
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, own, next_text, next): each row's successor in descending doc_id; after the last comes the first.
+def with_next(docs: DataFrame, digest=digest) -> DataFrame:
+    """(doc_id, text, own, next_id, next_text, next): each row's successor in descending doc_id; after the last comes the first.
 
     ``own`` and ``next`` are digests. Ties are in the order of their texts; rows
     with a null doc_id come after all others. Ids are cut into ranges that end at an
@@ -82,32 +82,66 @@ def edited_text(text: Column, other: Column) -> Column:
 def ranks_in_digest(texts: DataFrame) -> DataFrame:
     """(digest, canon) to (digest, canon, rank) for those distinct texts that are not the smallest of their digest; mostly none."""
     distinct = texts.select("digest", "canon").distinct()
-    several = distinct.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    pairs = distinct.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     order = W.Window.partitionBy("digest").orderBy(F.col("canon").cast("binary"))
-    return distinct.join(several, "digest", "left_semi").withColumn("rank", F.row_number().over(order) - 1).where("rank > 0")
+    ranked = distinct.join(pairs, "digest", "left_semi").withColumn("rank", F.row_number().over(order) - 1)
+    return cut(ranked.where("rank > 0"), "digest-ranks")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def _sha(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def fingerprints(docs: DataFrame, digest=digest) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
     The likeness of two exact digests is 1 where the canonical texts are equal and
-    0 elsewhere; for near_edited and near_next the bytes are compared in the row.
-    Null texts count as empty. Repeated rows each come back. A table of one row is
-    its own successor; an empty one gives an empty table; other columns are ignored.
+    0 elsewhere; where digests are equal the bytes are compared. Null texts count as
+    empty. Repeated rows each come back. A table of one row is its own successor;
+    an empty one gives an empty table; other columns are ignored.
     """
-    rows = with_next(docs).withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
-    rows = rows.withColumn("canon", canonical(F.col("text"))).withColumn("edited_canon", canonical(F.col("edited"))).withColumn("next_canon", canonical(F.col("next_text")))
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = with_next(docs, digest).withColumn("edited", edited_text(F.col("text"), F.col("next_text"))).withColumn("edited_own", digest(canonical(F.col("edited"))))
+    same = lambda a, b, x, y: F.when(F.col(a) == F.col(b), (canonical(F.col(x)) == canonical(F.col(y))).cast("double")).otherwise(F.lit(0.0))
     narrow = cut(
         rows.select(
             "doc_id",
             "next_id",
             F.char_length("text").cast("long").alias("n_chars"),
-            F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-            F.col("own").alias("fingerprint"),
-            digest(F.col("edited_canon")).alias("edited_fingerprint"),
-            (F.col("canon") == F.col("edited_canon")).cast("double").alias("near_edited"),
-            (F.col("canon") == F.col("next_canon")).cast("double").alias("near_next"),
+            _sha(F.col("text")).alias("text_sha256"),
+            _sha(F.col("edited")).alias("edited_sha256"),
+            "own",
+            "edited_own",
+            same("own", "edited_own", "text", "edited").alias("near_edited"),
+            same("own", "next", "text", "next_text").alias("near_next"),
         ),
         "fingerprints",
     )
-    return narrow
+    # Edited texts whose digest another row has, too: only these are built again, from the two texts they are made of.
+    counts = narrow.select(F.col("own").alias("digest")).unionAll(narrow.where("near_edited = 0").select(F.col("edited_own").alias("digest"))).groupBy("digest").count()
+    shared = counts.where("count > 1").select(F.col("digest").alias("edited_own"))
+    again = cut(narrow.where("near_edited = 0").join(shared, "edited_own", "left_semi").select("doc_id", "next_id").distinct(), "edited-again")
+    need = cut(again.select("doc_id").unionAll(again.select(F.col("next_id").alias("doc_id"))).distinct(), "edited-need")
+    texts = raw.join(need, raw["doc_id"].eqNullSafe(need["doc_id"]), "left_semi")
+    rebuilt = (
+        again.join(texts, again["doc_id"].eqNullSafe(texts["doc_id"])).select(again["next_id"], texts["text"])
+        .alias("a").join(texts.alias("b"), F.col("a.next_id").eqNullSafe(F.col("b.doc_id")))
+        .select(edited_text(F.col("a.text"), F.col("b.text")).alias("raw"))
+    )
+    every = raw.select(F.col("text").alias("raw")).unionAll(rebuilt).select("raw", canonical(F.col("raw")).alias("canon")).select("raw", "canon", digest(F.col("canon")).alias("digest"))
+    ranks = ranks_in_digest(every)
+    names = {"fingerprint": ("own", "text_sha256"), "edited_fingerprint": ("edited_own", "edited_sha256")}
+    if ranks.isEmpty():
+        named = narrow.withColumns({new: F.col(own) for new, (own, _) in names.items()})
+    else:
+        of = cut(every.join(ranks, ["digest", "canon"]).select("digest", _sha(F.col("raw")).alias("sha"), "rank").distinct(), "digest-ranks")
+        named = narrow
+        for new, (own, sha) in names.items():
+            one = of.select(F.col("digest").alias(own), F.col("sha").alias(sha), F.col("rank").alias("k"))
+            named = named.join(one, [own, sha], "left").withColumn(new, F.concat(F.col(own), F.when(F.col("k").isNotNull(), F.concat(F.lit("-"), F.col("k"))).otherwise(""))).drop("k")
+    return named.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digests of all of ``documents`` and of their edited texts."""
+    return fingerprints(table(spark, sf_dir, "documents"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .chat import OP4_SQL, op4_chat
+from .fingerprint import op1_fingerprint
 from .packing import op2_packing
 from .simhash import op3_simhash
 from .token_files import op6_token_files
 
 QUERIES = {
+    "op1_fingerprint": op1_fingerprint,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op4_chat": op4_chat,
