@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP4_SQL, op4_chat
+from .embed_dedup import op8_embeddings
 from .fingerprint import op1_fingerprint
 from .packing import op2_packing
 from .simhash import op3_simhash
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_chat": op4_chat,
     "op6_token_files": op6_token_files,
+    "op8_embeddings": op8_embeddings,
 }
 
 ORACLE_SQL: dict[str, str] = {
