@@ -5,17 +5,23 @@ from __future__ import annotations
 from .chat import OP4_SQL, op4_chat
 from .embed_dedup import op8_embeddings
 from .fingerprint import op1_fingerprint
+from .langid import op9_langid
 from .packing import op2_packing
+from .quality import op5_quality
 from .simhash import op3_simhash
 from .token_files import op6_token_files
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op4_chat": op4_chat,
+    "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
+    "op7_toxicity": op7_toxicity,
     "op8_embeddings": op8_embeddings,
+    "op9_langid": op9_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {

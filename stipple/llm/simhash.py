@@ -53,15 +53,16 @@ def simhash(text: str | None, words: int = 4) -> int:
 
 
 def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(id, fp): the fingerprint as a signed long. Null and blank texts get 0. No exchange."""
+    """(id, text_hash, fp): Spark's xxhash64 of the text, and the fingerprint as a signed long. Null and blank texts get 0. No exchange."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fps = np.fromiter((simhash(t, words) for t in pdf["text"]), dtype=np.uint64, count=len(pdf))
-            yield pd.DataFrame({"id": pdf["id"], "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"id": pdf["id"], "text_hash": pdf["text_hash"], "fp": fps.view(np.int64)})
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInPandas(run, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return narrow.mapInPandas(run, "id long, text_hash long, fp long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -206,15 +207,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keeps its row; a component whose ids are all null has a null component_id. An
     empty table gives an empty table. Other columns are ignored.
     """
+    return grouped(docs, id_col, text_col, words, max_diff).select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_diff: int = 4) -> DataFrame:
+    """One row per document: (id, text_hash, fp, component: a fingerprint that stands for the group, component_id)."""
     fps = cut(with_fingerprint(docs, id_col, text_col, words), "simhash")
     nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("low")), "simhash-nodes")
     comp = components(link_edges(nodes.select("fp"), max_diff))
     group = nodes.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     lows = cut(group.groupBy("component").agg(F.min("low").alias("component_id")), "simhash-lows")
-    of = cut(group.join(lows, "component").select("fp", "component_id"), "simhash-groups")
-    return fps.join(of, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    of = cut(group.join(lows, "component").select("fp", "component", "component_id"), "simhash-groups")
+    return fps.join(of, "fp")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_diff: int = 4) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their near-duplicate groups: one row each, that with the smallest id.
+
+    A null id comes after all others; rows of one id are told apart by their texts,
+    and of rows that repeat both one stays.
+    """
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+    kept = grouped(docs, id_col, text_col, words, max_diff).groupBy("component").agg(F.min(key).alias("key"))
+    kept = cut(kept.select(F.col("key.id").alias("_id"), F.col("key.text_hash").alias("_hash")).distinct(), "simhash-kept")
+    marked = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(F.col(text_col).cast("string"))})
+    rows = marked.join(kept.withColumnsRenamed({"_id": "_kept_id", "_hash": "_kept_hash"}), F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
+    again = marked.groupBy("_id", "_hash").count().where("count > 1")
+    if not again.isEmpty():
+        rows = rows.dropDuplicates(["_id", "_hash"])
+    return rows.drop("_id", "_hash")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
