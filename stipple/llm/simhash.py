@@ -31,38 +31,47 @@ SEED = 42
 FAN = 16
 
 
-def simhash(text: str | None, words: int = 4) -> int:
-    """Unsigned 64-bit fingerprint of a text: ASCII letters lower-cased, words between ASCII white space, ``words``-word shingles."""
+def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
+    """Another 64 bits from each hash; lane 0 is the hash itself."""
+    if not lane:
+        return h
+    h = h + np.uint64((0x9E3779B97F4A7C15 * lane) % 2**64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def simhash(text: str | None, words: int = 4, lanes: int = 1) -> np.ndarray:
+    """``lanes`` unsigned 64-bit words: ASCII letters lower-cased, words between ASCII white space, ``words``-word shingles, XXH64."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return np.zeros(lanes, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = max(1, len(tokens) - words + 1)
     digest = xxhash.xxh64_intdigest
-    votes, n = np.zeros(64, np.int64), 0
+    votes = np.zeros((lanes, 64), np.int64)
     for at in range(0, k, 65536):
         upto = min(k, at + 65536)
         a, b = starts[at:upto].tolist(), ends[np.minimum(np.arange(at, upto) + words - 1, len(tokens) - 1)].tolist()
-        h = np.array([digest(joined[i:j], SEED) for i, j in zip(a, b, strict=True)], dtype="<u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        n += len(h)
-    bits = (2 * votes > n).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+        h = np.array([digest(joined[i:j], SEED) for i, j in zip(a, b, strict=True)], dtype=np.uint64)
+        for lane in range(lanes):
+            bits = np.unpackbits(_mixed(h, lane).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes[lane] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits((2 * votes > k).astype(np.uint8), axis=1, bitorder="little").view("<u8").reshape(lanes).astype(np.uint64)
 
 
-def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(id, text_hash, fp): Spark's xxhash64 of the text, and the fingerprint as a signed long. Null and blank texts get 0. No exchange."""
+def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, lanes: int = 1) -> DataFrame:
+    """(id, text_hash, fp): Spark's xxhash64 of the text, and the fingerprint's words as signed longs. Null and blank texts get 0. No exchange."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fps = np.fromiter((simhash(t, words) for t in pdf["text"]), dtype=np.uint64, count=len(pdf))
-            yield pd.DataFrame({"id": pdf["id"], "text_hash": pdf["text_hash"], "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"id": pdf["id"], "text_hash": pdf["text_hash"], "fp": [simhash(t, words, lanes).view(np.int64) for t in pdf["text"]]})
 
     text = F.col(text_col).cast("string")
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return narrow.mapInPandas(run, "id long, text_hash long, fp long")
+    return narrow.mapInPandas(run, "id long, text_hash long, fp array<long>")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -75,9 +84,7 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
 
 def _tree(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Levels from the root down, each (masked bits that the parent has not, their pattern); the last level is the fingerprints."""
-    full = ~np.uint64(0)
-    masks, ors, ands = [np.full(len(fps), full)], fps, fps
-    pats = [fps]
+    masks, pats, ors, ands = [np.full_like(fps, ~np.uint64(0))], [fps], fps, fps
     while len(ors) > 1:
         cuts = np.arange(0, len(ors), FAN)
         ors, ands = np.bitwise_or.reduceat(ors, cuts), np.bitwise_and.reduceat(ands, cuts)
@@ -91,25 +98,32 @@ def _tree(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return levels
 
 
+def _differences(queries: np.ndarray, pat: np.ndarray, own: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((queries ^ pat) & own).sum(axis=-1, dtype=np.int16)
+
+
 def index_pairs(queries: np.ndarray, fps: np.ndarray, max_diff: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (in queries, in fps) of all pairs that differ in ``max_diff`` bits or fewer."""
-    order = np.argsort(gray_rank(fps), kind="stable")
+    """Positions (in queries, in fps) of all pairs of rows (of 64-bit words) that differ in ``max_diff`` bits or fewer."""
+    order = np.lexsort(tuple(gray_rank(fps[:, k]) for k in range(fps.shape[1] - 1, -1, -1)))
     levels = _tree(fps[order])
-    q, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
-    own, pat = levels[0]
-    acc = np.bitwise_count((queries ^ pat[0]) & own[0]).astype(np.int16)
-    for own, pat in levels[1:]:
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for at in range(0, len(queries), 1024):
+        q = np.arange(at, min(len(queries), at + 1024))
+        node = np.zeros(len(q), np.int64)
+        own, pat = levels[0]
+        acc = _differences(queries[q], pat[0], own[0])
+        for own, pat in levels[1:]:
+            keep = acc <= max_diff
+            q, node, acc = q[keep], node[keep], acc[keep]
+            first = node * FAN
+            many = np.minimum(FAN, len(own) - first)
+            rep = np.repeat(np.arange(len(q)), many)
+            node = first[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many)
+            q = q[rep]
+            acc = acc[rep] + _differences(queries[q], pat[node], own[node])
         keep = acc <= max_diff
-        q, node, acc = q[keep], node[keep], acc[keep]
-        first = node * FAN
-        many = np.minimum(FAN, len(own) - first)
-        rep = np.repeat(np.arange(len(q)), many)
-        step = np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many)
-        node = first[rep] + step
-        q = q[rep]
-        acc = acc[rep] + np.bitwise_count((queries[q] ^ pat[node]) & own[node]).astype(np.int16)
-    keep = acc <= max_diff
-    return q[keep], order[node[keep]]
+        found.append((q[keep], order[node[keep]]))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
 def local_stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -127,57 +141,72 @@ def local_stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = low
 
 
-def _blocks(max_diff: int, extra: int) -> list[int]:
+def _blocks(max_diff: int, extra: int) -> list[list[int]]:
     """Masks of 64 bits, one for each choice of ``extra + 1`` of ``max_diff + 1 + extra`` blocks."""
     k = max_diff + 1 + extra
     edges = [round(64 * i / k) for i in range(k + 1)]
     block = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
-    return [sum(c) for c in combinations(block, extra + 1)]
+    return [[sum(c)] for c in combinations(block, extra + 1)]
+
+
+def _upper_nodes(n: int, lanes: int, max_diff: int, below: int) -> list[list[int]]:
+    """The masks (a word for each lane) of the upper nodes for ``n`` fingerprints.
+
+    One lane: blocks of which linking fingerprints share enough, so none is missed;
+    ``extra`` grows until a node of evenly spread fingerprints has ``below`` members
+    at most. More lanes: disjoint blocks of 12 bits, or of 16 where 12 would leave
+    more than ``below`` members; these find a link with a chance that grows with
+    its likeness (README has the figures).
+    """
+    if lanes == 1:
+        extra = 0
+        while extra < 3 and n / 2 ** (64 * (extra + 1) / (max_diff + 1 + extra)) > below:
+            extra += 1
+        return _blocks(max_diff, extra)
+    bits = 12 if n / 2**12 <= below else 16
+    out = []
+    for lane in range(lanes):
+        for at in range(0, 64 - bits + 1, bits):
+            out.append([((1 << bits) - 1) << at if k == lane else 0 for k in range(lanes)])
+    return out
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def link_edges(nodes: DataFrame, max_diff: int = 4, chunk: int = 4096, below: int = 2048) -> DataFrame:
-    """Edges (u, v) whose components are those of all links between the distinct fingerprints ``nodes`` (fp).
+def link_edges(nodes: DataFrame, lanes: int, max_diff: int = 4, chunk: int = 4096, below: int = 2048) -> DataFrame:
+    """Edges (u, v) whose components are those of the links between the distinct fingerprints ``nodes`` (node, fp).
 
-    ``extra`` grows with the number of fingerprints until a node of evenly
-    spread fingerprints has ``below`` members at most; ``chunk`` rows is the most
-    that one side of a search holds (within what hashing makes uneven).
+    ``chunk`` rows is the most that one side of a search holds (within what hashing
+    makes uneven); a node with more members is searched chunk against chunk.
     """
-    n, extra = nodes.count(), 0
-    while extra < 3 and n / 2 ** (64 * (extra + 1) / (max_diff + 1 + extra)) > below:
-        extra += 1
-    masks = [_signed(m) for m in _blocks(max_diff, extra)]
-    keyed = nodes.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("mask", "m")).select(
-        "fp", "mask", F.col("fp").bitwiseAND(F.col("m")).alias("bits")
-    )
+    masks = [[_signed(m) for m in mask] for mask in _upper_nodes(nodes.count(), lanes, max_diff, below)]
+    under = F.array(*[F.xxhash64(*[F.col("fp")[k].bitwiseAND(F.lit(m)) for k, m in enumerate(mask) if m]) for mask in masks])
+    keyed = nodes.select("node", "fp", F.posexplode(under).alias("mask", "bits"))
     size = cut(keyed.groupBy("mask", "bits").agg(F.count("*").alias("size")).where("size > 1"), "node-size")
-    cuts = F.ceil(F.col("size") / F.lit(chunk)).cast("int")
-    dealt = keyed.join(size, ["mask", "bits"]).withColumn("cuts", cuts).withColumn("c", F.pmod(F.xxhash64("fp"), "cuts").cast("int"))
-    tiles = dealt.select("fp", "mask", "bits", "c", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")).select(
-        "fp", "mask", "bits", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), F.when(F.col("c") <= F.col("other"), 0).otherwise(1).cast("int").alias("side")
+    dealt = keyed.join(size, ["mask", "bits"]).withColumn("cuts", F.ceil(F.col("size") / F.lit(chunk)).cast("int")).withColumn("c", F.pmod(F.xxhash64("node"), "cuts").cast("int"))
+    tiles = dealt.select("node", "fp", "mask", "bits", "c", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")).select(
+        "node", "fp", "mask", "bits", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), F.when(F.col("c") <= F.col("other"), 0).otherwise(1).cast("int").alias("side")
     )
     key = ["mask", "bits", "i", "j"]
     spread = tiles.repartition(parts(nodes.sparkSession), *key).sortWithinPartitions(*key)
 
-    def tile(g: pd.DataFrame) -> pd.DataFrame | None:
-        fps = g["fp"].to_numpy().view(np.uint64)
-        if g["i"].iat[0] == g["j"].iat[0]:
+    def tile(node: np.ndarray, fps: np.ndarray, side: np.ndarray, one: bool) -> pd.DataFrame | None:
+        if one:
             a, b = index_pairs(fps, fps, max_diff)
         else:
-            left, right = np.flatnonzero(g["side"].to_numpy() == 0), np.flatnonzero(g["side"].to_numpy() == 1)
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(left) or not len(right):
                 return None
             a, b = index_pairs(fps[left], fps[right], max_diff)
             a, b = left[a], right[b]
         apart = a != b
+        if not apart.any():
+            return None
         root = local_stars(len(fps), a[apart], b[apart])
         moved = np.flatnonzero(root != np.arange(len(fps)))
-        if not len(moved):
-            return None
-        return pd.DataFrame({"u": fps[moved].view(np.int64), "v": fps[root[moved]].view(np.int64)})
+        return pd.DataFrame({"u": node[moved], "v": node[root[moved]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -186,15 +215,17 @@ def link_edges(nodes: DataFrame, max_diff: int = 4, chunk: int = 4096, below: in
                 pdf = pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            k = pdf[key].to_numpy()
-            cutpoints = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            bounds = [0, *cutpoints.tolist()]
-            for s, e in zip(bounds, bounds[1:], strict=False):
-                if e - s > 1 and (out := tile(pdf.iloc[s:e])) is not None:
-                    yield out
+            k, node, side = pdf[key].to_numpy(), pdf["node"].to_numpy(), pdf["side"].to_numpy()
+            fps = np.stack(pdf["fp"].to_numpy()).view(np.uint64)
+            bounds = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist()]
+            out = [tile(node[s:e], fps[s:e], side[s:e], k[s, 2] == k[s, 3]) for s, e in zip(bounds, bounds[1:], strict=False) if e - s > 1]
+            if out := [x for x in out if x is not None]:
+                yield pd.concat(out, ignore_index=True)
             held = pdf.iloc[bounds[-1] :]
-        if held is not None and len(held) > 1 and (out := tile(held)) is not None:
-            yield out
+        if held is not None and len(held) > 1:
+            out = tile(held["node"].to_numpy(), np.stack(held["fp"].to_numpy()).view(np.uint64), held["side"].to_numpy(), held["i"].iat[0] == held["j"].iat[0])
+            if out is not None:
+                yield out
 
     return spread.mapInPandas(run, "u long, v long")
 
@@ -208,32 +239,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives an empty table. Other columns are ignored.
     """
     return grouped(docs, id_col, text_col, words, max_diff).select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_diff: int = 4) -> DataFrame:
-    """One row per document: (id, text_hash, fp, component: a fingerprint that stands for the group, component_id)."""
-    fps = cut(with_fingerprint(docs, id_col, text_col, words), "simhash")
-    nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("low")), "simhash-nodes")
-    comp = components(link_edges(nodes.select("fp"), max_diff))
-    group = nodes.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_diff: int = 4, lanes: int = 1) -> DataFrame:
+    """One row per document: (id, text_hash, fp, component: a number that stands for the group, component_id)."""
+    fps = cut(with_fingerprint(docs, id_col, text_col, words, lanes), "simhash")
+    nodes = fps.groupBy("fp").agg(F.min("id").alias("low"))
+    nodes = cut(nodes.withColumn("node", F.col("fp")[0] if lanes == 1 else F.monotonically_increasing_id()), "simhash-nodes")
+    comp = components(link_edges(nodes.select("node", "fp"), lanes, max_diff))
+    group = nodes.join(comp, "node", "left").select("fp", "low", F.coalesce("component", "node").alias("component"))
     lows = cut(group.groupBy("component").agg(F.min("low").alias("component_id")), "simhash-lows")
     of = cut(group.join(lows, "component").select("fp", "component", "component_id"), "simhash-groups")
     return fps.join(of, "fp")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_diff: int = 4) -> DataFrame:
+def most_differences(similarity: float, lanes: int) -> int:
+    """Differing bits of two texts whose shingle sets have a Jaccard likeness of ``similarity``, plus 1.5 standard deviations."""
+    cosine = 2 * similarity / (1 + similarity)
+    share = np.arccos(cosine) / np.pi
+    bits = 64 * lanes
+    return int(round(bits * share + 1.5 * np.sqrt(bits * share * (1 - share))))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 5) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stand for their near-duplicate groups: one row each, that with the smallest id.
 
-    A null id comes after all others; rows of one id are told apart by their texts,
-    and of rows that repeat both one stays.
+    Texts whose fingerprints of ``lanes`` words show ``similarity`` or more are near
+    duplicates. A null id comes after all others; rows of one id are told apart by
+    their texts, and of rows that repeat both one stays.
     """
     key = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
-    kept = grouped(docs, id_col, text_col, words, max_diff).groupBy("component").agg(F.min(key).alias("key"))
-    kept = cut(kept.select(F.col("key.id").alias("_id"), F.col("key.text_hash").alias("_hash")).distinct(), "simhash-kept")
+    kept = grouped(docs, id_col, text_col, words, most_differences(similarity, lanes), lanes).groupBy("component").agg(F.min(key).alias("key"))
+    kept = cut(kept.select(F.col("key.id").alias("_kept_id"), F.col("key.text_hash").alias("_kept_hash")).distinct(), "simhash-kept")
     marked = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(F.col(text_col).cast("string"))})
-    rows = marked.join(kept.withColumnsRenamed({"_id": "_kept_id", "_hash": "_kept_hash"}), F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
+    rows = marked.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
     again = marked.groupBy("_id", "_hash").count().where("count > 1")
     if not again.isEmpty():
         rows = rows.dropDuplicates(["_id", "_hash"])
