@@ -9,6 +9,7 @@ from .langid import op9_langid
 from .packing import op2_packing
 from .quality import op5_quality
 from .simhash import op3_simhash
+from .sp_sampling import op10_sp_sampling
 from .token_files import op6_token_files
 from .toxicity import op7_toxicity
 
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_embeddings": op8_embeddings,
     "op9_langid": op9_langid,
+    "op10_sp_sampling": op10_sp_sampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
