@@ -83,7 +83,7 @@ def bin_sql(keys: str, dims: int = 2, g: int = GRID, vox: tuple[int, ...] = VOX,
     extent = "greatest(" + ", ".join(f"s{a}" for a in "xyz"[:dims]) + ")"
     sc = f"sc{name} AS (SELECT unnest([" + ", ".join(f"{{'i': {i}, 'v': {v}, 'n': {g // v}}}" for i, v in enumerate(vox)) + "]) AS s)"
     inside = " AND ".join(f"g{a} < s.n * s.v" for a in "xyz"[:dims])
-    at = lambda a: f"CASE WHEN {inside} THEN g{a} // s.v ELSE -1 END AS b{a}"
+    at = lambda a: f"CASE WHEN {inside} THEN g{a} // s.v ELSE -1 END AS \"b{a}\""
     b = f"bins{name} AS (SELECT {keys}, s.i AS scale_idx, s.v AS vox, s.v * ({extent} / {g}) AS um, CAST(s.n ** {dims} AS BIGINT) AS n_bins, {', '.join(at(a) for a in 'xyz'[:dims])}, CAST(sum(CASE WHEN {inside} THEN c ELSE 0 END) AS BIGINT) AS c FROM {pix}, sc{name}, roi GROUP BY ALL)"
     return f"{sc}, {b}"
 
@@ -187,10 +187,10 @@ SELECT name, CASE WHEN name <> 'unassigned' AND substr(m, 1, 1) IN ('1','2','3',
 @query
 def compound_stratum(spark, sf):
     deep = prep.quantile_bins(orders(spark, sf, "stratum", "z"), "z", 5)
-    return deep.withColumn("both", prep.compound_stratum(F.col("stratum"), F.col("bin"))).groupBy("both").agg(F.count("*").alias("n"), F.min("z").alias("lo"), F.max("z").alias("hi"))
+    return deep.withColumn("compound", prep.compound_stratum(F.col("stratum"), F.col("bin"))).groupBy("compound").agg(F.count("*").alias("n"), F.min("z").alias("lo"), F.max("z").alias("hi"))
 
 
-SQL["compound_stratum"] = f"WITH {SPTS}, e AS (SELECT stratum, list_sort(list_distinct(quantile_cont(z, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS q FROM pts GROUP BY 1), b AS (SELECT pts.*, stratum || '_d' || CASE WHEN len(q) < 2 THEN 0 ELSE len(list_filter(q[2:len(q)-1], lambda v: v < z)) END AS both FROM pts JOIN e USING (stratum)) SELECT both, count(*) AS n, min(z) AS lo, max(z) AS hi FROM b GROUP BY 1"
+SQL["compound_stratum"] = f"WITH {SPTS}, e AS (SELECT stratum, list_sort(list_distinct(quantile_cont(z, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS q FROM pts GROUP BY 1), b AS (SELECT pts.*, stratum || '_d' || CASE WHEN len(q) < 2 THEN 0 ELSE len(list_filter(q[2:len(q)-1], lambda v: v < z)) END AS compound FROM pts JOIN e USING (stratum)) SELECT compound, count(*) AS n, min(z) AS lo, max(z) AS hi FROM b GROUP BY 1"
 
 
 @query
@@ -238,7 +238,7 @@ def bin_counts(spark, sf):
     return rounded(grid.bins(grid.pixels(p, roi, ["type"]), sc, roi, ["type"]).where("bx >= 0"))
 
 
-SQL["bin_counts"] = f"WITH {PTS}, {roi_sql()}, {pix_sql('pts', 'type')}, {bin_sql('type')} SELECT type, scale_idx, vox, round(um, 6) AS um, n_bins, CAST(bx AS INTEGER) AS bx, CAST(by AS INTEGER) AS by, c FROM bins WHERE bx >= 0"
+SQL["bin_counts"] = f"WITH {PTS}, {roi_sql()}, {pix_sql('pts', 'type')}, {bin_sql('type')} SELECT type, scale_idx, vox, round(um, 6) AS um, n_bins, CAST(bx AS INTEGER) AS bx, CAST(\"by\" AS INTEGER) AS \"by\", c FROM bins WHERE bx >= 0"
 
 
 def _curve(points: DataFrame, dims: int = 2, g: int = GRID, vox: tuple[int, ...] = VOX) -> DataFrame:
@@ -369,7 +369,7 @@ def _cooccurrence(points: DataFrame, listed: DataFrame | None = None) -> DataFra
 def co_chain(pts: str = PTS) -> str:
     return f"""WITH {pts}, {roi_sql()}, {FREQ}, {lab_sql()}, {FLAB}, {pix_sql('flab', 'mock_id, type')}, {bin_sql('mock_id, type')},
 sm AS (SELECT mock_id, scale_idx, vox, um, n_bins, type, sum(c)::DOUBLE AS s1, sum(c * c)::DOUBLE AS s2 FROM bins GROUP BY ALL),
-pr AS (SELECT a.mock_id, a.scale_idx, a.type AS type_a, b.type AS type_b, sum(a.c * b.c)::DOUBLE AS sab FROM bins a JOIN bins b USING (mock_id, scale_idx, bx, by) WHERE a.type < b.type GROUP BY ALL),
+pr AS (SELECT a.mock_id, a.scale_idx, a.type AS type_a, b.type AS type_b, sum(a.c * b.c)::DOUBLE AS sab FROM bins a JOIN bins b USING (mock_id, scale_idx, bx, "by") WHERE a.type < b.type GROUP BY ALL),
 pc AS (SELECT a.mock_id, a.type AS type_a, b.type AS type_b, a.scale_idx, a.vox, a.um, a.n_bins::DOUBLE AS n, a.s1 AS sa, b.s1 AS sb, a.s2 AS saa, b.s2 AS sbb, coalesce(sab, 0) AS sab FROM sm a JOIN sm b USING (mock_id, scale_idx) LEFT JOIN pr ON pr.mock_id = a.mock_id AND pr.scale_idx = a.scale_idx AND pr.type_a = a.type AND pr.type_b = b.type WHERE a.type < b.type),
 vv AS (SELECT *, saa / n - (sa / n) * (sa / n) AS va, sbb / n - (sb / n) * (sb / n) AS vb FROM pc),
 rr AS (SELECT mock_id, type_a, type_b, scale_idx, vox, um, CASE WHEN va > 1e-20 AND vb > 1e-20 THEN (sab / n - (sa / n) * (sb / n)) / (sqrt(va) * sqrt(vb)) ELSE 0 END AS r FROM vv),
@@ -397,7 +397,7 @@ SQL["cooccurrence_listed"] = f"{co_chain(EPTS)} {CO} WHERE (type_a, type_b) IN (
 
 @query
 def cooccurrence_summary(spark, sf):
-    return rounded(an.cooccurrence_summary(_cooccurrence(orders(spark, sf))), 4)
+    return rounded(an.cooccurrence_summary(_cooccurrence(orders(spark, sf))))
 
 
 COS = """cf AS (SELECT type_a, type_b, arg_max(um, abs(r - null_mean) ORDER BY scale_idx) AS peak_scale_um, arg_max(r, abs(r - null_mean) ORDER BY scale_idx) AS peak_correlation, max(r) AS max_positive, min(r) AS max_negative,
@@ -405,7 +405,7 @@ COS = """cf AS (SELECT type_a, type_b, arg_max(um, abs(r - null_mean) ORDER BY s
 cl AS (SELECT *, lead(r) OVER w AS r2, lead(um) OVER w AS um2 FROM co WINDOW w AS (PARTITION BY type_a, type_b ORDER BY scale_idx)),
 ci AS (SELECT type_a, type_b, coalesce(sum((r2 + r) / 2 * (log10(um2) - log10(um))), 0) AS integrated, arg_min(um, scale_idx) FILTER (r * r2 < 0) AS sign_change_um FROM cl GROUP BY ALL),
 cs AS (SELECT * FROM cf JOIN ci USING (type_a, type_b))"""
-SQL["cooccurrence_summary"] = f"{co_chain()}, {COS} SELECT type_a, type_b, round(peak_scale_um, 4) AS peak_scale_um, round(peak_correlation, 4) + 0.0 AS peak_correlation, round(max_positive, 4) + 0.0 AS max_positive, round(max_negative, 4) + 0.0 AS max_negative, round(excess_over_null, 4) AS excess_over_null, n_significant, round(integrated, 4) + 0.0 AS integrated, round(sign_change_um, 4) AS sign_change_um FROM cs"
+SQL["cooccurrence_summary"] = f"{co_chain()}, {COS} SELECT type_a, type_b, round(peak_scale_um, 6) AS peak_scale_um, round(peak_correlation, 6) + 0.0 AS peak_correlation, round(max_positive, 6) + 0.0 AS max_positive, round(max_negative, 6) + 0.0 AS max_negative, round(excess_over_null, 6) AS excess_over_null, n_significant, round(integrated, 6) + 0.0 AS integrated, round(sign_change_um, 6) AS sign_change_um FROM cs"
 
 
 @query
@@ -715,7 +715,7 @@ def default_scales(spark, sf):
     return rounded(spark.range(1).select(F.explode(F.arrays_zip(F.array(*[F.lit(v) for v in sc.vox]).alias("vox"), F.array(*[F.lit(float(u)) for u in sc.um]).alias("um"))).alias("s")).select("s.vox", "s.um"))
 
 
-SQL["default_scales"] = "WITH " + "c AS (SELECT unnest(range(48)) AS i), s AS (SELECT i, pow(10::DOUBLE, 1 + i * 2.0::DOUBLE / 47) AS um FROM c), v AS (SELECT min(i) AS i, greatest(2, CAST(round_even(um / 19.53125::DOUBLE, 0) AS INTEGER)) AS vox FROM s WHERE um >= 1.8 * 19.53125 GROUP BY 2), k AS (SELECT vox, row_number() OVER (ORDER BY i) - 1 AS at, count(*) OVER () AS n FROM v WHERE vox <= 128), p AS (SELECT DISTINCT CAST(round_even(j * (n - 1) / 11.0::DOUBLE, 0) AS INTEGER) AS at FROM (SELECT unnest(range(12)) AS j), (SELECT max(n) AS n FROM k)) SELECT CAST(vox AS INTEGER) AS vox, round(vox * 19.53125::DOUBLE, 6) AS um FROM k JOIN p USING (at)"
+SQL["default_scales"] = "WITH " + "c AS (SELECT unnest(range(48)) AS i), s AS (SELECT i, pow(10::DOUBLE, 1 + i * 2.0::DOUBLE / 47) AS um FROM c), v AS (SELECT min(i) AS i, greatest(2, CAST(round_even(um / 19.53125::DOUBLE, 0) AS INTEGER)) AS vox FROM s WHERE um >= 1.8 * 19.53125 GROUP BY 2), k AS (SELECT vox, row_number() OVER (ORDER BY i) - 1 AS place, count(*) OVER () AS n FROM v WHERE vox <= 128), p AS (SELECT DISTINCT CAST(round_even(j * (n - 1) / 11.0::DOUBLE, 0) AS INTEGER) AS place FROM (SELECT unnest(range(12)) AS j), (SELECT max(n) AS n FROM k)) SELECT CAST(vox AS INTEGER) AS vox, round(vox * 19.53125::DOUBLE, 6) AS um FROM k JOIN p USING (place)"
 
 
 # --- round trips -----------------------------------------------------------------------------------------------
@@ -756,7 +756,7 @@ def matrix_roundtrip(spark, sf):
     from .sources import tables
 
     path = _scratch(spark, "matrix")
-    wide = read(spark, sf, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("*").cast("double"))
+    wide = read(spark, sf, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("o_orderkey").cast("double"))
     tables.write_matrix(wide, path)
     return tables.read_matrix(spark, path)
 
@@ -787,10 +787,10 @@ def pairs_json_roundtrip(spark, sf):
     rows = _cooccurrence(orders(spark, sf))
     arrays = rows.groupBy("type_a", "type_b").agg(cv.array_of("r").alias("correlation_curve"), F.max_by("um", F.struct(F.abs(F.col("r") - F.col("null_mean")), -F.col("scale_idx"))).alias("peak_scale_um"))
     reports.write_document(reports.pair_records(arrays).drop("type_a", "type_b"), path, "key")
-    return rounded(reports.read_pairs(spark, path).select("type_a", "type_b", "peak_scale_um", F.explode("correlation_curve").alias("r")), 4)
+    return rounded(reports.read_pairs(spark, path).select("type_a", "type_b", "peak_scale_um", F.explode("correlation_curve").alias("r")))
 
 
-SQL["pairs_json_roundtrip"] = f"{co_chain()}, pk AS (SELECT type_a, type_b, arg_max(um, abs(r - null_mean) ORDER BY scale_idx) AS peak_scale_um FROM co GROUP BY ALL) SELECT type_a, type_b, round(peak_scale_um, 4) AS peak_scale_um, round(r, 4) + 0.0 AS r FROM co JOIN pk USING (type_a, type_b)"
+SQL["pairs_json_roundtrip"] = f"{co_chain()}, pk AS (SELECT type_a, type_b, arg_max(um, abs(r - null_mean) ORDER BY scale_idx) AS peak_scale_um FROM co GROUP BY ALL) SELECT type_a, type_b, round(peak_scale_um, 6) AS peak_scale_um, round(r, 6) + 0.0 AS r FROM co JOIN pk USING (type_a, type_b)"
 
 
 @query

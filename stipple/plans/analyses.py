@@ -14,15 +14,16 @@ from ..operators import grid, nulls, pairs, prep, stats
 def labelled_curves(points: DataFrame, roi: grid.Roi, scales: Scales, n_mocks: int, min_cells: int, stratum: str | None = None, salt: str = "") -> DataFrame:
     """(mock_id, type, scale_idx, vox, um, n, vmr, skewness) of the real labels (-1) and of shuffled ones.
 
-    All types share one set of shuffles and one grid of the whole point set.
+    All types share one set of shuffles and one grid of the whole point set. The
+    curves (types x mocks x scales rows) are what every later step reads several
+    times, so they are kept.
     """
     types = prep.frequent_types(points, min_cells)
     drawn = nulls.shuffled(points, n_mocks, stratum, salt)
     every = nulls.with_real(points, drawn).join(types.select("type"), "type", "left_semi")
-    counts = grid.pixels(every, roi, ["mock_id", "type"])
-    curve = grid.curves_of_counts(counts, scales, roi, ["mock_id", "type"])
-    size = counts.groupBy("mock_id", "type").agg(F.sum("c").alias("n"))
-    return stats.usable(curve.join(size, ["mock_id", "type"]))
+    curve = grid.curves_of(every, roi, scales, ["mock_id", "type"])
+    # a shuffle leaves each type as many points as it has
+    return stats.usable(curve.join(types.withColumnRenamed("n_cells", "n"), "type")).persist()
 
 
 def against_null(curves: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,7 +60,7 @@ def cooccurrence(points: DataFrame, roi: grid.Roi, scales: Scales, n_mocks: int
     types = prep.frequent_types(points, min_cells)
     every = nulls.with_real(points, nulls.shuffled(points, n_mocks))
     binned = grid.bins(grid.pixels(every, roi, ["mock_id", "type"]), scales, roi, ["mock_id", "type"])
-    r = pairs.bin_correlations(binned, ["mock_id"], types, type_pairs)
+    r = pairs.bin_correlations(binned.persist(), ["mock_id"], types, type_pairs).persist()
     real = r.where("mock_id < 0").drop("mock_id")
     out = real.join(stats.null_moments(r, ["type_a", "type_b"], "r").drop("n_mocks"), ["type_a", "type_b", "scale_idx"])
     return out.withColumn("significant", F.abs(F.col("r") - F.col("null_mean")) > 2 * F.col("null_sd"))
@@ -116,8 +117,8 @@ def jittered(points: DataFrame, roi: grid.Roi, scales: Scales, n_trials: int = 1
     moved = every.withColumn("o", F.element_at(table, F.col("trial") + 1)).withColumns({f"d{a}": F.col(f"o.d{a}") for a in roi.axes})
     keys = ["trial", "mock_id", "type"]
     counts = grid.pixels(moved, roi, keys, {a: f"d{a}" for a in roi.axes})
-    curve = grid.curves_of_counts(counts, scales, roi, keys).join(counts.groupBy(*keys).agg(F.sum("c").alias("n")), keys)
-    return against_null(stats.usable(curve), ["trial", "type"])
+    curve = grid.curves_of_counts(counts, scales, roi, keys).join(types.withColumnRenamed("n_cells", "n"), "type")
+    return against_null(stats.usable(curve).persist(), ["trial", "type"])
 
 
 def jitter_spread(rows: DataFrame) -> DataFrame:
@@ -185,7 +186,7 @@ def peak_ratios_by_dims(points: DataFrame, roi2: grid.Roi, scales2: Scales, roi3
     every = nulls.with_real(points, nulls.shuffled(points, n_mocks)).join(types.select("type"), "type", "left_semi")
     sides = []
     for name, roi, scales in (("peak_2d", roi2, scales2), ("peak_3d", roi3, scales3)):
-        rows = against_null(grid.curves_of(every, roi, scales, ["mock_id", "type"]).withColumn("n", F.col("n_points")), ["type"])
+        rows = against_null(grid.curves_of(every, roi, scales, ["mock_id", "type"]).withColumn("n", F.col("n_points")).persist(), ["type"])
         sides.append(rows.groupBy("type").agg(F.max("ratio").alias(name)))
     out = sides[0].join(sides[1], "type")
     return out.withColumn("ratio_change", F.when(F.col("peak_2d") > 0, F.col("peak_3d") / F.when(F.col("peak_2d") > 0, F.col("peak_2d"))).otherwise(1.0))
@@ -210,7 +211,7 @@ def ripley_band(points: DataFrame, radii: list[float], area: float, n_null: int
     null = nulls.mocks(some.select("id", "type").join(box, "type"), n_null)
     null = null.select("type", "mock_id", "id", *[(F.col(f"lo{a}") + (F.col(f"hi{a}") - F.col(f"lo{a}")) * chance.uniform("box", F.col("mock_id"), F.col("id"), a)).alias(a) for a in "xy"])
     real = some.select("type", F.lit(-1).alias("mock_id"), "id", "x", "y")
-    rows = ripley(real.unionByName(null), radii, area, ["type", "mock_id"])
+    rows = ripley(real.unionByName(null), radii, area, ["type", "mock_id"]).persist()
     band = rows.where("mock_id >= 0").groupBy("type", "radius").agg(F.percentile("l", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg("k").alias("k_null_mean"))
     return rows.where("mock_id < 0").drop("mock_id", "pairs").join(band, ["type", "radius"]).select("type", "radius", "n", "k", "l", F.col("q")[0].alias("l_low"), F.col("q")[1].alias("l_high"), "k_null_mean")
 

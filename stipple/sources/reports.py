@@ -29,10 +29,12 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 
 def as_document(rows: DataFrame, key: str | None = None, **meta: object) -> DataFrame:
-    """One row, one JSON text: the records, as an object by ``key`` or a list, with ``meta`` before them."""
+    """One row, one JSON text: the records as an object by ``key`` or a list; with ``meta``, those first and the records as results."""
     record = F.struct(*[c for c in rows.columns if c != key])
     every = F.map_from_entries(F.collect_list(F.struct(F.col(key), record))) if key else F.collect_list(record)
     one = finite(rows).agg(every.alias("results"))
+    if not meta:
+        return one.select(F.to_json("results").alias("document"))
     return one.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in meta.items()], "results")).alias("document"))
 
 
