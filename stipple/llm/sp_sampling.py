@@ -48,7 +48,7 @@ class Codec:
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
         self.piece = {sp.id_to_piece(i): i for i in plain}
         self.longest = max(map(len, self.piece), default=1)
-        self.prefix = {p[:n]: -1 for p in self.piece for n in range(1, len(p))} | self.piece
+        self._trie()
         self.byte = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(n) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
         scores = np.array([sp.get_score(i) for i in range(n)])
@@ -68,11 +68,27 @@ class Codec:
             out[i] = bytes([b])
         return out
 
+    def _trie(self) -> None:
+        """States are beginnings of pieces; ``step`` holds state * 2**21 + character, sorted, and ``then`` the next state."""
+        state, moves = {"": 0}, {}
+        for p in sorted(self.piece):
+            for n in range(1, len(p) + 1):
+                if p[:n] not in state:
+                    state[p[:n]] = len(state)
+                    moves[(state[p[: n - 1]] << 21) | ord(p[n - 1])] = state[p[:n]]
+        self.step = np.array(sorted(moves), np.int64)
+        self.then = np.array([moves[m] for m in self.step.tolist()], np.int64)
+        self.piece_of = np.full(len(state), -1, np.int32)
+        for p, i in self.piece.items():
+            self.piece_of[state[p]] = i
+
     def _reset(self) -> None:
         self.root: dict[str, int] = {}
         self.nodes = 0
-        #: of each edge: node + chance of it and those before it, next node (-1: end of unit), id (below 0: bytes of a character), log chance
+        #: of each edge: the chance of it and those before it (2 at a node's last), next node (-1: end of unit), id (below 0: bytes of a character), log chance
         self.edge = [np.empty(0), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0)]
+        self.first = np.empty(0, np.int32)  # the first edge of each node
+        self.char_ids = np.empty(0, np.int64)  # of each character that is no piece: its id, -1 for several
         self.chars: list[tuple[int, ...]] = []
         self.char_at: dict[str, int] = {}
 
@@ -91,34 +107,44 @@ class Codec:
         new = sorted(u for u in units if u not in self.root)
         if not new:
             return
-        get, longest, base = self.prefix.get, self.longest, self.nodes
-        start, end, ids, left = [], [], [], []  # of edges; nodes are places of characters, ``left``: characters to the unit's end
-        for u in new:
-            self.root[u] = self.nodes
-            n, first = len(u), self.nodes
-            for i in range(n):
-                before = len(ids)
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    k = get(u[i:j])
-                    if k is None:
-                        break
-                    if k >= 0:
-                        start.append(first + i)
-                        end.append(first + j)
-                        ids.append(k)
-                if len(ids) == before or end[before] != first + i + 1:
-                    start.insert(before, first + i)
-                    end.insert(before, first + i + 1)
-                    ids.insert(before, self._char(u[i]))
-            self.nodes += n
+        base = self.nodes
         sizes = np.fromiter(map(len, new), np.int64, len(new))
-        ends = np.repeat(base + np.cumsum(sizes), sizes)  # the end of each node's unit
-        left = ends - np.arange(base, self.nodes)
-        start, end, ids = np.array(start) - base, np.array(end) - base, np.array(ids, np.int32)
+        heads = np.cumsum(sizes) - sizes
+        self.root.update(zip(new, (base + heads).tolist(), strict=True))
+        chars = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        self.nodes += len(chars)
+        ends = np.repeat(heads + sizes, sizes)  # the end of each place's unit
+        left = ends - np.arange(len(chars))
+        start, end, ids = [], [], []
+        at, state = np.arange(len(chars)), np.zeros(len(chars), np.int64)
+        bare = np.ones(len(chars), bool)  # places whose character is no piece
+        for n in range(1, self.longest + 1):
+            inside = at + n <= ends[at]
+            at, state = at[inside], state[inside]
+            key = (state << 21) | chars[at + n - 1]
+            k = np.minimum(np.searchsorted(self.step, key), len(self.step) - 1)
+            known = self.step[k] == key
+            at, state = at[known], self.then[k[known]]
+            piece = self.piece_of[state]
+            full = piece >= 0
+            if n == 1:
+                bare[at[full]] = False
+            start.append(at[full])
+            end.append(at[full] + n)
+            ids.append(piece[full])
+            if not len(at):
+                break
+        lone = np.flatnonzero(bare)
+        start.append(lone)
+        end.append(lone + 1)
+        ids.append(np.array([self._char(chr(c)) for c in chars[lone].tolist()], np.int32))
+        start, end, ids = np.concatenate(start), np.concatenate(end), np.concatenate(ids)
+        order = np.lexsort((end, start))
+        start, end, ids = start[order], end[order], ids[order]
         w = np.where(ids >= 0, self.logw[np.maximum(ids, 0)], 0.0)
         for k in np.flatnonzero(ids < 0):
             w[k] = self.byte_logw * len(self.chars[-ids[k] - 1])
-        last = end == ends[start] - base
+        last = end == ends[start]
         first_edge = np.searchsorted(start, np.arange(len(left)))
         beta = np.zeros(len(left) + 1)
         order = np.argsort(left, kind="stable")
@@ -131,99 +157,75 @@ class Codec:
             total = w[e] + np.where(last[e], 0.0, beta[np.where(last[e], 0, end[e])])
             beta[nodes] = np.logaddexp.reduceat(total, np.cumsum(many) - many)
         logs = np.minimum(w + np.where(last, 0.0, beta[np.where(last, 0, end)]) - beta[start], 0.0)
-        run = np.cumsum(np.exp(logs))
-        inner = run - np.concatenate(([0.0], run))[first_edge[start]]
-        final = np.append(start[1:] != start[:-1], True)
-        marks = base + start + np.where(final, 1.0, np.minimum(inner, 1.0))
+        # summed edge by edge within each node, so that a unit's chances are the same in any pool
+        marks, place = np.exp(logs), np.arange(len(start)) - first_edge[start]
+        for k in range(1, int(place.max()) + 1):
+            on = np.flatnonzero(place == k)
+            marks[on] += marks[on - 1]
+        marks[np.append(start[1:] != start[:-1], True)] = 2.0
         fresh = [marks, np.where(last, -1, end + base).astype(np.int32), ids, logs]
+        self.first = np.concatenate([self.first, (first_edge + len(self.edge[0])).astype(np.int32)])
         self.edge = [np.concatenate([a, b]) for a, b in zip(self.edge, fresh, strict=True)]
+        self.char_ids = np.array([c[0] if len(c) == 1 else -1 for c in self.chars], np.int64)
 
     def units(self, text: str) -> list[str]:
         norm = self.sp.normalize(text)
         return _UNIT.findall(norm) if self.apart else ([norm] if norm else [])
 
-    def learn(self, texts: list[str]) -> None:
-        """Builds the lattices that a block of texts needs at once."""
-        self._learn({u for t in texts for u in self.units(t)})
+    def _walk(self, node: np.ndarray, unit: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(unit, edge) of a random path from each node to its unit's end, by unit; ``salt`` seeds each unit."""
+        marks, nexts, _, _ = self.edge
+        us, es, step = [], [], 0
+        while len(node):
+            e = self.first[node].astype(np.int64)
+            x = _unit_interval(salt, step)
+            on = np.flatnonzero(marks[e] <= x)
+            while len(on):
+                e[on] += 1
+                on = on[marks[e[on]] <= x[on]]
+            us.append(unit)
+            es.append(e)
+            node = nexts[e]
+            on = node >= 0
+            node, unit, salt, step = node[on], unit[on], salt[on], step + 1
+        if not us:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        u, e = np.concatenate(us), np.concatenate(es)
+        order = np.argsort(u, kind="stable")
+        return u[order], e[order]
 
     def sample(self, text: str, seed: int, k: int) -> list[dict]:
         """Up to ``k`` distinct segmentations (fewer if there are no more), best key first."""
-        units = self.units(text)
-        if any(u not in self.root for u in units):
-            self.learn([text])
-        rng = np.random.Generator(np.random.Philox(seed))
-        marks, nexts, _, logs = self.edge
-        n = len(units)
-
-        def walk(node: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """(unit, edge) of a random path from each node on, in the order of the text."""
-            us, es = [], []
-            while len(node):
-                e = np.searchsorted(marks, node + rng.random(len(node)), side="right")
-                us.append(unit)
-                es.append(e)
-                node = nexts[e]
-                on = node >= 0
-                node, unit = node[on], unit[on]
-            if not us:
-                return np.empty(0, np.int64), np.empty(0, np.int64)
-            u, e = np.concatenate(us), np.concatenate(es)
-            order = np.argsort(u, kind="stable")
-            return u[order], e[order]
-
-        def bounds(before: np.ndarray, chance: np.ndarray, key: float) -> np.ndarray:
-            """Truncated Gumbels for what leaves a path where it had ``before`` behind it and takes ``chance``."""
-            with np.errstate(divide="ignore"):
-                at = before + np.log(np.maximum(1.0 - chance, 0.0))
-                return -np.logaddexp(-key, np.log(rng.standard_exponential(len(at))) - at)
-
-        roots = np.fromiter((self.root[u] for u in units), np.int64, n)
-        unit, edge = walk(roots, np.arange(n))
-        key = float(-np.log(rng.standard_exponential()))
-        paths, keys, open_, taken = [(unit, edge)], [key], [], []
-        p = logs[edge]
-        sure = np.where(p > -1e-12, 1.0, np.exp(p))
-        open_.append(bounds(np.cumsum(p) - p, sure, key))
-        taken.append({})
-        threshold = -np.inf
-        while True:
-            tops = [(b.max(), w) for w, b in enumerate(open_) if len(b)]
-            threshold, w = max(tops, default=(-np.inf, 0))
-            if len(paths) == k or threshold == -np.inf:
+        return self.sample_block([text], [seed], k)[0]
+
+    def sample_block(self, texts: list[str], seeds: list[int], k: int) -> list[list[dict]]:
+        """``sample`` for each text; the texts are walked together, the results do not depend on which they are."""
+        split = [self.units(t) for t in texts]
+        self._learn({u for units in split for u in units})
+        searches = [_Search(self, units, seed) for units, seed in zip(split, seeds, strict=True)]
+        for turn in range(k):
+            going = [s for s in searches if s.wants(turn)]
+            if not going:
                 break
-            at = int(open_[w].argmax())
-            unit, edge = paths[w]
-            out = taken[w].get(at, (int(edge[at]),))
-            node = int(np.ceil(marks[edge[at]])) - 1
-            lo, hi = np.searchsorted(marks, node, side="right"), np.searchsorted(marks, node + 1, side="right")
-            rest = np.setdiff1d(np.arange(lo, hi), out)
-            chance = np.exp(logs[rest])
-            open_[w][at] = -np.inf
-            pick = int(rest[np.searchsorted(np.cumsum(chance), rng.random() * chance.sum(), side="right").clip(max=len(rest) - 1)])
-            # the rest of this unit first, then all units behind it
-            tail_u, tail_e = walk(nexts[[pick]][nexts[[pick]] >= 0], np.array([unit[at]])[nexts[[pick]] >= 0])
-            more_u, more_e = walk(roots[unit[at] + 1 :], np.arange(unit[at] + 1, n))
-            new_u, new_e = np.concatenate([unit[:at], [unit[at]], tail_u, more_u]), np.concatenate([edge[:at], [pick], tail_e, more_e])
-            p = logs[new_e]
-            sure = np.where(p > -1e-12, 1.0, np.exp(p))
-            sure[at] = 1.0 if len(rest) == 1 else min(1.0, float(np.exp(logs[list(out)]).sum() + np.exp(logs[pick])))
-            b = bounds(np.cumsum(p) - p, sure, threshold)
-            b[:at] = -np.inf
-            paths.append((new_u, new_e))
-            keys.append(float(threshold))
-            open_.append(b)
-            taken.append({at: (*out, pick)})
-        found = []
-        for (_, e), key in zip(paths, keys, strict=True):
-            lp = float(logs[e].sum())
-            gap = lp - float(threshold)  # the threshold is -inf where every segmentation was drawn: inclusion is sure
-            score = 0.0 if threshold == -np.inf else (float(np.log(-np.expm1(-np.exp(min(gap, 700.0))))) if gap > -30 else gap)
-            found.append({"ids": self._ids(e), "log_prob": lp, "key": key, "log_inclusion": score})
-        return found
+            starts = [s.start() for s in going]
+            first = np.cumsum([0, *(len(s.roots) for s in going)])
+            node = np.concatenate([n for n, _ in starts])
+            unit = np.concatenate([u + f for (_, u), f in zip(starts, first, strict=False)])
+            salt = np.concatenate([_mix(u.astype(np.uint64) + np.uint64((s.seed << 20) % 2**64) + np.uint64(turn << 52)) for (_, u), s in zip(starts, going, strict=True)])
+            u, e = self._walk(node, unit, salt)
+            cuts = np.searchsorted(u, first)
+            for n, s in enumerate(going):
+                s.finish(u[cuts[n] : cuts[n + 1]] - first[n], e[cuts[n] : cuts[n + 1]])
+        return [s.result() for s in searches]
 
     def _ids(self, edges: np.ndarray) -> np.ndarray:
         ids = self.edge[2][edges]
-        if (ids >= 0).all():
+        low = np.flatnonzero(ids < 0)
+        if not len(low):
+            return ids.astype("<u4")
+        one = self.char_ids[-ids[low] - 1]
+        if (one >= 0).all():
+            ids[low] = one
             return ids.astype("<u4")
         return np.array([i for k in ids.tolist() for i in ((k,) if k >= 0 else self.chars[-k - 1])], "<u4")
 
@@ -237,6 +239,91 @@ class Codec:
         return raw.decode("utf-8", "replace").removeprefix(" ")
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _unit_interval(salt: np.ndarray, step: int) -> np.ndarray:
+    """In [0, 1), from a seed for each unit and the step within it."""
+    return (_mix(salt + np.uint64((0x9E3779B97F4A7C15 * (step + 1)) % 2**64)) >> np.uint64(11)) * 2.0**-53
+
+
+class _Search:
+    """The best-first search of one text: drawn paths, the bounds of what leaves them, and the next place to go on from."""
+
+    def __init__(self, codec: Codec, units: list[str], seed: int) -> None:
+        self.codec, self.seed = codec, seed
+        self.roots = np.fromiter((codec.root[u] for u in units), np.int64, len(units))
+        self.rng = np.random.Generator(np.random.Philox(seed))
+        self.paths: list[tuple[np.ndarray, np.ndarray]] = []
+        self.keys: list[float] = []
+        self.bounds: list[np.ndarray] = []
+        self.taken: list[dict[int, tuple[int, ...]]] = []
+        self.threshold = float(-np.log(self.rng.standard_exponential()))
+        self.branch: tuple | None = None
+
+    def wants(self, turn: int) -> bool:
+        return len(self.paths) == turn and self.threshold > -np.inf
+
+    def start(self) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, units) to walk from: all units for the first path, else what follows the branch."""
+        if not self.paths:
+            return self.roots, np.arange(len(self.roots))
+        _, nexts, _, logs = self.codec.edge
+        w = max(range(len(self.bounds)), key=lambda i: self.bounds[i].max() if len(self.bounds[i]) else -np.inf)
+        at = int(self.bounds[w].argmax())
+        unit, edge = self.paths[w]
+        out = self.taken[w].get(at, (int(edge[at]),))
+        node = int(np.searchsorted(self.codec.first, edge[at], side="right")) - 1
+        lo = int(self.codec.first[node])
+        hi = int(self.codec.first[node + 1]) if node + 1 < len(self.codec.first) else len(logs)
+        rest = np.setdiff1d(np.arange(lo, hi), out)
+        chance = np.cumsum(np.exp(logs[rest]))
+        self.bounds[w][at] = -np.inf
+        pick = int(rest[min(np.searchsorted(chance, self.rng.random() * chance[-1], side="right"), len(rest) - 1)])
+        self.branch = (unit, edge, at, pick, out, len(rest) == 1)
+        u = int(unit[at])
+        later = np.arange(u + 1, len(self.roots))
+        if nexts[pick] < 0:
+            return self.roots[later], later
+        return np.concatenate([[nexts[pick]], self.roots[later]]), np.concatenate([[u], later])
+
+    def finish(self, unit: np.ndarray, edge: np.ndarray) -> None:
+        logs, at = self.codec.edge[3], 0
+        taken: dict[int, tuple[int, ...]] = {}
+        gone, final = 0.0, False
+        if self.branch is not None:
+            u, e, at, pick, out, final = self.branch
+            unit, edge = np.concatenate([u[: at + 1], unit]), np.concatenate([e[:at], [pick], edge])
+            taken[at] = (*out, pick)
+            gone = float(np.exp(logs[list(out)]).sum())
+        p = logs[edge]
+        chance = np.exp(p)
+        chance[p > -1e-12] = 1.0
+        if self.branch is not None:
+            chance[at] = 1.0 if final else min(1.0, chance[at] + gone)
+        with np.errstate(divide="ignore"):
+            place = np.cumsum(p) - p + np.log(1.0 - chance)
+            bound = -np.logaddexp(-self.threshold, np.log(self.rng.standard_exponential(len(place))) - place)
+        bound[:at] = -np.inf
+        self.paths.append((unit, edge))
+        self.keys.append(self.threshold)
+        self.bounds.append(bound)
+        self.taken.append(taken)
+        self.threshold = max((float(b.max()) for b in self.bounds if len(b)), default=-np.inf)
+
+    def result(self) -> list[dict]:
+        found, threshold = [], self.threshold
+        for (_, e), key in zip(self.paths, self.keys, strict=True):
+            lp = float(self.codec.edge[3][e].sum())
+            gap = lp - threshold  # the threshold is -inf where every segmentation was drawn: inclusion is sure
+            score = 0.0 if threshold == -np.inf else (float(np.log(-np.expm1(-np.exp(min(gap, 700.0))))) if gap > -30 else gap)
+            found.append({"ids": self.codec._ids(e), "log_prob": lp, "key": key, "log_inclusion": score})
+        return found
+
+
 def codec(path: str) -> Codec:
     if path not in _codecs:
         _codecs[path] = Codec(path)
@@ -259,17 +346,16 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = SAMPLES, id_col:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(model)
         for pdf in batches:
-            rows: list[tuple] = []
+            ids = pdf["id"].astype("Int64").tolist()
             texts = [t or "" for t in pdf["text"]]
-            for n, (doc, text) in enumerate(zip(pdf["id"].astype("Int64"), texts, strict=True)):
-                if n % BLOCK == 0:
-                    c.learn(texts[n : n + BLOCK])
-                for s, x in enumerate(c.sample(text, row_seed("" if doc is pd.NA else str(doc)), k), 1):
-                    rows.append((doc, s, x["ids"].tobytes(), len(x["ids"]), x["log_prob"], x["key"], x["log_inclusion"], c.decode(x["ids"]) == text))
-                if len(rows) >= 2000:
-                    yield frame(rows)
-                    rows = []
-            yield frame(rows)
+            for n in range(0, len(ids), BLOCK):
+                some = texts[n : n + BLOCK]
+                seeds = [row_seed("" if i is pd.NA else str(i)) for i in ids[n : n + BLOCK]]
+                drawn = c.sample_block(some, seeds, k)
+                yield frame([
+                    (i, s, x["ids"].tobytes(), len(x["ids"]), x["log_prob"], x["key"], x["log_inclusion"], c.decode(x["ids"]) == text)
+                    for i, text, found in zip(ids[n : n + BLOCK], some, drawn, strict=True) for s, x in enumerate(found, 1)
+                ])
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=["id", "sample", "ids", "n_pieces", "log_prob", "key", "log_inclusion", "round_trip"])
