@@ -73,7 +73,7 @@ class Model:
             (i, j): self._fit(x[(y == i) | (y == j)], np.where(y[(y == i) | (y == j)] == i, 1.0, -1.0))
             for ks in self.families for i, j in combinations(sorted(ks), 2)
         }
-        self.w = np.array(self.rows, dtype=np.float32).reshape(len(self.rows), -1)
+        self.w = np.array(self.rows, dtype=np.float32).reshape(len(self.rows), DIM + 1)
         self.rows = []
 
     def _fit(self, x: np.ndarray, y: np.ndarray) -> int:

@@ -75,7 +75,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
         return texts.map(features, na_action=None)
 
     rows = docs.select("doc_id", "text").join(some, "doc_id").select(shape(F.coalesce("text", F.lit(""))).alias("x"), "_quality").toPandas()
-    x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(len(rows), -1)
+    x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(len(rows), len(features("")))
     return Classifier(x, rows["_quality"].to_numpy(dtype=np.float64))
 
 

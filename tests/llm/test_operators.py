@@ -163,7 +163,7 @@ def test_long_chain_is_one_path(spark):
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(40, 16))
-    x = [(base[i % 40] + rng.normal(size=16) * 0.12 * (i % 4)).tolist() for i in range(300)] + [[3.0 * v for v in base[0]]] * 3 + [[0.0] * 16, None, [1.0], [float("nan")] * 16, [None] * 16, [float("inf")] * 16]
+    x = [(base[i % 40] + rng.normal(size=16) * 0.12 * (i % 4)).tolist() for i in range(300)] + [(3.0 * base[0]).tolist()] * 3 + [[0.0] * 16, None, [1.0], [float("nan")] * 16, [None] * 16, [float("inf")] * 16]
     df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>").withColumn("node", F.lit(1))
     good = np.array([v is not None and len(v) == 16 and all(c is not None and np.isfinite(c) for c in v) and any(v) for v in x])
     a = np.array([v if g else [1.0] * 16 for v, g in zip(x, good, strict=True)], float)
