@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import table
-from .tokens import encoder
+from .tokens import CACHE_WORDS, encoder
 
 TIERS = (1024, 512, 256, 128)
 STEP_TOKENS = 16384
@@ -131,7 +131,7 @@ class Packer:
         return rows
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, tiers: tuple[int, ...] = TIERS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, tiers: tuple[int, ...] = TIERS, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pieces of all documents with their place: doc_id, start, length, doc_tokens, sequence_id, offset, ids (unsigned 32-bit little-endian), window, step_group.
 
     A document is the ids of its whole text, then ``end_id``. Null and empty texts
@@ -139,10 +139,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, tiers: tuple[int, ...
     itself; an empty table gives no pieces; other columns are ignored. The result
     follows the order in which the input is read, so ``docs`` should be a table or
     another plan whose partitions come out alike when a lost task runs again.
+    ``cache_words`` bounds the memory of a worker's token cache, not the result.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = encoder(tokenizer, "byte", ID_BYTES), end_id.to_bytes(ID_BYTES, "little")
+        enc, end = encoder(tokenizer, "byte", ID_BYTES, cache_words), end_id.to_bytes(ID_BYTES, "little")
         packer = Packer(TaskContext.get().partitionId() << 40, tiers)
         columns = [c.split()[0] for c in _OUT.split(", ")]
 

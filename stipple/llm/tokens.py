@@ -19,8 +19,8 @@ _UNSURE = re.compile(r" (?![!-~]|[^\W_])")
 _SURE_CUT = re.compile(r" (?=[!-~]|[^\W_])")
 #: One word of Latin letters, then ASCII marks without the apostrophe.
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ſ]+)([!-&(-/:-@\[-`{-~]*)")
-#: Entries of one generation of the two caches; about 150 bytes each.
-_PIECES, _WORDS = 300_000, 600_000
+#: Words in one generation of a worker's cache, about 150 bytes each; half as many pieces are kept beside them.
+CACHE_WORDS = 600_000
 _PIECE_CHARS = 48
 _encoders: dict[tuple, Encoder] = {}
 
@@ -56,7 +56,7 @@ class _Cache(dict):
 class Encoder:
     """``mode`` "byte": white space belongs to pre-tokens. ``mode`` "word": white space only separates them. ``width``: bytes of an id."""
 
-    def __init__(self, path: str, mode: str, width: int) -> None:
+    def __init__(self, path: str, mode: str, width: int, cache_words: int = CACHE_WORDS) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -64,8 +64,8 @@ class Encoder:
         self.tok.encode_special_tokens = True
         self.model = self.tok.model
         self.mode, self.kind = mode, {2: "H", 4: "I"}[width]
-        self.words = _Cache(lambda w: self._ids([t.id for t in self.model.tokenize(w)]), _WORDS)
-        self.pieces = _Cache(self._bare if mode == "word" else self._after_space, _PIECES)
+        self.words = _Cache(self._word, cache_words)
+        self.pieces = _Cache(self._bare if mode == "word" else self._after_space, cache_words // 2)
 
     def _ids(self, ids: list[int]) -> bytes:
         out = array(self.kind, ids)
@@ -76,10 +76,11 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return self._ids(self.tok.encode(text, add_special_tokens=False).ids)
 
-    def _mapped(self, text: str) -> bytes:
+    def _word(self, text: str) -> bytes:
+        """A whole pre-token by the model alone, which reads the byte-level spelling."""
         if not text.isascii():
             text = text.encode().decode("latin-1")
-        return self.words[text.translate(_LETTERS)]
+        return self._ids([t.id for t in self.model.tokenize(text.translate(_LETTERS))])
 
     def _after_space(self, piece: str) -> bytes:
         lines = [_WORD.fullmatch(p) for p in piece.split("\n")]
@@ -88,17 +89,17 @@ class Encoder:
         out, before = [], " "
         for m in lines:
             if out:
-                out.append(self._mapped("\n"))
-            out.append(self._mapped(before + m[1]))
+                out.append(self.words["\n"])
+            out.append(self.words[before + m[1]])
             if m[2]:
-                out.append(self._mapped(m[2]))
+                out.append(self.words[m[2]])
             before = ""
         return b"".join(out)
 
     def _bare(self, piece: str) -> bytes:
         if not (m := _WORD.fullmatch(low := piece.lower())) or "İ" in piece:
             return self._whole(piece)
-        return self._mapped(m[1]) + (self._mapped(m[2]) if m[2] else b"")
+        return self.words[m[1]] + (self.words[m[2]] if m[2] else b"")
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian ids of the whole text; null counts as empty."""
@@ -113,9 +114,9 @@ class Encoder:
         return (self._whole(head) if head else b"") + b"".join(map(get, rest))
 
 
-def encoder(path: str, mode: str, width: int) -> Encoder:
+def encoder(path: str, mode: str, width: int, cache_words: int = CACHE_WORDS) -> Encoder:
     """One encoder for each Python worker and kind; ``width`` is the bytes of an id."""
-    key = (path, mode, width)
+    key = (path, mode, width, cache_words)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, mode, width)
+        _encoders[key] = Encoder(path, mode, width, cache_words)
     return _encoders[key]
