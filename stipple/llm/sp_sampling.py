@@ -104,7 +104,7 @@ class Codec:
         """Adds the lattices of new units to the pool."""
         if len(self.edge[0]) > _POOL_EDGES:
             self._reset()
-        new = sorted(u for u in units if u not in self.root)
+        new = [u for u in units if u not in self.root]
         if not new:
             return
         base = self.nodes
@@ -235,8 +235,7 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces' bytes behind each other, without the space put before the text."""
-        raw = b"".join(map(self.text.__getitem__, ids.tolist()))
-        return raw.decode("utf-8", "replace").removeprefix(" ")
+        return b"".join(map(self.text.__getitem__, ids.tolist())).decode("utf-8", "replace").removeprefix(" ")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -255,11 +254,12 @@ class _Search:
 
     def __init__(self, codec: Codec, units: list[str], seed: int) -> None:
         self.codec, self.seed = codec, seed
-        self.roots = np.fromiter((codec.root[u] for u in units), np.int64, len(units))
+        self.roots = np.array(list(map(codec.root.__getitem__, units)), np.int64)
         self.rng = np.random.Generator(np.random.Philox(seed))
         self.paths: list[tuple[np.ndarray, np.ndarray]] = []
         self.keys: list[float] = []
         self.bounds: list[np.ndarray] = []
+        self.tops: list[float] = []
         self.taken: list[dict[int, tuple[int, ...]]] = []
         self.threshold = float(-np.log(self.rng.standard_exponential()))
         self.branch: tuple | None = None
@@ -272,16 +272,17 @@ class _Search:
         if not self.paths:
             return self.roots, np.arange(len(self.roots))
         _, nexts, _, logs = self.codec.edge
-        w = max(range(len(self.bounds)), key=lambda i: self.bounds[i].max() if len(self.bounds[i]) else -np.inf)
+        w = self.tops.index(self.threshold)
         at = int(self.bounds[w].argmax())
         unit, edge = self.paths[w]
         out = self.taken[w].get(at, (int(edge[at]),))
-        node = int(np.searchsorted(self.codec.first, edge[at], side="right")) - 1
+        node = int(np.searchsorted(self.codec.first, np.int32(edge[at]), side="right")) - 1
         lo = int(self.codec.first[node])
         hi = int(self.codec.first[node + 1]) if node + 1 < len(self.codec.first) else len(logs)
-        rest = np.setdiff1d(np.arange(lo, hi), out)
+        rest = np.array([e for e in range(lo, hi) if e not in out])
         chance = np.cumsum(np.exp(logs[rest]))
         self.bounds[w][at] = -np.inf
+        self.tops[w] = float(self.bounds[w].max())
         pick = int(rest[min(np.searchsorted(chance, self.rng.random() * chance[-1], side="right"), len(rest) - 1)])
         self.branch = (unit, edge, at, pick, out, len(rest) == 1)
         u = int(unit[at])
@@ -301,7 +302,7 @@ class _Search:
             gone = float(np.exp(logs[list(out)]).sum())
         p = logs[edge]
         chance = np.exp(p)
-        chance[p > -1e-12] = 1.0
+        np.putmask(chance, p > -1e-12, 1.0)
         if self.branch is not None:
             chance[at] = 1.0 if final else min(1.0, chance[at] + gone)
         with np.errstate(divide="ignore"):
@@ -312,7 +313,8 @@ class _Search:
         self.keys.append(self.threshold)
         self.bounds.append(bound)
         self.taken.append(taken)
-        self.threshold = max((float(b.max()) for b in self.bounds if len(b)), default=-np.inf)
+        self.tops.append(float(bound.max()) if len(bound) else -np.inf)
+        self.threshold = max(self.tops)
 
     def result(self) -> list[dict]:
         found, threshold = [], self.threshold
