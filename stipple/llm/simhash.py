@@ -126,6 +126,20 @@ def index_pairs(queries: np.ndarray, fps: np.ndarray, max_diff: int) -> tuple[np
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
+def dense_pairs(queries: np.ndarray, fps: np.ndarray, max_diff: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of ``index_pairs`` by comparing all: less work where wide fingerprints leave the hierarchy little to drop."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    first = min(3, fps.shape[1])  # three words differ in 192 bits at most, which a byte holds
+    words = [np.ascontiguousarray(fps[:, k]) for k in range(first)]
+    for at in range(0, len(queries), 128):
+        acc = sum(np.bitwise_count(queries[at : at + 128, k, None] ^ words[k]) for k in range(first))
+        a, b = np.nonzero(acc <= max_diff)
+        a += at
+        keep = np.bitwise_count(queries[a] ^ fps[b]).sum(axis=1, dtype=np.int16) <= max_diff
+        found.append((a[keep], b[keep]))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
 def local_stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n positions the smallest position that the pairs (a, b) reach."""
     label = np.arange(n)
@@ -154,21 +168,17 @@ def _upper_nodes(n: int, lanes: int, max_diff: int, below: int) -> list[list[int
 
     One lane: blocks of which linking fingerprints share enough, so none is missed;
     ``extra`` grows until a node of evenly spread fingerprints has ``below`` members
-    at most. More lanes: disjoint blocks of 12 bits, or of 16 where 12 would leave
-    more than ``below`` members; these find a link with a chance that grows with
-    its likeness (README has the figures).
+    at most. More lanes: disjoint blocks of 12 bits over all the lanes, the same for
+    any ``n`` (large nodes are cut into chunks); these find a link with a chance that
+    grows with its likeness (README has the figures).
     """
     if lanes == 1:
         extra = 0
         while extra < 3 and n / 2 ** (64 * (extra + 1) / (max_diff + 1 + extra)) > below:
             extra += 1
         return _blocks(max_diff, extra)
-    bits = 12 if n / 2**12 <= below else 16
-    out = []
-    for lane in range(lanes):
-        for at in range(0, 64 - bits + 1, bits):
-            out.append([((1 << bits) - 1) << at if k == lane else 0 for k in range(lanes)])
-    return out
+    whole = [((1 << 12) - 1) << at for at in range(0, 64 * lanes - 11, 12)]
+    return [[m >> 64 * k & (1 << 64) - 1 for k in range(lanes)] for m in whole]
 
 
 def _signed(x: int) -> int:
@@ -192,14 +202,16 @@ def link_edges(nodes: DataFrame, lanes: int, max_diff: int = 4, chunk: int = 409
     key = ["mask", "bits", "i", "j"]
     spread = tiles.repartition(parts(nodes.sparkSession), *key).sortWithinPartitions(*key)
 
+    search = index_pairs if lanes == 1 else dense_pairs
+
     def tile(node: np.ndarray, fps: np.ndarray, side: np.ndarray, one: bool) -> pd.DataFrame | None:
         if one:
-            a, b = index_pairs(fps, fps, max_diff)
+            a, b = search(fps, fps, max_diff)
         else:
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(left) or not len(right):
                 return None
-            a, b = index_pairs(fps[left], fps[right], max_diff)
+            a, b = search(fps[left], fps[right], max_diff)
             a, b = left[a], right[b]
         apart = a != b
         if not apart.any():

@@ -125,6 +125,20 @@ def test_one_of_each_group_stays(spark, odd):
     assert kept.columns == odd.columns and texts.count("no id") == 1 and sum(t.lower().startswith("the cat") for t in texts) == 1 and len(texts) == 8
 
 
+def test_upper_nodes_do_not_depend_on_size():
+    few, many = (simhash._upper_nodes(n, 5, 58, 2048) for n in (1000, 10**9))
+    bits = [sum(m << 64 * k for k, m in enumerate(mask)) for mask in many]
+    assert few == many and len(bits) == 26 and {b.bit_count() for b in bits} == {12} and sum(bits).bit_count() == 26 * 12
+
+
+def test_dense_pairs_are_those_of_the_index():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2**63, (300, 5), dtype=np.uint64)
+    x[100:] = x[rng.integers(0, 100, 200)] ^ (np.uint64(1) << rng.integers(0, 63, (200, 5), dtype=np.uint64))
+    pairs = [set(zip(*(p.tolist() for p in f(x[:150], x, 8)), strict=True)) for f in (simhash.index_pairs, simhash.dense_pairs)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 150
+
+
 def test_index_drops_nothing():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 2**63, (300, 2), dtype=np.uint64)
