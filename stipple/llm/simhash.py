@@ -15,13 +15,15 @@ each pair of chunks is searched by itself, so no task holds a whole node.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -41,21 +43,37 @@ def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def simhash(text: str | None, words: int = 4, lanes: int = 1) -> np.ndarray:
-    """``lanes`` unsigned 64-bit words: ASCII letters lower-cased, words between ASCII white space, ``words``-word shingles, XXH64."""
+def _shingles(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of the ``words``-word shingles in blocks: ASCII letters lower-cased, words between ASCII white space; nothing for a blank text."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return np.zeros(lanes, np.uint64)
+        return
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = max(1, len(tokens) - words + 1)
     digest = xxhash.xxh64_intdigest
-    votes = np.zeros((lanes, 64), np.int64)
     for at in range(0, k, 65536):
         upto = min(k, at + 65536)
         a, b = starts[at:upto].tolist(), ends[np.minimum(np.arange(at, upto) + words - 1, len(tokens) - 1)].tolist()
-        h = np.array([digest(joined[i:j], SEED) for i, j in zip(a, b, strict=True)], dtype=np.uint64)
+        yield np.array([digest(joined[i:j], SEED) for i, j in zip(a, b, strict=True)], dtype=np.uint64)
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingles of a text, sorted."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *_shingles(text, words)]))
+
+
+def simhash(text: str | None, words: int = 4, lanes: int = 1) -> np.ndarray:
+    """``lanes`` unsigned 64-bit words: one lane counts every shingle as often as it occurs, more lanes vote by the set of shingles."""
+    votes, k = np.zeros((lanes, 64), np.int64), 0
+    if lanes == 1:
+        blocks = _shingles(text, words)
+    else:
+        own = shingle_set(text, words)
+        blocks = (own[at : at + 65536] for at in range(0, len(own), 65536))
+    for h in blocks:
+        k += len(h)
         for lane in range(lanes):
             bits = np.unpackbits(_mixed(h, lane).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             votes[lane] += bits.sum(axis=0, dtype=np.int64)
@@ -268,24 +286,137 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
 
 def most_differences(similarity: float, lanes: int) -> int:
-    """Differing bits of two texts whose shingle sets have a Jaccard likeness of ``similarity``, plus 1.5 standard deviations."""
+    """Differing bits of two texts whose shingle sets have a Jaccard likeness of ``similarity``, plus 3 standard deviations."""
     cosine = 2 * similarity / (1 + similarity)
     share = np.arccos(cosine) / np.pi
     bits = 64 * lanes
-    return int(round(bits * share + 1.5 * np.sqrt(bits * share * (1 - share))))
+    return int(round(bits * share + 3 * np.sqrt(bits * share * (1 - share))))
+
+
+class Kept:
+    """Shingle sets of kept documents, found by likeness."""
+
+    def __init__(self, least: float) -> None:
+        self.least = least
+        self.of: dict[int, list[int]] = {}
+        self.sizes: list[int] = []
+
+    def add(self, own: list[int]) -> None:
+        for h in own:
+            self.of.setdefault(h, []).append(len(self.sizes))
+        self.sizes.append(len(own))
+
+    def near(self, own: list[int]) -> bool:
+        """Whether a kept set has a Jaccard likeness of ``least`` or more; two empty ones are alike."""
+        if not own:
+            return 0 in self.sizes
+        hits = Counter(chain.from_iterable(self.of.get(h, ()) for h in own))
+        return any(n >= self.least * (len(own) + self.sizes[k] - n) - 1e-9 for k, n in hits.items())
+
+
+#: Documents of a group that one task compares in turn; larger groups go in rounds, block by block.
+IN_TURN = 256
+#: ``id`` is 0 where ``none`` says that there is none: pandas would make floats of longs with nulls.
+_CAND = "component long, none boolean, id long, text_hash long"
+
+
+def _in_turn(rows: DataFrame, least: float) -> DataFrame:
+    """Those of ``rows`` (_CAND, own) that no kept row before them in their group is near to; by the order of ids."""
+    key = ["component", "none", "id", "text_hash"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, kept = None, Kept(least)
+        for pdf in batches:
+            good = []
+            for c, own in zip(pdf["component"].tolist(), pdf["own"], strict=True):
+                if c != at:
+                    at, kept = c, Kept(least)
+                own = np.frombuffer(own, "<u8").tolist()
+                good.append(not kept.near(own))
+                if good[-1]:
+                    kept.add(own)
+            yield pdf[good]
+
+    spread = rows.select(*key, "own").repartition(parts(rows.sparkSession), "component").sortWithinPartitions(*key)
+    return spread.mapInPandas(run, f"{_CAND}, own binary")
+
+
+def _not_near(rows: DataFrame, kept: DataFrame, least: float) -> DataFrame:
+    """Those of ``rows`` (_CAND, own, cuts) that are near no row of ``kept`` (component, own, cuts); groups are dealt over their ``cuts``."""
+    key = ["component", "salt"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, known = None, Kept(least)
+        for pdf in batches:
+            good = []
+            for c, salt, side, own in zip(pdf["component"].tolist(), pdf["salt"].tolist(), pdf["side"].tolist(), pdf["own"], strict=True):
+                if (c, salt) != at:
+                    at, known = (c, salt), Kept(least)
+                own = np.frombuffer(own, "<u8").tolist()
+                if side == 0:
+                    known.add(own)
+                good.append(side == 1 and not known.near(own))
+            yield pdf.loc[good, ["component", "none", "id", "text_hash", "own"]]
+
+    mine = rows.select("component", F.pmod(F.xxhash64("text_hash"), "cuts").cast("int").alias("salt"), F.lit(1).alias("side"), "none", "id", "text_hash", "own")
+    theirs = kept.select("component", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("salt"), F.lit(0).alias("side"), "none", "id", "text_hash", "own")
+    both = mine.unionAll(theirs).repartition(parts(rows.sparkSession), *key).sortWithinPartitions(*key, "side")
+    return both.mapInPandas(run, f"{_CAND}, own binary")
+
+
+def _stand_alone(docs: DataFrame, grouping: DataFrame, words: int, least: float) -> DataFrame:
+    """(none, id, text_hash) of the rows that stay: in each group of ``grouping``, by the order of ids, those not near one that stays.
+
+    Near is a Jaccard likeness of the sets of ``words``-word shingles (by their 64-bit
+    hashes) of ``least`` or more. ``docs`` has _none, _id, _hash and _text.
+    """
+    key = F.struct("none", "id", "text_hash")
+    once = cut(grouping.withColumns({"none": F.col("id").isNull(), "id": F.coalesce("id", F.lit(0))}).groupBy("component", "text_hash").agg(F.min(F.struct("none", "id")).alias("low")).select("component", "low.none", "low.id", "text_hash"), "simhash-texts")
+    sizes = lambda rows: rows.groupBy("component").agg(F.count("*").alias("size"))
+    many = cut(sizes(once), "simhash-sizes")
+    alone = once.join(many.where("size = 1"), "component", "left_semi").select("none", "id", "text_hash")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [shingle_set(t, words).astype("<u8").tobytes() for t in pdf["text"]]
+            yield pdf[["component", "none", "id", "text_hash"]].assign(own=own)
+
+    some = once.join(many.where("size > 1"), "component", "left_semi")
+    texts = docs.join(some, (F.col("_none") == F.col("none")) & (F.col("_id") == F.col("id")) & (F.col("_hash") == F.col("text_hash"))).select("component", "none", "id", "text_hash", F.col("_text").alias("text"))
+    left = cut(texts.mapInPandas(sets, f"{_CAND}, own binary"), "simhash-sets")
+    block, stay = 1, [alone]
+    while True:
+        many = cut(sizes(left), "simhash-sizes")
+        stay.append(cut(_in_turn(left.join(many.where(F.col("size") <= IN_TURN), "component", "left_semi"), least).select("none", "id", "text_hash"), "simhash-stay"))
+        most = many.agg(F.max("size")).first()[0] or 0
+        if most <= IN_TURN:
+            return reduce(DataFrame.unionAll, stay)
+        large = left.join(many.where(F.col("size") > IN_TURN).select("component", F.ceil(F.col("size") / F.lit(IN_TURN)).cast("int").alias("cuts")), "component")
+        if block == 1:
+            heads = large.groupBy("component").agg(F.min(key).alias("key")).select("component", "key.*")
+        else:
+            heads = large.select("component", "none", "id", "text_hash").withColumn("at", F.row_number().over(Window.partitionBy("component").orderBy("none", "id", "text_hash"))).where(F.col("at") <= block).drop("at")
+        heads = cut(heads.distinct(), "simhash-heads")
+        first = cut(_in_turn(large.join(heads, heads.columns, "left_semi"), least), "simhash-first")
+        stay.append(first.select("none", "id", "text_hash"))
+        cuts = large.groupBy("component").agg(F.first("cuts").alias("cuts"))
+        left = cut(_not_near(large, first.join(cuts, "component"), least), "simhash-left")
+        block = min(4096, max(IN_TURN, most // 32))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 5) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stand for their near-duplicate groups: one row each, that with the smallest id.
+    """The rows of ``docs``, with all their columns, that stay when near duplicates go: each dropped row is near one with a smaller id that stays.
 
-    Texts whose fingerprints of ``lanes`` words show ``similarity`` or more are near
-    duplicates. A null id comes after all others; rows of one id are told apart by
+    Candidates are groups linked by fingerprints of ``lanes`` words; in them, a row goes
+    only where its set of shingles has a likeness of ``similarity`` or more with that of
+    a row that stays. A null id comes after all others; rows of one id are told apart by
     their texts, and of rows that repeat both one stays.
     """
-    key = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
-    kept = grouped(docs, id_col, text_col, words, most_differences(similarity, lanes), lanes).groupBy("component").agg(F.min(key).alias("key"))
-    kept = cut(kept.select(F.col("key.id").alias("_kept_id"), F.col("key.text_hash").alias("_kept_hash")).distinct(), "simhash-kept")
-    marked = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(F.col(text_col).cast("string"))})
+    text = F.col(text_col).cast("string")
+    marked = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(text)})
+    grouping = grouped(docs, id_col, text_col, words, most_differences(similarity, lanes), lanes)
+    kept = _stand_alone(marked.select(F.col("_id").isNull().alias("_none"), F.coalesce("_id", F.lit(0)).alias("_id"), "_hash", text.alias("_text")), grouping, words, similarity)
+    kept = cut(kept.select(F.when(~F.col("none"), F.col("id")).alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct(), "simhash-kept")
     rows = marked.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
     again = marked.groupBy("_id", "_hash").count().where("count > 1")
     if not again.isEmpty():

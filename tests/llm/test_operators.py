@@ -125,6 +125,32 @@ def test_one_of_each_group_stays(spark, odd):
     assert kept.columns == odd.columns and texts.count("no id") == 1 and sum(t.lower().startswith("the cat") for t in texts) == 1 and len(texts) == 8
 
 
+def likeness(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_only_what_is_near_a_kept_document_goes(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = lambda n: [f"w{k}" for k in rng.integers(0, 10**6, n)]
+    line = words(12)
+    texts = {1: " ".join(words(104) + line * 12), 2: " ".join(words(104) + line * 12)}
+    old = words(200)
+    for i in range(16):  # a chain: each is near the one before it, and far from the first soon
+        texts[10 + i] = " ".join(old)
+        old = old[7:] + words(7)
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    want = []
+    for i, t in texts.items():
+        if not any(likeness(t, texts[k]) >= 0.8 for k in want):
+            want.append(i)
+    assert len(want) > 5
+    for most in (simhash.IN_TURN, 6):
+        monkeypatch.setattr(simhash, "IN_TURN", most)
+        got = sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect())
+        assert got == want
+
+
 def test_upper_nodes_do_not_depend_on_size():
     few, many = (simhash._upper_nodes(n, 5, 58, 2048) for n in (1000, 10**9))
     bits = [sum(m << 64 * k for k, m in enumerate(mask)) for mask in many]
