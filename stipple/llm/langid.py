@@ -6,6 +6,10 @@ scaled to unit length. Families are found from the data: languages are merged by
 the likeness of their mean features until about the square root of their number
 is left. Everything is fitted on a bounded sample (``PER_LANG`` documents for a
 language, ``MAX_DOCS`` in all), chosen by a hash of the id.
+
+The machines always name one of the learned languages. Whether a text is in it at
+all is told by its mean log likelihood under the mean feature shares of that
+language, with a floor set on the learned rows.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from .store import table
 DIM = 4096
 PER_LANG = 600
 MAX_DOCS = 6000
+EVEN = 0.05  # weight of even shares, for features that a language has not shown
 _BLANK = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
 _RUNS = re.compile(rb" +")
@@ -36,8 +41,12 @@ def has_letter(text: str | None) -> bool:
     return m[0].isalpha() or any(map(str.isalpha, text))
 
 
+def _bytes(text: str) -> bytes:
+    return _RUNS.sub(b" ", b" " + text.lower().encode("utf-8", "surrogatepass").translate(_BLANK) + b" ")
+
+
 def features(text: str) -> np.ndarray:
-    raw = _RUNS.sub(b" ", b" " + text.lower().encode("utf-8", "surrogatepass").translate(_BLANK) + b" ")
+    raw = _bytes(text)
     counts = np.zeros(DIM)
     for at in range(0, len(raw), 1 << 20):  # long texts in blocks that overlap by two bytes
         b = np.frombuffer(raw[at : at + (1 << 20) + 2], np.uint8).astype(np.uint32)
@@ -75,6 +84,31 @@ class Model:
         }
         self.w = np.array(self.rows, dtype=np.float32).reshape(len(self.rows), DIM + 1)
         self.rows = []
+        self._learn_floors(x, y)
+
+    def _learn_floors(self, x: np.ndarray, y: np.ndarray) -> None:
+        """For each language the log shares of the features, their spread, and the least mean log likelihood of a long text in it.
+
+        The likelihood of a learned row is taken without its own part in the shares. The
+        floor is two thirds of the way from their median to the nearest other language or
+        to 0.6 of the way to even shares, whichever is nearer, but not above all but 1 in
+        200 of the learned rows. A language of one learned row has no floor.
+        """
+        even = lambda share: np.log((share + EVEN / DIM) / (1 + EVEN))
+        share = np.array([(x[y == k] ** 2).mean(axis=0) for k in range(len(self.langs))], dtype=np.float64).reshape(-1, DIM)
+        self.log_share = even(share).astype(np.float32)
+        self.spread = np.sqrt(np.maximum((share * self.log_share**2).sum(axis=1) - (share * self.log_share).sum(axis=1) ** 2, 0))
+        level = share @ self.log_share.T.astype(np.float64)  # of the rows' language under the columns'
+        self.floor = np.full(len(self.langs), -np.inf)
+        for k in range(len(self.langs)):
+            at = np.flatnonzero(y == k)
+            if len(at) < 2:
+                continue
+            p = [x[i].astype(np.float64) ** 2 for i in at]
+            own = np.array([v @ even(np.maximum(share[k] * len(at) - v, 0) / (len(at) - 1)) for v in p])
+            middle = np.median(own)
+            gap = min([0.6 * (middle - self.log_share[k].mean()), *(middle - np.delete(level[:, k], k))])
+            self.floor[k] = min(middle - 2 / 3 * max(gap, 0), np.quantile(own, 0.005))
 
     def _fit(self, x: np.ndarray, y: np.ndarray) -> int:
         w = linear_svm(x, y.astype(np.float32))
@@ -83,9 +117,14 @@ class Model:
         return len(self.rows) - 1
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.recognise(text)[:2]
+
+    def recognise(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, score, and whether the text is in that language rather than in none that was learned."""
         if not self.langs or not has_letter(text):
-            return "und", 0.0
-        z = self.w[:, :-1] @ features(text) + self.w[:, -1] if len(self.w) else np.empty(0)
+            return "und", 0.0, False
+        x = features(text)
+        z = self.w[:, :-1] @ x + self.w[:, -1] if len(self.w) else np.empty(0)
         prob = lambda k: float(sigmoid(self.scale[k][0] * z[k] + self.scale[k][1]))
         fams = np.array([1.0 if k is None else prob(k) for k in self.first])
         fams /= max(fams.sum(), 1e-12)
@@ -99,7 +138,10 @@ class Model:
             votes[i if p >= 0.5 else j] += 1
         best = max(sorted(within), key=lambda k: (votes[k], within[k]))
         share = within[best] / (len(within) - 1) if len(within) > 1 else 1.0
-        return self.langs[best], float(fams[f] * share)
+        short = self.floor[best] - float((x * x) @ self.log_share[best])
+        # the mean over a short text strays by the spread over the root of its length
+        known = short <= 0 or short <= 2 * self.spread[best] / np.sqrt(len(_bytes(text)))
+        return self.langs[best], float(fams[f] * share), bool(known)
 
 
 def fit(docs: DataFrame) -> Model:
@@ -121,11 +163,14 @@ def fit(docs: DataFrame) -> Model:
 
 
 def language(model: Model, text: Column) -> Column:
-    """struct(lang, score) of a text; lang is ``und`` and score 0 for texts that are null or have no letter."""
+    """struct(lang, score, known) of a text; lang is ``und`` and score 0 for texts that are null or have no letter.
+
+    ``known`` is false for these and for texts that are unlike the learned rows of lang.
+    """
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, known boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang", "score"])
+        return pd.DataFrame([model.recognise(t) for t in texts], columns=["lang", "score", "known"])
 
     return predict(text.cast("string"))
 
