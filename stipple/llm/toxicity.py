@@ -1,11 +1,12 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Features are the words of the whole text and their beginnings of 4 to 6 letters,
-by presence. Of these, those are kept that confirmed toxic documents hold far
-more often than unlabelled text does; on them a linear model is trained with the
+by presence. Of these, those are kept that confirmed toxic documents hold more
+often than the harmless part of unlabelled text, beyond chance; on them a linear model is trained with the
 class-prior-corrected risk estimator of ``learn.non_negative_pu``. Text without a
 confirmed label, labelled harmless or not, is unlabelled text. Both samples are
-bounded (``POSITIVES``, ``UNLABELLED`` documents), chosen by a hash of the id.
+bounded (``POSITIVES``, ``UNLABELLED`` documents), chosen by a hash of the id;
+equal texts in a sample count once.
 """
 
 from __future__ import annotations
@@ -67,7 +68,8 @@ def _vectors(docs: DataFrame) -> list[np.ndarray]:
     def vector(text: pd.Series) -> pd.Series:
         return text.map(lambda t: doc_features(t).astype("<u4").tobytes())
 
-    return [np.frombuffer(r["x"], "<u4") for r in docs.select(vector("text").alias("x")).collect()]
+    rows = docs.select(F.xxhash64("text").alias("h"), vector("text").alias("x")).collect()
+    return [np.frombuffer(x, "<u4") for x in {r["h"]: r["x"] for r in sorted(rows, key=lambda r: r["h"])}.values()]
 
 
 def fit(confirmed: DataFrame, unlabelled: DataFrame, prior: float | None) -> Model:
@@ -82,9 +84,11 @@ def fit(confirmed: DataFrame, unlabelled: DataFrame, prior: float | None) -> Mod
     at = np.minimum(np.searchsorted(g, f), len(g) - 1)
     there = np.where(g[at] == f, m[at], 0)
     p, u = n / len(pos), (there + 1.0) / (len(unl) + 2.0)
-    # more often than in unlabelled text by the factor and by chance's doing, and often enough to learn from
-    z = (p - u) / np.sqrt(u * (1 - u) / len(pos) + 1e-12)
-    good = np.flatnonzero((n >= 3) & (p / u >= 4) & (z >= 5))
+    # the unlabelled hold a share ``prior`` of toxic documents, whose features are not held against them
+    clean = np.clip((u - prior * p) / (1 - prior), 1 / (len(unl) + 2.0), 1.0)
+    stray = (u * (1 - u) / len(unl) + prior**2 * p * (1 - p) / len(pos)) / (1 - prior) ** 2
+    z = (p - clean) / np.sqrt(clean * (1 - clean) / len(pos) + stray + 1e-12)
+    good = np.flatnonzero((n >= 3) & (z >= 5))
     good = good[np.argsort(-z[good], kind="stable")][:KEPT]
     kept = np.sort(f[good])
 
@@ -117,9 +121,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out: Column) -> Dat
     """
     kept = labels.where(F.col("toxic").isNotNull() & ~F.coalesce(held_out, F.lit(False)))
     marks = kept.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = marks.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     toxic = marks.where("toxic = 1").select("doc_id")
     rows = docs.select("doc_id", "text").where(~F.coalesce(held_out, F.lit(False)))
+    # of the labelled texts, each once, as the samples hold them
+    texts = rows.select("doc_id", F.xxhash64("text").alias("h")).join(marks, "doc_id").groupBy("h").agg(F.max("toxic").alias("toxic"))
+    share = texts.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     model = fit(rows.join(toxic, "doc_id", "left_semi"), rows, share)
     return docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))).withColumn("score", toxicity(model, F.col("text"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

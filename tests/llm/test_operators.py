@@ -257,6 +257,19 @@ def test_toxicity(spark, odd, none):
     assert len(toxicity.score_documents(odd, labels.where("doc_id < 0"), F.lit(False)).collect()) == len(ODD) and toxicity.score_documents(none, labels, F.lit(False)).count() == 0
 
 
+def test_toxic_copies_hide_no_toxic_words(spark):
+    rng = np.random.default_rng(1)
+    vocab = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    copy = " ".join(rng.choice(vocab, 60)) + " vileness grumpkin"
+    rows = [(i, copy, 1) if i % 3 == 0 else (i, " ".join(rng.choice(vocab, 60)) + (" vileness grumpkin" if i % 8 == 1 else ""), int(i % 8 == 1)) for i in range(900)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i // 24 % 2 == 0], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score_documents(docs, labels, learn.fold("doc_id", 5) == 0).collect()}
+    for y in (0, 1):
+        assert np.mean([got[i]["predicted"] == y for i, t, k in rows if k == y and t != copy]) > 0.95
+    assert all(got[i]["predicted"] == 1 for i, t, _ in rows if t == copy)
+
+
 def test_quality(spark, odd, none):
     rng = np.random.default_rng(0)
     words = [f"w{i}" for i in range(300)]
