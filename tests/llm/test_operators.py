@@ -151,6 +151,23 @@ def test_only_what_is_near_a_kept_document_goes(spark, monkeypatch):
         assert got == want
 
 
+def test_pairs_from_07_to_1_match_brute_force(spark):
+    rng = np.random.default_rng(6)
+    texts = []
+    for k in range(120):
+        a = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+        least = 0.69 + 0.31 * k / 119
+        cut = round(300 * (1 - 2 * least / (1 + least)))
+        b = [f"v{x}" for x in rng.integers(0, 10**6, cut)] + a[cut:]
+        texts += [" ".join(a), " ".join(b)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
+    like = [likeness(texts[i], texts[i + 1]) for i in range(0, len(texts), 2)]
+    near = [i + 1 for i, v in zip(range(0, len(texts), 2), like, strict=True) if v >= 0.8]
+    gone = set(range(len(texts))) - kept
+    assert min(like) < 0.72 and len(near) > 60 and gone <= set(near) and len(gone) >= 0.95 * len(near)
+
+
 def test_upper_nodes_do_not_depend_on_size():
     few, many = (simhash._upper_nodes(n, 5, 58, 2048) for n in (1000, 10**9))
     bits = [sum(m << 64 * k for k, m in enumerate(mask)) for mask in many]
