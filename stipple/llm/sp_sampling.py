@@ -17,9 +17,12 @@ pool, and all units of a text are walked at the same time.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -60,8 +63,8 @@ class Codec:
         self.text = self._texts(n)
         self._reset()
 
-    def _texts(self, n: int) -> list[bytes]:
-        out = [b""] * n
+    def _texts(self, n: int) -> np.ndarray:
+        out = np.full(n, b"", object)
         for p, i in self.piece.items():
             out[i] = p.replace(_SPACE, " ").encode()
         for b, i in self.byte.items():
@@ -78,16 +81,22 @@ class Codec:
                     moves[(state[p[: n - 1]] << 21) | ord(p[n - 1])] = state[p[:n]]
         self.step = np.array(sorted(moves), np.int64)
         self.then = np.array([moves[m] for m in self.step.tolist()], np.int64)
+        self.begin = np.zeros(0x110000, np.int64)  # the state after a first character, 0 if no piece begins with it
+        for p, i in state.items():
+            if len(p) == 1:
+                self.begin[ord(p)] = i
         self.piece_of = np.full(len(state), -1, np.int32)
         for p, i in self.piece.items():
             self.piece_of[state[p]] = i
 
     def _reset(self) -> None:
         self.root: dict[str, int] = {}
-        self.nodes = 0
-        #: of each edge: the chance of it and those before it (2 at a node's last), next node (-1: end of unit), id (below 0: bytes of a character), log chance
-        self.edge = [np.empty(0), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0)]
-        self.first = np.empty(0, np.int32)  # the first edge of each node
+        self.nodes = self.edges = 0
+        #: of each edge: the chance of it and those before it (2 at a node's last), next node (-1: end of unit), id (below 0: bytes of a character), log chance, log chance of the node's others; room for more behind
+        if not hasattr(self, "edge"):
+            room = _POOL_EDGES + _POOL_EDGES // 4
+            self.edge = [np.empty(room), np.empty(room, np.int32), np.empty(room, np.int32), np.empty(room), np.empty(room)]
+            self.first = np.empty(room // 3, np.int32)  # the first edge of each node, and room for more
         self.char_ids = np.empty(0, np.int64)  # of each character that is no piece: its id, -1 for several
         self.chars: list[tuple[int, ...]] = []
         self.char_at: dict[str, int] = {}
@@ -102,12 +111,12 @@ class Codec:
 
     def _learn(self, units: set[str]) -> None:
         """Adds the lattices of new units to the pool."""
-        if len(self.edge[0]) > _POOL_EDGES:
+        if self.edges > _POOL_EDGES:
             self._reset()
         new = [u for u in units if u not in self.root]
         if not new:
             return
-        base = self.nodes
+        base, old = self.nodes, self.edges
         sizes = np.fromiter(map(len, new), np.int64, len(new))
         heads = np.cumsum(sizes) - sizes
         self.root.update(zip(new, (base + heads).tolist(), strict=True))
@@ -115,41 +124,50 @@ class Codec:
         self.nodes += len(chars)
         ends = np.repeat(heads + sizes, sizes)  # the end of each place's unit
         left = ends - np.arange(len(chars))
-        start, end, ids = [], [], []
+        starts, pieces = [], []
+        counts = np.zeros(len(chars), np.int64)  # edges of each place so far, the shortest first
+        places = []
         at, state = np.arange(len(chars)), np.zeros(len(chars), np.int64)
-        bare = np.ones(len(chars), bool)  # places whose character is no piece
         for n in range(1, self.longest + 1):
-            inside = at + n <= ends[at]
-            at, state = at[inside], state[inside]
-            key = (state << 21) | chars[at + n - 1]
-            k = np.minimum(np.searchsorted(self.step, key), len(self.step) - 1)
-            known = self.step[k] == key
-            at, state = at[known], self.then[k[known]]
+            if n == 1:
+                state = self.begin[chars]
+                known = state > 0
+            else:
+                inside = at + n <= ends[at]
+                at, state = at[inside], state[inside]
+                key = (state << 21) | chars[at + n - 1]
+                k = np.minimum(np.searchsorted(self.step, key), len(self.step) - 1)
+                known = self.step[k] == key
+                state = self.then[k]
+            at, state = at[known], state[known]
             piece = self.piece_of[state]
             full = piece >= 0
+            where, piece = at[full], piece[full]
             if n == 1:
-                bare[at[full]] = False
-            start.append(at[full])
-            end.append(at[full] + n)
-            ids.append(piece[full])
+                bare = np.ones(len(chars), bool)  # places whose character is no piece
+                bare[where] = False
+                lone = np.flatnonzero(bare)
+                piece = np.concatenate([piece, np.array([self._char(chr(c)) for c in chars[lone].tolist()], np.int32)])
+                where = np.concatenate([where, lone])
+            starts.append(where)
+            pieces.append(piece)
+            places.append(counts[where])
+            counts[where] += 1
             if not len(at):
                 break
-        lone = np.flatnonzero(bare)
-        start.append(lone)
-        end.append(lone + 1)
-        ids.append(np.array([self._char(chr(c)) for c in chars[lone].tolist()], np.int32))
-        start, end, ids = np.concatenate(start), np.concatenate(end), np.concatenate(ids)
-        order = np.lexsort((end, start))
-        start, end, ids = start[order], end[order], ids[order]
+        first_edge = np.cumsum(counts) - counts
+        widths = np.repeat(np.arange(1, len(starts) + 1), list(map(len, starts)))
+        at = np.concatenate(starts)
+        place = np.concatenate(places)
+        order = first_edge[at] + place
+        start, end, ids, place = (_scattered(order, x) for x in (at, at + widths, np.concatenate(pieces), place))
         w = np.where(ids >= 0, self.logw[np.maximum(ids, 0)], 0.0)
         for k in np.flatnonzero(ids < 0):
             w[k] = self.byte_logw * len(self.chars[-ids[k] - 1])
         last = end == ends[start]
-        first_edge = np.searchsorted(start, np.arange(len(left)))
         beta = np.zeros(len(left) + 1)
         order = np.argsort(left, kind="stable")
         cuts = np.searchsorted(left[order], np.arange(1, left.max() + 2))
-        counts = np.diff(np.append(first_edge, len(start)))
         for a, b in zip(cuts, cuts[1:], strict=False):  # the nodes so many characters before their units' ends
             nodes = order[a:b]
             many = counts[nodes]
@@ -158,14 +176,17 @@ class Codec:
             beta[nodes] = np.logaddexp.reduceat(total, np.cumsum(many) - many)
         logs = np.minimum(w + np.where(last, 0.0, beta[np.where(last, 0, end)]) - beta[start], 0.0)
         # summed edge by edge within each node, so that a unit's chances are the same in any pool
-        marks, place = np.exp(logs), np.arange(len(start)) - first_edge[start]
+        chance = np.exp(logs)
+        marks = chance.copy()
         for k in range(1, int(place.max()) + 1):
             on = np.flatnonzero(place == k)
             marks[on] += marks[on - 1]
-        marks[np.append(start[1:] != start[:-1], True)] = 2.0
-        fresh = [marks, np.where(last, -1, end + base).astype(np.int32), ids, logs]
-        self.first = np.concatenate([self.first, (first_edge + len(self.edge[0])).astype(np.int32)])
-        self.edge = [np.concatenate([a, b]) for a, b in zip(self.edge, fresh, strict=True)]
+        marks[first_edge + counts - 1] = 2.0
+        with np.errstate(divide="ignore"):
+            others = np.log(1.0 - np.where(logs > -1e-12, 1.0, chance))
+        self.edges += len(start)
+        self.first = _put(self.first, base, first_edge + old)
+        self.edge = [_put(a, old, b) for a, b in zip(self.edge, (marks, np.where(last, -1, end + base), ids, logs, others), strict=True)]
         self.char_ids = np.array([c[0] if len(c) == 1 else -1 for c in self.chars], np.int64)
 
     def units(self, text: str) -> list[str]:
@@ -174,7 +195,7 @@ class Codec:
 
     def _walk(self, node: np.ndarray, unit: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(unit, edge) of a random path from each node to its unit's end, by unit; ``salt`` seeds each unit."""
-        marks, nexts, _, _ = self.edge
+        marks, nexts, *_ = self.edge
         us, es, step = [], [], 0
         while len(node):
             e = self.first[node].astype(np.int64)
@@ -235,7 +256,23 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces' bytes behind each other, without the space put before the text."""
-        return b"".join(map(self.text.__getitem__, ids.tolist())).decode("utf-8", "replace").removeprefix(" ")
+        return b"".join(self.text[ids].tolist()).decode("utf-8", "replace").removeprefix(" ")
+
+
+def _scattered(order: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = np.empty_like(values)
+    out[order] = values
+    return out
+
+
+def _put(held: np.ndarray, at: int, more: np.ndarray) -> np.ndarray:
+    """``held`` with ``more`` from position ``at`` on, in place where there is room, else in an array half as long again."""
+    need = at + len(more)
+    if need > len(held):
+        held, old = np.empty(max(need, len(held) * 3 // 2), held.dtype), held
+        held[:at] = old[:at]
+    held[at:need] = more
+    return held
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -258,7 +295,7 @@ class _Search:
         self.rng = np.random.Generator(np.random.Philox(seed))
         self.paths: list[tuple[np.ndarray, np.ndarray]] = []
         self.keys: list[float] = []
-        self.bounds: list[np.ndarray] = []
+        self.after: list[np.ndarray] = []  # of each place of a path: the lower, the higher the bound of what leaves it there
         self.tops: list[float] = []
         self.taken: list[dict[int, tuple[int, ...]]] = []
         self.threshold = float(-np.log(self.rng.standard_exponential()))
@@ -271,19 +308,21 @@ class _Search:
         """(nodes, units) to walk from: all units for the first path, else what follows the branch."""
         if not self.paths:
             return self.roots, np.arange(len(self.roots))
-        _, nexts, _, logs = self.codec.edge
+        marks, nexts, _, logs, _ = self.codec.edge
         w = self.tops.index(self.threshold)
-        at = int(self.bounds[w].argmax())
+        at = int(self.after[w].argmin())
         unit, edge = self.paths[w]
         out = self.taken[w].get(at, (int(edge[at]),))
-        node = int(np.searchsorted(self.codec.first, np.int32(edge[at]), side="right")) - 1
-        lo = int(self.codec.first[node])
-        hi = int(self.codec.first[node + 1]) if node + 1 < len(self.codec.first) else len(logs)
-        rest = np.array([e for e in range(lo, hi) if e not in out])
-        chance = np.cumsum(np.exp(logs[rest]))
-        self.bounds[w][at] = -np.inf
-        self.tops[w] = float(self.bounds[w].max())
-        pick = int(rest[min(np.searchsorted(chance, self.rng.random() * chance[-1], side="right"), len(rest) - 1)])
+        lo = hi = int(edge[at])
+        while lo and marks[lo - 1] < 2.0:  # the mark 2 ends a node
+            lo -= 1
+        while marks[hi] < 2.0:
+            hi += 1
+        rest = [e for e in range(lo, hi + 1) if e not in out]
+        chance = list(accumulate(map(math.exp, logs[rest].tolist())))
+        self.after[w][at] = np.inf
+        self.tops[w] = self._bound(self.keys[w], self.after[w])
+        pick = rest[min(bisect_right(chance, self.rng.random() * chance[-1]), len(rest) - 1)]
         self.branch = (unit, edge, at, pick, out, len(rest) == 1)
         u = int(unit[at])
         later = np.arange(u + 1, len(self.roots))
@@ -292,30 +331,32 @@ class _Search:
         return np.concatenate([[nexts[pick]], self.roots[later]]), np.concatenate([[u], later])
 
     def finish(self, unit: np.ndarray, edge: np.ndarray) -> None:
-        logs, at = self.codec.edge[3], 0
+        logs, others, at = self.codec.edge[3], self.codec.edge[4], 0
         taken: dict[int, tuple[int, ...]] = {}
-        gone, final = 0.0, False
         if self.branch is not None:
             u, e, at, pick, out, final = self.branch
             unit, edge = np.concatenate([u[: at + 1], unit]), np.concatenate([e[:at], [pick], edge])
             taken[at] = (*out, pick)
-            gone = float(np.exp(logs[list(out)]).sum())
         p = logs[edge]
-        chance = np.exp(p)
-        np.putmask(chance, p > -1e-12, 1.0)
+        leave = others[edge]
         if self.branch is not None:
-            chance[at] = 1.0 if final else min(1.0, chance[at] + gone)
-        with np.errstate(divide="ignore"):
-            place = np.cumsum(p) - p + np.log(1.0 - chance)
-            bound = -np.logaddexp(-self.threshold, np.log(self.rng.standard_exponential(len(place))) - place)
-        bound[:at] = -np.inf
+            left = 0.0 if final else max(0.0, 1.0 - math.fsum(map(math.exp, logs[[*out, pick]].tolist())))
+            leave[at] = math.log(left) if left else -np.inf
+        after = np.log(self.rng.standard_exponential(len(p)))
+        after -= np.cumsum(p) - p + leave
+        after[:at] = np.inf
         self.paths.append((unit, edge))
         self.keys.append(self.threshold)
-        self.bounds.append(bound)
+        self.after.append(after)
         self.taken.append(taken)
-        self.tops.append(float(bound.max()) if len(bound) else -np.inf)
+        self.tops.append(self._bound(self.threshold, after))
         self.threshold = max(self.tops)
 
+    @staticmethod
+    def _bound(key: float, after: np.ndarray) -> float:
+        """The highest bound of a path: a Gumbel of the best place's chance, truncated at the path's key."""
+        return float(-np.logaddexp(-key, after.min())) if len(after) else -np.inf
+
     def result(self) -> list[dict]:
         found, threshold = [], self.threshold
         for (_, e), key in zip(self.paths, self.keys, strict=True):
