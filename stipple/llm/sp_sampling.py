@@ -35,7 +35,7 @@ SAMPLES = 3
 SEED = 42
 _SPACE = "▁"
 _UNIT = re.compile(f"{_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+")
-_POOL_EDGES = 6_000_000
+_POOL_EDGES = 5_000_000
 BLOCK = 512
 _codecs: dict[str, Codec] = {}
 
@@ -81,7 +81,7 @@ class Codec:
                     moves[(state[p[: n - 1]] << 21) | ord(p[n - 1])] = state[p[:n]]
         self.step = np.array(sorted(moves), np.int64)
         self.then = np.array([moves[m] for m in self.step.tolist()], np.int64)
-        self.begin = np.zeros(0x110000, np.int64)  # the state after a first character, 0 if no piece begins with it
+        self.begin = np.zeros(0x110000, np.int32)  # the state after a first character, 0 if no piece begins with it
         for p, i in state.items():
             if len(p) == 1:
                 self.begin[ord(p)] = i
@@ -130,7 +130,7 @@ class Codec:
         at, state = np.arange(len(chars)), np.zeros(len(chars), np.int64)
         for n in range(1, self.longest + 1):
             if n == 1:
-                state = self.begin[chars]
+                state = self.begin[chars].astype(np.int64)
                 known = state > 0
             else:
                 inside = at + n <= ends[at]

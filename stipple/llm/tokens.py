@@ -4,7 +4,9 @@ Both vocabularies split a text into pre-tokens before merging, and a pre-token
 never runs across the places cut here, so the ids of a text are those of its
 pieces in order. A piece that is one Latin word with marks behind it goes to the
 library's model word by word, any other piece through the library's whole
-pipeline.
+pipeline. Control strings of the vocabulary (``<|endoftext|>``) that stand in a
+text are read as the library reads them, as one id; ``plain_controls`` makes them
+ordinary text.
 """
 
 from __future__ import annotations
@@ -54,14 +56,21 @@ class _Cache(dict):
 
 
 class Encoder:
-    """``mode`` "byte": white space belongs to pre-tokens. ``mode`` "word": white space only separates them. ``width``: bytes of an id."""
+    """``mode`` "byte": white space belongs to pre-tokens. ``mode`` "word": white space only separates them. ``width``: bytes of an id.
 
-    def __init__(self, path: str, mode: str, width: int, cache_words: int = CACHE_WORDS) -> None:
+    A vocabulary whose control strings hold white space, or take in the white space
+    beside them, isn't cut into pieces: whole texts go through the library.
+    """
+
+    def __init__(self, path: str, mode: str, width: int, cache_words: int = CACHE_WORDS, plain_controls: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = plain_controls
+        added = self.tok.get_added_tokens_decoder().values()
+        self.controls = tuple(a.content for a in added)
+        self.cuttable = not any(a.lstrip or a.rstrip or a.single_word or any(map(str.isspace, a.content)) for a in added)
         self.model = self.tok.model
         self.mode, self.kind = mode, {2: "H", 4: "I"}[width]
         self.words = _Cache(self._word, cache_words)
@@ -84,7 +93,7 @@ class Encoder:
 
     def _after_space(self, piece: str) -> bytes:
         lines = [_WORD.fullmatch(p) for p in piece.split("\n")]
-        if not all(lines):
+        if not all(lines) or any(c in piece for c in self.controls):
             return self._whole(" " + piece)
         out, before = [], " "
         for m in lines:
@@ -97,7 +106,7 @@ class Encoder:
         return b"".join(out)
 
     def _bare(self, piece: str) -> bytes:
-        if not (m := _WORD.fullmatch(low := piece.lower())) or "İ" in piece:
+        if not (m := _WORD.fullmatch(piece.lower())) or "İ" in piece or any(c in piece for c in self.controls):
             return self._whole(piece)
         return self.words[m[1]] + (self.words[m[2]] if m[2] else b"")
 
@@ -105,18 +114,21 @@ class Encoder:
         """Little-endian ids of the whole text; null counts as empty."""
         if not text:
             return b""
+        if not self.cuttable:
+            return self._whole(text)
         get = self.pieces.__getitem__
         if self.mode == "word":
-            if text.isascii():
+            # the library looks for control strings before it lower-cases
+            if text.isascii() and "<" not in text:
                 text = text.lower()
             return b"".join(map(get, filter(None, text.replace("\n", " ").split(" "))))
         head, *rest = _SURE_CUT.split(text) if _UNSURE.search(text) else text.split(" ")
         return (self._whole(head) if head else b"") + b"".join(map(get, rest))
 
 
-def encoder(path: str, mode: str, width: int, cache_words: int = CACHE_WORDS) -> Encoder:
+def encoder(path: str, mode: str, width: int, cache_words: int = CACHE_WORDS, plain_controls: bool = False) -> Encoder:
     """One encoder for each Python worker and kind; ``width`` is the bytes of an id."""
-    key = (path, mode, width, cache_words)
+    key = (path, mode, width, cache_words, plain_controls)
     if key not in _encoders:
         _encoders[key] = Encoder(path, mode, width, cache_words)
     return _encoders[key]

@@ -54,12 +54,15 @@ def test_equal_digests_of_unequal_texts_are_told_apart(spark):
 
 def test_ids_by_pieces_are_the_librarys():
     rng = np.random.default_rng(0)
-    bits = [" ", "  ", "\n", "\t", "\r\n", "a", "Bc", "ß", "é", "é", "Σ", "中", "　", "\x1c", "\x85", "'s", "'", ".", "12", "_", "<|endoftext|>", "</w>", "\x00", "İ", "²", "d, ", "x\" ", "x.\nThe"]
-    texts = ["".join(rng.choice(bits, rng.integers(0, 20))) for _ in range(2000)]
+    bits = [" ", "  ", "\n", "\t", "\r\n", "a", "Bc", "ß", "é", "é", "Σ", "中", "　", "\x1c", "\x85", "'s", "'", ".", "12", "_", "<|endoftext|>", "</w>", "\x00", "İ", "²", "d, ", "x\" ", "x.\nThe", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "endoftext"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 20))) for _ in range(2000)] + ["a <|endoftext|> b", "A<|endoftext|>B", "word<|endoftext|>,\nword"]
     for name, mode, width in (("byte_bpe_50k.json", "byte", 4), ("word_bpe_49k.json", "word", 2)):
-        e = Encoder(P.path(name), mode, width)
-        for t, x in zip(texts, e.tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        whole = Tokenizer.from_file(P.path(name))
+        e, plain = Encoder(P.path(name), mode, width), Encoder(P.path(name), mode, width, plain_controls=True)
+        for t, x in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
             assert np.frombuffer(e.encode(t), f"<u{width}").tolist() == x.ids
+        control = whole.token_to_id("<|endoftext|>")
+        assert control in np.frombuffer(e.encode("a <|endoftext|> b"), f"<u{width}") and control not in np.frombuffer(plain.encode("a <|endoftext|> b"), f"<u{width}")
 
 
 def test_packing(spark, odd, none):
@@ -67,7 +70,6 @@ def test_packing(spark, odd, none):
     rows = packing.pack(odd.where("doc_id is not null and text <> 'same id' or text is null"), path).toPandas()
     assert packing.pack(none, path).count() == 0
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     for doc, text in ODD:
         if doc is None or text == "same id":
             continue
@@ -90,7 +92,6 @@ def test_token_files(spark, odd, none):
         if not n:
             continue
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
         order = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
         ids = [np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], "<u4") for _, t in order]
         assert [zlib.crc32(x.tobytes()) for x in ids] == [zlib.crc32(b) for b in rows.ids]
