@@ -218,24 +218,57 @@ def test_long_chain_is_one_path(spark):
     assert [t["text"] for t in turns] == [str(i) for i in range(1, 70)]
 
 
+def brute_links(x, least=0.95):
+    """Links by cosine in double precision among finite non-zero vectors of one length."""
+    good = [v is not None and len(v) > 0 and all(c is not None and np.isfinite(c) for c in v) and any(v) for v in x]
+    unit = [np.array(v, float) / np.abs(v).max() if g else None for v, g in zip(x, good, strict=True)]
+    link = np.zeros((len(x), len(x)), bool)
+    for i, a in enumerate(unit):
+        for j, b in enumerate(unit):
+            if i != j and a is not None and b is not None and len(a) == len(b):
+                link[i, j] = a @ b / np.sqrt((a @ a) * (b @ b)) >= least
+    return link
+
+
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(40, 16))
-    x = [(base[i % 40] + rng.normal(size=16) * 0.12 * (i % 4)).tolist() for i in range(300)] + [(3.0 * base[0]).tolist()] * 3 + [[0.0] * 16, None, [1.0], [float("nan")] * 16, [None] * 16, [float("inf")] * 16]
-    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>").withColumn("node", F.lit(1))
-    good = np.array([v is not None and len(v) == 16 and all(c is not None and np.isfinite(c) for c in v) and any(v) for v in x])
-    a = np.array([v if g else [1.0] * 16 for v, g in zip(x, good, strict=True)], float)
-    n = np.linalg.norm(a, axis=1)
-    link = ((a @ a.T) / n[:, None] / n >= 0.95) & good[:, None] & good
-    np.fill_diagonal(link, False)
-    comp = simhash.local_stars(len(a), *np.nonzero(link))
-    for tile in (32, 2048):
+    x = [(base[i % 40] + rng.normal(size=16) * 0.12 * (i % 4)).tolist() for i in range(300)] + [(3.0 * base[0]).tolist()] * 3
+    x += [[0.0] * 16, None, [], [1.0], [-2.0], [3.0], [float("nan")] * 16, [None] * 16, [float("inf")] * 16, [1.0, 0.0, 0.0], [1.0, 0.01, 0.0], [1.0, 0.0], [1.0, 0.01]]
+    x += [[1e200, 1e200], [1e200, 1.01e200], [1e-200, 1e-200], [1e-200, 1.01e-200], [5e-324, 0.0]]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>").withColumns({"node": F.lit(1), "n_links": F.lit("x")})
+    link = brute_links(x)
+    comp = simhash.local_stars(len(x), *np.nonzero(link))
+    for tile in (32, None):
         got = {r["vec_id"]: r for r in embed_dedup.near_vectors(df, tile=tile).collect()}
         assert [got[i]["n_links"] for i in range(len(x))] == link.sum(1).tolist()
         assert [got[i]["component_id"] for i in range(len(x))] == comp.tolist() and all(got[i]["kept"] == (comp[i] == i) for i in got)
     assert embed_dedup.near_vectors(df.where("vec_id < 0")).count() == 0
 
 
+def test_vectors_with_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, [1.0, 0.0]), (7, [1.0, 0.1]), (7, [1.0, 0.1]), (None, None), (9, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, embed_dedup.near_vectors(df).collect()), key=str)
+    assert got == sorted([(None, 2, 7, False), (7, 2, 7, True), (7, 2, 7, True), (None, 0, None, True), (9, 0, 9, True)], key=str)
+
+
+def test_blocks_of_a_tile_hold_all_links(monkeypatch):
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(embed_dedup, "BLOCK", 16)
+    for dim in (8, 2500):
+        base = rng.normal(size=(30, dim))
+        x = np.vstack([base + rng.normal(size=base.shape) * 0.2 for _ in range(4)])
+        order = np.argsort(np.tile(np.arange(30), 4), kind="stable")
+        x, y = x[order][:70], x[order][50:]
+        for other in (None, y):
+            a, b = embed_dedup.tile_links(x, other, 0.95)
+            u, v = x / np.linalg.norm(x, axis=1, keepdims=True), (x if other is None else other) / np.linalg.norm(x if other is None else other, axis=1, keepdims=True)
+            want = u @ v.T >= 0.95
+            if other is None:
+                want = np.triu(want, 1)
+            assert set(zip(a.tolist(), b.tolist(), strict=True)) == set(zip(*(k.tolist() for k in np.nonzero(want)), strict=True)) and want.any()
+
+
 def test_quantised_bound_holds():
     rng = np.random.default_rng(1)
     u = rng.normal(size=(50, 32))
