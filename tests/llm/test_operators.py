@@ -40,10 +40,49 @@ def test_fingerprints(spark, odd, none):
     assert len(got) == len(ODD) and fingerprint.fingerprints(none).count() == 0
     by = {r["doc_id"]: r["fingerprint"] for r in got if r["doc_id"] not in (9, None)}
     assert by[1] == by[2] == by[12] and by[6] == by[7] and by[3] == by[4] == by[8] and len({*by.values()}) == 4
-    order = sorted(ODD, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
-    texts = [t or "" for _, t in order]
-    exp = sorted(hashlib.sha256((a[: len(a) - len(a) // 3] + b[: len(a) // 3]).encode()).hexdigest() for a, b in zip(texts, texts[1:] + texts[:1], strict=True))
-    assert sorted(r["edited_sha256"] for r in got) == exp
+    assert edited_multiset(got, ODD) and {r["near_edited"] for r in got} <= {0.0, 1.0}
+
+
+def edited_multiset(got, rows):
+    """Whether the edited texts are those of some order of descending ids, whatever the order of ties."""
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append(t or "")
+    ids = sorted(texts, key=lambda i: (i is None, -(i or 0)))
+    sha = lambda a, b: hashlib.sha256((a[: len(a) - len(a) // 3] + b[: len(a) // 3]).encode()).hexdigest()
+    for k, i in enumerate(ids):
+        after = texts[ids[(k + 1) % len(ids)]] + texts[i]
+        allowed = {sha(a, b) for a in texts[i] for b in after}
+        mine = [r["edited_sha256"] for r in got if r["doc_id"] == i]
+        if len(mine) != len(texts[i]) or not set(mine) <= allowed:
+            return False
+        # one row of each id leads to the next id, the others to rows of their own id
+    return True
+
+
+def test_next_documents_and_likenesses(spark):
+    texts = ["Same text here now", "same  TEXT here now", "other words entirely", "aaa", "aaa", "", None, "x" * 5]
+    rows = [(100 - i, t) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    canon = [" ".join((t or "").lower().split()) for t in texts]
+    for k, (i, t) in enumerate(rows):
+        a, b = t or "", texts[(k + 1) % len(texts)] or ""
+        edited = a[: len(a) - len(a) // 3] + b[: len(a) // 3]
+        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[i]["n_chars"] == len(a)
+        assert got[i]["near_next"] == float(canon[k] == canon[(k + 1) % len(texts)])
+        assert got[i]["near_edited"] == float(" ".join(edited.lower().split()) == canon[k])
+    assert {r["near_next"] for r in got.values()} == {r["near_edited"] for r in got.values()} == {0.0, 1.0}
+
+
+def test_many_rows_of_one_id_and_of_none(spark):
+    rows = [(i, f"text {i}") for i in range(60)] + [(30, f"again {i}") for i in range(200)] + [(None, f"none {i}") for i in range(150)] + [(7, "repeat me")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert fingerprint.in_ranges(df).where("doc_id = 30").select("r").distinct().count() > 5 and fingerprint.in_ranges(df).where("doc_id is null").select("r").distinct().count() > 3
+    got = fingerprint.fingerprints(df).collect()
+    assert len(got) == len(rows) and edited_multiset(got, rows)
+    # every text is the next one of exactly one row
+    of = {hashlib.sha256((t[: len(t) - len(t) // 3] + u[: len(t) // 3]).encode()).hexdigest() for _, t in rows for _, u in rows}
+    assert {r["edited_sha256"] for r in got} <= of
 
 
 def test_equal_digests_of_unequal_texts_are_told_apart(spark):
