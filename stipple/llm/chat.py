@@ -1,9 +1,10 @@
 """Reply trees to formatted conversations, with DataFrame functions only.
 
 Root-to-leaf paths come from self-joins that double their reach each round: a
-round joins each path's messages with their ancestor 2^k steps up, so a path of
-n messages takes about log2(n) rounds. Branches are ranked by their mean score
-and each chosen one is written as one conversation:
+round joins each message with its ancestor 2^k steps up, so a path of n messages
+takes about log2(n) rounds. The first pass adds up scores and messages to the root,
+one row a message; branches are ranked by their mean score, and only the chosen
+ones are written out message by message, as one conversation each:
 
     <|im_start|>ROLE\\nTEXT<|im_end|>\\n
 
@@ -38,28 +39,39 @@ def unescape(text: Column, line: bool = False) -> Column:
     return text
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """(tree, msg, parent) to (tree, leaf, msg, up): each root-to-leaf path's messages, ``up`` steps above the leaf.
+def to_root(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(tree, msg, parent, score) to (tree, msg, total, steps) up to the root, and for k = 0, 1, ... the ancestor (tree, msg, above) 2^k steps up.
 
     A parent that is not a message of the tree counts as none, so the message is a
-    root. Messages on a cycle, or under one, have no root and are in no path.
+    root. Messages on a cycle, or under one, have no root and do not appear.
     """
-    links = messages.select("tree", "msg", "parent")
-    known = links.select("tree", F.col("msg").alias("parent")).distinct()
-    jump = cut(links.where("parent is not null").join(known, ["tree", "parent"]).select("tree", "msg", F.col("parent").alias("above")), "chat-jump")
-    inner = jump.select("tree", F.col("above").alias("msg")).distinct()
-    found = cut(links.join(inner, ["tree", "msg"], "left_anti").select("tree", F.col("msg").alias("leaf"), "msg", F.lit(0).cast("long").alias("up")).distinct(), "chat-leaves")
+    links = messages.select("tree", "msg", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"))
+    known = links.select("tree", F.col("msg").alias("parent"), F.lit(True).alias("there")).distinct()
+    state = links.join(known, ["tree", "parent"], "left").select("tree", "msg", F.when(F.col("there"), F.col("parent")).alias("above"), "total", F.lit(1).cast("long").alias("steps"))
+    state = cut(state, "chat-jump")
     limit = (links.groupBy("tree").count().agg(F.max("count")).first()[0]) or 0
-    reach, done, above = 1, found, jump
-    while reach <= 2 * limit:
-        new = cut(done.join(above, ["tree", "msg"]).select("tree", "leaf", F.col("above").alias("msg"), (F.col("up") + reach).alias("up")), "chat-paths")
-        if new.isEmpty():
+    jumps, reach = [], 1
+    while True:
+        jump = state.where("above is not null").select("tree", "msg", "above")
+        if jump.isEmpty():
             break
-        done = cut(done.unionAll(new), "chat-found")
-        above = cut(above.alias("a").join(above.alias("b"), (F.col("a.tree") == F.col("b.tree")) & (F.col("a.above") == F.col("b.msg"))).select("a.tree", "a.msg", "b.above"), "chat-jump")
+        jumps.append(jump)
+        if reach > limit:
+            break
+        a, b = state.alias("a"), state.alias("b")
+        both = a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.above") == F.col("b.msg")), "left")
+        state = cut(both.select("a.tree", "a.msg", "b.above", (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"), (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps")), "chat-jump")
         reach *= 2
-    endless = done.where(F.col("up") > limit).select("tree", "leaf").distinct()
-    return done.join(endless, ["tree", "leaf"], "left_anti")
+    return state.where("above is null").drop("above"), jumps
+
+
+def paths(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, msg, up): the messages from each of ``leaves`` (tree, leaf) to its root, ``up`` steps above it."""
+    done = leaves.select("tree", "leaf", F.col("leaf").alias("msg"), F.lit(0).cast("long").alias("up"))
+    for k, jump in enumerate(jumps):
+        new = done.join(jump, ["tree", "msg"]).select("tree", "leaf", F.col("above").alias("msg"), (F.col("up") + 2**k).alias("up"))
+        done = cut(done.unionAll(new), "chat-paths")
+    return done
 
 
 def format_trees(messages: DataFrame, top: int = 1, loss_role: str = "assistant") -> DataFrame:
@@ -69,15 +81,17 @@ def format_trees(messages: DataFrame, top: int = 1, loss_role: str = "assistant"
     smaller leaf). ``loss``: spans (start, length in code points, from 0) of the
     texts of ``loss_role`` in ``formatted``. Null roles and texts are empty. (tree,
     msg) is unique and not null. A conversation is one row, so a tree's chosen
-    path has to fit in a row. An empty table gives an empty table.
+    path has to fit in a row; texts may be of any length within that. An empty table
+    gives an empty table; other columns are ignored.
     """
-    path = paths(messages)
-    scored = path.join(messages.select("tree", "msg", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), ["tree", "msg"])
-    means = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("path_score"))
+    rooted, jumps = to_root(messages)
+    inner = jumps[0].select("tree", F.col("above").alias("msg")).distinct() if jumps else None
+    leaves = rooted.join(inner, ["tree", "msg"], "left_anti") if jumps else rooted
+    means = leaves.select("tree", F.col("msg").alias("leaf"), (F.col("total") / F.col("steps")).alias("path_score"))
     rank = F.row_number().over(W.Window.partitionBy("tree").orderBy(F.col("path_score").desc(), "leaf"))
     chosen = cut(means.withColumn("branch", rank).where(F.col("branch") <= top), "chat-chosen")
     body = messages.select("tree", "msg", escape(F.coalesce("role", F.lit("")), True).alias("r"), escape(F.coalesce("text", F.lit(""))).alias("t"), (F.coalesce("role", F.lit("")) == loss_role).alias("is_loss"))
-    turns = path.join(chosen, ["tree", "leaf"]).join(body, ["tree", "msg"])
+    turns = paths(chosen, jumps).join(chosen, ["tree", "leaf"]).join(body, ["tree", "msg"])
     turns = turns.withColumn("head", F.concat(F.lit(OPEN), "r", F.lit("\n"))).withColumn("size", F.char_length("head") + F.char_length("t") + len(CLOSE))
     upto = W.Window.partitionBy("tree", "leaf").orderBy(F.col("up").desc())
     placed = turns.withColumn("start", F.sum("size").over(upto) - F.col("size") + F.char_length("head"))
