@@ -4,14 +4,13 @@ A logistic classifier turns shape features of the whole text into evidence, a
 log-likelihood ratio. Its soft counts, summed for each host and for each path of
 a host, give posteriors: a path's mean is shrunk towards its host's and a host's
 towards the mean of all, by a strength that is estimated from how much sites
-differ. A document's posterior adds its evidence to the log odds of its path,
-from which its own contribution is taken out first.
+differ beyond the spread of soft counts within them. A document's posterior adds
+its evidence to the log odds of its path, from which its own contribution is taken
+out first. Texts are read once for evidence, which is written before sites are added up.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +22,6 @@ from .store import cut, table
 LABELLED = 20000
 REJECT_BELOW = 0.5
 _MARKS = b"!#$%&*|+=<>{}[]\\^~@_"
-_CAPS = re.compile(r"\b[^\W\d_]{2,}\b")
 _EPS = 1e-6
 
 
@@ -87,45 +85,48 @@ def evidence(model: Classifier, text: Column) -> Column:
     return score(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def _strength(groups: DataFrame, n: str, mean: str, parent: str) -> float:
-    """Pseudo-count of a Beta prior by moments: how much group means differ beyond their sampling noise."""
+def _strength(groups: DataFrame, n: str, mean: str, parent: str, within: float) -> float:
+    """Pseudo-count of a Beta prior by moments: how much group means differ beyond the noise ``within`` groups."""
     m = F.col(parent)
     row = groups.where(F.col(n) >= 2).agg(
-        F.sum(F.col(n) * (F.col(mean) - m) ** 2).alias("between"), F.count("*").alias("k"), F.sum(n).alias("n"), F.avg(m * (1 - m)).alias("within"), F.sum(F.col(n) ** 2).alias("n2")
+        F.sum(F.col(n) * (F.col(mean) - m) ** 2).alias("between"), F.count("*").alias("k"), F.sum(n).alias("n"), F.avg(m * (1 - m)).alias("whole"), F.sum(F.col(n) ** 2).alias("n2")
     ).first()
-    if not row["k"] or row["k"] < 2 or not row["within"]:
+    if not row["k"] or row["k"] < 2 or not row["whole"]:
         return 10.0
-    spread = (row["between"] - row["k"] * row["within"]) / max(row["n"] - row["n2"] / row["n"], 1.0)
-    return float(np.clip(row["within"] / max(spread, 1e-6) - 1, 1.0, 1e4))
+    spread = (row["between"] - row["k"] * within) / max(row["n"] - row["n2"] / row["n"], 1.0)
+    return float(np.clip(row["whole"] / max(spread, 1e-6) - 1, 1.0, 1e4))
 
 
 def site_posteriors(soft: DataFrame) -> DataFrame:
     """(_host, _path, _p) to one row for each path: n, s (sum of _p), host_mean, path_mean, path_strength."""
-    paths = cut(soft.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("_p").alias("s")), "quality-paths")
+    paths = cut(soft.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("_p").alias("s"), F.sum(F.col("_p") * F.col("_p")).alias("q")), "quality-paths")
     hosts = paths.groupBy("_host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+    total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("within"), F.sum(F.col("n") - 1).alias("free")).first()
     top = (total["s"] / total["n"]) if total["n"] else 0.5
+    within = max(total["within"], 0.0) / total["free"] if total["free"] else 0.0
     hosts = cut(hosts.withColumn("m", F.col("hs") / F.col("hn")).withColumn("top", F.lit(float(top))), "quality-hosts")
-    strength = _strength(hosts, "hn", "m", "top")
+    strength = _strength(hosts, "hn", "m", "top", within)
     hosts = hosts.select("_host", ((F.col("hs") + strength * top) / (F.col("hn") + strength)).alias("host_mean"))
-    joined = cut(paths.join(hosts, "_host").withColumn("m", F.col("s") / F.col("n")), "quality-sites")
-    inner = _strength(joined, "n", "m", "host_mean")
+    joined = cut(paths.drop("q").join(hosts, "_host").withColumn("m", F.col("s") / F.col("n")), "quality-sites")
+    inner = _strength(joined, "n", "m", "host_mean", within)
     return cut(joined.select("_host", "_path", "n", "s", "host_mean", ((F.col("s") + inner * F.col("host_mean")) / (F.col("n") + inner)).alias("path_mean"), F.lit(inner).alias("path_strength")), "quality-posteriors")
 
 
-def assess(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang") -> DataFrame:
+def assess(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", without: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with evidence, host_mean, path_mean, posterior and keep.
 
     ``path_col`` names a section of a host. Null hosts and paths are sites of their
     own; null texts count as empty. keep: the posterior is ``REJECT_BELOW`` or more.
     Without labels of both kinds the evidence is 0 and all is kept. Every row comes
-    back once; an empty table gives an empty table. Columns of these names in
-    ``docs`` are replaced.
+    back once, repeated ones too; texts of any length are read whole; an empty table
+    gives an empty table. Columns of these names in ``docs`` are replaced. ``without``:
+    columns that the result need not have, such as the text.
     """
     model = fit(docs, labels)
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     prob = lambda e: 1 / (1 + F.exp(-(e + F.lit(float(np.log(model.base / (1 - model.base)))))))
     marked = docs.withColumns({"_host": name(host_col), "_path": name(path_col), "evidence": evidence(model, F.col("text"))}).withColumn("_p", prob(F.col("evidence")))
+    marked = cut(marked.drop(*without), "quality-evidence")
     sites = site_posteriors(marked.select("_host", "_path", "_p"))
     others = (F.col("_s") - F.col("_p") + F.col("_strength") * F.col("host_mean")) / (F.col("_n") - 1 + F.col("_strength"))
     odds = F.least(F.greatest(others, F.lit(_EPS)), F.lit(1 - _EPS))
@@ -137,5 +138,5 @@ def assess(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_co
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of all of ``documents`` with source as host and language as section."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    out = assess(docs, table(spark, sf_dir, "labels"))
+    out = assess(docs, table(spark, sf_dir, "labels"), without=("text", "source", "lang"))
     return out.select("doc_id", "evidence", "host_mean", "path_mean", "posterior", "keep")
