@@ -410,18 +410,21 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Candidates are groups linked by fingerprints of ``lanes`` words; in them, a row goes
     only where its set of shingles has a likeness of ``similarity`` or more with that of
     a row that stays. A null id comes after all others; rows of one id are told apart by
-    their texts, and of rows that repeat both one stays.
+    their texts, and of rows that repeat both one stays. Null, empty and blank texts have
+    no shingle and are alike. Texts of any length are read whole. An empty table gives an
+    empty table; columns may have any name.
     """
     text = F.col(text_col).cast("string")
-    marked = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(text)})
+    # all columns travel as one, so that none can clash with those made here
+    marked = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("_text"))
     grouping = grouped(docs, id_col, text_col, words, most_differences(similarity, lanes), lanes)
-    kept = _stand_alone(marked.select(F.col("_id").isNull().alias("_none"), F.coalesce("_id", F.lit(0)).alias("_id"), "_hash", text.alias("_text")), grouping, words, similarity)
+    kept = _stand_alone(marked.select(F.col("_id").isNull().alias("_none"), F.coalesce("_id", F.lit(0)).alias("_id"), "_hash", "_text"), grouping, words, similarity)
     kept = cut(kept.select(F.when(~F.col("none"), F.col("id")).alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct(), "simhash-kept")
-    rows = marked.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
+    rows = marked.drop("_text").join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
     again = marked.groupBy("_id", "_hash").count().where("count > 1")
     if not again.isEmpty():
         rows = rows.dropDuplicates(["_id", "_hash"])
-    return rows.drop("_id", "_hash")
+    return rows.select("_row.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
