@@ -165,15 +165,15 @@ def fingerprints(docs: DataFrame, digest=digest) -> DataFrame:
     """
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     narrow = described(docs, digest)
-    # Bytes are compared within digests that occur more than once; only those texts, and edited ones from the two they are made of, are read again.
+    # Edited texts whose digest another text has, too: one of each content is built again, from the two texts it is made of.
     counts = narrow.select(F.col("own").alias("digest")).unionAll(narrow.where("near_edited = 0").select(F.col("edited_own").alias("digest"))).groupBy("digest").count()
     shared = cut(counts.where("count > 1").select("digest"), "digest-shared")
-    mine = narrow.join(shared, narrow["own"] == shared["digest"], "left_semi").select("doc_id", F.col("text_sha256").alias("sha"))
-    again = cut(narrow.where("near_edited = 0").join(shared, narrow["edited_own"] == shared["digest"], "left_semi").select("doc_id", "text_sha256", "next_id", "next_sha256").distinct(), "edited-again")
-    made_of = again.select("doc_id", F.col("text_sha256").alias("sha")).unionAll(again.select("next_id", "next_sha256"))
-    texts = _wanted(raw, cut(mine.unionAll(made_of).distinct(), "digest-need"))
-    rebuilt = _pairs_of_texts(again, cut(_wanted(raw, cut(made_of.distinct(), "edited-need")), "edited-texts"))
-    every = texts.select(F.col("text").alias("raw")).unionAll(rebuilt.select(edited_text(F.col("text"), F.col("next_text")).alias("raw")))
+    again = narrow.where("near_edited = 0").join(shared, narrow["edited_own"] == shared["digest"], "left_semi")
+    again = again.groupBy("text_sha256", "next_sha256").agg(F.min(F.struct("doc_id", "next_id")).alias("ids")).select("ids.doc_id", "text_sha256", "ids.next_id", "next_sha256")
+    again = cut(again, "edited-again")
+    made_of = again.select("doc_id", F.col("text_sha256").alias("sha")).unionAll(again.select("next_id", "next_sha256")).distinct()
+    rebuilt = _pairs_of_texts(again, cut(_wanted(raw, cut(made_of, "edited-need")), "edited-texts"))
+    every = raw.select(F.col("text").alias("raw")).unionAll(rebuilt.select(edited_text(F.col("text"), F.col("next_text")).alias("raw")))
     every = every.select("raw", canonical(F.col("raw")).alias("canon")).select("raw", "canon", digest(F.col("canon")).alias("digest"))
     ranks = ranks_in_digest(every)
     names = {"fingerprint": ("own", "text_sha256"), "edited_fingerprint": ("edited_own", "edited_sha256")}
