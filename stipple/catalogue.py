@@ -2,7 +2,9 @@
 
 Points are orders (x price, y customer key), events (x value, y seconds) and
 embeddings (three components); strata are market segments. Random draws come
-from md5 of keys, so DuckDB repeats them.
+from md5 of keys, so DuckDB repeats them. Grids, scales and numbers of simulations
+are the full ones: 256 pixels a side (64 in three dimensions), eleven scales, 50
+shuffles, 20 uniform patterns, 200 resamples, 10 jittered trials.
 """
 
 from __future__ import annotations
@@ -17,7 +19,9 @@ from .functions.scales import Scales
 from .operators import grid, nulls, pairs, prep, stats
 from .plans import analyses as an
 
-GRID, VOX, MOCKS, LEAST = 64, (2, 3, 4, 8, 16), 10, 50
+GRID, VOX, MOCKS, LEAST = 256, Scales.for_extent(None).vox, 50, 50
+GRID_3D, VOX_3D = 64, Scales.in_pixels(2, 32, 8).vox
+UNIFORMS, BOOTS, TRIALS = 20, 200, 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -96,24 +100,65 @@ mom{name} AS (SELECT *, s1 / n AS mean, greatest(s2 / n - (s1 / n) * (s1 / n), 0
 
 
 def lab_sql(n: int = MOCKS, by: str = "", salt: str = "", cols: str = "x, y", name: str = "lab") -> str:
-    p, on = (f"PARTITION BY {by} ", f"AND ra{name}.{by} = rb{name}.{by}") if by else ("", "")
-    extra = f", {by}" if by else ""
-    pb = f"PARTITION BY mock_id{extra} "
-    return f"""ra{name} AS (SELECT type{extra}, row_number() OVER ({p}ORDER BY md5('{salt}-1|' || id), id) AS k FROM pts),
-rb{name} AS (SELECT mock_id, id, {cols}{extra}, row_number() OVER ({pb}ORDER BY md5('{salt}' || mock_id || '|' || id), id) AS k FROM pts, (SELECT unnest(range({n})) AS mock_id)),
-{name} AS (SELECT mock_id, id, {cols}, ra{name}.type FROM rb{name} JOIN ra{name} ON ra{name}.k = rb{name}.k {on} UNION ALL SELECT -1, id, {cols}, type FROM pts)"""
+    """Labels permuted as ``nulls.shuffled`` does; points without a stratum keep theirs."""
+    st, t = by or "0", name
+    last = "".join(f", t{r}" for r in range(4))
+    move = lambda r, at: f"t{r}[({at}) % m + 1] + t{r}[m + ({at}) // m + 1]"
+    v = lambda r: f"(v + {move(r, 'ro + u')}) % CASE WHEN u < h THEN w ELSE rest END AS v"
+    u = lambda r: f"(u + {move(r, 'co + v')}) % (h + CASE WHEN v < rest THEN 1 ELSE 0 END) AS u"
+    return f"""sz{t} AS (SELECT {st} AS st, count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS w FROM pts WHERE {st} IS NOT NULL GROUP BY 1),
+so{t} AS (SELECT st, w, n // w AS h, n % w AS rest, CAST(sum(n) OVER o - n AS BIGINT) AS base, CAST(sum((n + w - 1) // w) OVER o - (n + w - 1) // w AS BIGINT) AS ro, CAST(sum(w) OVER o - w AS BIGINT) AS co FROM sz{t} WINDOW o AS (ORDER BY st ROWS UNBOUNDED PRECEDING)),
+ms{t} AS (SELECT CAST(floor(sqrt(greatest(sum((n + w - 1) // w), sum(w)))) AS BIGINT) + 1 AS m FROM sz{t}),
+dr{t} AS (SELECT mock_id, r, list(('0x' || substr(md5('{salt}|' || mock_id || '|' || r || '|' || j), 1, 7))::BIGINT ORDER BY j) AS t FROM (SELECT unnest(range({n})) AS mock_id), (SELECT unnest(range(4)) AS r), (SELECT unnest(range(2 * m)) AS j FROM ms{t}) GROUP BY ALL),
+tw{t} AS (SELECT mock_id, {", ".join(f"any_value(t) FILTER (r = {r}) AS t{r}" for r in range(4))} FROM dr{t} GROUP BY 1),
+rk{t} AS (SELECT id, {cols}, {st} AS st, row_number() OVER (PARTITION BY {st} ORDER BY md5('{salt}-1|' || id), id) - 1 AS k FROM pts WHERE {st} IS NOT NULL),
+s0{t} AS (SELECT mock_id, id, {cols}, base, w, h, rest, ro, co, m{last}, k // w AS u, k % w AS v FROM rk{t} JOIN so{t} USING (st), tw{t}, ms{t}),
+s1{t} AS (SELECT * REPLACE ({v(0)}) FROM s0{t}), s2{t} AS (SELECT * REPLACE ({u(1)}) FROM s1{t}), s3{t} AS (SELECT * REPLACE ({v(2)}) FROM s2{t}), s4{t} AS (SELECT * REPLACE ({u(3)}) FROM s3{t}),
+lb{t} AS (SELECT type, row_number() OVER (ORDER BY {st}, type) - 1 AS at FROM pts WHERE {st} IS NOT NULL),
+{t} AS (SELECT mock_id, id, {cols}, lb{t}.type FROM s4{t} JOIN lb{t} ON lb{t}.at = base + u * w + v UNION ALL SELECT m, id, {cols}, type FROM pts, (SELECT unnest(range({n})) AS m) WHERE {st} IS NULL UNION ALL SELECT -1, id, {cols}, type FROM pts)"""
+
+
+def freq_sql(least: int = LEAST) -> str:
+    return f"freq AS (SELECT type FROM pts GROUP BY type HAVING count(*) >= {least})"
+
+
+FREQ = freq_sql()
+FLAB = "flab AS (SELECT lab.* FROM lab JOIN freq USING (type))"
 
 
-FREQ = f"freq AS (SELECT type FROM pts GROUP BY type HAVING count(*) >= {LEAST})"
-FLAB = "flab AS (SELECT lab.* FROM lab JOIN freq USING (type))"
-# real curves with the moments of their nulls
-VS = """size AS (SELECT mock_id, type, sum(c) AS n FROM pix GROUP BY ALL), ok AS (SELECT cur.*, size.n FROM cur JOIN size USING (mock_id, type) WHERE mock_id < 0 OR size.n >= 5),
-nul AS (SELECT type, scale_idx, avg(vmr) AS null_mean, stddev_pop(vmr) AS null_sd, count(*) AS n_mocks FROM ok WHERE mock_id >= 0 GROUP BY ALL),
-vs AS (SELECT ok.*, null_mean, null_sd, n_mocks, CASE WHEN null_mean > 0 THEN vmr / null_mean ELSE 1.0 END AS ratio FROM ok JOIN nul USING (type, scale_idx) WHERE mock_id < 0)"""
+def vs_sql(keys: str = "type") -> str:
+    """Usable curves, and the real ones with the moments of their nulls."""
+    return f"""size AS (SELECT mock_id, {keys}, sum(c) AS n FROM pix GROUP BY ALL), ok AS (SELECT cur.*, size.n FROM cur JOIN size USING (mock_id, {keys}) WHERE mock_id < 0 OR size.n >= 5),
+nul AS (SELECT {keys}, scale_idx, avg(vmr) AS null_mean, stddev_pop(vmr) AS null_sd, count(*) AS n_mocks FROM ok WHERE mock_id >= 0 GROUP BY ALL),
+vs AS (SELECT ok.*, null_mean, null_sd, n_mocks, CASE WHEN null_mean > 0 THEN vmr / null_mean ELSE 1.0 END AS ratio FROM ok JOIN nul USING ({keys}, scale_idx) WHERE mock_id < 0)"""
+
+
+def null_chain(pts: str = PTS, by: str = "", least: int = LEAST) -> str:
+    return f"WITH RECURSIVE {pts}, {roi_sql()}, {freq_sql(least)}, {lab_sql(by=by)}, {FLAB}, {pix_sql('flab', 'mock_id, type')}, {bin_sql('mock_id, type')}, {cur_sql('mock_id, type')}, {vs_sql()}"
+
+
+def kinds_chain(pts: str, kinds: dict[str, str]) -> str:
+    """Curves under several shuffles, by null_kind."""
+    labs = ", ".join(lab_sql(by=by, name=f"lab_{k}") for k, by in kinds.items())
+    every = " UNION ALL ".join(f"SELECT '{k}' AS null_kind, mock_id, x, y, type FROM lab_{k}" for k in kinds)
+    keys = "null_kind, mock_id, type"
+    return f"WITH RECURSIVE {pts}, {roi_sql()}, {FREQ}, {labs}, kl AS ({every}), flab AS (SELECT kl.* FROM kl JOIN freq USING (type)), {pix_sql('flab', keys)}, {bin_sql(keys)}, {cur_sql(keys)}, {vs_sql('null_kind, type')}"
 
 
-def null_chain(pts: str = PTS, by: str = "") -> str:
-    return f"WITH {pts}, {roi_sql()}, {FREQ}, {lab_sql(by=by)}, {FLAB}, {pix_sql('flab', 'mock_id, type')}, {bin_sql('mock_id, type')}, {cur_sql('mock_id, type')}, {VS}"
+def hot_sql(keys: str = "type", src: str = "ok", t: str = "", least: int = 5) -> str:
+    """The joint test of mock -1 against the others: elimination of the shrunk covariance bordered by the distances; the F tail as a series. Gives hf."""
+    a = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
+    return f"""hm{t} AS (SELECT {keys}, scale_idx, avg(vmr) AS hmean, count(*) AS hn FROM {src} WHERE mock_id >= 0 GROUP BY ALL),
+hd{t} AS (SELECT {keys}, scale_idx AS i, vmr - hmean AS d, hn FROM {src} JOIN hm{t} USING ({keys}, scale_idx) WHERE mock_id < 0),
+hc{t} AS (SELECT {a}, a.scale_idx AS i, b.scale_idx AS j, covar_samp(a.vmr, b.vmr) AS c FROM {src} a JOIN {src} b USING ({keys}, mock_id) WHERE mock_id >= 0 GROUP BY ALL),
+hr{t} AS (SELECT {keys}, i, list_append(list(CASE WHEN i = j THEN c * 0.98::DOUBLE + 0.02::DOUBLE * c + 1e-10::DOUBLE ELSE c * 0.98::DOUBLE END ORDER BY j), any_value(d)) AS r FROM hc{t} JOIN hd{t} USING ({keys}, i) GROUP BY ALL),
+hb{t} AS (SELECT {keys}, list_append(list(d ORDER BY i), 0.0::DOUBLE) AS r, count(*) AS p, min(hn) AS n FROM hd{t} GROUP BY ALL),
+hs{t} AS (SELECT {keys}, any_value(p) AS p, any_value(n) AS n, list_append(list(hr{t}.r ORDER BY i), any_value(hb{t}.r)) AS m FROM hr{t} JOIN hb{t} USING ({keys}) GROUP BY ALL),
+he{t} AS (SELECT {keys}, p, n, 1 AS k, m FROM hs{t} UNION ALL SELECT {keys}, p, n, k + 1, list_transform(m, lambda row, i: CASE WHEN i <= k THEN row ELSE list_transform(row, lambda x, j: x - row[k] * m[k][j] / m[k][k]) END) FROM he{t} WHERE k <= p),
+ht{t} AS (SELECT {keys}, p AS dof, n AS n_mocks_used, -m[p + 1][p + 1] * n / (n + 1) AS chi_squared FROM he{t} WHERE k = p + 1 AND n >= {least}),
+hg{t} AS (SELECT *, chi_squared * (n_mocks_used - dof) / ((n_mocks_used - 1) * dof) AS f_statistic, (n_mocks_used - dof) / 2.0::DOUBLE AS fa, dof / 2.0::DOUBLE AS fb FROM ht{t}),
+hx{t} AS (SELECT *, fa / (fa + fb * f_statistic) AS fx FROM hg{t}),
+hf{t} AS (SELECT *, CASE WHEN f_statistic <= 0 THEN 1.0 ELSE exp(fa * ln(fx) + fb * ln(1 - fx) - ln(fa) - (lgamma(fa) + lgamma(fb) - lgamma(fa + fb))) * list_sum(list_transform(range(0, 10000), lambda k: exp(k * ln(fx) + lgamma(fa + fb + k) - lgamma(fa + fb) + lgamma(fa + 1) - lgamma(fa + 1 + k)))) END AS p_value FROM hx{t})"""
 
 
 # --- sources, joins, filters -----------------------------------------------------------------------------------
@@ -266,10 +311,10 @@ SQL["skew_curve"] = f"WITH {LPTS}, {roi_sql()}, {pix_sql('pts', 'type')}, {bin_s
 
 @query
 def vmr_curve_3d(spark, sf):
-    return _curve(vectors(spark, sf), 3, 32, (2, 4, 8, 16))
+    return _curve(vectors(spark, sf), 3, GRID_3D, VOX_3D)
 
 
-SQL["vmr_curve_3d"] = f"WITH {VPTS}, {roi_sql(3)}, {pix_sql('pts', 'type', 3, 32)}, {bin_sql('type', 3, 32, (2, 4, 8, 16))}, {cur_sql('type')} {CURVE}"
+SQL["vmr_curve_3d"] = f"WITH {VPTS}, {roi_sql(3)}, {pix_sql('pts', 'type', 3, GRID_3D)}, {bin_sql('type', 3, GRID_3D, VOX_3D)}, {cur_sql('type')} {CURVE}"
 
 
 # --- null models -----------------------------------------------------------------------------------------------
@@ -285,12 +330,12 @@ SQL["label_shuffle_counts"] = f"WITH {PTS}, {roi_sql()}, {lab_sql(3)}, {pix_sql(
 
 @query
 def stratum_shuffle_counts(spark, sf):
-    p = orders(spark, sf, "stratum")
+    p = orders(spark, sf, "stratum").withColumn("stratum", F.nullif("stratum", F.lit("BUILDING")))  # some points without a stratum
     drawn = nulls.shuffled(p, 3, "stratum").withColumn("half", F.col("x") > 150000)
     return drawn.groupBy("mock_id", "stratum", "type", "half").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
-SQL["stratum_shuffle_counts"] = f"WITH {SPTS}, {lab_sql(3, 'stratum')} SELECT CAST(mock_id AS INTEGER) AS mock_id, stratum, lab.type, lab.x > 150000 AS half, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM lab JOIN (SELECT id, stratum FROM pts) USING (id) WHERE mock_id >= 0 GROUP BY ALL"
+SQL["stratum_shuffle_counts"] = f"WITH {SPTS.replace('c_mktsegment AS stratum', chr(39).join(('nullif(c_mktsegment, ', 'BUILDING', ') AS stratum')))}, {lab_sql(3, 'stratum')} SELECT CAST(mock_id AS INTEGER) AS mock_id, stratum, lab.type, lab.x > 150000 AS half, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM lab JOIN (SELECT id, stratum FROM pts) USING (id) WHERE mock_id >= 0 GROUP BY ALL"
 
 
 def _labelled(spark, sf, stratum: str | None = None) -> DataFrame:
@@ -325,12 +370,16 @@ def null_covariance(spark, sf):
 SQL["null_covariance"] = f"{null_chain()} SELECT a.type, a.scale_idx AS scale_i, b.scale_idx AS scale_j, round(covar_samp(a.vmr, b.vmr), 6) + 0.0 AS cov FROM ok a JOIN ok b USING (type, mock_id) WHERE mock_id >= 0 GROUP BY ALL"
 
 
-MEAS = """pk AS (SELECT type, max(n) AS n_cells, arg_max(um, vmr - null_mean ORDER BY scale_idx) AS peak_scale_um, max(ratio) AS peak_vmr_ratio,
-  CASE WHEN count(*) FILTER (ratio > 1.05) > 0 AND count(*) FILTER (ratio < 0.95) > 0 THEN 'mixed' WHEN count(*) FILTER (ratio < 0.95) > count(*) FILTER (ratio > 1.05) THEN 'regular' ELSE 'clustered' END AS direction FROM vs GROUP BY 1),
-tz AS (SELECT type, (lead(ratio - 1) OVER w + ratio - 1) / 2 * (log10(lead(um) OVER w) - log10(um)) AS a FROM vs WINDOW w AS (PARTITION BY type ORDER BY scale_idx)),
-ie AS (SELECT type, coalesce(sum(a), 0) AS integrated_excess FROM tz GROUP BY 1),
-wd AS (SELECT type, coalesce(max(log10(um)) FILTER (ratio >= 1 + (p - 1) * 0.5 AND p > 1.05) - min(log10(um)) FILTER (ratio >= 1 + (p - 1) * 0.5 AND p > 1.05), 0) AS width FROM (SELECT *, max(ratio) OVER (PARTITION BY type) AS p FROM vs) GROUP BY 1),
-me AS (SELECT * FROM pk JOIN ie USING (type) JOIN wd USING (type))"""
+def meas_sql(keys: str = "type") -> str:
+    return f"""pk AS (SELECT {keys}, max(n) AS n_cells, arg_max(um, vmr - null_mean ORDER BY scale_idx) AS peak_scale_um, max(ratio) AS peak_vmr_ratio,
+  CASE WHEN count(*) FILTER (ratio > 1.05) > 0 AND count(*) FILTER (ratio < 0.95) > 0 THEN 'mixed' WHEN count(*) FILTER (ratio < 0.95) > count(*) FILTER (ratio > 1.05) THEN 'regular' ELSE 'clustered' END AS direction FROM vs GROUP BY ALL),
+tz AS (SELECT {keys}, (lead(ratio - 1) OVER w + ratio - 1) / 2 * (log10(lead(um) OVER w) - log10(um)) AS a FROM vs WINDOW w AS (PARTITION BY {keys} ORDER BY scale_idx)),
+ie AS (SELECT {keys}, coalesce(sum(a), 0) AS integrated_excess FROM tz GROUP BY ALL),
+wd AS (SELECT {keys}, coalesce(max(log10(um)) FILTER (ratio >= 1 + (p - 1) * 0.5 AND p > 1.05) - min(log10(um)) FILTER (ratio >= 1 + (p - 1) * 0.5 AND p > 1.05), 0) AS width FROM (SELECT *, max(ratio) OVER (PARTITION BY {keys}) AS p FROM vs) GROUP BY ALL),
+me AS (SELECT * FROM pk JOIN ie USING ({keys}) JOIN wd USING ({keys}))"""
+
+
+MEAS = meas_sql()
 
 
 @query
@@ -341,23 +390,52 @@ def fingerprint_metrics(spark, sf):
 SQL["fingerprint_metrics"] = f"{null_chain()}, {MEAS} SELECT type, CAST(n_cells AS BIGINT) AS n_cells, round(peak_scale_um, 6) AS peak_scale_um, round(peak_vmr_ratio, 6) AS peak_vmr_ratio, direction, round(integrated_excess, 6) + 0.0 AS integrated_excess, round(width, 6) AS width FROM me"
 
 
+def _fingerprints(spark, sf) -> DataFrame:
+    p = orders(spark, sf)
+    return an.fingerprints(p, *setup(p), MOCKS, LEAST)
+
+
 @query
 def fingerprint_summary(spark, sf):
-    p = orders(spark, sf)
-    roi, sc = setup(p)
-    return an.fingerprint_summary(an.fingerprints(p, roi, sc, MOCKS, LEAST))
+    return rounded(an.fingerprint_summary(_fingerprints(spark, sf)), 5)
+
+
+SUM = "type, CAST(n_cells AS BIGINT) AS n_cells, round(peak_vmr_ratio, 5) AS peak_vmr_ratio, round(peak_scale_um, 5) AS peak_scale_um, round(integrated_excess, 5) + 0.0 AS integrated_excess, round(width, 5) AS width, direction, round(p_value, 5) AS p_value, p_value < 0.05 AS is_significant"
+SQL["fingerprint_summary"] = f"{null_chain()}, {MEAS}, {hot_sql()} SELECT {SUM} FROM me JOIN hf USING (type)"
 
 
 @query
 def hotelling_test(spark, sf):
-    return stats.joint_test(_labelled(spark, sf), ["type"])
+    found = stats.joint_test(_labelled(spark, sf), ["type"])
+    return rounded(found.select("type", "chi_squared", "f_statistic", "dof", "p_value", "n_mocks_used"), 5)
+
+
+HOT = "round(chi_squared, 5) AS chi_squared, round(f_statistic, 5) AS f_statistic, dof, round(p_value, 5) AS p_value, n_mocks_used"
+SQL["hotelling_test"] = f"{null_chain()}, {hot_sql()} SELECT type, {HOT} FROM hf"
 
 
 @query
 def fingerprints(spark, sf):
-    p = orders(spark, sf)
-    roi, sc = setup(p)
-    return an.fingerprints(p, roi, sc, MOCKS, LEAST)
+    """The flagship: whole fingerprints, a row for each type and scale."""
+    found = _fingerprints(spark, sf)
+    curves = F.explode(F.arrays_zip("scales_um", "vmr_curve", "skewness_curve", "mock_vmr_mean", "mock_vmr_std", "vmr_ratio_curve")).alias("s")
+    rows = found.select("type", "n_cells", "direction", "peak_scale_um", "peak_vmr_ratio", "integrated_excess", "width", "chi_squared", "f_statistic", "p_value", "n_mocks_used", "is_significant", curves)
+    return rounded(rows.select("*", "s.*").drop("s"), 5)
+
+
+FIVE = lambda *cols: ", ".join(f"round({c}, 5) + 0.0 AS {n}" for c, n in (c.split(":") if ":" in c else (c, c) for c in cols))
+SQL["fingerprints"] = f"""{null_chain()}, {MEAS}, {hot_sql()} SELECT type, CAST(n_cells AS BIGINT) AS n_cells, direction, {FIVE('peak_scale_um', 'peak_vmr_ratio', 'integrated_excess', 'width', 'chi_squared', 'f_statistic', 'p_value')}, n_mocks_used, p_value < 0.05 AS is_significant,
+{FIVE('um:scales_um', 'vmr:vmr_curve', 'skewness:skewness_curve', 'null_mean:mock_vmr_mean', 'null_sd:mock_vmr_std', 'ratio:vmr_ratio_curve')} FROM vs JOIN me USING (type) JOIN hf USING (type)"""
+
+
+@query
+def characteristic_scales(spark, sf):
+    e = events(spark, sf)
+    found = {"orders": _fingerprints(spark, sf), "events": an.fingerprints(e, *setup(e), MOCKS, LEAST)}
+    return rounded(an.characteristic_scales({k: f.withColumn("is_significant", F.col("p_value") < 0.5) for k, f in found.items()}))  # noise: a high level leaves rows
+
+
+SQL["characteristic_scales"] = " UNION ALL ".join(f"SELECT '{k}' AS region, * FROM ({null_chain(pts)}, {MEAS}, {hot_sql()} SELECT type, round(peak_scale_um, 6) AS peak_scale_um FROM me JOIN hf USING (type) WHERE p_value < 0.5)" for k, pts in (("orders", PTS), ("events", EPTS)))
 
 
 # --- co-occurrence ---------------------------------------------------------------------------------------------
@@ -367,7 +445,7 @@ def _cooccurrence(points: DataFrame, listed: DataFrame | None = None) -> DataFra
 
 
 def co_chain(pts: str = PTS) -> str:
-    return f"""WITH {pts}, {roi_sql()}, {FREQ}, {lab_sql()}, {FLAB}, {pix_sql('flab', 'mock_id, type')}, {bin_sql('mock_id, type')},
+    return f"""WITH RECURSIVE {pts}, {roi_sql()}, {FREQ}, {lab_sql()}, {FLAB}, {pix_sql('flab', 'mock_id, type')}, {bin_sql('mock_id, type')},
 sm AS (SELECT mock_id, scale_idx, vox, um, n_bins, type, sum(c)::DOUBLE AS s1, sum(c * c)::DOUBLE AS s2 FROM bins GROUP BY ALL),
 pr AS (SELECT a.mock_id, a.scale_idx, a.type AS type_a, b.type AS type_b, sum(a.c * b.c)::DOUBLE AS sab FROM bins a JOIN bins b USING (mock_id, scale_idx, bx, "by") WHERE a.type < b.type GROUP BY ALL),
 pc AS (SELECT a.mock_id, a.type AS type_a, b.type AS type_b, a.scale_idx, a.vox, a.um, a.n_bins::DOUBLE AS n, a.s1 AS sa, b.s1 AS sb, a.s2 AS saa, b.s2 AS sbb, coalesce(sab, 0) AS sab FROM sm a JOIN sm b USING (mock_id, scale_idx) LEFT JOIN pr ON pr.mock_id = a.mock_id AND pr.scale_idx = a.scale_idx AND pr.type_a = a.type AND pr.type_b = b.type WHERE a.type < b.type),
@@ -419,11 +497,19 @@ SQL["cooccurrence_matrix"] = f"{co_chain()}, {MAT} SELECT type_a, type_b, round(
 
 @query
 def cooccurrence_matrix_wide(spark, sf):
-    wide = an.matrix(_cooccurrence(events(spark, sf)), 0)
-    return rounded(wide)
+    return rounded(an.matrix(_cooccurrence(events(spark, sf)), 0, EVENT_TYPES))
 
 
-SQL["cooccurrence_matrix_wide"] = f"{co_chain(EPTS)}, hf AS (SELECT type_a, type_b, r AS value FROM co WHERE scale_idx = 0), mt AS (SELECT * FROM hf UNION ALL SELECT type_b, type_a, value FROM hf), mx AS (SELECT * FROM mt UNION ALL SELECT DISTINCT type_a, type_a, 1.0 FROM mt), rd AS (SELECT type_a, type_b, round(value, 6) + 0.0 AS value FROM mx) PIVOT rd ON type_b USING first(value) GROUP BY type_a"
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+SQL["cooccurrence_matrix_wide"] = f"{co_chain(EPTS)}, hf AS (SELECT type_a, type_b, r AS value FROM co WHERE scale_idx = 0), mt AS (SELECT * FROM hf UNION ALL SELECT type_b, type_a, value FROM hf), mx AS (SELECT * FROM mt UNION ALL SELECT DISTINCT type_a, type_a, 1.0 FROM mt) SELECT type_a, {', '.join(f'max(round(value, 6) + 0.0) FILTER (type_b = {chr(39)}{t}{chr(39)}) AS {chr(34)}{t}{chr(34)}' for t in EVENT_TYPES)} FROM mx GROUP BY 1"
+
+
+@query
+def cooccurrence_band(spark, sf):
+    return rounded(an.correlation_band(_cooccurrence(orders(spark, sf)), 3))
+
+
+SQL["cooccurrence_band"] = f"{co_chain()}, fp AS (SELECT type_a, type_b FROM co GROUP BY ALL ORDER BY max(abs(r - null_mean) / CASE WHEN null_sd > 1e-10 THEN null_sd ELSE 1e-10 END) DESC, type_a, type_b LIMIT 3) SELECT type_a, type_b, scale_idx, round(um, 6) AS um, round(r, 6) + 0.0 AS r, round(null_mean - 2 * null_sd, 6) + 0.0 AS low, round(null_mean + 2 * null_sd, 6) + 0.0 AS high FROM co JOIN fp USING (type_a, type_b)"
 
 
 @query
@@ -464,12 +550,32 @@ SQL["layered_positive_share"] = f"{co_chain()} SELECT CASE WHEN type_a < '3' THE
 
 
 # --- regions, density, hull ------------------------------------------------------------------------------------
+# gift wrapping from the leftmost point; the start comes again as the last row
+HULL = """h AS (SELECT 0 AS step, arg_min({'x': x, 'y': y}, {'x': x, 'y': y}) AS v, -1.0::DOUBLE AS ang FROM pts
+  UNION ALL SELECT step + 1, v, ang FROM (SELECT any_value(step) AS step, arg_min({'x': x, 'y': y}, {'a': a, 'd': -dd}) AS v, min(a) AS ang FROM (
+    SELECT step, x, y, ang, dd, CASE WHEN a < 0 THEN a + 2 * pi() ELSE a END AS a FROM (SELECT h.step, p.x, p.y, h.ang, (p.x - h.v.x) ** 2 + (p.y - h.v.y) ** 2 AS dd, atan2(p.y - h.v.y, p.x - h.v.x) + pi() / 2 AS a FROM h, pts p WHERE p.x <> h.v.x OR p.y <> h.v.y)) WHERE a >= ang HAVING count(*) > 0)),
+ed AS (SELECT step, v.x AS ax, v.y AS ay, lead(v.x) OVER (ORDER BY step) AS bx, lead(v.y) OVER (ORDER BY step) AS by_, max(step) OVER () AS last FROM h),
+fa AS (SELECT e.step, o.ax AS ox_, o.ay AS oy_, e.ax, e.ay, e.bx, e.by_, abs((e.ax - o.ax) * (e.by_ - o.ay) - (e.ay - o.ay) * (e.bx - o.ax)) / 2 AS area FROM ed e, ed o WHERE o.step = 0 AND e.step > 0 AND e.step < e.last - 1),
+tr_ AS (SELECT *, coalesce(sum(area) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(area) OVER () AS lo, CASE WHEN step = max(step) OVER () THEN 2.0 ELSE sum(area) OVER (ORDER BY step) / sum(area) OVER () END AS hi FROM fa)"""
+U = lambda s: f"('0x' || substr(md5({s}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+def csr_sql(n: str, mocks: int) -> str:
+    """Uniform points in the hull, as ``nulls.uniform_in_hull`` draws them."""
+    u = lambda k: U(f"'csr|' || mock_id || '|' || id || '|{k}'")
+    return f"""{HULL}, cd AS (SELECT mock_id, id, {u('t')} AS u, sqrt({u('r')}) AS r, {u('s')} AS s FROM (SELECT unnest(range({mocks})) AS mock_id), (SELECT unnest(range({n})) AS id)),
+csr AS (SELECT mock_id, id, ox_ + r * (ax - ox_ + s * (bx - ax)) AS x, oy_ + r * (ay - oy_ + s * (by_ - ay)) AS y FROM cd JOIN tr_ ON u >= lo AND u < hi)"""
+
+
 @query
 def hull_area(spark, sf):
     hull = nulls.convex_hull(orders(spark, sf))
     return spark.range(1).select(F.lit(len(hull)).cast("long").alias("n_vertices"), F.round(F.lit(nulls.hull_area(hull)), 2).alias("area"))
 
 
+SQL["hull_area"] = f"WITH RECURSIVE {PTS}, {HULL} SELECT max(step) AS n_vertices, round(abs(sum(ax * by_ - bx * ay)) / 2, 2) AS area FROM ed"
+
+
 @query
 def csr_counts(spark, sf):
     p = orders(spark, sf)
@@ -477,16 +583,56 @@ def csr_counts(spark, sf):
     return drawn.groupBy("mock_id").agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("mean_x"), F.round(F.avg("y"), 4).alias("mean_y"))
 
 
+SQL["csr_counts"] = f"WITH RECURSIVE {PTS}, {csr_sql('2000', 3)} SELECT CAST(mock_id AS INTEGER) AS mock_id, count(*) AS n, round(avg(x), 4) AS mean_x, round(avg(y), 4) AS mean_y FROM csr GROUP BY 1"
+
+
 @query
 def csr_acceptance(spark, sf):
-    return nulls.acceptance(spark, nulls.convex_hull(orders(spark, sf)))
+    return rounded(nulls.acceptance(spark, nulls.convex_hull(orders(spark, sf))))
+
+
+SQL["csr_acceptance"] = f"""WITH RECURSIVE {PTS}, {HULL}, box AS (SELECT min(ax) AS lx, max(ax) - min(ax) AS wx, min(ay) AS ly, max(ay) - min(ay) AS wy FROM ed),
+tr AS (SELECT id, lx + wx * {U("'csr|0|' || id || '|x'")} AS x, ly + wy * {U("'csr|0|' || id || '|y'")} AS y FROM (SELECT unnest(range(10000)) AS id), box),
+hit AS (SELECT id, bool_and((bx - ax) * (y - ay) - (by_ - ay) * (x - ax) >= 0) AS good FROM tr, ed WHERE bx IS NOT NULL GROUP BY 1)
+SELECT count(*) AS tried, count(*) FILTER (good) AS accepted, round(count(*) FILTER (good) / count(*), 6) AS rate FROM hit"""
 
 
 @query
 def regional_curve(spark, sf):
     p = orders(spark, sf)
+    return rounded(an.regional(p, *setup(p), UNIFORMS))
+
+
+def regional_sql(pts: str) -> str:
+    return f"""WITH RECURSIVE {pts}, {roi_sql()}, {csr_sql('(SELECT count(*) FROM pts)', UNIFORMS)}, ev AS (SELECT mock_id, x, y FROM csr UNION ALL SELECT -1, x, y FROM pts),
+{pix_sql('ev', 'mock_id')}, {bin_sql('mock_id')}, {cur_sql('mock_id')}, nu AS (SELECT scale_idx, avg(vmr) AS null_mean, stddev_pop(vmr) AS null_sd FROM cur WHERE mock_id >= 0 GROUP BY 1),
+rc AS (SELECT cur.*, null_mean, null_sd, CASE WHEN null_mean > 0 THEN vmr / null_mean ELSE 1 END AS ratio FROM cur JOIN nu USING (scale_idx) WHERE mock_id < 0)"""
+
+
+SQL["regional_curve"] = f"{regional_sql(PTS)} SELECT scale_idx, vox, round(um, 6) AS um, n_points, round(vmr, 6) AS vmr, round(skewness, 6) + 0.0 AS skewness, round(null_mean, 6) AS null_mean, round(null_sd, 6) AS null_sd, round(ratio, 6) AS ratio FROM rc"
+
+
+@query
+def regional_comparison(spark, sf):
+    p = orders(spark, sf)
+    regions = {t: p.where(F.col("type") == t) for t in ("1-URGENT", "2-HIGH", "3-MEDIUM")}
+    return rounded(an.regional_comparison(regions, GRID, list(VOX), UNIFORMS))
+
+
+SQL["regional_comparison"] = " UNION ALL ".join(f"SELECT '{t}' AS region, * FROM ({regional_sql(PTS[:-1] + f' AND o_orderpriority = {chr(39)}{t}{chr(39)})')} SELECT n_points AS n_cells, scale_idx, round(um, 6) AS um, round(vmr, 6) AS vmr, round(null_mean, 6) AS null_mean, round(null_sd, 6) AS null_sd, round(ratio, 6) AS ratio, round(greatest(1 - 2 * null_sd / null_mean, 0), 6) AS low, round(1 + 2 * null_sd / null_mean, 6) AS high FROM rc)" for t in ("1-URGENT", "2-HIGH", "3-MEDIUM"))
+
+
+@query
+def point_set_test(spark, sf):
+    """One type's points against uniform points in their hull, as a test of given point sets."""
+    p = orders(spark, sf)
+    urgent = p.where("type = '1-URGENT'")
     roi, sc = setup(p)
-    return an.regional(p, roi, sc, 5)
+    return rounded(an.points_against(urgent, nulls.uniform_in_hull(spark, nulls.convex_hull(urgent), urgent.count(), 30), roi, sc).drop("condition_number", "dof_f1", "dof_f2"), 5)
+
+
+SQL["point_set_test"] = f"""WITH RECURSIVE every AS ({PTS[len('pts AS ('):-1]}), roi AS ({roi_sql()[len('roi AS ('):-1].replace('FROM pts', 'FROM every')}), pts AS (SELECT * FROM every WHERE type = '1-URGENT'), {csr_sql('(SELECT count(*) FROM pts)', 30)},
+ev AS (SELECT mock_id, x, y FROM csr UNION ALL SELECT -1, x, y FROM pts), {pix_sql('ev', 'mock_id')}, {bin_sql('mock_id')}, {cur_sql('mock_id')}, one AS (SELECT 'points' AS set_, * FROM cur), {hot_sql('set_', 'one')} SELECT {HOT} FROM hf"""
 
 
 @query
@@ -503,6 +649,12 @@ def kde_sample(spark, sf):
     return drawn.groupBy("mock_id").agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("mean_x"), F.round(F.stddev_pop("x"), 4).alias("sd_x"))
 
 
+SQL["kde_sample"] = f"""WITH {EPTS}, fi AS (SELECT id, x, y FROM pts ORDER BY md5('kde-fit|' || id), id LIMIT 50000), ba AS (SELECT *, row_number() OVER (ORDER BY md5('kde|' || id), id) AS k FROM fi),
+bw AS (SELECT count(*) AS n, (stddev_pop(x) + stddev_pop(y)) / 2 * pow(count(*) * 4 / 4.0::DOUBLE, -1.0::DOUBLE / 6) AS w FROM ba),
+dw AS (SELECT mock_id, i, CAST(floor({U("'kde|' || mock_id || '|' || i || '|pick'")} * n) AS BIGINT) + 1 AS k, w, sqrt(-2 * ln(1 - {U("'kde|' || mock_id || '|' || i || '|x|u'")})) * cos(6.283185307179586::DOUBLE * {U("'kde|' || mock_id || '|' || i || '|x|v'")}) AS z FROM (SELECT unnest(range(2)) AS mock_id), (SELECT unnest(range(2000)) AS i), bw)
+SELECT CAST(mock_id AS INTEGER) AS mock_id, count(*) AS n, round(avg(x + w * z), 4) AS mean_x, round(stddev_pop(x + w * z), 4) AS sd_x FROM dw JOIN ba USING (k) GROUP BY 1"""
+
+
 @query
 def subsample(spark, sf):
     return nulls.first_by_chance(orders(spark, sf), 500).select("id", "type")
@@ -528,42 +680,80 @@ def _mediated(spark, sf) -> DataFrame:
     return an.null_kinds(p, roi, sc, {"overall": None, "within": "stratum"}, MOCKS, LEAST)
 
 
+MEDIATED = f"{kinds_chain(SPTS, {'overall': '', 'within': 'stratum'})}, {meas_sql('null_kind, type')}, {hot_sql('null_kind, type')}, mm AS (SELECT * FROM me JOIN hf USING (null_kind, type)), md AS (SELECT type, CAST(max(n_cells) AS BIGINT) AS n_cells, " + ", ".join(f"max({c}) FILTER (null_kind = '{k}') AS {c}_{k}" for k in ("overall", "within") for c in ("chi_squared", "p_value", "peak_vmr_ratio", "integrated_excess", "n_mocks_used")) + " FROM mm GROUP BY 1), mp AS (SELECT *, CASE WHEN chi_squared_overall > 0 THEN 100 * (1 - chi_squared_within / chi_squared_overall) ELSE 0 END AS mediation_pct FROM md)"
+
+
 @query
 def mediation(spark, sf):
-    return an.mediation(_mediated(spark, sf))
+    return rounded(an.mediation(_mediated(spark, sf)), 4)
+
+
+FOUR = lambda *cols: ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in cols)
+SQL["mediation"] = f"{MEDIATED} SELECT type, n_cells, n_mocks_used_overall, n_mocks_used_within, {FOUR(*[f'{c}_{k}' for k in ('overall', 'within') for c in ('chi_squared', 'p_value', 'peak_vmr_ratio', 'integrated_excess')], 'mediation_pct')} FROM mp"
 
 
 @query
 def mediation_summary(spark, sf):
-    return an.summary_of(an.mediation(_mediated(spark, sf)), "mediation_pct")
+    return rounded(an.summary_of(an.mediation(_mediated(spark, sf)), "mediation_pct"), 4)
+
+
+SQL["mediation_summary"] = f"{MEDIATED}, v AS (SELECT count(mediation_pct) AS n, avg(mediation_pct) AS mean, quantile_cont(mediation_pct, 0.5) AS median, min(mediation_pct) AS low, max(mediation_pct) AS high FROM mp) SELECT n, {FOUR('mean', 'median', 'low', 'high')} FROM v"
 
 
 @query
 def mediation_bootstrap(spark, sf):
-    return an.mediation_bootstrap(_mediated(spark, sf), 60)
+    return rounded(an.mediation_bootstrap(_mediated(spark, sf), BOOTS), 4)
+
+
+SQL["mediation_bootstrap"] = f"""{MEDIATED}, us AS (SELECT null_kind, type, mock_id, row_number() OVER (PARTITION BY null_kind, type ORDER BY mock_id) AS k, count(*) OVER (PARTITION BY null_kind, type) AS n FROM (SELECT DISTINCT null_kind, type, mock_id FROM ok WHERE mock_id >= 0)),
+pi_ AS (SELECT null_kind, type, boot, slot, CAST(floor({U("'boot|' || null_kind || '|' || type || '|' || boot || '|' || slot")} * n) AS BIGINT) + 1 AS k FROM (SELECT DISTINCT null_kind, type, n FROM us), (SELECT unnest(range({BOOTS})) AS boot), LATERAL (SELECT unnest(range(n)) AS slot)),
+bo AS (SELECT null_kind, type, boot, slot AS mock_id, scale_idx, vmr FROM pi_ JOIN us USING (null_kind, type, k) JOIN ok USING (null_kind, type, mock_id) UNION ALL SELECT null_kind, type, b, -1, scale_idx, vmr FROM ok, (SELECT unnest(range({BOOTS})) AS b) WHERE mock_id < 0),
+{hot_sql('null_kind, type, boot', 'bo', 'b', 2)}, vb AS (SELECT type, boot, max(chi_squared) FILTER (null_kind = 'overall') AS o, max(chi_squared) FILTER (null_kind = 'within') AS w FROM htb GROUP BY ALL),
+cb AS (SELECT type, count(*) AS n_valid, quantile_cont(100 * (1 - w / o), 0.025) AS lo, quantile_cont(100 * (1 - w / o), 0.975) AS hi FROM vb WHERE o > 0 GROUP BY 1)
+SELECT type, round(mediation_pct, 4) + 0.0 AS mediation_pct, CASE WHEN n_valid >= 50 THEN round(lo, 4) + 0.0 END AS ci_low, CASE WHEN n_valid >= 50 THEN round(hi, 4) + 0.0 END AS ci_high, n_valid FROM mp JOIN cb USING (type)"""
 
 
 @query
 def depth_mediation(spark, sf):
     p = orders(spark, sf, "stratum", "z")
     roi, sc = setup(p)
-    return an.depth_mediation(p, roi, sc, MOCKS, LEAST)
+    return rounded(an.depth_mediation(p, roi, sc, MOCKS, LEAST), 4)
+
+
+DPTS = SPTS.replace("pts AS", "deep AS", 1) + ", qe AS (SELECT stratum, list_sort(list_distinct(quantile_cont(z, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS q FROM deep GROUP BY 1), pts AS (SELECT deep.*, stratum || '_d' || CASE WHEN len(q) < 2 THEN 0 ELSE len(list_filter(q[2:len(q)-1], lambda v: v < z)) END AS both_ FROM deep JOIN qe USING (stratum))"
+SQL["depth_mediation"] = f"""{kinds_chain(DPTS, {'overall': '', 'stratum': 'stratum', 'compound': 'both_'})}, {hot_sql('null_kind, type', least=10)}, nc AS (SELECT type, CAST(max(n) AS BIGINT) AS n_cells FROM ok WHERE mock_id < 0 GROUP BY 1),
+dm AS (SELECT type, max(chi_squared) FILTER (null_kind = 'overall') AS chi2_overall, max(chi_squared) FILTER (null_kind = 'stratum') AS chi2_stratum, max(chi_squared) FILTER (null_kind = 'compound') AS chi2_compound FROM ht GROUP BY 1),
+dp AS (SELECT *, 100 * (1 - chi2_stratum / chi2_overall) AS mediation_stratum, 100 * (1 - chi2_compound / chi2_overall) AS mediation_compound FROM dm JOIN nc USING (type)),
+di AS (SELECT *, mediation_compound - mediation_stratum AS depth_increment FROM dp) SELECT type, n_cells, {FOUR('chi2_overall', 'chi2_stratum', 'chi2_compound', 'mediation_stratum', 'mediation_compound', 'depth_increment')} FROM di"""
 
 
 # --- dimensions, Ripley ----------------------------------------------------------------------------------------
+def _dimensions(spark, sf) -> DataFrame:
+    p = vectors(spark, sf)
+    (r2, s2), (r3, s3) = setup(p), setup(p, 3, GRID_3D, VOX_3D)
+    return an.peak_ratios_by_dims(p, r2, s2, r3, s3, MOCKS, 20)
+
+
 @query
 def peak_ratio_2d_3d(spark, sf):
-    p = vectors(spark, sf)
-    (r2, s2), (r3, s3) = setup(p, 2, 32, (2, 4, 8)), setup(p, 3, 16, (2, 4, 8))
-    return rounded(an.peak_ratios_by_dims(p, r2, s2, r3, s3, 5, 20))
+    return rounded(_dimensions(spark, sf))
 
 
-SQL["peak_ratio_2d_3d"] = f"""WITH {VPTS}, {roi_sql(3)}, freq AS (SELECT type FROM pts GROUP BY type HAVING count(*) >= 20), {lab_sql(5, cols='x, y, z')}, {FLAB},
-{pix_sql('flab', 'mock_id, type', 2, 32, 'pix2')}, {bin_sql('mock_id, type', 2, 32, (2, 4, 8), 'pix2', '2')}, {cur_sql('mock_id, type', '2', 'cur2')},
-{pix_sql('flab', 'mock_id, type', 3, 16, 'pix3')}, {bin_sql('mock_id, type', 3, 16, (2, 4, 8), 'pix3', '3')}, {cur_sql('mock_id, type', '3', 'cur3')},
+DIMS = f"""WITH {VPTS}, {roi_sql(3)}, {freq_sql(20)}, {lab_sql(cols='x, y, z')}, {FLAB},
+{pix_sql('flab', 'mock_id, type', 2, GRID, 'pix2')}, {bin_sql('mock_id, type', 2, GRID, VOX, 'pix2', '2')}, {cur_sql('mock_id, type', '2', 'cur2')},
+{pix_sql('flab', 'mock_id, type', 3, GRID_3D, 'pix3')}, {bin_sql('mock_id, type', 3, GRID_3D, VOX_3D, 'pix3', '3')}, {cur_sql('mock_id, type', '3', 'cur3')},
 n2 AS (SELECT type, scale_idx, avg(vmr) AS m FROM cur2 WHERE mock_id >= 0 GROUP BY ALL), n3 AS (SELECT type, scale_idx, avg(vmr) AS m FROM cur3 WHERE mock_id >= 0 GROUP BY ALL),
-p2 AS (SELECT type, max(CASE WHEN m > 0 THEN vmr / m ELSE 1 END) AS peak_2d FROM cur2 JOIN n2 USING (type, scale_idx) WHERE mock_id < 0 GROUP BY 1), p3 AS (SELECT type, max(CASE WHEN m > 0 THEN vmr / m ELSE 1 END) AS peak_3d FROM cur3 JOIN n3 USING (type, scale_idx) WHERE mock_id < 0 GROUP BY 1)
-SELECT type, round(peak_2d, 6) AS peak_2d, round(peak_3d, 6) AS peak_3d, round(CASE WHEN peak_2d > 0 THEN peak_3d / peak_2d ELSE 1 END, 6) AS ratio_change FROM p2 JOIN p3 USING (type)"""
+p2 AS (SELECT type, max(CASE WHEN m > 0 THEN vmr / m ELSE 1 END) AS peak_2d FROM cur2 JOIN n2 USING (type, scale_idx) WHERE mock_id < 0 GROUP BY 1), p3 AS (SELECT type, max(CASE WHEN m > 0 THEN vmr / m ELSE 1 END) AS peak_3d FROM cur3 JOIN n3 USING (type, scale_idx) WHERE mock_id < 0 GROUP BY 1),
+pr AS (SELECT type, peak_2d, peak_3d, CASE WHEN peak_2d > 0 THEN peak_3d / peak_2d ELSE 1 END AS ratio_change FROM p2 JOIN p3 USING (type))"""
+SQL["peak_ratio_2d_3d"] = f"{DIMS} SELECT type, round(peak_2d, 6) AS peak_2d, round(peak_3d, 6) AS peak_3d, round(ratio_change, 6) AS ratio_change FROM pr"
+
+
+@query
+def dimension_summary(spark, sf):
+    return rounded(an.dimension_summary(_dimensions(spark, sf)))
+
+
+SQL["dimension_summary"] = f"{DIMS} SELECT count(ratio_change) AS n_types, round(avg(ratio_change), 6) AS mean_change, round(quantile_cont(ratio_change, 0.5), 6) AS median_change, count(*) FILTER (abs(ratio_change - 1) > 0.2) AS n_changed FROM pr"
 
 RADII = (0.02, 0.05, 0.1, 0.2)
 
@@ -590,18 +780,22 @@ SQL["besag_l"] = f"WITH {VPTS}, {RIP} SELECT type, radius, round(sqrt(k / 3.1415
 
 @query
 def ripley_null_band(spark, sf):
-    return rounded(an.ripley_band(vectors(spark, sf), list(RADII), 1.0, 5))
+    return rounded(an.ripley_band(vectors(spark, sf), list(RADII), 1.0, UNIFORMS))
 
 
-U = lambda s: f"('0x' || substr(md5({s}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
-SQL["ripley_null_band"] = f"""WITH {VPTS}, nn AS (SELECT type, count(*) AS n, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM pts GROUP BY 1 HAVING count(*) >= 10), rd AS (SELECT unnest([{', '.join(f'{r}::DOUBLE' for r in RADII)}]) AS radius),
-al AS (SELECT type, -1 AS mock_id, id, x, y FROM pts UNION ALL SELECT type, m, id, lx + (hx - lx) * {U("'box|' || m || '|' || id || '|x'")}, ly + (hy - ly) * {U("'box|' || m || '|' || id || '|y'")} FROM pts JOIN nn USING (type), (SELECT unnest(range(5)) AS m)),
+def band_sql(area: str = "1.0::DOUBLE") -> str:
+    """L of real points and of uniform ones in their boxes (ll), and the band of the latter (bb)."""
+    box = lambda a: f"l{a} + (h{a} - l{a}) * {U(f'{chr(39)}box|{chr(39)} || m || {chr(39)}|{chr(39)} || id || {chr(39)}|{a}{chr(39)}')}"
+    return f"""nn AS (SELECT type, count(*) AS n, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM pts GROUP BY 1 HAVING count(*) >= 10), rd AS (SELECT unnest([{', '.join(f'{r}::DOUBLE' for r in RADII)}]) AS radius),
+al AS (SELECT type, -1 AS mock_id, id, x, y FROM pts UNION ALL SELECT type, m, id, {box('x')}, {box('y')} FROM pts JOIN nn USING (type), (SELECT unnest(range({UNIFORMS})) AS m)),
 dd AS (SELECT a.type, a.mock_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM al a JOIN al b ON a.type = b.type AND a.mock_id = b.mock_id AND a.id < b.id),
 ct AS (SELECT type, mock_id, radius, count(*) AS pairs FROM dd, rd WHERE d2 <= radius * radius GROUP BY ALL),
-kk AS (SELECT type, mock_id, radius, n, 2.0::DOUBLE * coalesce(pairs, 0) / (n::DOUBLE * (n - 1)) AS k FROM nn JOIN rd ON true JOIN (SELECT unnest(range(-1, 5)) AS mock_id) ON true LEFT JOIN ct USING (type, mock_id, radius)),
+kk AS (SELECT type, mock_id, radius, n, {area} * 2.0::DOUBLE * coalesce(pairs, 0) / (n::DOUBLE * (n - 1)) AS k FROM nn JOIN rd ON true JOIN (SELECT unnest(range(-1, {UNIFORMS})) AS mock_id) ON true LEFT JOIN ct USING (type, mock_id, radius)),
 ll AS (SELECT *, sqrt(k / 3.141592653589793) - radius AS l FROM kk),
-bb AS (SELECT type, radius, quantile_cont(l, 0.025) AS lo, quantile_cont(l, 0.975) AS hi, avg(k) AS km FROM ll WHERE mock_id >= 0 GROUP BY ALL)
-SELECT type, radius, n, round(k, 6) AS k, round(l, 6) + 0.0 AS l, round(lo, 6) + 0.0 AS l_low, round(hi, 6) + 0.0 AS l_high, round(km, 6) AS k_null_mean FROM ll JOIN bb USING (type, radius) WHERE mock_id < 0"""
+bb AS (SELECT type, radius, quantile_cont(l, 0.025) AS lo, quantile_cont(l, 0.975) AS hi, avg(k) AS km FROM ll WHERE mock_id >= 0 GROUP BY ALL)"""
+
+
+SQL["ripley_null_band"] = f"WITH {VPTS}, {band_sql()} SELECT type, radius, n, round(k, 6) AS k, round(l, 6) + 0.0 AS l, round(lo, 6) + 0.0 AS l_low, round(hi, 6) + 0.0 AS l_high, round(km, 6) AS k_null_mean FROM ll JOIN bb USING (type, radius) WHERE mock_id < 0"
 
 
 @query
@@ -613,19 +807,36 @@ def spearman_peaks(spark, sf):
 SQL["spearman_peaks"] = "WITH t AS (SELECT c_nationkey, count(*) AS a, round(avg(c_acctbal), -3) AS b FROM customer GROUP BY 1), r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::DOUBLE AS rb FROM t) SELECT count(*) AS n, round(corr(ra, rb), 6) + 0.0 AS rho FROM r"
 
 
+def _peaks(spark, sf) -> tuple[DataFrame, DataFrame]:
+    p = vectors(spark, sf)
+    roi, sc = setup(p)
+    return an.against_null(an.labelled_curves(p.drop("z"), roi, sc, MOCKS, 20), ["type"]), an.ripley_band(p, list(RADII), roi.area, UNIFORMS)
+
+
 @query
 def vmr_vs_l_peaks(spark, sf):
-    p = vectors(spark, sf)
-    roi, sc = setup(p, 2, 32, (2, 4, 8))
-    found = an.against_null(an.labelled_curves(p.drop("z"), roi, sc, 5, 20), ["type"])
-    return an.peak_scales(found, an.ripley_band(p, list(RADII), roi.area, 5))
+    return rounded(an.peak_scales(*_peaks(spark, sf)))
+
+
+PEAKS = f"""{null_chain(VPTS, least=20)}, {band_sql('(SELECT sx * sy FROM roi)')}, lp AS (SELECT type, CASE WHEN max(l - hi) > 0 THEN arg_max(radius, l - hi ORDER BY radius) END AS l_peak_um FROM ll JOIN bb USING (type, radius) WHERE mock_id < 0 GROUP BY 1),
+vp AS (SELECT type, CASE WHEN max(vmr - null_mean) > 0 THEN arg_max(um, vmr - null_mean ORDER BY scale_idx) END AS vmr_peak_um FROM vs GROUP BY 1), pp AS (SELECT * FROM vp JOIN lp USING (type))"""
+SQL["vmr_vs_l_peaks"] = f"{PEAKS} SELECT type, round(vmr_peak_um, 6) AS vmr_peak_um, l_peak_um FROM pp"
+
+
+@query
+def peak_agreement(spark, sf):
+    return rounded(an.peak_agreement(*_peaks(spark, sf)).select("n", "rho"))
+
+
+RANKS = "SELECT count(*) AS n, CASE WHEN count(*) >= 3 AND stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN round(corr(ra, rb), 6) + 0.0 END AS rho"
+SQL["peak_agreement"] = f"{PEAKS}, t AS (SELECT vmr_peak_um AS a, l_peak_um AS b FROM pp WHERE vmr_peak_um IS NOT NULL AND l_peak_um IS NOT NULL), r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::DOUBLE AS rb FROM t) {RANKS} FROM r"
 
 
 # --- jitter, top lists, histograms -----------------------------------------------------------------------------
 def _jittered(spark, sf) -> DataFrame:
     p = orders(spark, sf)
     roi, sc = setup(p)
-    return an.jittered(p, roi, sc, 3, 4, LEAST)
+    return an.jittered(p, roi, sc, TRIALS, MOCKS, LEAST)
 
 
 @query
@@ -638,15 +849,16 @@ def _off(t: str, a: str) -> str:
     return f"2 * greatest(sx, sy) / {GRID} * (2 * ({u}) - 1)"
 
 
-SQL["jitter_cv"] = f"""WITH {PTS}, {roi_sql()}, {FREQ}, {lab_sql(12, salt='trial')},
-tr AS (SELECT mock_id // 4 AS trial, mock_id % 4 AS mock_id, id, x, y, type FROM lab WHERE mock_id >= 0 UNION ALL SELECT t, -1, id, x, y, type FROM pts, (SELECT unnest(range(3)) AS t)),
-mv AS (SELECT trial, mock_id, type, x - ({_off('trial', 'x')}) AS x, y - ({_off('trial', 'y')}) AS y FROM tr JOIN freq USING (type), roi),
+JITTER = f"""WITH {PTS}, {roi_sql()}, {FREQ}, {lab_sql(TRIALS * MOCKS, salt='trial')},
+tr AS (SELECT mock_id // {MOCKS} AS trial, mock_id % {MOCKS} AS mock_id, id, x, y, type FROM lab WHERE mock_id >= 0 UNION ALL SELECT t, -1, id, x, y, type FROM pts, (SELECT unnest(range({TRIALS})) AS t)),
+of_ AS (SELECT t AS trial, {_off('t', 'x')} AS dx, {_off('t', 'y')} AS dy FROM (SELECT unnest(range({TRIALS})) AS t), roi),
+mv AS (SELECT trial, mock_id, type, x - dx AS x, y - dy AS y FROM tr JOIN freq USING (type) JOIN of_ USING (trial)),
 {pix_sql('mv', 'trial, mock_id, type')}, {bin_sql('trial, mock_id, type')}, {cur_sql('trial, mock_id, type')},
 nul AS (SELECT trial, type, scale_idx, avg(vmr) AS m FROM cur WHERE mock_id >= 0 GROUP BY ALL),
 vs AS (SELECT cur.*, CASE WHEN m > 0 THEN vmr / m ELSE 1 END AS ratio FROM cur JOIN nul USING (trial, type, scale_idx) WHERE mock_id < 0),
 tz AS (SELECT trial, type, (lead(ratio - 1) OVER w + ratio - 1) / 2 * (log10(lead(um) OVER w) - log10(um)) AS a FROM vs WINDOW w AS (PARTITION BY trial, type ORDER BY scale_idx)),
-ex AS (SELECT trial, type, sum(a) AS e FROM tz GROUP BY ALL)
-SELECT type, count(*) AS n_trials, round(avg(e), 4) + 0.0 AS mean_excess, round(CASE WHEN avg(e) > 0 THEN stddev_pop(e) / avg(e) ELSE 0 END, 4) AS cv FROM ex GROUP BY 1 HAVING count(*) = 3"""
+ex AS (SELECT trial, type, sum(a) AS e FROM tz GROUP BY ALL)"""
+SQL["jitter_cv"] = f"{JITTER} SELECT type, count(*) AS n_trials, round(avg(e), 4) + 0.0 AS mean_excess, round(CASE WHEN avg(e) > 0 THEN stddev_pop(e) / avg(e) ELSE 0 END, 4) AS cv FROM ex GROUP BY 1 HAVING count(*) = {TRIALS}"
 
 
 @query
@@ -655,6 +867,9 @@ def jitter_ranking(spark, sf):
     return rounded(an.ranks_by_mean(rows.groupBy("trial", "type").agg(F.max("ratio").alias("peak")), "peak", 3), 4)
 
 
+SQL["jitter_ranking"] = f"{JITTER}, pk AS (SELECT trial, type, max(ratio) AS peak FROM vs GROUP BY ALL) SELECT type, round(avg(peak), 4) AS mean_score FROM pk GROUP BY 1 ORDER BY avg(peak) DESC, type LIMIT 3"
+
+
 @query
 def top_k_other(spark, sf):
     p = read(spark, sf, "part").select(F.col("p_type").alias("type"))
@@ -687,7 +902,10 @@ SQL["universal_types"] = "SELECT o_orderpriority AS type FROM orders WHERE o_ord
 
 @query
 def pvalue_histogram(spark, sf):
-    return stats.p_histogram(stats.joint_test(_labelled(spark, sf), ["type"]))
+    return rounded(stats.p_histogram(stats.joint_test(_labelled(spark, sf), ["type"])))
+
+
+SQL["pvalue_histogram"] = f"{null_chain()}, {hot_sql()}, pb AS (SELECT CAST(least(floor(p_value * 20), 19) AS INTEGER) AS b, count(*) AS n FROM hf GROUP BY 1) SELECT CAST(i AS INTEGER) AS bin, i / 20.0::DOUBLE AS low, coalesce(n, 0) AS n, CAST(sum(coalesce(n, 0)) OVER () AS BIGINT) AS n_all, round(CAST(sum(coalesce(n, 0)) OVER () AS DOUBLE) * 0.05::DOUBLE, 6) AS expected FROM (SELECT unnest(range(20)) AS i) LEFT JOIN pb ON b = i"
 
 
 @query
@@ -720,10 +938,10 @@ SQL["default_scales"] = "WITH " + "c AS (SELECT unnest(range(48)) AS i), s AS (S
 
 # --- round trips -----------------------------------------------------------------------------------------------
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A folder that all executors reach: the warehouse."""
+    """A folder that all executors reach: the one for checkpoints, else the warehouse."""
     import uuid
 
-    base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
     return f"{base}/stipple-{uuid.uuid4().hex[:10]}-{name}"
 
 
@@ -793,6 +1011,141 @@ def pairs_json_roundtrip(spark, sf):
 SQL["pairs_json_roundtrip"] = f"{co_chain()}, pk AS (SELECT type_a, type_b, arg_max(um, abs(r - null_mean) ORDER BY scale_idx) AS peak_scale_um FROM co GROUP BY ALL) SELECT type_a, type_b, round(peak_scale_um, 6) AS peak_scale_um, round(r, 6) + 0.0 AS r FROM co JOIN pk USING (type_a, type_b)"
 
 
+def _small_fingerprints(spark, sf) -> DataFrame:
+    """Records of types: curves over four made-up scales from sums of prices, for the round trips."""
+    o = read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("type")).agg(F.count("*").alias("n_cells"), *[F.round(F.avg("o_totalprice") / k, 3).alias(f"v{k}") for k in (1, 2, 3)])
+    return o.select("type", "n_cells", F.array("v1", "v2", "v3").alias("vmr_curve"), F.array(*[F.lit(float(k)) for k in (10, 20, 40)]).alias("scales_um"), F.round(F.col("v1") / F.col("v3"), 4).alias("peak_vmr_ratio"), F.lit(float("nan")).alias("p_value"))
+
+
+SMALL = "sm AS (SELECT o_orderpriority AS type, count(*) AS n_cells, [round(avg(o_totalprice) / 1, 3), round(avg(o_totalprice) / 2, 3), round(avg(o_totalprice) / 3, 3)] AS v FROM orders GROUP BY 1)"
+
+
+@query
+def fingerprints_json(spark, sf):
+    """Fingerprint records written a line each, without missing numbers, and read again."""
+    from .sources import reports
+
+    path = _scratch(spark, "fingerprints")
+    reports.write_json(reports.fingerprint_records(_small_fingerprints(spark, sf).withColumn("other", F.lit(1))), path)
+    back = spark.read.schema("type string, n_cells long, vmr_curve array<double>, p_value double, peak_vmr_ratio double, other int").json(path)
+    return back.select("type", "n_cells", F.get("vmr_curve", F.lit(1)).alias("second"), "peak_vmr_ratio", "p_value", "other")
+
+
+SQL["fingerprints_json"] = f"WITH {SMALL} SELECT type, n_cells, v[2] AS second, round(v[1] / v[3], 4) AS peak_vmr_ratio, CAST(NULL AS DOUBLE) AS p_value, CAST(NULL AS INTEGER) AS other FROM sm"
+
+
+@query
+def report_document(spark, sf):
+    """One report with metadata and a summary before its results, written and read again."""
+    from .sources import reports
+
+    path = _scratch(spark, "report")
+    rows = _small_fingerprints(spark, sf).select("type", "n_cells", "peak_vmr_ratio")
+    top = rows.agg(F.max("n_cells")).first()[0] or 0
+    reports.write_document(rows, path, analysis="peaks", n_types=rows.count(), summary=F.struct(F.lit(top).alias("most")))
+    text = spark.read.text(path).select(F.from_json("value", "struct<analysis:string,n_types:bigint,summary:struct<most:bigint>,results:array<struct<type:string,n_cells:bigint,peak_vmr_ratio:double>>>").alias("d"))
+    return text.select("d.analysis", "d.n_types", F.col("d.summary.most").alias("most"), F.explode("d.results").alias("r")).select("analysis", "n_types", "most", "r.*")
+
+
+SQL["report_document"] = f"WITH {SMALL} SELECT 'peaks' AS analysis, count(*) OVER () AS n_types, max(n_cells) OVER () AS most, type, n_cells, round(v[1] / v[3], 4) AS peak_vmr_ratio FROM sm"
+
+
+@query
+def trials_json(spark, sf):
+    """Fingerprints of several trials, a list of objects by type, read by trial and type."""
+    from .sources import reports
+
+    path = _scratch(spark, "trials")
+    rows = _small_fingerprints(spark, sf).select("type", F.struct("n_cells", "vmr_curve", "scales_um", "p_value").alias("r"))
+    one = rows.agg(F.map_from_entries(F.collect_list(F.struct("type", "r"))).alias("m"))
+    one.select(F.to_json(F.array("m", "m")).alias("value")).coalesce(1).write.text(path)
+    return reports.read_trials(spark, path).select(F.col("trial").cast("long").alias("trial"), "type", "n_cells", F.element_at("vmr_curve", -1).alias("last"), "p_value")
+
+
+SQL["trials_json"] = f"WITH {SMALL} SELECT trial, type, n_cells, v[3] AS last, CAST(NULL AS DOUBLE) AS p_value FROM sm, (SELECT unnest(range(2)) AS trial)"
+
+
+def _curve_files(spark, sf) -> str:
+    """A folder with a broken file, one of another kind, and two curve files in nanometres and micrometres."""
+    path = _scratch(spark, "curves")
+    lines = read(spark, sf, "orders").groupBy(F.lit(1)).agg(F.to_json(F.struct(F.array(*[F.round(F.avg("o_totalprice") / k, 3) for k in (1, 2, 3)]).alias("vmr"), F.array(F.lit(5.0), F.lit(50.0), F.lit(500.0)).alias("scales_nm"), F.array(F.lit(1.0), F.lit(1.0), F.lit(1.5)).alias("null_mean"))).alias("value")).select("value")
+    for name, rows in (("a", lines.select(F.lit("{broken").alias("value"))), ("b", lines.select(F.lit('{"vmr": [1.0]}').alias("value"))), ("c", lines), ("d", lines.select(F.lit('{"vmr": [9.0], "scales_um": [1.0]}').alias("value")))):
+        rows.coalesce(1).write.text(f"{path}/{name}")
+    return f"{path}/*/*.txt"
+
+
+@query
+def curve_files(spark, sf):
+    from .sources import reports
+
+    return reports.find_curves(spark, _curve_files(spark, sf))
+
+
+SQL["curve_files"] = "WITH v AS (SELECT avg(o_totalprice) AS a FROM orders) SELECT 'nm' AS unit, CAST(k - 1 AS INTEGER) AS place, 5.0::DOUBLE * pow(10, k - 1) AS scale, round(a / k, 3) AS vmr, CASE k WHEN 3 THEN 1.5::DOUBLE ELSE 1 END AS null_mean, CAST(NULL AS DOUBLE) AS null_sd FROM v, (SELECT unnest([1, 2, 3]) AS k)"
+
+
+@query
+def universal_comparison(spark, sf):
+    """A curve from files beside the orders' own regional curve."""
+    from .sources import reports
+
+    p = orders(spark, sf)
+    tissue = an.regional(p, *setup(p), UNIFORMS).select(F.lit("um").alias("unit"), F.col("scale_idx").alias("place"), F.col("um").alias("scale"), "vmr", "null_mean", "null_sd")
+    return rounded(an.universal_comparison({"files": reports.find_curves(spark, _curve_files(spark, sf)), "orders": tissue}))
+
+
+SQL["universal_comparison"] = f"SELECT 'files' AS panel, unit, place, scale, vmr, null_mean, null_mean AS low, null_mean AS high FROM ({SQL['curve_files']}) UNION ALL SELECT 'orders', 'um', scale_idx, round(um, 6), round(vmr, 6), round(null_mean, 6), round(null_mean - 2 * null_sd, 6) + 0.0, round(null_mean + 2 * null_sd, 6) + 0.0 FROM ({regional_sql(PTS)} SELECT * FROM rc)"
+
+
+@query
+def regions_there(spark, sf):
+    """Region files that exist, out of a longer list."""
+    from .sources import tables
+
+    path = _scratch(spark, "regions")
+    o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("cell_label"), F.col("o_totalprice").alias("x"), F.col("o_orderpriority").alias("class"), "o_orderstatus")
+    for k in ("F", "O"):
+        tables.write_region(o.where(F.col("o_orderstatus") == k), f"{path}/{k}")
+    found = tables.read_regions_there(spark, {k: f"{path}/{k}" for k in ("F", "O", "missing")})
+    out = None
+    for k, rows in sorted(found.items()):
+        one = rows.groupBy("class").agg(F.count("*").alias("n"), F.round(F.sum("x"), 2).alias("total")).withColumn("region", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+SQL["regions_there"] = "SELECT o_orderstatus AS region, o_orderpriority AS class, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY ALL"
+
+
+@query
+def region_etl(spark, sf):
+    """Cells with coordinates and parcellation joined, filtered and projected, through a region file."""
+    from .sources import tables
+
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("cell_label"), F.col("c_nationkey").alias("parcellation_index"))
+    n, r = read(spark, sf, "nation"), read(spark, sf, "region")
+    regions = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_nationkey").alias("parcellation_index"), F.col("r_name").alias("division"), F.col("n_name").alias("structure"))
+    cells = read(spark, sf, "customer").select(F.col("c_custkey").alias("cell_label"), F.col("c_acctbal").alias("x"), F.col("c_mktsegment").alias("class"), F.lit("q").alias("dropped"))
+    path = _scratch(spark, "etl")
+    tables.write_region(tables.region_etl(cells, c, regions, "EUROPE"), path)
+    return tables.read_region(spark, path)
+
+
+SQL["region_etl"] = "SELECT c_custkey AS cell_label, c_acctbal AS x, c_mktsegment AS class FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'"
+
+
+@query
+def csv_inferred(spark, sf):
+    from .sources import reports, tables
+
+    path = _scratch(spark, "inferred")
+    reports.write_csv(read(spark, sf, "nation").select("n_nationkey", "n_name", (F.col("n_regionkey") + 0.5).cast("double").alias("half")), path)
+    return tables.read_csv(spark, path).select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", "half")
+
+
+SQL["csv_inferred"] = "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, n_regionkey + 0.5::DOUBLE AS half FROM nation"
+
+
 @query
 def stream_pixel_counts(spark, sf):
     from .streaming.counts import pixel_counts

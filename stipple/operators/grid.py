@@ -116,8 +116,9 @@ def curves(binned: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def curves_of(points: DataFrame, roi: Roi, scales: Scales, keys: list[str]) -> DataFrame:
-    return curves(bins(pixels(points, roi, keys), scales, roi, keys), keys)
+    return curves_of_counts(pixels(points, roi, keys), scales, roi, keys)
 
 
 def curves_of_counts(counts: DataFrame, scales: Scales, roi: Roi, keys: list[str]) -> DataFrame:
-    return curves(bins(counts, scales, roi, keys), keys)
+    """``curves`` of pixel counts, which are placed by their keys once: bins, scales times as many rows, are then added up where they are."""
+    return curves(bins(counts.repartition(*keys), scales, roi, keys), keys)

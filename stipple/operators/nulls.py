@@ -4,10 +4,22 @@ Every draw is a function of (mock, id) by ``functions.chance``, so plans can be
 recomputed anywhere. Ranks of whole tables are found without a global sort: rows
 are dealt into buckets by the first hex digits of their random key, ranked in
 their bucket, and the small table of bucket sizes gives each bucket's base.
+
+Points are ranked once for all label shuffles. A mock permutes the ranks by
+arithmetic alone: ranks fill a grid row by row, whose last row may be short; each
+round moves every row, or every column, round by a random amount, which tabulation
+hashing gives: a row's number has two digits, and two small tables of random numbers
+are added up. That is a permutation of exactly the ranks there are, so no mock sorts
+or exchanges anything, and labels come from the runs that equal labels form in
+sorted order.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import accumulate
+from math import isqrt
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,17 +44,79 @@ def mocks(rows: DataFrame, n: int, out: str = "mock_id") -> DataFrame:
     return rows.withColumn(out, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def shuffled(points: DataFrame, n_mocks: int, stratum: str | None = None, salt: str = "", digits: int = 2) -> DataFrame:
-    """(mock_id, id, x, y[, z], type): the labels permuted over the points, in each stratum by itself if there is one.
+#: Rounds of a permutation, blocks of positions that labels are looked up by.
+ROUNDS, BLOCKS = 4, 4096
+
+
+def _digits(n: int) -> int:
+    """Hex digits that cut ``n`` random keys into buckets of some 50,000."""
+    return max(1, (max(n, 1) // 50_000).bit_length() // 4 + 1)
+
+
+def _tables(spark: SparkSession, n: int, size: int, salt: str) -> DataFrame:
+    """(mock_id, _t0, _t1, ...): of each round two tables of ``size`` random 28-bit numbers behind each other."""
+    rows = spark.range(n).select(F.col("id").cast("int").alias("mock_id"))
+    draw = lambda r: lambda j: F.conv(F.substring(chance.key(salt, F.col("mock_id"), r, j), 1, 7), 16, 10).cast("int")
+    return rows.select("mock_id", *[F.transform(F.sequence(F.lit(0), F.lit(2 * size - 1)), draw(r)).alias(f"_t{r}") for r in range(ROUNDS)])
+
+
+def _amount(r: int, number: Column, size: int) -> Column:
+    t = F.col(f"_t{r}")
+    return F.get(t, number % size) + F.get(t, F.lit(size) + ((number - number % size) / size).cast("int"))
 
-    Ids are unique. The k-th label in one random order goes to the k-th point in
-    another, so each mock has the same number of every label.
+
+def shuffled(points: DataFrame, n_mocks: int, stratum: str | None = None, salt: str = "") -> DataFrame:
+    """(mock_id, id, x, y[, z, stratum], type): the labels permuted over the points, in each stratum by itself if there is one.
+
+    Ids are unique, types not null. Each mock has the same number of every label (in
+    every stratum). Points without a stratum keep their labels. The driver sees the
+    number of points of each stratum and type, and sends the runs of labels to all
+    tasks (``BLOCKS`` rows and one for each stratum and type) and the random tables (of
+    each mock some dozen times the fourth root of the points).
     """
-    by = [stratum] if stratum else []
-    labels = ranked(points.select("id", "type", *by), chance.key(f"{salt}-1", F.col("id")), by, digits).select("type", "k", *by)
-    where = mocks(points.drop("type"), n_mocks)
-    spots = ranked(where, chance.key(F.concat(F.lit(salt), F.col("mock_id").cast("string")), F.col("id")), ["mock_id", *by], digits)
-    return spots.join(labels, ["k", *by]).drop("k")
+    spark, by = points.sparkSession, [stratum] if stratum else []
+    free = points.where(F.col(stratum).isNotNull()) if by else points
+    runs = sorted((tuple(r[c] for c in by), r["type"], r["n"]) for r in free.groupBy(*by, "type").agg(F.count("*").alias("n")).collect())
+    total = sum(n for *_, n in runs)
+    sizes: dict[tuple, int] = {}
+    for key, _, n in runs:
+        sizes[key] = sizes.get(key, 0) + n
+    bases = dict(zip(sizes, accumulate([0, *sizes.values()]), strict=False))
+    wide = {key: isqrt(max(n - 1, 0)) + 1 for key, n in sizes.items()}
+    rows_before = dict(zip(sizes, accumulate([0, *(-(-n // wide[key]) for key, n in sizes.items())]), strict=False))
+    columns_before = dict(zip(sizes, accumulate([0, *wide.values()]), strict=False))
+    shapes = [(*key, bases[key], wide[key], n // wide[key], n % wide[key], rows_before[key], columns_before[key]) for key, n in sizes.items()]
+    # rows and columns are about the square root of the points, so integers hold them
+    kinds = ("long", *["int"] * 5)
+    shape = ("_base", "_wide", "_high", "_rest", "_rows", "_columns")
+    size = isqrt(max(sum(-(-n // wide[key]) for key, n in sizes.items()), sum(wide.values()))) + 1
+    rows = ranked(free.drop("type"), chance.key(f"{salt}-1", F.col("id")), by, _digits(total))
+    if by:
+        kind = points.schema[stratum].dataType.simpleString()
+        rows = rows.join(F.broadcast(spark.createDataFrame(shapes, f"`{stratum}` {kind}, {', '.join(f'{c} {k}' for c, k in zip(shape, kinds, strict=True))}")), by)
+    else:
+        rows = rows.withColumns({c: F.lit(v).cast(k) for c, v, k in zip(shape, shapes[0] if shapes else (0, 1, 0, 0, 0, 0), kinds, strict=True)})
+    rows = rows.withColumns({"_u": F.expr("int((k - 1) div _wide)"), "_v": F.expr("int((k - 1) % _wide)")}).drop("k")
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")  # few rows here, many times as many below
+    drawn = mocks(rows, n_mocks).join(F.broadcast(_tables(spark, n_mocks, size, salt)), "mock_id")
+    u, v = F.col("_u"), F.col("_v")
+    for r in range(ROUNDS):
+        if r % 2:
+            drawn = drawn.withColumn("_u", (u + _amount(r, F.col("_columns") + v, size)) % (F.col("_high") + F.when(v < F.col("_rest"), 1).otherwise(0)))
+        else:
+            drawn = drawn.withColumn("_v", (v + _amount(r, F.col("_rows") + u, size)) % F.when(u < F.col("_high"), F.col("_wide")).otherwise(F.col("_rest")))
+    step = max(1, -(-total // BLOCKS))
+    starts = accumulate([0, *(n for *_, n in runs)])
+    labels = [(block, lo, lo + n, t) for (_, t, n), lo in zip(runs, starts, strict=False) for block in range(lo // step, (lo + n - 1) // step + 1)]
+    kind = points.schema["type"].dataType.simpleString()
+    labels = F.broadcast(spark.createDataFrame(labels, f"_block long, _lo long, _hi long, type {kind}"))
+    # never null, as Spark should know, which would else test the whole chain of rounds for nulls before the join
+    drawn = drawn.withColumn("_at", F.coalesce(F.col("_base") + u.cast("long") * F.col("_wide") + v, F.lit(0))).withColumn("_block", F.coalesce(F.expr(f"_at div {step}"), F.lit(0)))
+    out = drawn.join(labels, "_block").where((F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi")))
+    out = out.select("mock_id", *[c for c in points.columns if c != "type"], "type")
+    if by:
+        out = out.unionByName(mocks(points.where(F.col(stratum).isNull()), n_mocks).select(*out.columns))
+    return out
 
 
 def with_real(points: DataFrame, drawn: DataFrame) -> DataFrame:
@@ -50,7 +124,7 @@ def with_real(points: DataFrame, drawn: DataFrame) -> DataFrame:
     return points.withColumn("mock_id", F.lit(-1)).select(*drawn.columns).unionByName(drawn)
 
 
-def convex_hull(points: DataFrame, directions: int = 4096) -> list[tuple[float, float]]:
+def convex_hull(points: DataFrame) -> list[tuple[float, float]]:
     """Vertices of the hull, counterclockwise.
 
     Each task keeps only the hull of its own batches (a hull's points are hull points
@@ -95,36 +169,43 @@ def in_hull(hull: list[tuple[float, float]], x: Column, y: Column) -> Column:
     """Whether a point is on no edge's outer side."""
     if len(hull) < 3:
         return F.lit(False)
-    edges = F.array(*[F.struct(F.lit(a[0]).alias("ax"), F.lit(a[1]).alias("ay"), F.lit(b[0] - a[0]).alias("dx"), F.lit(b[1] - a[1]).alias("dy")) for a, b in zip(hull, [*hull[1:], hull[0]], strict=True)])
-    return F.forall(edges, lambda e: e["dx"] * (y - e["ay"]) - e["dy"] * (x - e["ax"]) >= 0)
+    inner = [F.lit(b[0] - a[0]) * (y - a[1]) - F.lit(b[1] - a[1]) * (x - a[0]) >= 0 for a, b in zip(hull, [*hull[1:], hull[0]], strict=True)]
+    return reduce(Column.__and__, inner)
+
+
+def _place(value: Column, limits: list[float], first: int = 0) -> Column:
+    """How many of the rising ``limits`` are at or below ``value``, by halving."""
+    if not limits:
+        return F.lit(first)
+    k = len(limits) // 2
+    return F.when(value < limits[k], _place(value, limits[:k], first)).otherwise(_place(value, limits[k + 1 :], first + k + 1))
 
 
 def uniform_in_hull(spark: SparkSession, hull: list[tuple[float, float]], n: int, n_mocks: int, salt: str = "csr") -> DataFrame:
-    """(mock_id, id, x, y): ``n`` uniform points of the hull for each mock, by rejection from its box.
+    """(mock_id, id, x, y): ``n`` uniform points of the hull for each mock.
 
-    So many tries are made that too few are accepted with a chance below 1e-9; the
-    first ``n`` accepted ones count, in the order of their numbers.
+    None is drawn in vain: a draw picks a triangle of the hull's fan by area, two more
+    a place in it. A hull without area is refused.
     """
-    x, y = np.array(hull).T
-    lo, span = (x.min(), y.min()), (np.ptp(x), np.ptp(y))
-    rate = max(hull_area(hull) / max(span[0] * span[1], 1e-300), 1e-3)
-    tries = int(np.ceil(n / rate + 6 * np.sqrt(n) / rate + 20))
-    drawn = mocks(spark.range(tries).withColumnRenamed("id", "try"), n_mocks)
-    at = drawn.withColumns({
-        "x": F.lit(float(lo[0])) + F.lit(float(span[0])) * chance.uniform(salt, F.col("mock_id"), F.col("try"), "x"),
-        "y": F.lit(float(lo[1])) + F.lit(float(span[1])) * chance.uniform(salt, F.col("mock_id"), F.col("try"), "y"),
-    })
-    good = at.where(in_hull(hull, F.col("x"), F.col("y"))).withColumnRenamed("try", "id")
-    kept = ranked(good, F.lpad(F.hex("id"), 16, "0"), ["mock_id"], digits=max(1, 16 - max(1, len(f"{tries:x}") - 2)))
-    return kept.where(F.col("k") <= n).drop("k")
+    if hull_area(hull) <= 0:
+        raise ValueError("the hull has no area")
+    (ax, ay), fan = hull[0], list(zip(hull[1:], hull[2:], strict=False))
+    areas = [abs((b[0] - ax) * (c[1] - ay) - (b[1] - ay) * (c[0] - ax)) / 2 for b, c in fan]
+    limits = [a / sum(areas) for a in accumulate(areas)][:-1]
+    corners = F.array(*[F.struct(*[F.lit(float(v)).alias(k) for k, v in (("bx", b[0]), ("by", b[1]), ("cx", c[0]), ("cy", c[1]))]) for b, c in fan])
+    drawn = mocks(spark.range(n), n_mocks)
+    u, r, s = (chance.uniform(salt, F.col("mock_id"), F.col("id"), k) for k in ("t", "r", "s"))
+    drawn = drawn.select("mock_id", "id", u.alias("u"), F.sqrt(r).alias("r"), s.alias("s")).withColumn("t", F.element_at(corners, _place(F.col("u"), limits) + 1))
+    at = lambda a, k: F.lit(float(a)) + F.col("r") * (F.col(f"t.b{k}") - a + F.col("s") * (F.col(f"t.c{k}") - F.col(f"t.b{k}")))
+    return drawn.select("mock_id", "id", at(ax, "x").alias("x"), at(ay, "y").alias("y"))
 
 
 def acceptance(spark: SparkSession, hull: list[tuple[float, float]], tries: int = 10000, salt: str = "csr") -> DataFrame:
-    """(tried, accepted, rate) of the rejection."""
+    """(tried, accepted, rate) of uniform points of the hull's box that fall into the hull."""
     x, y = np.array(hull).T
     u, v = (F.lit(float(a.min())) + F.lit(float(np.ptp(a))) * chance.uniform(salt, 0, F.col("id"), n) for a, n in ((x, "x"), (y, "y")))
-    hit = F.sum(in_hull(hull, u, v).cast("long"))
-    return spark.range(tries).agg(F.count("*").alias("tried"), hit.alias("accepted")).withColumn("rate", F.col("accepted") / F.col("tried"))
+    at = spark.range(tries).select(u.alias("u"), v.alias("v"))
+    return at.agg(F.count("*").alias("tried"), F.count_if(in_hull(hull, F.col("u"), F.col("v"))).alias("accepted")).withColumn("rate", F.col("accepted") / F.col("tried"))
 
 
 def bandwidth(points: DataFrame, dims: int = 2) -> DataFrame:
@@ -159,9 +240,16 @@ def jitters(roi: Roi, n: int, salt: str = "jitter") -> list[tuple[float, ...]]:
     return [tuple(reach * (2 * draw(t, a) - 1) for a in roi.axes) for t in range(n)]
 
 
-def resamples(mock_values: DataFrame, keys: list[str], n_mocks: int, n_boot: int, salt: str = "boot") -> DataFrame:
-    """(boot, slot, mock_id + the values): ``n_mocks`` mocks drawn with replacement, ``n_boot`` times for each key."""
-    spark = mock_values.sparkSession
-    slots = spark.range(n_boot * n_mocks).select(F.floor(F.col("id") / n_mocks).cast("int").alias("boot"), (F.col("id") % n_mocks).cast("int").alias("slot"))
-    picks = slots.withColumn("mock_id", F.floor(chance.uniform(salt, F.col("boot"), F.col("slot")) * n_mocks).cast("int"))
-    return mock_values.join(picks, "mock_id")
+def resamples(curves: DataFrame, keys: list[str], n_boot: int, value: str = "vmr", salt: str = "boot") -> DataFrame:
+    """(keys, boot, mock_id, scale_idx, value): for each key as many of its mocks as it has, drawn with replacement ``n_boot`` times, each key by draws of its own.
+
+    ``curves`` (keys, mock_id from 0, scale_idx, value) hold the usable mocks of a key, which
+    are picked by their rank among them; ``mock_id`` of the result numbers the draws.
+    """
+    order = W.Window.partitionBy(*keys).orderBy("mock_id")
+    usable = curves.select(*keys, "mock_id").distinct().withColumn("_k", F.row_number().over(order).cast("long"))
+    many = usable.groupBy(*keys).agg(F.count("*").alias("_n"))
+    slots = many.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("slot", F.explode(F.expr("sequence(0, cast(_n as int) - 1)")))
+    picks = slots.withColumn("_k", F.floor(chance.uniform(salt, *[F.col(k) for k in keys], F.col("boot"), F.col("slot")) * F.col("_n")).cast("long") + 1)
+    picked = picks.join(usable, [*keys, "_k"]).select(*keys, "boot", "slot", "mock_id")
+    return picked.join(curves.select(*keys, "mock_id", "scale_idx", value), [*keys, "mock_id"]).select(*keys, "boot", F.col("slot").alias("mock_id"), "scale_idx", value)

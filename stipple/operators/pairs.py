@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scales import Scales
+from .grid import Roi
 from .stats import pearson
 
 
@@ -35,21 +39,38 @@ def type_pairs(types: DataFrame) -> DataFrame:
     return a.join(b, F.col("type_a") < F.col("type_b"))
 
 
-def bin_correlations(binned: DataFrame, keys: list[str], types: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(keys, type_a, type_b, scale_idx, vox, um, r): Pearson correlation of two types' counts over all bins.
+def bin_correlations(counts: DataFrame, scales: Scales, roi: Roi, keys: list[str], types: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(keys, type_a, type_b, scale_idx, vox, um, r): Pearson correlation of two types' counts over all bins, from pixel counts (keys, type, gx, gy, c).
 
-    Products come from a join of the occupied bins; the sums of each type alone are
-    joined to every pair, so pairs that never meet have their row, too.
+    For each key the types' pixels are a dense array, types times grid cells and so no
+    larger for more points; at each scale it is summed into bins, and one matrix product
+    gives the sums of all pairs, of those that never meet, too.
     """
-    at = [*keys, "scale_idx", "vox", "um", "n_bins"]
-    place = [c for c in ("bx", "by", "bz") if c in binned.columns]
-    rows = binned.join(types.select("type"), "type", "left_semi")
-    sums = rows.groupBy(*at, "type").agg(F.sum("c").alias("s1"), F.sum(F.col("c") * F.col("c")).alias("s2"))
-    a, b = (rows.select(*at, *place, F.col("type").alias(f"type_{k}"), F.col("c").alias(f"c{k}")) for k in "ab")
-    products = a.join(b, [*at, *place]).where("type_a < type_b").groupBy(*at, "type_a", "type_b").agg(F.sum(F.col("ca") * F.col("cb")).alias("sab"))
-    one, two = (sums.select(*at, F.col("type").alias(f"type_{k}"), F.col("s1").alias(f"s{k}"), F.col("s2").alias(f"s{k}{k}")) for k in "ab")
-    every = one.join(two, at).where("type_a < type_b").join(products, [*at, "type_a", "type_b"], "left")
+    rows = counts.join(types.select("type"), "type", "left_semi")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    place = [f"g{a}" for a in roi.axes]
+    steps = list(enumerate(zip(scales.vox, scales.um, strict=True)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, t = np.unique(pdf["type"].to_numpy(), return_inverse=True)
+        dense = np.zeros((len(names), *[roi.grid] * len(place)))
+        dense[(t, *(pdf[p].to_numpy() for p in place))] = pdf["c"].to_numpy()
+        a, b = np.triu_indices(len(names), 1)
+        out = []
+        for i, (v, um) in steps:
+            n = roi.grid // v
+            if n < 2:
+                c, n = dense.reshape(len(names), -1).sum(axis=1, keepdims=True), 1
+            else:
+                c = dense[(slice(None), *[slice(0, n * v)] * len(place))].reshape(len(names), *[n, v] * len(place)).sum(axis=tuple(range(2, 2 * len(place) + 1, 2))).reshape(len(names), -1)
+            both, one = c @ c.T, c.sum(axis=1)
+            out.append(pd.DataFrame({"type_a": names[a], "type_b": names[b], "scale_idx": i, "vox": v, "um": float(um), "n": float(n ** len(place)), "sa": one[a], "sb": one[b], "saa": both[a, a], "sbb": both[b, b], "sab": both[a, b]}))
+        found = pd.concat(out, ignore_index=True)
+        for k in keys:
+            found[k] = pdf[k].iloc[0]
+        return found
+
+    sums = rows.groupBy(*keys).applyInPandas(run, f"{fields}, type_a string, type_b string, scale_idx int, vox int, um double, n double, sa double, sb double, saa double, sbb double, sab double")
     if pairs is not None:
-        every = every.join(pairs, ["type_a", "type_b"], "left_semi")
-    d = {c: F.coalesce(F.col(c), F.lit(0)).cast("double") for c in ("n_bins", "sa", "sb", "saa", "sbb", "sab")}
-    return every.select(*keys, "type_a", "type_b", "scale_idx", "vox", "um", pearson(d["n_bins"], d["sa"], d["sb"], d["saa"], d["sbb"], d["sab"]).alias("r"))
+        sums = sums.join(pairs, ["type_a", "type_b"], "left_semi")
+    return sums.select(*keys, "type_a", "type_b", "scale_idx", "vox", "um", pearson(*[F.col(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")]).alias("r"))

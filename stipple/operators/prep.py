@@ -13,6 +13,8 @@ log = logging.getLogger(__name__)
 # Type levels from coarse to fine, and the division code of each named region.
 LEVELS = ("class", "subclass", "supertype", "cluster")
 DIVISIONS = {"isocortex": "Isocortex", "hippocampus": "HPF", "thalamus": "TH"}
+# Fixed value: the form of a layer at the end of a name.
+LAYER = r"(\d+(?:/\d+)?[a-b]?)$"
 
 
 def with_regions(coordinates: DataFrame, parcellation: DataFrame) -> DataFrame:
@@ -26,11 +28,17 @@ def annotate(cells: DataFrame, regions: DataFrame, keep: tuple[str, ...] = ("div
     return cells.join(regions.select(on, *[c for c in keep if c in regions.columns]), on, "left")
 
 
-def region(cells: DataFrame, name: str, column: str = "division") -> DataFrame:
-    """Rows of a region: a known name's division code, or the name itself as code. Nulls drop."""
+def region(cells: DataFrame, name: str, column: str = "division", report: bool = False) -> DataFrame:
+    """Rows of a region: a known name's division code, or the name itself as code. Nulls drop.
+
+    With ``report`` an empty result is looked for, and the log names the divisions there are.
+    """
     if column not in cells.columns:
         raise ValueError(f"no column {column!r}: join regions first")
-    return cells.where(F.col(column) == DIVISIONS.get(name.lower(), name))
+    rows = cells.where(F.col(column) == DIVISIONS.get(name.lower(), name))
+    if report and rows.isEmpty():
+        log.warning("no cells in region %s; there are %s", name, some_divisions(cells, column))
+    return rows
 
 
 def some_divisions(cells: DataFrame, column: str = "division", n: int = 20) -> list[str]:
@@ -61,7 +69,7 @@ def prepare(cells: DataFrame, level: str = "class", id_col: str = "cell_label",
 
 def cortical_layer(substructure: Column) -> Column:
     """``L`` and the layer at the end of a name (``L2/3`` of VISpm2/3); null where there is none or it isn't 1 to 6."""
-    found = F.regexp_extract(substructure, r"(\d+(?:/\d+)?[a-b]?)$", 1)
+    found = F.regexp_extract(substructure, LAYER, 1)
     ok = substructure.isNotNull() & (substructure != "unassigned") & F.substring(found, 1, 1).isin(*"123456")
     return F.when(ok, F.concat(F.lit("L"), found))
 

@@ -60,8 +60,11 @@ def joint_test(curves: DataFrame, keys: list[str], value: str = "vmr", shrinkage
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in curves.select(*keys).schema)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="mock_id", columns="scale_idx", values=value).sort_index(axis=1)
-        real, nulls = wide[wide.index < 0].to_numpy(), wide[wide.index >= 0].to_numpy()
+        ids, i = np.unique(pdf["mock_id"].to_numpy(), return_inverse=True)
+        scales, j = np.unique(pdf["scale_idx"].to_numpy(), return_inverse=True)
+        wide = np.full((len(ids), len(scales)), np.nan)
+        wide[i, j] = pdf[value].to_numpy()
+        real, nulls = wide[ids < 0], wide[ids >= 0]
         out = pdf[keys].iloc[:1].copy()
         if not len(real) or len(nulls) < least_mocks:
             return out.iloc[:0].assign(chi_squared=[], dof=[], condition_number=[], n_mocks_used=[])
@@ -101,8 +104,8 @@ def spearman(rows: DataFrame, a: str, b: str, least: int = 3) -> DataFrame:
     def average_rank(c: str) -> Column:
         return F.rank().over(W.Window.orderBy(c)) + (F.count("*").over(W.Window.partitionBy(c)) - 1) / 2.0
 
-    r = rows.withColumns({"_a": average_rank(a), "_b": average_rank(b)}).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("rho"), F.stddev_pop("_a").alias("_sa"), F.stddev_pop("_b").alias("_sb"))
-    r = r.withColumn("rho", F.when((F.col("n") >= least) & (F.col("_sa") > 0) & (F.col("_sb") > 0), F.col("rho"))).drop("_sa", "_sb")
+    r = rows.withColumns({"_a": average_rank(a), "_b": average_rank(b)}).agg(F.count("*").alias("n"), F.covar_pop("_a", "_b").alias("_c"), F.stddev_pop("_a").alias("_sa"), F.stddev_pop("_b").alias("_sb"))
+    r = r.withColumn("rho", F.when(F.col("n") >= least, F.try_divide("_c", F.col("_sa") * F.col("_sb")))).select("n", "rho")
     inner = F.col("rho").isNotNull() & (F.abs("rho") < 1)
     t = F.col("rho") * F.sqrt((F.col("n") - 2) / F.when(inner, 1 - F.col("rho") * F.col("rho")))
     return r.withColumn("p_value", F.when(inner, tails.t_two_sided(t, F.col("n") - 2)).when(F.col("rho").isNotNull(), 0.0))

@@ -59,13 +59,19 @@ def cooccurrence(points: DataFrame, roi: grid.Roi, scales: Scales, n_mocks: int
     """(type_a, type_b, scale_idx, vox, um, r, null_mean, null_sd, significant): correlations of counts against shuffles."""
     types = prep.frequent_types(points, min_cells)
     every = nulls.with_real(points, nulls.shuffled(points, n_mocks))
-    binned = grid.bins(grid.pixels(every, roi, ["mock_id", "type"]), scales, roi, ["mock_id", "type"])
-    r = pairs.bin_correlations(binned.persist(), ["mock_id"], types, type_pairs).persist()
+    r = pairs.bin_correlations(grid.pixels(every, roi, ["mock_id", "type"]), scales, roi, ["mock_id"], types, type_pairs).persist()
     real = r.where("mock_id < 0").drop("mock_id")
     out = real.join(stats.null_moments(r, ["type_a", "type_b"], "r").drop("n_mocks"), ["type_a", "type_b", "scale_idx"])
     return out.withColumn("significant", F.abs(F.col("r") - F.col("null_mean")) > 2 * F.col("null_sd"))
 
 
+def correlation_band(rows: DataFrame, n: int = 3) -> DataFrame:
+    """(type_a, type_b, scale_idx, um, r, low, high) of the ``n`` pairs farthest from their nulls: curves with two null deviations around the null mean."""
+    far = rows.groupBy("type_a", "type_b").agg(cv.excess_sigma(F.col("r"), F.col("null_mean"), F.col("null_sd")).alias("_far")).orderBy(F.col("_far").desc(), "type_a", "type_b").limit(n)
+    out = rows.join(far, ["type_a", "type_b"], "left_semi")
+    return out.select("type_a", "type_b", "scale_idx", "um", "r", (F.col("null_mean") - 2 * F.col("null_sd")).alias("low"), (F.col("null_mean") + 2 * F.col("null_sd")).alias("high"))
+
+
 def cooccurrence_summary(rows: DataFrame) -> DataFrame:
     """One row per pair: peaks against the null, extremes, integral, sign change, excess, significant scales."""
     keys = ["type_a", "type_b"]
@@ -90,8 +96,9 @@ def matrix_entries(rows: DataFrame, scale_idx: int | None = None) -> DataFrame:
     return both.unionByName(both.select("type_a").distinct().select("type_a", F.col("type_a").alias("type_b"), F.lit(1.0).alias("value")))
 
 
-def matrix(rows: DataFrame, scale_idx: int | None = None) -> DataFrame:
-    return matrix_entries(rows, scale_idx).groupBy("type_a").pivot("type_b").agg(F.first("value")).orderBy("type_a")
+def matrix(rows: DataFrame, scale_idx: int | None = None, types: list[str] | None = None) -> DataFrame:
+    """The matrix with a column for each type; known ``types`` spare a look for them."""
+    return matrix_entries(rows, scale_idx).groupBy("type_a").pivot("type_b", types).agg(F.first("value")).orderBy("type_a")
 
 
 def regional(points: DataFrame, roi: grid.Roi, scales: Scales, n_mocks: int = 20) -> DataFrame:
@@ -105,6 +112,17 @@ def regional(points: DataFrame, roi: grid.Roi, scales: Scales, n_mocks: int = 20
     return out.withColumn("ratio", cv.ratio(F.col("vmr"), F.col("null_mean")))
 
 
+def regional_comparison(regions: dict[str, DataFrame], grid_size: int = 256, vox: list[int] | None = None, n_mocks: int = 20) -> DataFrame:
+    """``regional`` of several regions (region, n_cells, ...), each on a grid and scales of its own, with the band of two null deviations as ratios."""
+    out = None
+    for name, points in regions.items():
+        roi = grid.roi_of(points, grid_size)
+        scales = Scales.of_pixels(vox, roi.extent, grid_size) if vox else Scales.default(roi.extent, grid_size)
+        one = envelope(regional(points, roi, scales, n_mocks)).select(F.lit(name).alias("region"), F.col("n_points").alias("n_cells"), "scale_idx", "um", "vmr", "null_mean", "null_sd", "ratio", "low", "high")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def jittered(points: DataFrame, roi: grid.Roi, scales: Scales, n_trials: int = 10, n_mocks: int = 20, min_cells: int = 50) -> DataFrame:
     """(trial, type, scale_idx, um, n, vmr, null_mean, null_sd, ratio): the grid's origin moved and labels shuffled anew in each trial."""
     types = prep.frequent_types(points, min_cells)
@@ -131,31 +149,43 @@ def jitter_spread(rows: DataFrame) -> DataFrame:
 
 
 def null_kinds(points: DataFrame, roi: grid.Roi, scales: Scales, kinds: dict[str, str | None], n_mocks: int, min_cells: int) -> DataFrame:
-    """(null_kind, mock_id, type, scale_idx, ..., vmr): curves under several shuffles, each within a stratum column or none."""
-    out = None
+    """(null_kind, mock_id, type, scale_idx, ..., vmr): curves under several shuffles, each within a stratum column or none.
+
+    The mocks of all kinds go through one grid; real curves are made once and repeated for each kind.
+    """
+    types = prep.frequent_types(points, min_cells)
+    axes = list(roi.axes)
+    every = points.select(F.lit("").alias("null_kind"), F.lit(-1).alias("mock_id"), *axes, "type")
     for kind, stratum in kinds.items():
-        one = labelled_curves(points.select("id", "x", "y", "type", *([stratum] if stratum else [])), roi, scales, n_mocks, min_cells, stratum).withColumn("null_kind", F.lit(kind))
-        out = one if out is None else out.unionByName(one)
-    return out
+        drawn = nulls.shuffled(points.select("id", *axes, "type", *([stratum] if stratum else [])), n_mocks, stratum)
+        every = every.unionByName(drawn.select(F.lit(kind).alias("null_kind"), "mock_id", *axes, "type"))
+    curve = grid.curves_of(every.join(types.select("type"), "type", "left_semi"), roi, scales, ["null_kind", "mock_id", "type"])
+    each = F.when(F.col("mock_id") < 0, F.array(*[F.lit(k) for k in kinds])).otherwise(F.array("null_kind"))
+    curve = curve.withColumn("null_kind", F.explode(each))
+    return stats.usable(curve.join(types.withColumnRenamed("n_cells", "n"), "type")).persist()
+
+
+def _kinds_tested(curves: DataFrame, kinds: dict[str, str], least_mocks: int) -> DataFrame:
+    """One row per type with n_cells and, for each of ``kinds`` (name: suffix), the joint test, peak and integral under that null."""
+    keys = ["null_kind", "type"]
+    m = measures(against_null(curves, keys), keys).join(stats.joint_test(curves, keys, least_mocks=least_mocks), keys)
+    cols = ("chi_squared", "p_value", "peak_vmr_ratio", "integrated_excess", "n_mocks_used")
+    wide = m.groupBy("type").agg(F.max("n_cells").alias("n_cells"), *[F.max(F.when(F.col("null_kind") == k, F.col(c))).alias(f"{c}_{s}") for k, s in kinds.items() for c in cols])
+    return wide.dropna(subset=[f"chi_squared_{s}" for s in kinds.values()])
 
 
 def mediation(curves: DataFrame, overall: str = "overall", within: str = "within", least_mocks: int = 5) -> DataFrame:
     """One row per type: both joint tests, the share that the stratum explains, peaks and integrals under both nulls."""
-    keys = ["null_kind", "type"]
-    rows = against_null(curves, keys)
-    m = measures(rows, keys).join(stats.joint_test(curves, keys, least_mocks=least_mocks), keys)
-    side = lambda kind, s: m.where(F.col("null_kind") == kind).select("type", *[F.col(c).alias(f"{c}_{s}") for c in ("chi_squared", "p_value", "peak_vmr_ratio", "integrated_excess", "n_mocks_used")])
-    size = m.groupBy("type").agg(F.max("n_cells").alias("n_cells"))
-    both = side(overall, "overall").join(side(within, "within"), "type").join(size, "type")
+    both = _kinds_tested(curves, {overall: "overall", within: "within"}, least_mocks)
     return both.withColumn("mediation_pct", cv.percent_change(F.col("chi_squared_within"), F.col("chi_squared_overall")))
 
 
 def mediation_bootstrap(curves: DataFrame, n_boot: int = 200, overall: str = "overall", within: str = "within", least_mocks: int = 10, least_valid: int = 50) -> DataFrame:
-    """(type, mediation_pct, ci_low, ci_high, n_valid): mocks resampled with replacement, both nulls by the same draws."""
-    n_mocks = curves.agg(F.max("mock_id")).first()[0] + 1
-    drawn = nulls.resamples(curves.where("mock_id >= 0").select("null_kind", "type", "mock_id", "scale_idx", "vmr"), [], n_mocks, n_boot).drop("mock_id").withColumnRenamed("slot", "mock_id")
-    real = curves.where("mock_id < 0").select("null_kind", "type", "mock_id", "scale_idx", "vmr").withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    tests = stats.joint_test(drawn.unionByName(real.select(*drawn.columns)), ["null_kind", "type", "boot"], least_mocks=2)
+    """(type, mediation_pct, ci_low, ci_high, n_valid): the mocks of each null resampled with replacement, by draws of its own."""
+    keys = ["null_kind", "type"]
+    drawn = nulls.resamples(curves.where("mock_id >= 0").select(*keys, "mock_id", "scale_idx", "vmr"), keys, n_boot)
+    real = curves.where("mock_id < 0").select(*keys, "mock_id", "scale_idx", "vmr").withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    tests = stats.joint_test(drawn.unionByName(real.select(*drawn.columns)), [*keys, "boot"], least_mocks=2)
     enough = curves.where("mock_id >= 0").groupBy("type", "null_kind").agg(F.countDistinct("mock_id").alias("k")).groupBy("type").agg(F.min("k").alias("k")).where(F.col("k") >= least_mocks)
     chi = tests.groupBy("type", "boot").agg(F.max(F.when(F.col("null_kind") == overall, F.col("chi_squared"))).alias("o"), F.max(F.when(F.col("null_kind") == within, F.col("chi_squared"))).alias("w"))
     values = chi.where("o > 0").withColumn("m", 100.0 * (1.0 - F.col("w") / F.col("o")))
@@ -169,12 +199,20 @@ def depth_mediation(points: DataFrame, roi: grid.Roi, scales: Scales, n_mocks: i
     """One row per type: mediation by the stratum, by stratum and depth quintile (column z), and what depth adds."""
     deep = prep.quantile_bins(prep.valid_strata(points), "z", n_bins).withColumn("both", prep.compound_stratum(F.col("stratum"), F.col("bin")))
     c = null_kinds(deep, roi, scales, {"overall": None, "stratum": "stratum", "compound": "both"}, n_mocks, min_cells)
-    one, two = mediation(c, within="stratum", least_mocks=10), mediation(c, within="compound", least_mocks=10)
-    out = one.select("type", "n_cells", F.col("chi_squared_overall").alias("chi2_overall"), F.col("chi_squared_within").alias("chi2_stratum"), F.col("mediation_pct").alias("mediation_stratum"))
-    out = out.join(two.select("type", F.col("chi_squared_within").alias("chi2_compound"), F.col("mediation_pct").alias("mediation_compound")), "type")
+    t = _kinds_tested(c, {k: k for k in ("overall", "stratum", "compound")}, 10)
+    share = lambda k: cv.percent_change(F.col(f"chi_squared_{k}"), F.col("chi_squared_overall"))
+    out = t.select("type", "n_cells", *[F.col(f"chi_squared_{k}").alias(f"chi2_{k}") for k in ("overall", "stratum", "compound")], share("stratum").alias("mediation_stratum"), share("compound").alias("mediation_compound"))
     return out.withColumn("depth_increment", F.col("mediation_compound") - F.col("mediation_stratum"))
 
 
+def points_against(real: DataFrame, mocks: DataFrame, roi: grid.Roi, scales: Scales, least_mocks: int = 2) -> DataFrame:
+    """The joint test of one set of points (x, y[, z]) against given sets (mock_id, x, y[, z]), whatever null made them."""
+    axes = list(roi.axes)
+    every = real.select(F.lit(-1).alias("mock_id"), *axes).unionByName(mocks.select(F.col("mock_id").cast("int").alias("mock_id"), *axes))
+    curves = grid.curves_of(every, roi, scales, ["mock_id"]).withColumn("set", F.lit("points"))
+    return stats.joint_test(curves, ["set"], least_mocks=least_mocks).drop("set")
+
+
 def summary_of(rows: DataFrame, value: str) -> DataFrame:
     v = F.col(value)
     return rows.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.min(v).alias("low"), F.max(v).alias("high"))
@@ -192,6 +230,12 @@ def peak_ratios_by_dims(points: DataFrame, roi2: grid.Roi, scales2: Scales, roi3
     return out.withColumn("ratio_change", F.when(F.col("peak_2d") > 0, F.col("peak_3d") / F.when(F.col("peak_2d") > 0, F.col("peak_2d"))).otherwise(1.0))
 
 
+def dimension_summary(rows: DataFrame, least: float = 0.2) -> DataFrame:
+    """(n_types, mean_change, median_change, n_changed): of ``ratio_change``; changed: by more than ``least``."""
+    c = F.col("ratio_change")
+    return rows.agg(F.count(c).alias("n_types"), F.avg(c).alias("mean_change"), F.percentile(c, F.lit(0.5)).alias("median_change"), F.count_if(F.abs(c - 1.0) > least).alias("n_changed"))
+
+
 def ripley(points: DataFrame, radii: list[float], area: Column | float, keys: list[str], least: int = 10) -> DataFrame:
     """(keys, radius, n, pairs, k, l): K = area 2 pairs / (n (n - 1)) without edge correction, L = sqrt(K / pi) - r; keys below ``least`` points drop."""
     size = points.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)
@@ -225,6 +269,36 @@ def peak_scales(found: DataFrame, band: DataFrame) -> DataFrame:
     return v_peak.join(l_peak, "type")
 
 
+def peak_agreement(found: DataFrame, band: DataFrame) -> DataFrame:
+    """(n, rho, p_value): rank correlation of the two measures' peak scales over the types for which L has a peak; null for fewer than three or constant peaks."""
+    return stats.spearman(peak_scales(found, band), "vmr_peak_um", "l_peak_um")
+
+
+def characteristic_scales(regions: dict[str, DataFrame]) -> DataFrame:
+    """(region, type, peak_scale_um) of the significant types of each region's fingerprints."""
+    out = None
+    for name, found in regions.items():
+        one = found.where("is_significant").select(F.lit(name).alias("region"), "type", "peak_scale_um")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def universal_comparison(panels: dict[str, DataFrame]) -> DataFrame:
+    """(panel, unit, place, scale, vmr, null_mean, low, high) of curves from several sources side by side; the band is two null deviations, null where a source has no null.
+
+    Each source has unit, place, scale and vmr, and null_mean and null_sd if it knows them.
+    """
+    out = None
+    for name, curve in panels.items():
+        for c in ("null_mean", "null_sd"):
+            if c not in curve.columns:
+                curve = curve.withColumn(c, F.lit(None).cast("double"))
+        sd = F.coalesce("null_sd", F.lit(0.0))
+        one = curve.select(F.lit(name).alias("panel"), "unit", "place", "scale", "vmr", "null_mean", (F.col("null_mean") - 2 * sd).alias("low"), (F.col("null_mean") + 2 * sd).alias("high"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def universal_types(tables: dict[str, DataFrame]) -> DataFrame:
     """(type): types that all tables have."""
     out = None
@@ -288,7 +362,3 @@ def cropped(points: DataFrame, roi: grid.Roi, share: float = 0.05) -> DataFrame:
     for a, o, s in zip(roi.axes, roi.origin, roi.size, strict=True):
         keep = keep & (F.col(a) >= o + share * s) & (F.col(a) <= o + (1 - share) * s)
     return points.where(keep)
-
-
-def ranked_in_region(rows: DataFrame, region: str, by: str) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(W.Window.partitionBy(region).orderBy(F.col(by).desc(), "type")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The keys of a fingerprint record.
@@ -29,13 +29,17 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 
 def as_document(rows: DataFrame, key: str | None = None, **meta: object) -> DataFrame:
-    """One row, one JSON text: the records as an object by ``key`` or a list; with ``meta``, those first and the records as results."""
+    """One row, one JSON text: the records as an object by ``key`` or a list; with ``meta``, those first and the records as results.
+
+    The format wants one document, so this is for results: a record for each type or pair
+    of types, whatever the number of points.
+    """
     record = F.struct(*[c for c in rows.columns if c != key])
     every = F.map_from_entries(F.collect_list(F.struct(F.col(key), record))) if key else F.collect_list(record)
     one = finite(rows).agg(every.alias("results"))
     if not meta:
         return one.select(F.to_json("results").alias("document"))
-    return one.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in meta.items()], "results")).alias("document"))
+    return one.select(F.to_json(F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in meta.items()], "results")).alias("document"))
 
 
 def write_document(rows: DataFrame, path: str, key: str | None = None, **meta: object) -> None:
@@ -46,7 +50,7 @@ _RECORD = "struct<n_cells:bigint,vmr_curve:array<double>,skewness_curve:array<do
 
 
 def _text(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", r"\bNaN\b", "null").alias("value"))
+    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("_file"), F.regexp_replace("value", r"\bNaN\b", "null").alias("value"))
 
 
 def read_fingerprints(spark: SparkSession, path: str) -> DataFrame:
@@ -68,12 +72,19 @@ def read_trials(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("trial", F.explode("m").alias("type", "r")).select("trial", "type", "r.*")
 
 
-def find_curves(spark: SparkSession, pattern: str, needed: tuple[str, ...] = ("vmr_curve", "scales_um")) -> DataFrame:
-    """Records of all files of a pattern that have the needed keys; broken files count as empty."""
-    rows = _text(spark, pattern).select(F.explode(F.from_json("value", f"map<string,{_RECORD}>", {"mode": "PERMISSIVE"})).alias("type", "r")).select("type", "r.*")
-    for c in needed:
-        rows = rows.where(F.col(c).isNotNull())
-    return rows
+def find_curves(spark: SparkSession, pattern: str) -> DataFrame:
+    """(unit, place, scale, vmr, null_mean, null_sd) of the first file of a pattern, by name, that holds one curve.
+
+    Such a file is one flat object with ``vmr`` and ``scales_nm`` or ``scales_um``, and
+    perhaps ``null_mean`` and ``null_std``. Files that are broken or hold something else
+    are passed over; without any the result is empty.
+    """
+    fields = "struct<vmr:array<double>,scales_nm:array<double>,scales_um:array<double>,null_mean:array<double>,null_std:array<double>>"
+    rows = _text(spark, pattern).select(F.col("_file"), F.from_json("value", fields).alias("c")).where("c.vmr is not null and (c.scales_nm is not null or c.scales_um is not null)")
+    first = rows.orderBy("_file").limit(1)
+    curve = first.select(F.when(F.col("c.scales_nm").isNotNull(), "nm").otherwise("um").alias("unit"), F.coalesce("c.scales_nm", "c.scales_um").alias("scales"), "c.vmr", "c.null_mean", "c.null_std")
+    at = curve.select("*", F.posexplode("scales").alias("place", "scale"))
+    return at.select("unit", "place", "scale", *[F.get(c, F.col("place")).alias(n) for c, n in (("vmr", "vmr"), ("null_mean", "null_mean"), ("null_std", "null_sd"))])
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -75,13 +75,103 @@ def test_shuffles_keep_composition_and_strata(uniform):
     assert drawn.join(p.select("id", F.col("type").alias("t")), "id").where("type <> t").count() > 300
 
 
+def test_points_without_a_stratum_keep_their_labels(uniform):
+    p = uniform.withColumn("stratum", F.when(F.col("x") < 400, "a").when(F.col("x") < 600, "b"))
+    drawn = nulls.shuffled(p, 4, "stratum")
+    assert drawn.count() == 4 * 1200 and drawn.groupBy("mock_id").agg(F.countDistinct("id").alias("n")).where("n = 1200").count() == 4
+    moved = drawn.join(p.select("id", F.col("type").alias("t")), "id").where("type <> t")
+    assert moved.where("stratum is null").count() == 0 and moved.where("stratum is not null").count() > 500
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 16, 50])
+def test_shuffles_of_few_points_are_permutations(spark, n):
+    p = points(spark, [(i, float(i), 0.0, f"t{i}") for i in range(n)])
+    got = nulls.shuffled(p, 60).toPandas().sort_values(["mock_id", "id"])
+    orders = {tuple(g["type"]) for _, g in got.groupby("mock_id")}
+    assert all(sorted(o) == sorted(f"t{i}" for i in range(n)) for o in orders)
+    assert len(orders) > min(60, math.factorial(n)) * 0.6
+
+
+def test_shuffles_are_even(spark):
+    p = points(spark, [(i, float(i), 0.0, "A" if i < 10 else "B") for i in range(60)])
+    got = nulls.shuffled(p, 3000).where("type = 'A'").groupBy("id").count().toPandas()
+    # each point is an A in a sixth of the mocks; two points together in 10 * 9 / (60 * 59) of them
+    assert len(got) == 60 and abs(got["count"] - 500).max() < 5 * math.sqrt(3000 * 5 / 36)
+    both = nulls.shuffled(p, 3000).where("type = 'A' and id in (3, 4)").groupBy("mock_id").count().where("count = 2").count()
+    assert abs(both / 3000 - 90 / 3540) < 0.012
+
+
+def test_bootstraps_draw_each_key_by_itself(spark):
+    rows = [(k, m, s, float(100 * m + s)) for k, ms in (("a", (0, 2, 5, 7)), ("b", (0, 1, 2, 3))) for m in ms for s in range(2)]
+    curves = spark.createDataFrame(rows, "null_kind string, mock_id int, scale_idx int, vmr double")
+    got = nulls.resamples(curves, ["null_kind"], 40).toPandas()
+    assert (got.groupby(["null_kind", "boot"]).size() == 8).all() and set(got[got.null_kind == "a"].vmr // 100) == {0, 2, 5, 7}
+    picks = {k: tuple(g.sort_values(["boot", "mock_id", "scale_idx"]).vmr.rank(method="dense")) for k, g in got.groupby("null_kind")}
+    assert picks["a"] != picks["b"]
+
+
+def test_given_point_sets(spark, clustered):
+    roi = grid.roi_of(clustered, 64)
+    sc = Scales.of_pixels([2, 4, 8, 16], roi.extent, 64)
+    r = np.random.default_rng(9)
+    mocks = spark.createDataFrame([(m, float(x), float(y)) for m in range(30) for x, y in r.uniform(0, 1000, (500, 2))], "mock_id int, x double, y double")
+    found = an.points_against(clustered.where("type = 'C'"), mocks, roi, sc).first()
+    assert found["p_value"] < 0.05 and found["n_mocks_used"] == 30
+    even = an.points_against(mocks.where("mock_id = 0"), mocks.where("mock_id > 0"), roi, sc).first()
+    assert even["p_value"] > 0.01
+
+
+# Published curves of one type, and ratio changes of twelve, with the measures given for them.
+SCALES = [40.51871764713805, 81.0374352942761, 121.55615294141414, 182.3342294121212, 222.85294705925926, 283.63102352996634, 344.4091000006734, 405.18717647138044, 506.4839705892256, 668.5588411777778, 830.63371176633, 992.7085823548822]
+VMR = [9.966431728447336, 37.14355180393188, 81.01221800997948, 175.06073629318632, 257.74077469741314, 408.6075538266465, 605.0491201173829, 806.8135381121364, 1225.447062760619, 2010.821344939766, 2951.0388027867975, 3977.96154577323]
+NULL_MEAN = [8.404563448572677, 30.96329875762621, 67.82952583310102, 147.43676495204738, 220.2171034771618, 351.2323661872935, 525.1779936078345, 696.2258572962093, 1067.3120681629305, 1780.126705324303, 2628.247556228952, 3590.0614384385412]
+PEAK, RATIO, EXCESS, WIDTH = 992.7085823548822, 1.1995993093204735, 0.23609986361363092, 1.3891660843645324
+CHANGES = [1.313458, 1.902436, 1.746725, 1.173412, 0.774125, 0.873387, 1.93661, 1.901381, 1.151899, 1.003947, 0.985395, 1.053064]
+
+
+def test_published_measures_follow_from_published_curves(spark):
+    rows = spark.createDataFrame([("k", 1, i, *v) for i, v in enumerate(zip(SCALES, VMR, NULL_MEAN, strict=True))], "type string, n long, scale_idx int, um double, vmr double, null_mean double")
+    got = an.measures(rows.withColumn("ratio", cv.ratio(F.col("vmr"), F.col("null_mean"))), ["type"]).first()
+    for name, value in (("peak_scale_um", PEAK), ("peak_vmr_ratio", RATIO), ("integrated_excess", EXCESS), ("width", WIDTH)):
+        assert math.isclose(got[name], value, rel_tol=1e-9)
+    assert got["direction"] == "clustered"
+    change = an.dimension_summary(spark.createDataFrame([(v,) for v in CHANGES], "ratio_change double")).first()
+    assert round(change["mean_change"], 3) == 1.318 and change["n_types"] == 12 and change["n_changed"] == 6
+    constant = spark.createDataFrame([(str(i), 1012.9679411784512, 1012.9679411784512) for i in range(8)], "type string, vmr_peak_um double, l_peak_um double")
+    same = stats.spearman(constant, "vmr_peak_um", "l_peak_um").first()
+    assert same["n"] == 8 and same["rho"] is None and same["p_value"] is None
+
+
+def test_curve_files_pass_over_others(spark, tmp_path):
+    from stipple.sources import reports
+
+    for name, text in (("a.json", "{not json"), ("b.json", '{"x": {"vmr": [1]}}'), ("c.json", '{"vmr": [1.5, NaN], "scales_um": [10, 20], "null_std": [0.1, 0.2]}'), ("d.json", '{"vmr": [7], "scales_nm": [1]}')):
+        (tmp_path / name).write_text(text)
+    got = [tuple(r) for r in reports.find_curves(spark, str(tmp_path / "*.json")).orderBy("place").collect()]
+    assert got == [("um", 0, 10.0, 1.5, None, 0.1), ("um", 1, 20.0, None, None, 0.2)]
+
+
+def test_an_empty_region_is_reported(spark, caplog):
+    cells = spark.createDataFrame([("a", "HPF"), ("b", None)], "cell_label string, division string")
+    with caplog.at_level("WARNING"):
+        assert prep.region(cells, "Thalamus", report=True).count() == 0
+    assert "HPF" in caplog.text
+
+
 def test_hull_area_and_containment(spark):
     square = points(spark, [(i, float(x), float(y), "s") for i, (x, y) in enumerate([(0, 0), (100, 0), (100, 100), (0, 100), (50, 50), (20, 70)])])
     hull = nulls.convex_hull(square)
     assert len(hull) == 4 and nulls.hull_area(hull) == 10000
     drawn = nulls.uniform_in_hull(spark, hull, 200, 2)
     assert drawn.groupBy("mock_id").count().where("count = 200").count() == 2
-    assert drawn.where(~nulls.in_hull(hull, F.col("x"), F.col("y"))).count() == 0
+    inner = [(x * 0.999999 + 50e-6, y * 0.999999 + 50e-6) for x, y in drawn.select("x", "y").collect()]
+    inside = spark.createDataFrame(inner, "x double, y double")
+    assert inside.where(~nulls.in_hull(hull, F.col("x"), F.col("y"))).count() == 0
+    assert abs(drawn.agg(F.avg("x")).first()[0] - 50) < 6 and nulls.acceptance(spark, hull).first()["rate"] == 1.0
+    thin = [(0.0, 0.0), (1000.0, 999.0), (1000.0, 1000.0)]
+    assert nulls.uniform_in_hull(spark, thin, 50, 2).count() == 100
+    with pytest.raises(ValueError):
+        nulls.uniform_in_hull(spark, [(0.0, 0.0), (1.0, 1.0)], 5, 1)
 
 
 def test_smoothed_bootstrap_keeps_the_modes(spark):
