@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,12 +109,10 @@ def skewness(n: Column, s1: Column, s2: Column, s3: Column) -> Column:
     return F.when(spread, third / F.when(spread, var * F.sqrt(var))).otherwise(0.0)
 
 
-def curves(binned: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, scale_idx, vox, um, n_points, vmr, skewness) from power sums, which are exact in 64-bit integers."""
-    c = F.col("c")
-    sums = binned.groupBy(*keys, "scale_idx", "vox", "um", "n_bins").agg(F.sum(c).alias("s1"), F.sum(c * c).alias("s2"), F.sum((c * c * c).cast("double")).alias("s3"))
+def curves(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, scale_idx, vox, um, n_points, vmr, skewness) from power sums (n_bins, s1, s2, s3), which are exact in doubles."""
     n, s1, s2, s3 = (F.col(k).cast("double") for k in ("n_bins", "s1", "s2", "s3"))
-    return sums.select(*keys, "scale_idx", "vox", "um", F.col("s1").alias("n_points"), vmr(n, s1, s2).alias("vmr"), skewness(n, s1, s2, s3).alias("skewness"))
+    return sums.select(*keys, "scale_idx", "vox", "um", F.col("s1").cast("long").alias("n_points"), vmr(n, s1, s2).alias("vmr"), skewness(n, s1, s2, s3).alias("skewness"))
 
 
 def curves_of(points: DataFrame, roi: Roi, scales: Scales, keys: list[str]) -> DataFrame:
@@ -120,5 +120,27 @@ def curves_of(points: DataFrame, roi: Roi, scales: Scales, keys: list[str]) -> D
 
 
 def curves_of_counts(counts: DataFrame, scales: Scales, roi: Roi, keys: list[str]) -> DataFrame:
-    """``curves`` of pixel counts, which are placed by their keys once: bins, scales times as many rows, are then added up where they are."""
-    return curves(bins(counts.repartition(*keys), scales, roi, keys), keys)
+    """``curves`` of pixel counts (keys, gx, gy[, gz], c): for each key the pixels as one dense grid, no larger for more points, summed into bins at every scale.
+
+    Scales do not nest, so adding up ``bins`` would first make scales times as many rows.
+    """
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.select(*keys).schema)
+    place, g = [f"g{a}" for a in roi.axes], roi.grid
+    steps = list(enumerate(zip(scales.vox, scales.um, strict=True)))
+
+    def run(table: pa.Table) -> pa.Table:
+        at = np.ravel_multi_index(tuple(table[p].to_numpy() for p in place), [g] * len(place))
+        dense = np.bincount(at, table["c"].to_numpy(), g ** len(place)).reshape([g] * len(place))
+        out: dict[str, list] = {k: [] for k in ("scale_idx", "vox", "um", "n_bins", "s1", "s2", "s3")}
+        for i, (v, um) in steps:
+            n = g // v
+            c = dense.sum(keepdims=True) if n < 2 else dense[(slice(0, n * v),) * len(place)].reshape([n, v] * len(place)).sum(axis=tuple(range(1, 2 * len(place), 2)))
+            c = c.ravel()
+            for k, value in zip(out, (i, v, float(um), len(c), c.sum(), c @ c, (c * c) @ c), strict=True):
+                out[k].append(value)
+        kinds = {"scale_idx": pa.int32(), "vox": pa.int32(), "n_bins": pa.int64()}
+        columns = {k: pa.array([table[k][0].as_py()] * len(steps), table.schema.field(k).type) for k in keys}
+        return pa.table(columns | {k: pa.array(x, kinds.get(k, pa.float64())) for k, x in out.items()})
+
+    sums = counts.groupBy(*keys).applyInArrow(run, f"{fields}, scale_idx int, vox int, um double, n_bins long, s1 double, s2 double, s3 double")
+    return curves(sums, keys)
