@@ -417,3 +417,126 @@ def test_sampled_and_own_segmentations_decode(spark, odd, none):
     assert sorted(map(key, got)) == sorted(map(key, again)) and sp_sampling.sample_segmentations(none, path).count() == 0
     both = odd.select("text", sp_sampling.decode_column(sp_sampling.encode_column(F.col("text"), path), path).alias("back"))
     assert all((r["text"] or "") == r["back"] for r in both.collect())
+
+
+def scalar_simhash(text, words=4):
+    """The fingerprint bit by bit, from the definition."""
+    import re
+
+    import xxhash
+
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    tokens = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    shingles = [" ".join(tokens[i : i + words]) for i in range(len(tokens) - words + 1)] or ([" ".join(tokens)] if tokens else [])
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprint_bits_follow_the_definition(spark, odd):
+    got = {(r["id"], r["text_hash"]): int(r["fp"][0]) % (1 << 64) for r in simhash.with_fingerprint(odd).collect()}
+    texts = {(r["doc_id"], r["h"]): r["text"] for r in odd.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    assert got == {k: scalar_simhash(t) for k, t in texts.items()}
+
+
+def test_quality_posteriors_follow_from_evidence(spark):
+    """The posteriors again from the evidence alone, by loops."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choice(words, 40)) if i % 4 else "Buy!! $$$ NOW " * 9, f"h{i % 5 if i % 3 else 0}", "ab"[i % 7 == 0]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 300, 2)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    e = dict(zip([r[0] for r in rows], model.evidence([r[1] for r in rows]), strict=True))
+    prior = np.log(model.base / (1 - model.base))
+    p = {i: 1 / (1 + np.exp(-(x + prior))) for i, x in e.items()}
+    sites = {}
+    for i, _, host, path in rows:
+        sites.setdefault((host, path), []).append(p[i])
+    hosts = {}
+    for (host, _), v in sites.items():
+        hosts.setdefault(host, []).extend(v)
+    top, total = np.mean(list(p.values())), len(rows)
+    noise = sum(sum((x - np.mean(v)) ** 2 for x in v) for v in sites.values()) / (total - len(sites))
+
+    def strength(groups):  # (n, mean, parent's mean)
+        g = [x for x in groups if x[0] >= 2]
+        n = sum(x[0] for x in g)
+        spread = (sum(k * (m - q) ** 2 for k, m, q in g) - len(g) * noise) / max(n - sum(x[0] ** 2 for x in g) / n, 1.0)
+        return float(np.clip(np.mean([q * (1 - q) for *_, q in g]) / max(spread, 1e-6) - 1, 1.0, 1e4))
+
+    outer = strength([(len(v), np.mean(v), top) for v in hosts.values()])
+    host_mean = {h: (sum(v) + outer * top) / (len(v) + outer) for h, v in hosts.items()}
+    inner = strength([(len(v), np.mean(v), host_mean[h]) for (h, _), v in sites.items()])
+    got = {r["doc_id"]: r for r in quality.assess(docs, labels).collect()}
+    for i, _, h, path in rows:
+        v = sites[h, path]
+        others = np.clip((sum(v) - p[i] + inner * host_mean[h]) / (len(v) - 1 + inner), 1e-6, 1 - 1e-6)
+        want = 1 / (1 + np.exp(-(e[i] + np.log(others / (1 - others)))))
+        assert np.isclose(got[i]["posterior"], want, rtol=1e-6) and np.isclose(got[i]["host_mean"], host_mean[h], rtol=1e-9) and got[i]["keep"] == (want >= 0.5)
+
+
+def test_quality_of_held_out_documents():
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(words, 50)) if i % 3 else " ".join(rng.choice(["BUY", "now!!", "$$$", "click"], 40)) for i in range(400)]
+    y = np.array([float(i % 3 > 0) for i in range(400)])
+    model = quality.Classifier(np.array([quality.features(t) for t in texts[:200]]), y[:200])
+    assert ((model.evidence(texts[200:]) > 0) == (y[200:] > 0)).mean() > 0.97
+
+
+def test_positive_unlabelled_risk_is_the_estimators():
+    """A scalar version of the corrected risk: descent ends where the risk is hardly lower nearby."""
+    rng = np.random.default_rng(4)
+    pos, neg = rng.binomial(1, 0.7, (150, 4)), rng.binomial(1, 0.2, (350, 4))
+    unl = np.vstack([rng.binomial(1, 0.7, (88, 4)), neg]).astype(np.float32)
+    pos = pos.astype(np.float32)
+
+    def risk(w, prior=0.2, ridge=1e-4):
+        loss = lambda z: float(np.log1p(np.exp(-z)))
+        score = lambda row: float(sum(a * b for a, b in zip(row, w[:-1], strict=True)) + w[-1])
+        p_up = sum(loss(score(r)) for r in pos) / len(pos)
+        p_down = sum(loss(-score(r)) for r in pos) / len(pos)
+        u_down = sum(loss(-score(r)) for r in unl) / len(unl)
+        return prior * p_up + max(0.0, u_down - prior * p_down) + ridge / 2 * sum(x * x for x in w[:-1])
+
+    w = learn.non_negative_pu(pos, unl, 0.2, steps=1500)
+    here = risk(w)
+    assert here < risk(np.zeros(5)) and all(risk(w + d) > here - 1e-3 for d in 0.3 * np.vstack([np.eye(5), -np.eye(5)]))
+
+
+def test_language_votes_match_a_scalar_version():
+    rng = np.random.default_rng(5)
+    texts = [(lang, t) for lang in ("en", "nl", "es", "it") for t in sentences(lang, 40, rng)]
+    x = np.array([langid.features(t) for _, t in texts])
+    model = langid.Model(x, np.array([lang for lang, _ in texts]))
+    for _, text in texts[::9]:
+        counts = {}
+        raw = langid._bytes(text)
+        for n in (1, 2, 3):
+            for i in range(len(raw) - n + 1):
+                b = raw[i : i + n]
+                h = b[0] * 0xC2B2AE35 if n == 1 else b[0] * 0x9E3779B1 + b[1] * 0x85EBCA6B if n == 2 else (b[0] * 0x9E3779B1 + b[1] * 0x85EBCA6B) * 0x27D4EB2F + b[2] * 0x165667B1
+                counts[h % 2**32 >> 20] = counts.get(h % 2**32 >> 20, 0) + 1
+        size = sum(counts.values()) ** 0.5
+        z = [sum(model.w[k, f] * c**0.5 / size for f, c in counts.items()) + model.w[k, -1] for k in range(len(model.w))]
+        prob = [1 / (1 + np.exp(-(a * v + b))) for v, (a, b) in zip(z, model.scale, strict=True)]
+        family = max(range(len(model.families)), key=lambda f: prob[model.first[f]])
+        votes = {k: 0.0 for k in model.families[family]}
+        for (i, j), m in model.pairs.items():
+            if i in votes:
+                votes[i if prob[m] >= 0.5 else j] += 1 + abs(prob[m] - 0.5) / 100
+        assert model.predict(text)[0] == model.langs[max(sorted(votes), key=votes.get)]
+
+
+def test_chat_of_empty_and_long_tables(spark):
+    c = spark.createDataFrame([(1, 0, "user", LONG), (1, 1, "assistant", "[" * 5000)], "conv_id long, turn long, role string, text string").withColumn("score", F.lit("clash"))
+    r = chat.read_back(chat.format_trees(chat.conversation_messages(c))).first()
+    assert [t["text"] for t in r["turns"]] == [LONG, "[" * 5000] and r["loss_text"] == "[" * 5000
+    assert chat.format_trees(chat.conversation_messages(c.where("conv_id < 0"))).count() == 0
+
+
+def test_a_spine_with_a_leaf_at_each_step(spark):
+    rows = [("t", i, i - 1 if i else None, 0.0) for i in range(40)] + [("t", 100 + i, i, float(i == 17)) for i in range(40)]
+    m = spark.createDataFrame(rows, "tree string, msg long, parent long, score double").withColumns({"role": F.lit("user"), "text": F.col("msg").cast("string")})
+    r = chat.read_back(chat.format_trees(m)).first()
+    assert r["leaf"] == 117 and [t["text"] for t in r["turns"]] == [str(i) for i in range(18)] + ["117"] and abs(r["path_score"] - 1 / 19) < 1e-12
