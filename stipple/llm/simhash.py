@@ -337,7 +337,7 @@ def _in_turn(rows: DataFrame, least: float) -> DataFrame:
                     kept.add(own)
             yield pdf[good]
 
-    spread = rows.select(*key, "own").repartition(parts(rows.sparkSession), "component").sortWithinPartitions(*key)
+    spread = rows.select(*key, "own").repartition("component").sortWithinPartitions(*key)  # Spark merges partitions where few rows are left
     return spread.mapInPandas(run, f"{_CAND}, own binary")
 
 
@@ -360,7 +360,7 @@ def _not_near(rows: DataFrame, kept: DataFrame, least: float) -> DataFrame:
 
     mine = rows.select("component", F.pmod(F.xxhash64("text_hash"), "cuts").cast("int").alias("salt"), F.lit(1).alias("side"), "none", "id", "text_hash", "own")
     theirs = kept.select("component", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("salt"), F.lit(0).alias("side"), "none", "id", "text_hash", "own")
-    both = mine.unionAll(theirs).repartition(parts(rows.sparkSession), *key).sortWithinPartitions(*key, "side")
+    both = mine.unionAll(theirs).repartition(*key).sortWithinPartitions(*key, "side")
     return both.mapInPandas(run, f"{_CAND}, own binary")
 
 
