@@ -52,15 +52,17 @@ def to_root(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     limit = (links.groupBy("tree").count().agg(F.max("count")).first()[0]) or 0
     jumps, reach = [], 1
     while True:
-        jump = state.where("above is not null").select("tree", "msg", "above")
-        if jump.isEmpty():
+        # only messages that haven't reached their root are joined further
+        short = state.where("above is not null")
+        if short.isEmpty():
             break
-        jumps.append(jump)
+        jumps.append(short.select("tree", "msg", "above"))
         if reach > limit:
             break
-        a, b = state.alias("a"), state.alias("b")
-        both = a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.above") == F.col("b.msg")), "left")
-        state = cut(both.select("a.tree", "a.msg", "b.above", (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"), (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps")), "chat-jump")
+        a, b = short.alias("a"), state.alias("b")
+        both = a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.above") == F.col("b.msg")))
+        new = cut(both.select("a.tree", "a.msg", "b.above", (F.col("a.total") + F.col("b.total")).alias("total"), (F.col("a.steps") + F.col("b.steps")).alias("steps")), "chat-jump")
+        state = new.unionAll(state.where("above is null"))
         reach *= 2
     return state.where("above is null").drop("above"), jumps
 
