@@ -61,8 +61,9 @@ def to_root(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             break
         a, b = short.alias("a"), state.alias("b")
         both = a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.above") == F.col("b.msg")))
-        new = cut(both.select("a.tree", "a.msg", "b.above", (F.col("a.total") + F.col("b.total")).alias("total"), (F.col("a.steps") + F.col("b.steps")).alias("steps")), "chat-jump")
-        state = new.unionAll(state.where("above is null"))
+        new = both.select("a.tree", "a.msg", "b.above", (F.col("a.total") + F.col("b.total")).alias("total"), (F.col("a.steps") + F.col("b.steps")).alias("steps"))
+        # written whole, so that a round reads one table instead of those of all rounds before it
+        state = cut(new.unionAll(state.where("above is null")), "chat-jump")
         reach *= 2
     return state.where("above is null").drop("above"), jumps
 
