@@ -5,7 +5,7 @@ all ASCII characters that are no letters as blanks; square roots of the counts,
 scaled to unit length. Families are found from the data: languages are merged by
 the likeness of their mean features until about the square root of their number
 is left. Everything is fitted on a bounded sample (``PER_LANG`` documents for a
-language, ``MAX_DOCS`` in all), chosen by a hash of the id.
+language, ``MAX_DOCS`` in all, ``MAX_LANGS`` languages), chosen by a hash of id and text.
 
 The machines always name one of the learned languages. Whether a text is in it at
 all is told by its mean log likelihood under the mean feature shares of that
@@ -22,13 +22,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
-from .learn import fold, linear_svm, platt, sigmoid
+from .learn import content_hash, fold, linear_svm, platt, share_of, sigmoid
 from .store import table
 
 DIM = 4096
 PER_LANG = 600
 MAX_DOCS = 6000
+MAX_LANGS = 200
 EVEN = 0.05  # weight of even shares, for features that a language has not shown
 _BLANK = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
@@ -144,20 +146,30 @@ class Model:
         return self.langs[best], float(fams[f] * share), bool(known)
 
 
-def fit(docs: DataFrame) -> Model:
-    """``docs`` (doc_id, text, lang): rows without a language or a letter are left out."""
-    known = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("string").alias("id"), "text", "lang")
-    count = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    h = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit("langid")), F.lit(1 << 30))
-    bound = max(1, min(PER_LANG, MAX_DOCS // max(1, len(count))))
-    share = F.create_map(*[F.lit(v) for lang, n in count.items() for v in (lang, int((1 << 30) * min(1.0, 1.3 * bound / n)))]) if count else F.create_map().cast("map<string,int>")
+def fit(docs: DataFrame, per_lang: int = PER_LANG, max_docs: int = MAX_DOCS, max_langs: int = MAX_LANGS) -> Model:
+    """``docs`` (doc_id, text, lang): rows without a language or a letter are left out.
+
+    At most ``max_docs`` labelled rows reach the driver: the same number for each of the
+    ``max_langs`` most frequent languages, ``per_lang`` at most, of its different rows by id
+    and text, so neither rows that share an id nor repeated ones are taken or left as a
+    whole. A pair of languages within a family has a machine of its own, so languages are
+    to be few.
+    """
+    known = docs.where("lang is not null and text is not null").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text", F.col("lang").cast("string").alias("lang"))
+    known = known.withColumn("h", content_hash("langid", F.col("id"), F.col("text")))
+    count = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_langs).collect()}
+    bound = max(1, min(per_lang, max_docs // max(1, len(count))))
+    share = F.create_map(*[F.lit(v) for lang, n in count.items() for v in (lang, share_of(bound, n))]) if count else F.create_map().cast("map<string,int>")
 
     @F.pandas_udf(T.BinaryType())
     def vector(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: features(t).astype(np.float16).tobytes() if has_letter(t) else None)
+        return text.map(lambda t: features(t).astype(np.float16).tobytes())
 
-    some = known.where(h <= share[F.col("lang")]).select("lang", h.alias("h"), vector("text").alias("x")).where("x is not null").toPandas()
-    some = some.sort_values(["h", "lang"]).groupby("lang").head(bound)
+    lettered = F.pandas_udf(lambda text: text.map(has_letter).astype(bool), T.BooleanType())
+    some = known.where(F.col("h") < share[F.col("lang")]).dropDuplicates(["lang", "id", "text"]).where(lettered("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "text"))
+    some = some.withColumn("k", place).where(F.col("k") <= bound).select("lang", "h", "k", vector("text").alias("x")).toPandas()
+    some = some.sort_values(["h", "lang", "k"])
     x = np.array([np.frombuffer(v, np.float16) for v in some["x"]], dtype=np.float32).reshape(len(some), DIM)
     return Model(x, some["lang"].to_numpy())
 
@@ -178,11 +190,13 @@ def language(model: Model, text: Column) -> Column:
 def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score from a model fitted on ``train``.
 
-    Every row comes back once with all its columns; without training rows all are
-    ``und``. An empty table gives an empty table.
+    Every row comes back once with all its columns, repeated rows and those without an
+    id too, but for columns of these two names, which are replaced; without training
+    rows all are ``und``. An empty table gives an empty table.
     """
     model = fit(train)
-    return docs.withColumn("_lang", language(model, F.col(text_col))).withColumns({"lang_pred": F.col("_lang.lang"), "score": F.col("_lang.score")}).drop("_lang")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]).alias("_row"), language(model, F.col(text_col)).alias("_lang"))
+    return rows.select("_row.*", F.col("_lang.lang").alias("lang_pred"), F.col("_lang.score").alias("score"))
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,13 +12,33 @@ def fold(id_col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))
 
 
-def bounded_sample(rows: DataFrame, bound: int, id_col: str, salt: str) -> DataFrame:
-    """At most ``bound`` rows (all, if there are no more), chosen by a hash of the id alone; no row order matters."""
-    n = rows.count()
-    if n <= bound:
-        return rows
-    h = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(salt)), F.lit(1 << 30))
-    return rows.where(h < int((1 << 30) * bound / n)).orderBy(h).limit(bound)
+#: A hash is kept as so many bits; shares of it pick samples.
+_HASH = 1 << 30
+#: How far an approximate count may fall short, and the share of a sample that is drawn too many.
+_SLACK = 1.3
+
+
+def content_hash(salt: str, *cols: Column) -> Column:
+    """Of an id and a text, say, so that rows under one id, or none, are picked each by itself."""
+    return F.pmod(F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("")) for c in cols], F.lit(salt)), F.lit(_HASH))
+
+
+def share_of(bound: int, n: int) -> int:
+    """The hash below which about 1.3 ``bound`` of ``n`` different rows lie; all rows if there are hardly more."""
+    return _HASH if n <= bound else min(_HASH, int(_HASH * _SLACK * bound / n))
+
+
+def bounded_sample(rows: DataFrame, bound: int, cols: list[str], salt: str) -> DataFrame:
+    """At most ``bound`` of the different rows of ``rows`` by ``cols``, each once, chosen by a hash of these columns.
+
+    The same rows give the same sample, however they are dealt and repeated: one id on
+    many rows, or no id at all, is neither taken nor left as a whole, and ties of the hash
+    are settled by the columns. What is ordered is thinned before to about the bound.
+    """
+    marked = rows.withColumn("_h", content_hash(salt, *[F.col(c) for c in cols]))
+    n = marked.agg(F.approx_count_distinct("_h", 0.02)).first()[0]
+    some = marked.where(F.col("_h") < share_of(bound, n)).dropDuplicates(cols)
+    return some.orderBy("_h", *cols).limit(bound).drop("_h")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -63,16 +63,21 @@ class Classifier:
         return np.clip(x @ self.w[:-1] + self.w[-1], -20, 20) - np.log(self.base / (1 - self.base))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
-    """From at most ``LABELLED`` labelled documents, chosen by a hash of the id; several labels of an id: the lowest counts."""
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Classifier:
+    """From at most ``labelled`` different labelled documents by id and text, chosen by a hash of them; several labels of an id: the lowest counts.
+
+    Ids are thinned first, then their documents, so an id that many rows share sends no
+    more of them to the driver than others do; documents without an id have no label.
+    """
     marks = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    some = bounded_sample(marks, LABELLED, "doc_id", "quality")
+    some = bounded_sample(marks, labelled, ["doc_id"], "quality")
 
     @F.pandas_udf("array<double>")
     def shape(texts: pd.Series) -> pd.Series:
         return texts.map(features, na_action=None)
 
-    rows = docs.select("doc_id", "text").join(some, "doc_id").select(shape(F.coalesce("text", F.lit(""))).alias("x"), "_quality").toPandas()
+    met = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(some, "doc_id")
+    rows = bounded_sample(met, labelled, ["doc_id", "text"], "quality-rows").select(shape("text").alias("x"), "_quality").toPandas()
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(len(rows), len(features("")))
     return Classifier(x, rows["_quality"].to_numpy(dtype=np.float64))
 

@@ -13,6 +13,7 @@ texts.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -27,6 +28,10 @@ from .store import fresh_path, parts, table
 from .tokens import encoder
 
 
+#: Characters of a text that ranges are cut by; samples of them go to the driver.
+BRIEF = 64
+
+
 def _place(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder)
 
@@ -36,8 +41,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
 
     ``folder`` is a URI that all executors reach. Each file is written under the
     attempt's own name and then moved, so a repeated task leaves whole files only.
-    Null and empty texts become the end id alone. The driver gets one row for each
-    partition.
+    Null and empty texts become the end id alone; repeated rows are documents each; an
+    empty table gives an index without documents; other columns are not read. The
+    driver gets one row for each partition.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,7 +52,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
         files, root = _place(folder)
         name = f"{root}/part-{where.partitionId():05d}"
         temp = f"{root}/.{where.partitionId():05d}-{where.taskAttemptId()}"
-        offsets, ids, nulls = [0], [], []
+        offsets, ids, nulls = array("q", [0]), array("q"), bytearray()
         with files.open_output_stream(f"{temp}.bin") as out:
             for pdf in batches:
                 for doc, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
@@ -55,7 +61,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
                     offsets.append(offsets[-1] + len(body) // width)
                     nulls.append(doc is pd.NA)
                     ids.append(0 if doc is pd.NA else doc)
-        for kind, data in (("off", np.array(offsets, "<i8")), ("doc", np.array(ids, "<i8")), ("nul", np.array(nulls, "u1"))):
+        for kind, data in (("off", np.array(offsets, "<i8")), ("doc", np.array(ids, "<i8")), ("nul", np.frombuffer(nulls, "u1"))):
             with files.open_output_stream(f"{temp}.{kind}") as out:
                 out.write(data.tobytes())
         for kind in ("off", "doc", "nul", "bin"):
@@ -66,7 +72,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
     files.create_dir(root, recursive=True)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    dealt = narrow.repartitionByRange(parts(docs.sparkSession), order[0]).sortWithinPartitions(*order)
+    # rows that share an id, or have none, are dealt on by the beginnings of their texts, which do not grow with them
+    ranges = [order[0], F.substring("text", 1, BRIEF).asc_nulls_first()]
+    dealt = narrow.repartitionByRange(parts(docs.sparkSession), *ranges).sortWithinPartitions(*order)
     done = sorted(map(tuple, dealt.mapInPandas(run, "part int, docs long, ids long").collect()))
     docs_before = [0, *accumulate(n for _, n, _ in done)]
     ids_before = [0, *accumulate(n for _, _, n in done)]
@@ -86,7 +94,10 @@ def _map(files: pafs.FileSystem, path: str, dtype: str) -> np.ndarray:
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): each document from the files; start counts the ids of all documents before it."""
+    """(doc_id, start, n_tokens, ids): each document from the files; start counts the ids of all documents before it.
+
+    Files of a local folder are memory-mapped; of another store a task reads one partition's at a time.
+    """
     files, root = _place(folder)
     with files.open_input_file(f"{root}/index.json") as f:
         index = json.loads(f.read())
@@ -113,7 +124,6 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tasks.mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
-
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` written as unsigned 16-bit ids in ascending doc_id order and read back from the files."""
     import public_tokenizers

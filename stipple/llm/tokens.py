@@ -130,5 +130,5 @@ def encoder(path: str, mode: str, width: int, cache_words: int = CACHE_WORDS, pl
     """One encoder for each Python worker and kind; ``width`` is the bytes of an id."""
     key = (path, mode, width, cache_words, plain_controls)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, mode, width, cache_words)
+        _encoders[key] = Encoder(*key)
     return _encoders[key]

@@ -5,8 +5,8 @@ by presence. Of these, those are kept that confirmed toxic documents hold more
 often than the harmless part of unlabelled text, beyond chance; on them a linear model is trained with the
 class-prior-corrected risk estimator of ``learn.non_negative_pu``. Text without a
 confirmed label, labelled harmless or not, is unlabelled text. Both samples are
-bounded (``POSITIVES``, ``UNLABELLED`` documents), chosen by a hash of the id;
-equal texts in a sample count once.
+bounded (``POSITIVES``, ``UNLABELLED`` different documents), chosen by a hash of id
+and text; equal texts in a sample count once.
 """
 
 from __future__ import annotations
@@ -72,10 +72,14 @@ def _vectors(docs: DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u4") for x in {r["h"]: r["x"] for r in sorted(rows, key=lambda r: r["h"])}.values()]
 
 
-def fit(confirmed: DataFrame, unlabelled: DataFrame, prior: float | None) -> Model:
-    """``confirmed`` toxic and ``unlabelled`` documents (doc_id, text); ``prior``: the share of toxic ones among the unlabelled."""
-    pos = _vectors(bounded_sample(confirmed.select("doc_id", "text"), POSITIVES, "doc_id", "toxic"))
-    unl = _vectors(bounded_sample(unlabelled.select("doc_id", "text"), UNLABELLED, "doc_id", "unlabelled"))
+def fit(confirmed: DataFrame, unlabelled: DataFrame, prior: float | None, positives: int = POSITIVES, others: int = UNLABELLED) -> Model:
+    """``confirmed`` toxic and ``unlabelled`` documents (doc_id, text); ``prior``: the share of toxic ones among the unlabelled.
+
+    ``positives`` and ``others`` bound how many different documents, by id and text, of
+    each kind are learned from.
+    """
+    pos = _vectors(bounded_sample(confirmed.select("doc_id", "text"), positives, ["doc_id", "text"], "toxic"))
+    unl = _vectors(bounded_sample(unlabelled.select("doc_id", "text"), others, ["doc_id", "text"], "unlabelled"))
     prior = min(max(prior if prior is not None else PRIOR, 1e-3), 0.5)
     if not pos or not unl:
         return Model(np.empty(0, np.uint32), np.empty(0), float(np.log(prior / (1 - prior))))
