@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .functions import curves as cv
 from .functions.scales import Scales
-from .operators import grid, nulls, pairs, prep, stats
+from .operators import grid, nulls, packed, prep, stats
 from .plans import analyses as an
+from .sources.scratch import fresh_path
 
 GRID, VOX, MOCKS, LEAST = 256, Scales.for_extent(None).vox, 50, 50
 GRID_3D, VOX_3D = 64, Scales.in_pixels(2, 32, 8).vox
@@ -320,22 +321,41 @@ SQL["vmr_curve_3d"] = f"WITH {VPTS}, {roi_sql(3)}, {pix_sql('pts', 'type', 3, GR
 # --- null models -----------------------------------------------------------------------------------------------
 @query
 def label_shuffle_counts(spark, sf):
+    """The shuffles of all labels on the whole grid, summed up for each mock and type: points, pixels, squares and places."""
     p = orders(spark, sf)
     roi, _ = setup(p)
-    return grid.pixels(nulls.shuffled(p, 3), grid.Roi(roi.origin, roi.size, 16), ["mock_id", "type"])
+    return _grid_sums(grid.pixels(nulls.shuffled(p, MOCKS), roi, ["mock_id", "type"]))
 
 
-SQL["label_shuffle_counts"] = f"WITH {PTS}, {roi_sql()}, {lab_sql(3)}, {pix_sql('(SELECT * FROM lab WHERE mock_id >= 0)', 'CAST(mock_id AS INTEGER) AS mock_id, type', 2, 16)} SELECT * FROM pix"
+def _grid_sums(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("mock_id", "type").agg(F.sum("c").alias("n"), F.count("*").alias("n_pixels"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.sum(F.col("c") * F.col("gx")).alias("at_x"), F.sum(F.col("c") * F.col("gy")).alias("at_y"))
+
+
+GRID_SUMS = "SELECT CAST(mock_id AS INTEGER) AS mock_id, type, CAST(sum(c) AS BIGINT) AS n, count(*) AS n_pixels, CAST(sum(c * c) AS BIGINT) AS squares, CAST(sum(c * gx) AS BIGINT) AS at_x, CAST(sum(c * gy) AS BIGINT) AS at_y FROM pix GROUP BY ALL"
+SQL["label_shuffle_counts"] = f"WITH {PTS}, {roi_sql()}, {lab_sql()}, {pix_sql('(SELECT * FROM lab WHERE mock_id >= 0)', 'mock_id, type')} {GRID_SUMS}"
+
+
+@query
+def shuffled_pixel_counts(spark, sf):
+    """The same by packed counts, real labels (mock -1) too, with points without a stratum."""
+    p = orders(spark, sf, "stratum").withColumn("stratum", F.nullif("stratum", F.lit("BUILDING")))
+    roi, _ = setup(p)
+    counts = nulls.shuffled_pixels(p, roi, MOCKS, "stratum")
+    return _grid_sums(packed.unpacked(counts, roi, ["mock_id", "type"]))
+
+
+NPTS = SPTS.replace("c_mktsegment AS stratum", "nullif(c_mktsegment, 'BUILDING') AS stratum")
+SQL["shuffled_pixel_counts"] = f"WITH {NPTS}, {roi_sql()}, {lab_sql(by='stratum')}, {pix_sql('lab', 'mock_id, type')} {GRID_SUMS}"
 
 
 @query
 def stratum_shuffle_counts(spark, sf):
     p = orders(spark, sf, "stratum").withColumn("stratum", F.nullif("stratum", F.lit("BUILDING")))  # some points without a stratum
-    drawn = nulls.shuffled(p, 3, "stratum").withColumn("half", F.col("x") > 150000)
+    drawn = nulls.shuffled(p, MOCKS, "stratum").withColumn("half", F.col("x") > 150000)
     return drawn.groupBy("mock_id", "stratum", "type", "half").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
-SQL["stratum_shuffle_counts"] = f"WITH {SPTS.replace('c_mktsegment AS stratum', chr(39).join(('nullif(c_mktsegment, ', 'BUILDING', ') AS stratum')))}, {lab_sql(3, 'stratum')} SELECT CAST(mock_id AS INTEGER) AS mock_id, stratum, lab.type, lab.x > 150000 AS half, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM lab JOIN (SELECT id, stratum FROM pts) USING (id) WHERE mock_id >= 0 GROUP BY ALL"
+SQL["stratum_shuffle_counts"] = f"WITH {NPTS}, {lab_sql(by='stratum')} SELECT CAST(mock_id AS INTEGER) AS mock_id, stratum, lab.type, lab.x > 150000 AS half, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM lab JOIN (SELECT id, stratum FROM pts) USING (id) WHERE mock_id >= 0 GROUP BY ALL"
 
 
 def _labelled(spark, sf, stratum: str | None = None) -> DataFrame:
@@ -431,11 +451,10 @@ SQL["fingerprints"] = f"""{null_chain()}, {MEAS}, {hot_sql()} SELECT type, CAST(
 @query
 def characteristic_scales(spark, sf):
     e = events(spark, sf)
-    found = {"orders": _fingerprints(spark, sf), "events": an.fingerprints(e, *setup(e), MOCKS, LEAST)}
-    return rounded(an.characteristic_scales({k: f.withColumn("is_significant", F.col("p_value") < 0.5) for k, f in found.items()}))  # noise: a high level leaves rows
+    return rounded(an.characteristic_scales({"orders": _fingerprints(spark, sf), "events": an.fingerprints(e, *setup(e), MOCKS, LEAST)}))
 
 
-SQL["characteristic_scales"] = " UNION ALL ".join(f"SELECT '{k}' AS region, * FROM ({null_chain(pts)}, {MEAS}, {hot_sql()} SELECT type, round(peak_scale_um, 6) AS peak_scale_um FROM me JOIN hf USING (type) WHERE p_value < 0.5)" for k, pts in (("orders", PTS), ("events", EPTS)))
+SQL["characteristic_scales"] = " UNION ALL ".join(f"SELECT '{k}' AS region, * FROM ({null_chain(pts)}, {MEAS}, {hot_sql()} SELECT type, round(peak_scale_um, 6) AS peak_scale_um FROM me JOIN hf USING (type) WHERE p_value < 0.05)" for k, pts in (("orders", PTS), ("events", EPTS)))
 
 
 # --- co-occurrence ---------------------------------------------------------------------------------------------
@@ -579,11 +598,11 @@ SQL["hull_area"] = f"WITH RECURSIVE {PTS}, {HULL} SELECT max(step) AS n_vertices
 @query
 def csr_counts(spark, sf):
     p = orders(spark, sf)
-    drawn = nulls.uniform_in_hull(spark, nulls.convex_hull(p), 2000, 3)
+    drawn = nulls.uniform_in_hull(spark, nulls.convex_hull(p), p.count(), UNIFORMS)
     return drawn.groupBy("mock_id").agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("mean_x"), F.round(F.avg("y"), 4).alias("mean_y"))
 
 
-SQL["csr_counts"] = f"WITH RECURSIVE {PTS}, {csr_sql('2000', 3)} SELECT CAST(mock_id AS INTEGER) AS mock_id, count(*) AS n, round(avg(x), 4) AS mean_x, round(avg(y), 4) AS mean_y FROM csr GROUP BY 1"
+SQL["csr_counts"] = f"WITH RECURSIVE {PTS}, {csr_sql('(SELECT count(*) FROM pts)', UNIFORMS)} SELECT CAST(mock_id AS INTEGER) AS mock_id, count(*) AS n, round(avg(x), 4) AS mean_x, round(avg(y), 4) AS mean_y FROM csr GROUP BY 1"
 
 
 @query
@@ -612,14 +631,17 @@ rc AS (SELECT cur.*, null_mean, null_sd, CASE WHEN null_mean > 0 THEN vmr / null
 SQL["regional_curve"] = f"{regional_sql(PTS)} SELECT scale_idx, vox, round(um, 6) AS um, n_points, round(vmr, 6) AS vmr, round(skewness, 6) + 0.0 AS skewness, round(null_mean, 6) AS null_mean, round(null_sd, 6) AS null_sd, round(ratio, 6) AS ratio FROM rc"
 
 
+ORDER_TYPES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
 @query
 def regional_comparison(spark, sf):
     p = orders(spark, sf)
-    regions = {t: p.where(F.col("type") == t) for t in ("1-URGENT", "2-HIGH", "3-MEDIUM")}
+    regions = {t: p.where(F.col("type") == t) for t in ORDER_TYPES}
     return rounded(an.regional_comparison(regions, GRID, list(VOX), UNIFORMS))
 
 
-SQL["regional_comparison"] = " UNION ALL ".join(f"SELECT '{t}' AS region, * FROM ({regional_sql(PTS[:-1] + f' AND o_orderpriority = {chr(39)}{t}{chr(39)})')} SELECT n_points AS n_cells, scale_idx, round(um, 6) AS um, round(vmr, 6) AS vmr, round(null_mean, 6) AS null_mean, round(null_sd, 6) AS null_sd, round(ratio, 6) AS ratio, round(greatest(1 - 2 * null_sd / null_mean, 0), 6) AS low, round(1 + 2 * null_sd / null_mean, 6) AS high FROM rc)" for t in ("1-URGENT", "2-HIGH", "3-MEDIUM"))
+SQL["regional_comparison"] = " UNION ALL ".join(f"SELECT '{t}' AS region, * FROM ({regional_sql(PTS[:-1] + f' AND o_orderpriority = {chr(39)}{t}{chr(39)})')} SELECT n_points AS n_cells, scale_idx, round(um, 6) AS um, round(vmr, 6) AS vmr, round(null_mean, 6) AS null_mean, round(null_sd, 6) AS null_sd, round(ratio, 6) AS ratio, round(greatest(1 - 2 * null_sd / null_mean, 0), 6) AS low, round(1 + 2 * null_sd / null_mean, 6) AS high FROM rc)" for t in ORDER_TYPES)
 
 
 @query
@@ -645,13 +667,14 @@ SQL["kde_bandwidth"] = f"WITH {EPTS}, s AS (SELECT count(*) AS n, (stddev_pop(x)
 
 @query
 def kde_sample(spark, sf):
-    drawn = nulls.smoothed_bootstrap(events(spark, sf), 2000, 2)
+    e = events(spark, sf)
+    drawn = nulls.smoothed_bootstrap(e, e.count(), UNIFORMS)
     return drawn.groupBy("mock_id").agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("mean_x"), F.round(F.stddev_pop("x"), 4).alias("sd_x"))
 
 
 SQL["kde_sample"] = f"""WITH {EPTS}, fi AS (SELECT id, x, y FROM pts ORDER BY md5('kde-fit|' || id), id LIMIT 50000), ba AS (SELECT *, row_number() OVER (ORDER BY md5('kde|' || id), id) AS k FROM fi),
 bw AS (SELECT count(*) AS n, (stddev_pop(x) + stddev_pop(y)) / 2 * pow(count(*) * 4 / 4.0::DOUBLE, -1.0::DOUBLE / 6) AS w FROM ba),
-dw AS (SELECT mock_id, i, CAST(floor({U("'kde|' || mock_id || '|' || i || '|pick'")} * n) AS BIGINT) + 1 AS k, w, sqrt(-2 * ln(1 - {U("'kde|' || mock_id || '|' || i || '|x|u'")})) * cos(6.283185307179586::DOUBLE * {U("'kde|' || mock_id || '|' || i || '|x|v'")}) AS z FROM (SELECT unnest(range(2)) AS mock_id), (SELECT unnest(range(2000)) AS i), bw)
+dw AS (SELECT mock_id, i, CAST(floor({U("'kde|' || mock_id || '|' || i || '|pick'")} * n) AS BIGINT) + 1 AS k, w, sqrt(-2 * ln(1 - {U("'kde|' || mock_id || '|' || i || '|x|u'")})) * cos(6.283185307179586::DOUBLE * {U("'kde|' || mock_id || '|' || i || '|x|v'")}) AS z FROM (SELECT unnest(range({UNIFORMS})) AS mock_id), (SELECT unnest(range((SELECT count(*) FROM pts))) AS i), bw)
 SELECT CAST(mock_id AS INTEGER) AS mock_id, count(*) AS n, round(avg(x + w * z), 4) AS mean_x, round(stddev_pop(x + w * z), 4) AS sd_x FROM dw JOIN ba USING (k) GROUP BY 1"""
 
 
@@ -798,13 +821,16 @@ bb AS (SELECT type, radius, quantile_cont(l, 0.025) AS lo, quantile_cont(l, 0.97
 SQL["ripley_null_band"] = f"WITH {VPTS}, {band_sql()} SELECT type, radius, n, round(k, 6) AS k, round(l, 6) + 0.0 AS l, round(lo, 6) + 0.0 AS l_low, round(hi, 6) + 0.0 AS l_high, round(km, 6) AS k_null_mean FROM ll JOIN bb USING (type, radius) WHERE mock_id < 0"
 
 
+R2P = """CASE WHEN rho IS NULL THEN NULL WHEN abs(rho) >= 1 THEN 0 ELSE round((SELECT exp(fa * ln(fx) + 0.5::DOUBLE * ln(1 - fx) - ln(fa) - (lgamma(fa) + lgamma(0.5::DOUBLE) - lgamma(fa + 0.5::DOUBLE))) * list_sum(list_transform(range(0, 10000), lambda k: exp(k * ln(fx) + lgamma(fa + 0.5::DOUBLE + k) - lgamma(fa + 0.5::DOUBLE) + lgamma(fa + 1) - lgamma(fa + 1 + k)))) FROM (SELECT (n - 2) / 2.0::DOUBLE AS fa, 1 - rho * rho AS fx)), 6) + 0.0 END AS p_value"""  # df / (df + t^2) is 1 - rho^2
+
+
 @query
 def spearman_peaks(spark, sf):
     n = read(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("a"), F.round(F.avg("c_acctbal"), -3).alias("b"))
-    return rounded(stats.spearman(n, "a", "b").select("n", "rho"))
+    return rounded(stats.spearman(n, "a", "b"))
 
 
-SQL["spearman_peaks"] = "WITH t AS (SELECT c_nationkey, count(*) AS a, round(avg(c_acctbal), -3) AS b FROM customer GROUP BY 1), r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::DOUBLE AS rb FROM t) SELECT count(*) AS n, round(corr(ra, rb), 6) + 0.0 AS rho FROM r"
+SQL["spearman_peaks"] = f"WITH t AS (SELECT c_nationkey, count(*) AS a, round(avg(c_acctbal), -3) AS b FROM customer GROUP BY 1), r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::DOUBLE AS rb FROM t) SELECT n, round(rho, 6) + 0.0 AS rho, {R2P} FROM (SELECT count(*) AS n, corr(ra, rb) AS rho FROM r)"
 
 
 def _peaks(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -825,11 +851,10 @@ SQL["vmr_vs_l_peaks"] = f"{PEAKS} SELECT type, round(vmr_peak_um, 6) AS vmr_peak
 
 @query
 def peak_agreement(spark, sf):
-    return rounded(an.peak_agreement(*_peaks(spark, sf)).select("n", "rho"))
+    return rounded(an.peak_agreement(*_peaks(spark, sf)))
 
 
-RANKS = "SELECT count(*) AS n, CASE WHEN count(*) >= 3 AND stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN round(corr(ra, rb), 6) + 0.0 END AS rho"
-SQL["peak_agreement"] = f"{PEAKS}, t AS (SELECT vmr_peak_um AS a, l_peak_um AS b FROM pp WHERE vmr_peak_um IS NOT NULL AND l_peak_um IS NOT NULL), r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::DOUBLE AS rb FROM t) {RANKS} FROM r"
+SQL["peak_agreement"] = f"{PEAKS}, t AS (SELECT vmr_peak_um AS a, l_peak_um AS b FROM pp WHERE vmr_peak_um IS NOT NULL AND l_peak_um IS NOT NULL), r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::DOUBLE AS rb FROM t) SELECT n, round(rho, 6) + 0.0 AS rho, {R2P} FROM (SELECT count(*) AS n, CASE WHEN count(*) >= 3 AND stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN corr(ra, rb) END AS rho FROM r)"
 
 
 # --- jitter, top lists, histograms -----------------------------------------------------------------------------
@@ -929,27 +954,24 @@ SQL["threshold_sweep"] = "WITH n AS (SELECT p_brand, count(*) AS n FROM part GRO
 
 @query
 def default_scales(spark, sf):
-    sc = Scales.default(5000.0, 256)
-    return rounded(spark.range(1).select(F.explode(F.arrays_zip(F.array(*[F.lit(v) for v in sc.vox]).alias("vox"), F.array(*[F.lit(float(u)) for u in sc.um]).alias("um"))).alias("s")).select("s.vox", "s.um"))
+    """The scales of the customers' own box."""
+    c = read(spark, sf, "customer").select(F.col("c_acctbal").alias("x"), F.col("c_custkey").cast("double").alias("y")).dropna()
+    sc = Scales.default(grid.roi_of(c, GRID).extent, GRID)
+    return rounded(spark.createDataFrame(list(zip(sc.vox, sc.um, strict=True)), "vox int, um double"))
 
 
-SQL["default_scales"] = "WITH " + "c AS (SELECT unnest(range(48)) AS i), s AS (SELECT i, pow(10::DOUBLE, 1 + i * 2.0::DOUBLE / 47) AS um FROM c), v AS (SELECT min(i) AS i, greatest(2, CAST(round_even(um / 19.53125::DOUBLE, 0) AS INTEGER)) AS vox FROM s WHERE um >= 1.8 * 19.53125 GROUP BY 2), k AS (SELECT vox, row_number() OVER (ORDER BY i) - 1 AS place, count(*) OVER () AS n FROM v WHERE vox <= 128), p AS (SELECT DISTINCT CAST(round_even(j * (n - 1) / 11.0::DOUBLE, 0) AS INTEGER) AS place FROM (SELECT unnest(range(12)) AS j), (SELECT max(n) AS n FROM k)) SELECT CAST(vox AS INTEGER) AS vox, round(vox * 19.53125::DOUBLE, 6) AS um FROM k JOIN p USING (place)"
+SQL["default_scales"] = f"""WITH pts AS (SELECT c_acctbal AS x, c_custkey::DOUBLE AS y FROM customer WHERE c_acctbal IS NOT NULL AND c_custkey IS NOT NULL), {roi_sql()}, e AS (SELECT greatest(sx, sy) AS extent, greatest(sx, sy) / {GRID} AS px FROM roi),
+s AS (SELECT i, px, pow(10::DOUBLE, 1 + i * (log10(least(1000.0::DOUBLE, 0.4::DOUBLE * extent)) - 1) / 47) AS um FROM e, (SELECT unnest(range(48)) AS i)),
+v AS (SELECT min(i) AS i, px, greatest(2, CAST(round_even(um / px, 0) AS INTEGER)) AS vox FROM s WHERE um >= 1.8::DOUBLE * px GROUP BY ALL), k AS (SELECT vox, px, row_number() OVER (ORDER BY i) - 1 AS place, count(*) OVER () AS n FROM v WHERE vox <= {GRID // 2}),
+p AS (SELECT DISTINCT CASE WHEN n <= 12 THEN j ELSE CAST(round_even(j * (n - 1) / 11.0::DOUBLE, 0) AS INTEGER) END AS place FROM (SELECT unnest(range(12)) AS j), (SELECT max(n) AS n FROM k)) SELECT CAST(vox AS INTEGER) AS vox, round(vox * px, 6) AS um FROM k JOIN p USING (place)"""
 
 
 # --- round trips -----------------------------------------------------------------------------------------------
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A folder that all executors reach: the one for checkpoints, else the warehouse."""
-    import uuid
-
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    return f"{base}/stipple-{uuid.uuid4().hex[:10]}-{name}"
-
-
 @query
 def parquet_roundtrip(spark, sf):
     from .sources import tables
 
-    path = _scratch(spark, "parquet")
+    path = fresh_path(spark, "parquet")
     tables.write_region(read(spark, sf, "orders").select(F.col("o_orderkey").alias("cell_label"), F.col("o_totalprice").alias("x"), F.col("o_custkey").cast("double").alias("y"), F.col("o_orderpriority").alias("class"), F.col("o_orderstatus").alias("other")), path)
     return tables.read_region(spark, path)
 
@@ -961,7 +983,7 @@ SQL["parquet_roundtrip"] = "SELECT o_orderkey AS cell_label, o_totalprice AS x,
 def csv_roundtrip(spark, sf):
     from .sources import reports, tables
 
-    path = _scratch(spark, "csv")
+    path = fresh_path(spark, "csv")
     reports.write_csv(read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("cell_label"), F.lit("1").alias("brain_section_label"), F.col("o_totalprice").alias("x"), F.col("o_orderpriority").alias("class")), path)
     return tables.read_csv(spark, path, tables.CELLS)
 
@@ -973,7 +995,7 @@ SQL["csv_roundtrip"] = "SELECT CAST(o_orderkey AS VARCHAR) AS cell_label, '1' AS
 def matrix_roundtrip(spark, sf):
     from .sources import tables
 
-    path = _scratch(spark, "matrix")
+    path = fresh_path(spark, "matrix")
     wide = read(spark, sf, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("o_orderkey").cast("double"))
     tables.write_matrix(wide, path)
     return tables.read_matrix(spark, path)
@@ -986,7 +1008,7 @@ SQL["matrix_roundtrip"] = "SELECT o_orderpriority AS row, o_orderstatus AS \"col
 def json_roundtrip(spark, sf):
     from .sources import reports
 
-    path = _scratch(spark, "json")
+    path = fresh_path(spark, "json")
     rows = an.against_null(_labelled(spark, sf), ["type"])
     arrays = rows.groupBy("type").agg(F.max("n").alias("n_cells"), cv.array_of("vmr").alias("vmr_curve"), cv.array_of("um").alias("scales_um"))
     reports.write_document(arrays, path, "type")
@@ -1001,7 +1023,7 @@ SQL["json_roundtrip"] = f"{null_chain()} SELECT type, CAST(n AS BIGINT) AS n_cel
 def pairs_json_roundtrip(spark, sf):
     from .sources import reports
 
-    path = _scratch(spark, "pairs")
+    path = fresh_path(spark, "pairs")
     rows = _cooccurrence(orders(spark, sf))
     arrays = rows.groupBy("type_a", "type_b").agg(cv.array_of("r").alias("correlation_curve"), F.max_by("um", F.struct(F.abs(F.col("r") - F.col("null_mean")), -F.col("scale_idx"))).alias("peak_scale_um"))
     reports.write_document(reports.pair_records(arrays).drop("type_a", "type_b"), path, "key")
@@ -1011,66 +1033,62 @@ def pairs_json_roundtrip(spark, sf):
 SQL["pairs_json_roundtrip"] = f"{co_chain()}, pk AS (SELECT type_a, type_b, arg_max(um, abs(r - null_mean) ORDER BY scale_idx) AS peak_scale_um FROM co GROUP BY ALL) SELECT type_a, type_b, round(peak_scale_um, 6) AS peak_scale_um, round(r, 6) + 0.0 AS r FROM co JOIN pk USING (type_a, type_b)"
 
 
-def _small_fingerprints(spark, sf) -> DataFrame:
-    """Records of types: curves over four made-up scales from sums of prices, for the round trips."""
-    o = read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("type")).agg(F.count("*").alias("n_cells"), *[F.round(F.avg("o_totalprice") / k, 3).alias(f"v{k}") for k in (1, 2, 3)])
-    return o.select("type", "n_cells", F.array("v1", "v2", "v3").alias("vmr_curve"), F.array(*[F.lit(float(k)) for k in (10, 20, 40)]).alias("scales_um"), F.round(F.col("v1") / F.col("v3"), 4).alias("peak_vmr_ratio"), F.lit(float("nan")).alias("p_value"))
-
-
-SMALL = "sm AS (SELECT o_orderpriority AS type, count(*) AS n_cells, [round(avg(o_totalprice) / 1, 3), round(avg(o_totalprice) / 2, 3), round(avg(o_totalprice) / 3, 3)] AS v FROM orders GROUP BY 1)"
-
-
 @query
 def fingerprints_json(spark, sf):
-    """Fingerprint records written a line each, without missing numbers, and read again."""
+    """Fingerprint records written a line each, and read again."""
     from .sources import reports
 
-    path = _scratch(spark, "fingerprints")
-    reports.write_json(reports.fingerprint_records(_small_fingerprints(spark, sf).withColumn("other", F.lit(1))), path)
-    back = spark.read.schema("type string, n_cells long, vmr_curve array<double>, p_value double, peak_vmr_ratio double, other int").json(path)
-    return back.select("type", "n_cells", F.get("vmr_curve", F.lit(1)).alias("second"), "peak_vmr_ratio", "p_value", "other")
+    path = fresh_path(spark, "fingerprints")
+    reports.write_json(reports.fingerprint_records(_fingerprints(spark, sf).withColumn("other", F.lit(1))), path)
+    back = spark.read.schema("type string, n_cells long, vmr_curve array<double>, p_value double, peak_vmr_ratio double, direction string, is_significant boolean, other int").json(path)
+    return rounded(back.select("type", "n_cells", F.explode("vmr_curve").alias("vmr"), "peak_vmr_ratio", "p_value", "direction", "is_significant", "other"), 5)
 
 
-SQL["fingerprints_json"] = f"WITH {SMALL} SELECT type, n_cells, v[2] AS second, round(v[1] / v[3], 4) AS peak_vmr_ratio, CAST(NULL AS DOUBLE) AS p_value, CAST(NULL AS INTEGER) AS other FROM sm"
+SQL["fingerprints_json"] = f"{null_chain()}, {MEAS}, {hot_sql()} SELECT type, CAST(n_cells AS BIGINT) AS n_cells, {FIVE('vmr', 'peak_vmr_ratio', 'p_value')}, direction, p_value < 0.05 AS is_significant, CAST(NULL AS INTEGER) AS other FROM vs JOIN me USING (type) JOIN hf USING (type)"
 
 
 @query
 def report_document(spark, sf):
-    """One report with metadata and a summary before its results, written and read again."""
+    """The report of a mediation with metadata and a summary before its results, written and read again."""
     from .sources import reports
 
-    path = _scratch(spark, "report")
-    rows = _small_fingerprints(spark, sf).select("type", "n_cells", "peak_vmr_ratio")
-    top = rows.agg(F.max("n_cells")).first()[0] or 0
-    reports.write_document(rows, path, analysis="peaks", n_types=rows.count(), summary=F.struct(F.lit(top).alias("most")))
-    text = spark.read.text(path).select(F.from_json("value", "struct<analysis:string,n_types:bigint,summary:struct<most:bigint>,results:array<struct<type:string,n_cells:bigint,peak_vmr_ratio:double>>>").alias("d"))
-    return text.select("d.analysis", "d.n_types", F.col("d.summary.most").alias("most"), F.explode("d.results").alias("r")).select("analysis", "n_types", "most", "r.*")
+    path = fresh_path(spark, "report")
+    found = an.mediation(_mediated(spark, sf)).select("type", "n_cells", "chi_squared_overall", "chi_squared_within", "mediation_pct")
+    summary = an.summary_of(found, "mediation_pct").first()
+    reports.write_document(found, path, analysis="mediation", n_types=summary["n"], summary=F.struct(F.lit(summary["median"]).alias("median"), F.lit(summary["high"]).alias("high")))
+    text = spark.read.text(path).select(F.from_json("value", "struct<analysis:string,n_types:bigint,summary:struct<median:double,high:double>,results:array<struct<type:string,n_cells:bigint,chi_squared_overall:double,chi_squared_within:double,mediation_pct:double>>>").alias("d"))
+    rows = text.select("d.analysis", "d.n_types", F.col("d.summary.median").alias("median"), F.col("d.summary.high").alias("high"), F.explode("d.results").alias("r"))
+    return rounded(rows.select("analysis", "n_types", "median", "high", "r.*"), 4)
 
 
-SQL["report_document"] = f"WITH {SMALL} SELECT 'peaks' AS analysis, count(*) OVER () AS n_types, max(n_cells) OVER () AS most, type, n_cells, round(v[1] / v[3], 4) AS peak_vmr_ratio FROM sm"
+SQL["report_document"] = f"{MEDIATED}, su AS (SELECT count(mediation_pct) AS n_types, round(quantile_cont(mediation_pct, 0.5), 4) + 0.0 AS median, round(max(mediation_pct), 4) + 0.0 AS high FROM mp) SELECT 'mediation' AS analysis, n_types, median, high, type, n_cells, {FOUR('chi_squared_overall', 'chi_squared_within', 'mediation_pct')} FROM mp, su"
 
 
 @query
 def trials_json(spark, sf):
-    """Fingerprints of several trials, a list of objects by type, read by trial and type."""
+    """The curves of all jittered trials, a list of objects by type, read by trial and type."""
     from .sources import reports
 
-    path = _scratch(spark, "trials")
-    rows = _small_fingerprints(spark, sf).select("type", F.struct("n_cells", "vmr_curve", "scales_um", "p_value").alias("r"))
-    one = rows.agg(F.map_from_entries(F.collect_list(F.struct("type", "r"))).alias("m"))
-    one.select(F.to_json(F.array("m", "m")).alias("value")).coalesce(1).write.text(path)
-    return reports.read_trials(spark, path).select(F.col("trial").cast("long").alias("trial"), "type", "n_cells", F.element_at("vmr_curve", -1).alias("last"), "p_value")
+    path = fresh_path(spark, "trials")
+    rows = _jittered(spark, sf).groupBy("trial", "type").agg(F.max("n").alias("n_cells"), cv.array_of("vmr").alias("vmr_curve"), cv.array_of("um").alias("scales_um"), cv.array_of("null_mean").alias("mock_vmr_mean"))
+    reports.write_trials(rows, path)
+    back = reports.read_trials(spark, path)
+    return rounded(back.select(F.col("trial").cast("long").alias("trial"), "type", "n_cells", F.posexplode(F.arrays_zip("vmr_curve", "scales_um", "mock_vmr_mean")).alias("place", "s"), "p_value").select("trial", "type", "n_cells", "place", "s.*", "p_value"), 5)
 
 
-SQL["trials_json"] = f"WITH {SMALL} SELECT trial, type, n_cells, v[3] AS last, CAST(NULL AS DOUBLE) AS p_value FROM sm, (SELECT unnest(range(2)) AS trial)"
+SQL["trials_json"] = f"{JITTER}, sz AS (SELECT trial, type, sum(c)::BIGINT AS n FROM pix WHERE mock_id = -1 GROUP BY ALL) SELECT CAST(trial AS BIGINT) AS trial, type, n AS n_cells, CAST(scale_idx AS INTEGER) AS place, round(vmr, 5) AS vmr_curve, round(um, 5) AS scales_um, round(m, 5) AS mock_vmr_mean, CAST(NULL AS DOUBLE) AS p_value FROM (SELECT cur.*, m FROM cur JOIN nul USING (trial, type, scale_idx) WHERE mock_id < 0) JOIN sz USING (trial, type)"
 
 
 def _curve_files(spark, sf) -> str:
-    """A folder with a broken file, one of another kind, and two curve files in nanometres and micrometres."""
-    path = _scratch(spark, "curves")
-    lines = read(spark, sf, "orders").groupBy(F.lit(1)).agg(F.to_json(F.struct(F.array(*[F.round(F.avg("o_totalprice") / k, 3) for k in (1, 2, 3)]).alias("vmr"), F.array(F.lit(5.0), F.lit(50.0), F.lit(500.0)).alias("scales_nm"), F.array(F.lit(1.0), F.lit(1.0), F.lit(1.5)).alias("null_mean"))).alias("value")).select("value")
-    for name, rows in (("a", lines.select(F.lit("{broken").alias("value"))), ("b", lines.select(F.lit('{"vmr": [1.0]}').alias("value"))), ("c", lines), ("d", lines.select(F.lit('{"vmr": [9.0], "scales_um": [1.0]}').alias("value")))):
-        rows.coalesce(1).write.text(f"{path}/{name}")
+    """A folder with the curves of the urgent orders in nanometres and of the low ones in micrometres, behind a broken file and one of another kind."""
+    path = fresh_path(spark, "curves")
+    rows = an.against_null(_labelled(spark, sf), ["type"])
+    every = rows.groupBy("type").agg(cv.array_of("vmr").alias("vmr"), cv.array_of("um").alias("um"), cv.array_of("null_mean").alias("null_mean"), cv.array_of("null_sd").alias("null_std"))
+    nm = F.to_json(F.struct("vmr", F.transform("um", lambda u: u * 1000.0).alias("scales_nm"), "null_mean", "null_std"))
+    um = F.to_json(F.struct("vmr", F.col("um").alias("scales_um")))
+    first, last = every.where("type = '1-URGENT'"), every.where("type = '5-LOW'")
+    for name, text in (("a", first.select(F.substring(nm, 1, 40).alias("value"))), ("b", first.select(F.to_json(F.struct("vmr", "null_mean")).alias("value"))), ("c", first.select(nm.alias("value"))), ("d", last.select(um.alias("value")))):
+        text.coalesce(1).write.text(f"{path}/{name}")
     return f"{path}/*/*.txt"
 
 
@@ -1078,10 +1096,10 @@ def _curve_files(spark, sf) -> str:
 def curve_files(spark, sf):
     from .sources import reports
 
-    return reports.find_curves(spark, _curve_files(spark, sf))
+    return rounded(reports.find_curves(spark, _curve_files(spark, sf)), 4)
 
 
-SQL["curve_files"] = "WITH v AS (SELECT avg(o_totalprice) AS a FROM orders) SELECT 'nm' AS unit, CAST(k - 1 AS INTEGER) AS place, 5.0::DOUBLE * pow(10, k - 1) AS scale, round(a / k, 3) AS vmr, CASE k WHEN 3 THEN 1.5::DOUBLE ELSE 1 END AS null_mean, CAST(NULL AS DOUBLE) AS null_sd FROM v, (SELECT unnest([1, 2, 3]) AS k)"
+SQL["curve_files"] = f"{null_chain()} SELECT 'nm' AS unit, CAST(scale_idx AS INTEGER) AS place, round(um * 1000, 4) AS scale, round(vmr, 4) AS vmr, round(null_mean, 4) AS null_mean, round(null_sd, 4) AS null_sd FROM vs WHERE type = '1-URGENT'"
 
 
 @query
@@ -1091,10 +1109,11 @@ def universal_comparison(spark, sf):
 
     p = orders(spark, sf)
     tissue = an.regional(p, *setup(p), UNIFORMS).select(F.lit("um").alias("unit"), F.col("scale_idx").alias("place"), F.col("um").alias("scale"), "vmr", "null_mean", "null_sd")
-    return rounded(an.universal_comparison({"files": reports.find_curves(spark, _curve_files(spark, sf)), "orders": tissue}))
+    return rounded(an.universal_comparison({"files": reports.find_curves(spark, _curve_files(spark, sf)), "orders": tissue}), 4)
 
 
-SQL["universal_comparison"] = f"SELECT 'files' AS panel, unit, place, scale, vmr, null_mean, null_mean AS low, null_mean AS high FROM ({SQL['curve_files']}) UNION ALL SELECT 'orders', 'um', scale_idx, round(um, 6), round(vmr, 6), round(null_mean, 6), round(null_mean - 2 * null_sd, 6) + 0.0, round(null_mean + 2 * null_sd, 6) + 0.0 FROM ({regional_sql(PTS)} SELECT * FROM rc)"
+SQL["universal_comparison"] = f"""SELECT 'files' AS panel, 'nm' AS unit, CAST(scale_idx AS INTEGER) AS place, round(um * 1000, 4) AS scale, round(vmr, 4) AS vmr, round(null_mean, 4) AS null_mean, round(null_mean - 2 * null_sd, 4) + 0.0 AS low, round(null_mean + 2 * null_sd, 4) + 0.0 AS high FROM ({null_chain()} SELECT * FROM vs WHERE type = '1-URGENT')
+UNION ALL SELECT 'orders', 'um', scale_idx, round(um, 4), round(vmr, 4), round(null_mean, 4), round(null_mean - 2 * null_sd, 4) + 0.0, round(null_mean + 2 * null_sd, 4) + 0.0 FROM ({regional_sql(PTS)} SELECT * FROM rc)"""
 
 
 @query
@@ -1102,7 +1121,7 @@ def regions_there(spark, sf):
     """Region files that exist, out of a longer list."""
     from .sources import tables
 
-    path = _scratch(spark, "regions")
+    path = fresh_path(spark, "regions")
     o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("cell_label"), F.col("o_totalprice").alias("x"), F.col("o_orderpriority").alias("class"), "o_orderstatus")
     for k in ("F", "O"):
         tables.write_region(o.where(F.col("o_orderstatus") == k), f"{path}/{k}")
@@ -1126,7 +1145,7 @@ def region_etl(spark, sf):
     n, r = read(spark, sf, "nation"), read(spark, sf, "region")
     regions = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_nationkey").alias("parcellation_index"), F.col("r_name").alias("division"), F.col("n_name").alias("structure"))
     cells = read(spark, sf, "customer").select(F.col("c_custkey").alias("cell_label"), F.col("c_acctbal").alias("x"), F.col("c_mktsegment").alias("class"), F.lit("q").alias("dropped"))
-    path = _scratch(spark, "etl")
+    path = fresh_path(spark, "etl")
     tables.write_region(tables.region_etl(cells, c, regions, "EUROPE"), path)
     return tables.read_region(spark, path)
 
@@ -1138,7 +1157,7 @@ SQL["region_etl"] = "SELECT c_custkey AS cell_label, c_acctbal AS x, c_mktsegmen
 def csv_inferred(spark, sf):
     from .sources import reports, tables
 
-    path = _scratch(spark, "inferred")
+    path = fresh_path(spark, "inferred")
     reports.write_csv(read(spark, sf, "nation").select("n_nationkey", "n_name", (F.col("n_regionkey") + 0.5).cast("double").alias("half")), path)
     return tables.read_csv(spark, path).select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", "half")
 

@@ -119,6 +119,30 @@ def curves_of(points: DataFrame, roi: Roi, scales: Scales, keys: list[str]) -> D
     return curves_of_counts(pixels(points, roi, keys), scales, roi, keys)
 
 
+def summed_area(dense: np.ndarray) -> np.ndarray:
+    """Counts of all boxes from the origin, with a border of zeros: the number in any box is a few look-ups."""
+    out = np.zeros([n + 1 for n in dense.shape])
+    inner = out[(slice(1, None),) * dense.ndim]
+    inner[...] = dense
+    for axis in range(dense.ndim):
+        np.cumsum(inner, axis=axis, out=inner)
+    return out
+
+
+def power_sums(dense: np.ndarray, vox: tuple[int, ...]) -> dict[str, list[float]]:
+    """n_bins, s1, s2 and s3 of the bins of each width: differences of a summed-area table at the bins' corners. A width above half the grid is one bin."""
+    table, out = summed_area(dense), {k: [] for k in ("n_bins", "s1", "s2", "s3")}
+    for v in vox:
+        n = dense.shape[0] // v
+        c = table[(slice(0, n * v + 1, v),) * dense.ndim] if n > 1 else table[np.ix_(*[[0, -1]] * dense.ndim)]
+        for axis in range(dense.ndim):
+            c = np.diff(c, axis=axis)
+        c = c.ravel()
+        for k, value in zip(out, (len(c), c.sum(), c @ c, (c * c) @ c), strict=True):
+            out[k].append(value)
+    return out
+
+
 def curves_of_counts(counts: DataFrame, scales: Scales, roi: Roi, keys: list[str]) -> DataFrame:
     """``curves`` of pixel counts (keys, gx, gy[, gz], c): for each key the pixels as one dense grid, no larger for more points, summed into bins at every scale.
 
@@ -126,21 +150,15 @@ def curves_of_counts(counts: DataFrame, scales: Scales, roi: Roi, keys: list[str
     """
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.select(*keys).schema)
     place, g = [f"g{a}" for a in roi.axes], roi.grid
-    steps = list(enumerate(zip(scales.vox, scales.um, strict=True)))
+    um = [float(u) for u in scales.um]
 
     def run(table: pa.Table) -> pa.Table:
         at = np.ravel_multi_index(tuple(table[p].to_numpy() for p in place), [g] * len(place))
         dense = np.bincount(at, table["c"].to_numpy(), g ** len(place)).reshape([g] * len(place))
-        out: dict[str, list] = {k: [] for k in ("scale_idx", "vox", "um", "n_bins", "s1", "s2", "s3")}
-        for i, (v, um) in steps:
-            n = g // v
-            c = dense.sum(keepdims=True) if n < 2 else dense[(slice(0, n * v),) * len(place)].reshape([n, v] * len(place)).sum(axis=tuple(range(1, 2 * len(place), 2)))
-            c = c.ravel()
-            for k, value in zip(out, (i, v, float(um), len(c), c.sum(), c @ c, (c * c) @ c), strict=True):
-                out[k].append(value)
-        kinds = {"scale_idx": pa.int32(), "vox": pa.int32(), "n_bins": pa.int64()}
-        columns = {k: pa.array([table[k][0].as_py()] * len(steps), table.schema.field(k).type) for k in keys}
-        return pa.table(columns | {k: pa.array(x, kinds.get(k, pa.float64())) for k, x in out.items()})
+        sums = power_sums(dense, scales.vox)
+        columns = {k: pa.array([table[k][0].as_py()] * len(um), table.schema.field(k).type) for k in keys}
+        columns |= {"scale_idx": pa.array(range(len(um)), pa.int32()), "vox": pa.array(scales.vox, pa.int32()), "um": pa.array(um, pa.float64())}
+        return pa.table(columns | {k: pa.array(v, pa.int64() if k == "n_bins" else pa.float64()) for k, v in sums.items()})
 
     sums = counts.groupBy(*keys).applyInArrow(run, f"{fields}, scale_idx int, vox int, um double, n_bins long, s1 double, s2 double, s3 double")
     return curves(sums, keys)

@@ -16,17 +16,24 @@ sorted order.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 from itertools import accumulate
 from math import isqrt
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import chance
 from .grid import Roi
+from .packed import CHUNK, occupied, pack
 
 
 def ranked(rows: DataFrame, order: Column, keys: list[str], digits: int = 2, out: str = "k") -> DataFrame:
@@ -65,6 +72,35 @@ def _amount(r: int, number: Column, size: int) -> Column:
     return F.get(t, number % size) + F.get(t, F.lit(size) + ((number - number % size) / size).cast("int"))
 
 
+@dataclass(frozen=True)
+class Layout:
+    """How the points of each stratum fill their grid of ranks, and the runs of equal labels in the sorted order of (stratum, type).
+
+    ``shapes`` has for each stratum its key, the place of its first point, the grid's
+    width, whole rows and rest, and the rows and columns of the strata before it.
+    """
+
+    shapes: list[tuple]
+    runs: list[tuple[tuple, object, int]]
+    total: int
+    size: int
+
+    @classmethod
+    def of(cls, points: DataFrame, by: list[str]) -> Layout:
+        """From the number of points of each stratum and type, which the driver sees."""
+        runs = sorted((tuple(r[c] for c in by), r["type"], r["n"]) for r in points.groupBy(*by, "type").agg(F.count("*").alias("n")).collect())
+        sizes: dict[tuple, int] = {}
+        for key, _, n in runs:
+            sizes[key] = sizes.get(key, 0) + n
+        bases = dict(zip(sizes, accumulate([0, *sizes.values()]), strict=False))
+        wide = {key: isqrt(max(n - 1, 0)) + 1 for key, n in sizes.items()}
+        rows_before = dict(zip(sizes, accumulate([0, *(-(-n // wide[key]) for key, n in sizes.items())]), strict=False))
+        columns_before = dict(zip(sizes, accumulate([0, *wide.values()]), strict=False))
+        shapes = [(*key, bases[key], wide[key], n // wide[key], n % wide[key], rows_before[key], columns_before[key]) for key, n in sizes.items()]
+        size = isqrt(max(sum(-(-n // wide[key]) for key, n in sizes.items()), sum(wide.values()))) + 1
+        return cls(shapes, runs, sum(sizes.values()), size)
+
+
 def shuffled(points: DataFrame, n_mocks: int, stratum: str | None = None, salt: str = "") -> DataFrame:
     """(mock_id, id, x, y[, z, stratum], type): the labels permuted over the points, in each stratum by itself if there is one.
 
@@ -76,20 +112,11 @@ def shuffled(points: DataFrame, n_mocks: int, stratum: str | None = None, salt:
     """
     spark, by = points.sparkSession, [stratum] if stratum else []
     free = points.where(F.col(stratum).isNotNull()) if by else points
-    runs = sorted((tuple(r[c] for c in by), r["type"], r["n"]) for r in free.groupBy(*by, "type").agg(F.count("*").alias("n")).collect())
-    total = sum(n for *_, n in runs)
-    sizes: dict[tuple, int] = {}
-    for key, _, n in runs:
-        sizes[key] = sizes.get(key, 0) + n
-    bases = dict(zip(sizes, accumulate([0, *sizes.values()]), strict=False))
-    wide = {key: isqrt(max(n - 1, 0)) + 1 for key, n in sizes.items()}
-    rows_before = dict(zip(sizes, accumulate([0, *(-(-n // wide[key]) for key, n in sizes.items())]), strict=False))
-    columns_before = dict(zip(sizes, accumulate([0, *wide.values()]), strict=False))
-    shapes = [(*key, bases[key], wide[key], n // wide[key], n % wide[key], rows_before[key], columns_before[key]) for key, n in sizes.items()]
+    plan = Layout.of(free, by)
+    shapes, size, total = plan.shapes, plan.size, plan.total
     # rows and columns are about the square root of the points, so integers hold them
     kinds = ("long", *["int"] * 5)
     shape = ("_base", "_wide", "_high", "_rest", "_rows", "_columns")
-    size = isqrt(max(sum(-(-n // wide[key]) for key, n in sizes.items()), sum(wide.values()))) + 1
     rows = ranked(free.drop("type"), chance.key(f"{salt}-1", F.col("id")), by, _digits(total))
     if by:
         kind = points.schema[stratum].dataType.simpleString()
@@ -106,8 +133,8 @@ def shuffled(points: DataFrame, n_mocks: int, stratum: str | None = None, salt:
         else:
             drawn = drawn.withColumn("_v", (v + _amount(r, F.col("_rows") + u, size)) % F.when(u < F.col("_high"), F.col("_wide")).otherwise(F.col("_rest")))
     step = max(1, -(-total // BLOCKS))
-    starts = accumulate([0, *(n for *_, n in runs)])
-    labels = [(block, lo, lo + n, t) for (_, t, n), lo in zip(runs, starts, strict=False) for block in range(lo // step, (lo + n - 1) // step + 1)]
+    starts = accumulate([0, *(n for *_, n in plan.runs)])
+    labels = [(block, lo, lo + n, t) for (_, t, n), lo in zip(plan.runs, starts, strict=False) for block in range(lo // step, (lo + n - 1) // step + 1)]
     kind = points.schema["type"].dataType.simpleString()
     labels = F.broadcast(spark.createDataFrame(labels, f"_block long, _lo long, _hi long, type {kind}"))
     # never null, as Spark should know, which would else test the whole chain of rounds for nulls before the join
@@ -119,6 +146,114 @@ def shuffled(points: DataFrame, n_mocks: int, stratum: str | None = None, salt:
     return out
 
 
+class Shuffles:
+    """The permutations of ``shuffled`` for many points at once: numbers of labels from ranks, mock by mock."""
+
+    def __init__(self, plan: Layout, n_mocks: int, salt: str) -> None:
+        self.types = sorted({t for _, t, _ in plan.runs})
+        self.n_mocks, self.salt, self.size = n_mocks, salt, plan.size
+        columns = np.array([s[-6:] for s in plan.shapes] or [(0, 1, 0, 0, 0, 0)], dtype=np.int64).T
+        # one stratum: plain numbers, which cost less than one for each point
+        self.base, self.wide, self.high, self.rest, self.rows, self.columns = columns
+        self.lengths = (int((self.rows + self.high + (self.rest > 0)).max()), int((self.columns + self.wide).max()))
+        place = {t: k for k, t in enumerate(self.types)}
+        self.run_type = np.array([place[t] for _, t, _ in plan.runs], dtype=np.int64)
+        self.ends = np.cumsum([n for *_, n in plan.runs])
+
+    def amounts(self, mock: int) -> list[np.ndarray]:
+        """How far each row (even rounds) and each column (odd rounds) moves: the sum of two random numbers, by the digits of its number."""
+        draw = lambda r, j: int(hashlib.md5(f"{self.salt}|{mock}|{r}|{j}".encode()).hexdigest()[:7], 16)
+        out = []
+        for r in range(ROUNDS):
+            t = np.array([draw(r, j) for j in range(2 * self.size)], dtype=np.int64)
+            number = np.arange(self.lengths[r % 2])
+            out.append(t[number % self.size] + t[self.size + number // self.size])
+        return out
+
+    def labels(self, mock: int, rank: np.ndarray, stratum: np.ndarray | None) -> np.ndarray:
+        """Places in ``types`` of the labels that points of these ranks (from 0, in their stratum) get in a mock."""
+        base, wide, high, rest, rows, columns = (a[0] if stratum is None else a[stratum] for a in (self.base, self.wide, self.high, self.rest, self.rows, self.columns))
+        u, v = np.divmod(rank, wide)
+        for r, amount in enumerate(self.amounts(mock)):
+            if r % 2:
+                u = (u + amount[columns + v]) % (high + (v < rest))
+            else:
+                v = (v + amount[rows + u]) % np.where(u < high, wide, rest)
+        return self.run_type[np.searchsorted(self.ends, base + u * wide + v, side="right")]
+
+
+def shuffled_pixels(points: DataFrame, roi: Roi, n_mocks: int, stratum: str | None = None, salt: str = "", offsets: list[tuple[float, ...]] | None = None) -> DataFrame:
+    """(trial, mock_id, type, px, c): packed pixel counts (``operators.packed``) of the real labels (mock -1) and of ``n_mocks`` shuffles of them.
+
+    The shuffles are those of ``shuffled``, but no row is made for a point in a mock:
+    points are ranked, each task takes a chunk of them and works out the labels of all
+    mocks in turn, and what leaves it are counts. ``offsets``: shifts of the grid's origin,
+    one for each trial, each with mocks of its own. ``type`` is as in ``points``. The
+    driver sees the number of points of each stratum and type.
+    """
+    by, axes = [stratum] if stratum else [], list(roi.axes)
+    plan = Layout.of(points.where(F.col(stratum).isNotNull()) if by else points, by)
+    shifts = offsets if offsets is not None else [(0.0,) * len(axes)]
+    moves = Shuffles(plan, n_mocks * len(shifts), salt)
+    strata = pa.array([s[0] for s in plan.shapes], to_arrow_type(points.schema[stratum].dataType)) if by else None
+    kind = to_arrow_type(points.schema["type"].dataType)
+    rows = points.select("id", *axes, "type", *by)
+    free = ranked(rows.where(F.col(stratum).isNotNull()) if by else rows, chance.key(f"{salt}-1", F.col("id")), by, _digits(plan.total)).select("k", *axes, "type", *by)
+    if by:
+        free = free.unionByName(rows.where(F.col(stratum).isNull()).select(F.lit(0).cast("long").alias("k"), *axes, "type", *by))
+    places = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = free.repartition(places)  # few rows here, but the work of all mocks
+    cells = roi.grid ** len(axes)
+
+    def pixels(xyz: list[np.ndarray], shift: tuple[float, ...]) -> np.ndarray:
+        out = np.zeros(len(xyz[0]), np.int64)
+        for value, origin, size, d in zip(xyz, roi.origin, roi.size, shift, strict=True):
+            at = (value - (origin + d)) / size * roi.grid if size > 0 else np.zeros(len(value))
+            out = out * roi.grid + np.floor(np.minimum(np.maximum(at, 0.0), roi.grid - 1e-9)).astype(np.int64)
+        return out
+
+    def count(chunk: pa.Table) -> Iterator[pa.RecordBatch]:
+        xyz = [chunk[a].to_numpy().astype(np.float64) for a in axes]
+        known = pa.array(every, kind)
+        real = pc.index_in(chunk["type"], known).to_numpy()
+        rank, code, kept = chunk["k"].to_numpy() - 1, None, None
+        if by:
+            code = pc.fill_null(pc.index_in(chunk[stratum], strata), -1).to_numpy()
+            kept = code < 0
+            code, rank = np.where(kept, 0, code), np.where(kept, 0, rank)
+        spot = np.array([every.index(t) for t in moves.types], dtype=np.int64)
+        for trial, shift in enumerate(shifts):
+            at = pixels(xyz, shift)
+            found: dict[str, list] = {"mock_id": [], "type": [], "px": [], "c": []}
+            for mock in range(-1, n_mocks):
+                if mock < 0 or not len(spot):
+                    label = real
+                else:
+                    label = spot[moves.labels(trial * n_mocks + mock, rank, code)]
+                    label = label if kept is None else np.where(kept, real, label)
+                key, n = occupied(label * np.int64(cells) + at, len(every) * cells)
+                edge = np.searchsorted(key, np.arange(len(every) + 1) * cells)
+                for t in np.flatnonzero(np.diff(edge)):
+                    px, c = pack(key[edge[t] : edge[t + 1]] - t * cells, n[edge[t] : edge[t + 1]])
+                    for name, value in zip(found, (mock, every[t], px, c), strict=True):
+                        found[name].append(value)
+            yield pa.RecordBatch.from_pydict({"trial": pa.array([trial] * len(found["px"]), pa.int32()), "mock_id": pa.array(found["mock_id"], pa.int32()), "type": pa.array(found["type"], kind), "px": pa.array(found["px"], pa.binary()), "c": pa.array(found["c"], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= CHUNK:
+                yield from count(pa.Table.from_batches(held))
+                held = []
+        if held and sum(b.num_rows for b in held):
+            yield from count(pa.Table.from_batches(held))
+
+    # points without a stratum may have types of their own
+    every = sorted({*moves.types, *(r[0] for r in rows.where(F.col(stratum).isNull()).select("type").distinct().collect())}) if by else moves.types
+    return spread.mapInArrow(run, f"trial int, mock_id int, type {points.schema['type'].dataType.simpleString()}, px binary, c binary")
+
+
 def with_real(points: DataFrame, drawn: DataFrame) -> DataFrame:
     """The real labels as mock -1, and the mocks."""
     return points.withColumn("mock_id", F.lit(-1)).select(*drawn.columns).unionByName(drawn)
@@ -233,8 +368,6 @@ def smoothed_bootstrap(points: DataFrame, n: int, n_mocks: int, most: int = 50_0
 
 def jitters(roi: Roi, n: int, salt: str = "jitter") -> list[tuple[float, ...]]:
     """Offsets of the origin for each trial, uniform within two pixels of the longest side."""
-    import hashlib
-
     reach = 2 * roi.extent / roi.grid
     draw = lambda t, a: int(hashlib.md5(f"{salt}|{t}|{a}".encode()).hexdigest()[:8], 16) / 2**32
     return [tuple(reach * (2 * draw(t, a) - 1) for a in roi.axes) for t in range(n)]

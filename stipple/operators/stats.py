@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,35 +47,172 @@ def hotelling(real: np.ndarray, nulls: np.ndarray, shrinkage: float = 0.02) -> t
     cov = np.atleast_2d(np.cov(nulls, rowvar=False))
     var = np.diag(cov)
     shrunk = cov * (1 - shrinkage) + np.diag(shrinkage * var + 1e-10)
+    cond = float(np.linalg.cond(shrunk))
+    return hotelling_distance(apart, shrunk, var) * n / (n + 1), cond, n
+
+
+def hotelling_distance(apart: np.ndarray, shrunk: np.ndarray, var: np.ndarray) -> float:
+    """apart' shrunk^-1 apart, or by the variances alone if the matrix is singular."""
     try:
-        distance, cond = float(apart @ np.linalg.solve(shrunk, apart)), float(np.linalg.cond(shrunk))
+        return float(apart @ np.linalg.solve(shrunk, apart))
     except np.linalg.LinAlgError:
-        distance, cond = float((apart**2 / (var + 1e-10)).sum()), float("inf")
-    return distance * n / (n + 1), cond, n
+        return float((apart**2 / (var + 1e-10)).sum())
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often and in whatever loops ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _upto(n: Column | int) -> Column:
+    """0 to n - 1; nothing for n = 0."""
+    n = n if isinstance(n, Column) else F.lit(n)
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+
+
+def shrunk_covariance(apart: Column, shrinkage: float) -> Column:
+    """Matrix (array of rows) of the sample covariance of ``apart``, an array of curves less their mean, moved by ``shrinkage`` towards its diagonal."""
+    def entry(cols: Column, n: Column, i: Column, j: Column) -> Column:
+        c = _dot(F.get(cols, i), F.get(cols, j)) / (n - 1)
+        return F.when(i == j, c * (1 - shrinkage) + (c * shrinkage + 1e-10)).otherwise(c * (1 - shrinkage))
+
+    def of(cols: Column) -> Column:
+        n = F.size(F.get(cols, F.lit(0)))
+        return F.transform(_upto(F.size(cols)), lambda i: F.transform(_upto(F.size(cols)), lambda j: entry(cols, n, i, j)))
+
+    return _let(F.transform(_upto(F.size(F.get(apart, F.lit(0)))), lambda j: F.transform(apart, lambda x: F.get(x, j))), of)
+
+
+def cholesky_row(rows: Column, given: Column, n: Column) -> Column:
+    """The next row of a triangular factor: ``rows`` are those before it, ``given`` the matrix's row, ``n`` how many entries it has; the last is a root if it is the diagonal's."""
+    def entry(row: Column, j: Column) -> Column:
+        rest = F.get(given, j)
+        before = F.aggregate(_upto(j), F.lit(0.0), lambda t, k: t + F.get(row, k) * F.when(j == F.size(rows), F.get(row, k)).otherwise(F.get(F.get(rows, j), k)))
+        return F.when(j == F.size(rows), F.sqrt(rest - before)).otherwise((rest - before) / F.get(F.get(rows, j), j))
+
+    return F.aggregate(_upto(n), F.array().cast("array<double>"), lambda row, j: F.concat(row, F.array(entry(row, j))))
+
+
+def distance(matrix: Column, apart: Column) -> Column:
+    """apart' matrix^-1 apart: the matrix is factored, and ``apart`` runs through the factor as one more row. Not a number, or null, where the matrix is not positive definite."""
+    p = F.size(apart)
+
+    def of(m: Column) -> Column:
+        factor = F.aggregate(_upto(p), F.array().cast("array<array<double>>"), lambda rows, i: F.concat(rows, F.array(cholesky_row(rows, F.get(m, i), i + 1))))
+        return _let(factor, lambda rows: _let(cholesky_row(rows, apart, p), lambda y: _dot(y, y)))
+
+    return _let(matrix, of)
+
+
+#: Sweeps of rotations; each squares what is left off the diagonal, so a matrix of a dozen scales is done before.
+SWEEPS = 10
+
+
+def condition_number(matrix: Column) -> Column:
+    """Largest over smallest eigenvalue of a symmetric matrix, by Jacobi's rotations in turn; infinite if the smallest is not positive."""
+    def rotated(m: Column, i: Column, j: Column) -> Column:
+        at = lambda a, b: F.get(F.get(m, a), b)
+        theta = (at(j, j) - at(i, i)) / (2.0 * at(i, j))
+        t = F.when(theta >= 0, 1.0).otherwise(-1.0) / (F.abs(theta) + F.sqrt(theta * theta + 1.0))
+
+        def turn(t: Column) -> Column:
+            def with_cs(cs: Column) -> Column:
+                c, s = F.get(cs, F.lit(0)), F.get(cs, F.lit(1))
+                cols = F.transform(m, lambda row: F.transform(row, lambda v, k: F.when(k == i, c * v - s * F.get(row, j)).when(k == j, s * F.get(row, i) + c * v).otherwise(v)))
+                return _let(cols, lambda w: F.transform(w, lambda row, k: F.when(k == i, F.zip_with(row, F.get(w, j), lambda a, b: c * a - s * b)).when(k == j, F.zip_with(F.get(w, i), row, lambda a, b: s * a + c * b)).otherwise(row)))
+
+            return _let(F.array(1.0 / F.sqrt(t * t + 1.0), t / F.sqrt(t * t + 1.0)), with_cs)
+
+        return F.when(at(i, j) == 0, m).otherwise(_let(t, turn))
+
+    def values(p: Column) -> Column:
+        each = F.flatten(F.transform(_upto(p), lambda i: F.transform(F.filter(_upto(p), lambda j: j > i), lambda j: F.array(i, j))))
+        turns = F.flatten(F.array_repeat(each, SWEEPS))
+        done = F.aggregate(turns, matrix, lambda m, ij: rotated(m, F.get(ij, F.lit(0)), F.get(ij, F.lit(1))))
+        return _let(done, lambda m: F.transform(m, lambda row, k: F.get(row, k)))
+
+    low, high = F.array_min, F.array_max
+    return _let(values(F.size(matrix)), lambda v: F.when(low(v) > 0, high(v) / low(v)).otherwise(float("inf")))
 
 
 def joint_test(curves: DataFrame, keys: list[str], value: str = "vmr", shrinkage: float = 0.02, least_mocks: int = 5) -> DataFrame:
     """(keys, chi_squared, f_statistic, dof, dof_f1, dof_f2, p_value, condition_number, n_mocks_used) of mock -1 against the others.
 
-    A group is the curves of one key: mocks times scales, a few thousand numbers.
-    An infinite condition number comes out null.
+    A key comes to one row with the curves of its mocks, mocks times scales numbers; the
+    covariance, its factor, the solution and its form are functions of that row, so there
+    is no Python in the plan. Keys without a real curve or with fewer than ``least_mocks``
+    mocks drop. A matrix that can't be factored falls back to the variances; then, as for
+    fewer than two mocks, the condition number is null.
+    """
+    vectors = curves.groupBy(*keys, "mock_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("scale_idx", F.col(value).alias("_v")))), lambda s: s["_v"]).alias("_v"))
+    mock = F.when(F.col("mock_id") >= 0, F.struct("mock_id", "_v"))
+    rows = vectors.groupBy(*keys).agg(F.max(F.when(F.col("mock_id") < 0, F.col("_v"))).alias("_real"), F.transform(F.sort_array(F.collect_list(mock)), lambda s: s["_v"]).alias("_nulls"))
+    rows = rows.where(F.col("_real").isNotNull() & (F.size("_nulls") >= least_mocks))
+    n, p = F.size("_nulls"), F.size("_real")
+    mean = F.transform(_upto(p), lambda j: F.aggregate("_nulls", F.lit(0.0), lambda t, x: t + F.get(x, j)) / n)
+
+    def tested(mean: Column) -> Column:
+        apart = F.zip_with("_real", mean, lambda a, b: a - b)
+        matrix = shrunk_covariance(F.transform("_nulls", lambda x: F.zip_with(x, mean, lambda a, b: a - b)), shrinkage)
+        return _let(F.struct(matrix.alias("m"), apart.alias("d")), lambda s: F.struct(s["m"].alias("m"), s["d"].alias("d"), distance(s["m"], s["d"]).alias("q")))
+
+    def verdict(s: Column) -> Column:
+        # the variances without the shift: an entry of the diagonal is the variance and 1e-10
+        alone = F.aggregate(_upto(p), F.lit(0.0), lambda t, j: t + F.get(s["d"], j) * F.get(s["d"], j) / F.get(F.get(s["m"], j), j))
+        ok = s["q"].isNotNull() & ~F.isnan(s["q"]) & (s["q"] < float("inf"))
+        return F.struct(F.when(ok, s["q"]).otherwise(alone).alias("q"), F.when(ok, condition_number(s["m"])).alias("cond"))
+
+    rows = rows.withColumn("_t", F.when(n >= 2, _let(_let(mean, tested), verdict)))
+    chi = F.when(n < 2, 0.0).otherwise(F.col("_t.q") * n / (n + 1))
+    cond = F.when(F.col("_t.cond") < float("inf"), F.col("_t.cond"))
+    return with_p_value(rows.select(*keys, chi.alias("chi_squared"), p.cast("long").alias("dof"), cond.alias("condition_number"), n.cast("long").alias("n_mocks_used")))
+
+
+def resampled_tests(curves: DataFrame, keys: list[str], n_boot: int, value: str = "vmr", shrinkage: float = 0.02, salt: str = "boot") -> DataFrame:
+    """(keys, boot, chi_squared): the statistic of ``joint_test`` with the mocks of a key resampled ``n_boot`` times, by the draws of ``nulls.resamples``.
+
+    A resample is a vector of how often each mock is drawn, so the means and covariances
+    of all resamples are products of these vectors with the mocks' curves and with their
+    outer products: one group for each key, mocks times scales numbers, and no curve is
+    copied. Keys without a real curve or with fewer than two mocks drop.
     """
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in curves.select(*keys).schema)
 
+    def draws(key: list[str], n: int) -> np.ndarray:
+        name = "|".join([salt, *key])
+        pick = lambda b, slot: int(int(hashlib.md5(f"{name}|{b}|{slot}".encode()).hexdigest()[:8], 16) / 4294967296.0 * n)
+        return np.array([np.bincount([pick(b, slot) for slot in range(n)], minlength=n) for b in range(n_boot)], dtype=np.float64)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, i = np.unique(pdf["mock_id"].to_numpy(), return_inverse=True)
         scales, j = np.unique(pdf["scale_idx"].to_numpy(), return_inverse=True)
         wide = np.full((len(ids), len(scales)), np.nan)
         wide[i, j] = pdf[value].to_numpy()
         real, nulls = wide[ids < 0], wide[ids >= 0]
-        out = pdf[keys].iloc[:1].copy()
-        if not len(real) or len(nulls) < least_mocks:
-            return out.iloc[:0].assign(chi_squared=[], dof=[], condition_number=[], n_mocks_used=[])
-        chi, cond, n = hotelling(real[0], nulls, shrinkage)
-        return out.assign(chi_squared=chi, dof=wide.shape[1], condition_number=cond if np.isfinite(cond) else None, n_mocks_used=n)
-
-    rows = curves.select(*keys, "mock_id", "scale_idx", value).groupBy(*keys).applyInPandas(run, f"{fields}, chi_squared double, dof long, condition_number double, n_mocks_used long")
-    return with_p_value(rows)
+        n, p = nulls.shape
+        out = pdf[keys].iloc[:1]
+        if not len(real) or n < 2:
+            return out.iloc[:0].assign(boot=[], chi_squared=[])
+        middle = nulls.mean(axis=0)  # what is left is small, so that squares of means take little from squares
+        v, w = nulls - middle, draws([str(x) for x in out.iloc[0]], n)
+        mean = w @ v / n
+        outer = (w @ (v[:, :, None] * v[:, None, :]).reshape(n, p * p)).reshape(n_boot, p, p)
+        cov = (outer - n * mean[:, :, None] * mean[:, None, :]) / (n - 1)
+        var = np.maximum(np.diagonal(cov, axis1=1, axis2=2), 0.0)
+        shrunk = cov * (1 - shrinkage)
+        shrunk[:, range(p), range(p)] = var * (1 - shrinkage) + (shrinkage * var + 1e-10)
+        apart = real[0] - middle - mean
+        try:
+            chi = (apart * np.linalg.solve(shrunk, apart[:, :, None])[:, :, 0]).sum(axis=1)
+        except np.linalg.LinAlgError:
+            chi = np.array([hotelling_distance(d, m, s) for d, m, s in zip(apart, shrunk, var, strict=True)])
+        return out.loc[out.index.repeat(n_boot)].assign(boot=np.arange(n_boot), chi_squared=chi * n / (n + 1))
+
+    return curves.select(*keys, "mock_id", "scale_idx", value).groupBy(*keys).applyInPandas(run, f"{fields}, boot int, chi_squared double")
 
 
 def with_p_value(rows: DataFrame) -> DataFrame:
@@ -87,13 +227,6 @@ def with_p_value(rows: DataFrame) -> DataFrame:
     return rows.withColumn("p_value", tail)
 
 
-def pearson(n: Column, sa: Column, sb: Column, saa: Column, sbb: Column, sab: Column) -> Column:
-    """From sums over n places, empty ones included; 0 where either side has no spread."""
-    va, vb = saa / n - (sa / n) * (sa / n), sbb / n - (sb / n) * (sb / n)
-    ok = (va > 1e-20) & (vb > 1e-20)
-    return F.when(ok, (sab / n - (sa / n) * (sb / n)) / F.when(ok, F.sqrt(va) * F.sqrt(vb))).otherwise(0.0)
-
-
 def spearman(rows: DataFrame, a: str, b: str, least: int = 3) -> DataFrame:
     """(n, rho, p_value) with average ranks for ties; null below ``least`` rows or for constant input.
 

@@ -8,7 +8,8 @@ from pyspark.sql import window as W
 
 from ..functions import curves as cv
 from ..functions.scales import Scales
-from ..operators import grid, nulls, pairs, prep, stats
+from ..operators import grid, nulls, packed, pairs, prep, stats
+from ..sources.scratch import cut
 
 
 def labelled_curves(points: DataFrame, roi: grid.Roi, scales: Scales, n_mocks: int, min_cells: int, stratum: str | None = None, salt: str = "") -> DataFrame:
@@ -16,14 +17,13 @@ def labelled_curves(points: DataFrame, roi: grid.Roi, scales: Scales, n_mocks: i
 
     All types share one set of shuffles and one grid of the whole point set. The
     curves (types x mocks x scales rows) are what every later step reads several
-    times, so they are kept.
+    times, so they are written to the shared folder (``scratch.clear`` deletes them).
     """
     types = prep.frequent_types(points, min_cells)
-    drawn = nulls.shuffled(points, n_mocks, stratum, salt)
-    every = nulls.with_real(points, drawn).join(types.select("type"), "type", "left_semi")
-    curve = grid.curves_of(every, roi, scales, ["mock_id", "type"])
+    counts = nulls.shuffled_pixels(points, roi, n_mocks, stratum, salt).drop("trial").join(types.select("type"), "type", "left_semi")
+    curve = packed.curves_of_packed(counts, roi, scales, ["mock_id", "type"])
     # a shuffle leaves each type as many points as it has
-    return stats.usable(curve.join(types.withColumnRenamed("n_cells", "n"), "type")).persist()
+    return cut(stats.usable(curve.join(types.withColumnRenamed("n_cells", "n"), "type")), "curves")
 
 
 def against_null(curves: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,13 +55,20 @@ def fingerprint_summary(found: DataFrame, sort_by: str = "integrated_excess") ->
     return prep.latest_first(found.select(*cols), sort_by, ["type"])
 
 
-def cooccurrence(points: DataFrame, roi: grid.Roi, scales: Scales, n_mocks: int = 50, min_cells: int = 50, type_pairs: DataFrame | None = None) -> DataFrame:
-    """(type_a, type_b, scale_idx, vox, um, r, null_mean, null_sd, significant): correlations of counts against shuffles."""
-    types = prep.frequent_types(points, min_cells)
-    every = nulls.with_real(points, nulls.shuffled(points, n_mocks))
-    r = pairs.bin_correlations(grid.pixels(every, roi, ["mock_id", "type"]), scales, roi, ["mock_id"], types, type_pairs).persist()
-    real = r.where("mock_id < 0").drop("mock_id")
-    out = real.join(stats.null_moments(r, ["type_a", "type_b"], "r").drop("n_mocks"), ["type_a", "type_b", "scale_idx"])
+def cooccurrence(points: DataFrame, roi: grid.Roi, scales: Scales, n_mocks: int = 50, min_cells: int = 50, type_pairs: DataFrame | None = None, tile: int = packed.TILE) -> DataFrame:
+    """(type_a, type_b, scale_idx, vox, um, r, null_mean, null_sd, significant): correlations of counts against shuffles.
+
+    The frequent types are named on the driver, as a row for each pair of them comes out.
+    """
+    names = sorted(r["type"] for r in prep.frequent_types(points, min_cells).collect())
+    r = packed.correlations(nulls.shuffled_pixels(points, roi, n_mocks).drop("trial"), roi, scales, ["mock_id"], names, tile)
+    # the real correlation and the moments of its nulls in one exchange, by numbers of types
+    real, null = F.when(F.col("mock_id") < 0, F.col("r")), F.when(F.col("mock_id") >= 0, F.col("r"))
+    rows = r.groupBy("a", "b", "scale_idx", "vox", "um").agg(F.max(real).alias("r"), F.avg(null).alias("null_mean"), F.stddev_pop(null).alias("null_sd"))
+    name = lambda c: F.element_at(F.array(*[F.lit(t) for t in names]).cast("array<string>"), F.col(c) + 1)
+    out = rows.select(name("a").alias("type_a"), name("b").alias("type_b"), "scale_idx", "vox", "um", "r", "null_mean", "null_sd")
+    if type_pairs is not None:
+        out = out.join(type_pairs, ["type_a", "type_b"], "left_semi")
     return out.withColumn("significant", F.abs(F.col("r") - F.col("null_mean")) > 2 * F.col("null_sd"))
 
 
@@ -126,17 +133,10 @@ def regional_comparison(regions: dict[str, DataFrame], grid_size: int = 256, vox
 def jittered(points: DataFrame, roi: grid.Roi, scales: Scales, n_trials: int = 10, n_mocks: int = 20, min_cells: int = 50) -> DataFrame:
     """(trial, type, scale_idx, um, n, vmr, null_mean, null_sd, ratio): the grid's origin moved and labels shuffled anew in each trial."""
     types = prep.frequent_types(points, min_cells)
-    offsets = nulls.jitters(roi, n_trials)
-    table = F.array(*[F.struct(F.lit(t).alias("trial"), *[F.lit(float(d)).alias(f"d{a}") for a, d in zip(roi.axes, o, strict=True)]) for t, o in enumerate(offsets)])
-    drawn = nulls.shuffled(points, n_trials * n_mocks, salt="trial")
-    mock = drawn.withColumns({"trial": F.floor(F.col("mock_id") / n_mocks).cast("int"), "mock_id": F.col("mock_id") % n_mocks})
-    real = points.withColumns({"trial": F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))), "mock_id": F.lit(-1)})
-    every = real.select(*mock.columns).unionByName(mock).join(types.select("type"), "type", "left_semi")
-    moved = every.withColumn("o", F.element_at(table, F.col("trial") + 1)).withColumns({f"d{a}": F.col(f"o.d{a}") for a in roi.axes})
     keys = ["trial", "mock_id", "type"]
-    counts = grid.pixels(moved, roi, keys, {a: f"d{a}" for a in roi.axes})
-    curve = grid.curves_of_counts(counts, scales, roi, keys).join(types.withColumnRenamed("n_cells", "n"), "type")
-    return against_null(stats.usable(curve).persist(), ["trial", "type"])
+    counts = nulls.shuffled_pixels(points, roi, n_mocks, salt="trial", offsets=nulls.jitters(roi, n_trials)).join(types.select("type"), "type", "left_semi")
+    curve = packed.curves_of_packed(counts, roi, scales, keys).join(types.withColumnRenamed("n_cells", "n"), "type")
+    return against_null(cut(stats.usable(curve), "jittered"), ["trial", "type"])
 
 
 def jitter_spread(rows: DataFrame) -> DataFrame:
@@ -154,15 +154,15 @@ def null_kinds(points: DataFrame, roi: grid.Roi, scales: Scales, kinds: dict[str
     The mocks of all kinds go through one grid; real curves are made once and repeated for each kind.
     """
     types = prep.frequent_types(points, min_cells)
-    axes = list(roi.axes)
-    every = points.select(F.lit("").alias("null_kind"), F.lit(-1).alias("mock_id"), *axes, "type")
+    axes, counts = list(roi.axes), None
     for kind, stratum in kinds.items():
-        drawn = nulls.shuffled(points.select("id", *axes, "type", *([stratum] if stratum else [])), n_mocks, stratum)
-        every = every.unionByName(drawn.select(F.lit(kind).alias("null_kind"), "mock_id", *axes, "type"))
-    curve = grid.curves_of(every.join(types.select("type"), "type", "left_semi"), roi, scales, ["null_kind", "mock_id", "type"])
+        one = nulls.shuffled_pixels(points.select("id", *axes, "type", *([stratum] if stratum else [])), roi, n_mocks, stratum)
+        one = one.select(F.when(F.col("mock_id") < 0, F.lit("")).otherwise(F.lit(kind)).alias("null_kind"), "mock_id", "type", "px", "c")
+        counts = one if counts is None else counts.unionByName(one.where("mock_id >= 0"))
+    curve = packed.curves_of_packed(counts.join(types.select("type"), "type", "left_semi"), roi, scales, ["null_kind", "mock_id", "type"])
     each = F.when(F.col("mock_id") < 0, F.array(*[F.lit(k) for k in kinds])).otherwise(F.array("null_kind"))
     curve = curve.withColumn("null_kind", F.explode(each))
-    return stats.usable(curve.join(types.withColumnRenamed("n_cells", "n"), "type")).persist()
+    return cut(stats.usable(curve.join(types.withColumnRenamed("n_cells", "n"), "type")), "curves")
 
 
 def _kinds_tested(curves: DataFrame, kinds: dict[str, str], least_mocks: int) -> DataFrame:
@@ -183,9 +183,7 @@ def mediation(curves: DataFrame, overall: str = "overall", within: str = "within
 def mediation_bootstrap(curves: DataFrame, n_boot: int = 200, overall: str = "overall", within: str = "within", least_mocks: int = 10, least_valid: int = 50) -> DataFrame:
     """(type, mediation_pct, ci_low, ci_high, n_valid): the mocks of each null resampled with replacement, by draws of its own."""
     keys = ["null_kind", "type"]
-    drawn = nulls.resamples(curves.where("mock_id >= 0").select(*keys, "mock_id", "scale_idx", "vmr"), keys, n_boot)
-    real = curves.where("mock_id < 0").select(*keys, "mock_id", "scale_idx", "vmr").withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    tests = stats.joint_test(drawn.unionByName(real.select(*drawn.columns)), [*keys, "boot"], least_mocks=2)
+    tests = stats.resampled_tests(curves, keys, n_boot)
     enough = curves.where("mock_id >= 0").groupBy("type", "null_kind").agg(F.countDistinct("mock_id").alias("k")).groupBy("type").agg(F.min("k").alias("k")).where(F.col("k") >= least_mocks)
     chi = tests.groupBy("type", "boot").agg(F.max(F.when(F.col("null_kind") == overall, F.col("chi_squared"))).alias("o"), F.max(F.when(F.col("null_kind") == within, F.col("chi_squared"))).alias("w"))
     values = chi.where("o > 0").withColumn("m", 100.0 * (1.0 - F.col("w") / F.col("o")))
@@ -221,10 +219,10 @@ def summary_of(rows: DataFrame, value: str) -> DataFrame:
 def peak_ratios_by_dims(points: DataFrame, roi2: grid.Roi, scales2: Scales, roi3: grid.Roi, scales3: Scales, n_mocks: int = 20, min_cells: int = 50) -> DataFrame:
     """(type, peak_2d, peak_3d, ratio_change): the same shuffles gridded in two and in three dimensions."""
     types = prep.frequent_types(points, min_cells)
-    every = nulls.with_real(points, nulls.shuffled(points, n_mocks)).join(types.select("type"), "type", "left_semi")
     sides = []
     for name, roi, scales in (("peak_2d", roi2, scales2), ("peak_3d", roi3, scales3)):
-        rows = against_null(grid.curves_of(every, roi, scales, ["mock_id", "type"]).withColumn("n", F.col("n_points")).persist(), ["type"])
+        counts = nulls.shuffled_pixels(points, roi, n_mocks).drop("trial").join(types.select("type"), "type", "left_semi")
+        rows = against_null(cut(packed.curves_of_packed(counts, roi, scales, ["mock_id", "type"]).withColumn("n", F.col("n_points")), name), ["type"])
         sides.append(rows.groupBy("type").agg(F.max("ratio").alias(name)))
     out = sides[0].join(sides[1], "type")
     return out.withColumn("ratio_change", F.when(F.col("peak_2d") > 0, F.col("peak_3d") / F.when(F.col("peak_2d") > 0, F.col("peak_2d"))).otherwise(1.0))
@@ -255,7 +253,7 @@ def ripley_band(points: DataFrame, radii: list[float], area: float, n_null: int
     null = nulls.mocks(some.select("id", "type").join(box, "type"), n_null)
     null = null.select("type", "mock_id", "id", *[(F.col(f"lo{a}") + (F.col(f"hi{a}") - F.col(f"lo{a}")) * chance.uniform("box", F.col("mock_id"), F.col("id"), a)).alias(a) for a in "xy"])
     real = some.select("type", F.lit(-1).alias("mock_id"), "id", "x", "y")
-    rows = ripley(real.unionByName(null), radii, area, ["type", "mock_id"]).persist()
+    rows = cut(ripley(real.unionByName(null), radii, area, ["type", "mock_id"]), "ripley")
     band = rows.where("mock_id >= 0").groupBy("type", "radius").agg(F.percentile("l", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg("k").alias("k_null_mean"))
     return rows.where("mock_id < 0").drop("mock_id", "pairs").join(band, ["type", "radius"]).select("type", "radius", "n", "k", "l", F.col("q")[0].alias("l_low"), F.col("q")[1].alias("l_high"), "k_null_mean")
 

@@ -66,6 +66,14 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.split_part("key", F.lit("__x__"), F.lit(1)).alias("type_a"), F.split_part("key", F.lit("__x__"), F.lit(2)).alias("type_b"), "r.*")
 
 
+def write_trials(rows: DataFrame, path: str) -> None:
+    """A list with an object of records by type for each trial, in order; for results, which are few."""
+    record = F.struct(*[c for c in rows.columns if c not in ("trial", "type")])
+    each = finite(rows).groupBy("trial").agg(F.map_from_entries(F.collect_list(F.struct(F.col("type"), record))).alias("m"))
+    every = each.agg(F.transform(F.sort_array(F.collect_list(F.struct("trial", F.to_json("m").alias("t")))), lambda s: s["t"]).alias("all"))
+    every.select(F.concat(F.lit("["), F.array_join("all", ","), F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def read_trials(spark: SparkSession, path: str) -> DataFrame:
     """(trial, type, ...) of a list of objects of fingerprint records."""
     rows = _text(spark, path).select(F.posexplode(F.from_json("value", f"array<map<string,{_RECORD}>>")).alias("trial", "m"))

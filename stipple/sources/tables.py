@@ -25,11 +25,11 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A CSV file with a header; columns by their names, so files may hold more or other orders. Without a schema types are inferred."""
+    """A CSV file with a header; columns by their names, so files may hold more or other orders. A malformed number is null. Without a schema types are inferred."""
     if schema is None:
         return spark.read.option("header", True).option("inferSchema", True).csv(path)
     raw = spark.read.option("header", True).csv(path)
-    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema if f.name in raw.columns])
+    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema if f.name in raw.columns])
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
