@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions import curves as cv
 from .functions.scales import Scales
-from .operators import grid, nulls, packed, prep, stats
+from .operators import grid, nulls, packed, pairs, prep, stats
 from .plans import analyses as an
 from .sources.scratch import fresh_path
 
@@ -793,6 +793,17 @@ kk AS (SELECT type, radius, n, coalesce(pairs, 0) AS pairs, 2.0::DOUBLE * coales
 SQL["ripley_k"] = f"WITH {VPTS}, {RIP} SELECT type, radius, n, pairs, round(k, 6) AS k FROM kk"
 
 
+@query
+def pair_counts_by_cells(spark, sf):
+    """The pairs behind ``ripley_k`` by the tree of cells, however few points there are."""
+    p = vectors(spark, sf)
+    least = p.groupBy("type").count().where("count >= 10").select("type")
+    return pairs.pair_counts(p.join(least, "type", "left_semi"), list(RADII), ["type"], leaf=4, flat=0)
+
+
+SQL["pair_counts_by_cells"] = f"WITH {VPTS}, {RIP} SELECT type, radius, pairs FROM kk"
+
+
 @query
 def besag_l(spark, sf):
     return rounded(an.ripley(vectors(spark, sf), list(RADII), 1.0, ["type"]).select("type", "radius", "l"))

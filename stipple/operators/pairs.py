@@ -11,6 +11,8 @@ from ..sources.scratch import cut
 
 #: Points up to which a cell is not divided, and how often a square as wide as the largest radius can be, by four along each axis.
 LEAF, DEPTH = 32, 8
+#: Points of a square up to which all points of neighbouring squares are compared, some 80 million comparisons for a square.
+FLAT = 4096
 _STEPS = ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))
 
 
@@ -92,11 +94,11 @@ def _by_cells(points: DataFrame, radii: list[float], keys: list[str], leaf: int)
     return sums.unionByName(near).groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
 
 
-def pair_counts(points: DataFrame, radii: list[float], keys: list[str], leaf: int = LEAF) -> DataFrame:
+def pair_counts(points: DataFrame, radii: list[float], keys: list[str], leaf: int = LEAF, flat: int = FLAT) -> DataFrame:
     """(keys, radius, pairs): unordered pairs no farther apart than each radius; exact, whatever the points' places.
 
     Points fall into squares as wide as the largest radius, and only neighbouring squares
-    meet. Where all squares hold few points, these are compared. Else squares are divided,
+    meet. Where no square holds more than ``flat`` points, these are compared. Else squares are divided,
     by four along each axis, until a cell has ``leaf`` points or fewer: two cells wholly
     within a radius add the product of their counts, wholly beyond it nothing, and only
     pairs on its edge are divided further and come down to points in the end. A round
@@ -105,6 +107,6 @@ def pair_counts(points: DataFrame, radii: list[float], keys: list[str], leaf: in
     """
     wide = max(radii)
     most = _squares(points, wide, keys, 0).groupBy(*keys, "cx", "cy").count().agg(F.max("count")).first()[0] or 0
-    counts = _flat(points, radii, keys) if most <= leaf else _by_cells(points, radii, keys, leaf)
+    counts = _flat(points, radii, keys) if most <= flat else _by_cells(points, radii, keys, leaf)
     each = F.array(*[F.struct(F.lit(float(r)).alias("radius"), F.col(f"r{i}").alias("pairs")) for i, r in enumerate(radii)])
     return counts.select(*keys, F.explode(each).alias("e")).select(*keys, "e.radius", "e.pairs")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stipple.functions import curves as cv
 from stipple.functions.scales import Scales
-from stipple.operators import grid, nulls, pairs, prep, stats
+from stipple.operators import grid, nulls, packed, pairs, prep, stats
 from stipple.plans import analyses as an
 
 
@@ -207,6 +207,125 @@ def test_pair_counts_match_brute_force(uniform):
             assert got[t, rad] == (d <= rad * rad).sum()
 
 
+@pytest.mark.parametrize("leaf", [1, 4, 32])
+def test_pair_counts_by_cells_match_brute_force(spark, leaf):
+    r = np.random.default_rng(5)
+    # half of the points in one small spot, some of them equal, the others spread
+    xy = np.vstack([r.normal(50, 0.5, (400, 2)), np.repeat(r.uniform(40, 60, (3, 2)), 20, axis=0), r.uniform(0, 200, (300, 2)), [[10.0, 10.0], [30.0, 10.0]]])
+    p = points(spark, [(i, float(x), float(y), "AB"[i % 3 == 0]) for i, (x, y) in enumerate(xy)])
+    radii = [0.3, 1.0, 20.0]
+    got = {(t["type"], t["radius"]): t["pairs"] for t in pairs.pair_counts(p, radii, ["type"], leaf=leaf, flat=0).collect()}
+    flat = {(t["type"], t["radius"]): t["pairs"] for t in pairs.pair_counts(p, radii, ["type"]).collect()}
+    for t, mine in (("A", [i for i in range(len(xy)) if i % 3]), ("B", [i for i in range(len(xy)) if i % 3 == 0])):
+        q = xy[mine]
+        d = ((q[:, None] - q[None]) ** 2).sum(-1)[np.triu_indices(len(q), 1)]
+        for rad in radii:
+            assert got[t, rad] == flat[t, rad] == (d <= rad * rad).sum()
+
+
+def test_cells_within_a_radius_are_not_taken_apart(spark):
+    # 4,000 points in a spot far smaller than the radius: one square, one pair of cells, no point compared
+    r = np.random.default_rng(6)
+    p = points(spark, [(i, float(x), float(y), "A") for i, (x, y) in enumerate(r.uniform(0, 1, (4000, 2)))])
+    got = {t["radius"]: t["pairs"] for t in pairs.pair_counts(p, [5.0], ["type"], flat=0).collect()}
+    assert got == {5.0: 4000 * 3999 // 2}
+
+
+@pytest.mark.parametrize("tile", [3, 256])
+def test_correlations_of_more_types_than_a_tile(spark, tile):
+    r = np.random.default_rng(7)
+    kinds = [f"t{k}" for k in range(8)]
+    rows = [(i, float(x), float(y), kinds[int(k)]) for i, (x, y, k) in enumerate(zip(r.uniform(0, 100, 900), r.uniform(0, 100, 900), r.integers(0, 8, 900), strict=True))]
+    p = points(spark, rows)
+    roi = grid.roi_of(p, 32)
+    sc = Scales.of_pixels([4, 20], roi.extent, 32)
+    got = {(t["type_a"], t["type_b"], t["vox"]): t for t in an.cooccurrence(p, roi, sc, 5, 10, tile=tile).collect()}
+    assert len(got) == 28 * 2
+    c = {}
+    for t in kinds:
+        g = np.zeros((32, 32))
+        xy = np.array([q[1:3] for q in rows if q[3] == t])
+        np.add.at(g, tuple(np.floor(np.clip((xy[:, a] - roi.origin[a]) / roi.size[a] * 32, 0, 32 - 1e-9)).astype(int) for a in range(2)), 1)
+        c[t] = g.reshape(8, 4, 8, 4).sum(axis=(1, 3)).ravel()
+    for (a, b, v), row in got.items():
+        assert row["r"] == 0.0 if v == 20 else math.isclose(row["r"], np.corrcoef(c[a], c[b])[0, 1], rel_tol=1e-9, abs_tol=1e-12)
+    other = {(t["type_a"], t["type_b"], t["vox"]): t for t in an.cooccurrence(p, roi, sc, 5, 10, tile=5).collect()}
+    assert all(math.isclose(got[k]["null_mean"], other[k]["null_mean"], abs_tol=1e-12) for k in got)
+
+
+def test_packed_shuffles_are_those_of_rows(spark, uniform):
+    p = uniform.withColumns({"z": F.col("x") + F.col("y"), "stratum": F.when(F.col("x") < 400, "a").when(F.col("x") < 600, "b")})
+    for by, dims in ((None, 2), ("stratum", 2), ("stratum", 3)):
+        roi = grid.roi_of(p, 16, dims)
+        want = grid.pixels(nulls.with_real(p, nulls.shuffled(p, 3, by)), roi, ["mock_id", "type"])
+        got = packed.unpacked(nulls.shuffled_pixels(p, roi, 3, by), roi, ["mock_id", "type"])
+        assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    moved = nulls.shuffled_pixels(p, roi, 2, offsets=[(0.0, 0.0, 0.0), (40.0, 0.0, -10.0)])
+    assert sorted({r["trial"] for r in moved.select("trial").collect()}) == [0, 1] and moved.where("mock_id > 1").count() == 0
+    one, other = (nulls.shuffled(p, 4).where(F.col("mock_id").isin(*m)).withColumn("mock_id", F.col("mock_id") % 2) for m in ((0, 1), (2, 3)))
+    shift = grid.Roi(tuple(o + d for o, d in zip(roi.origin, (40.0, 0.0, -10.0), strict=True)), roi.size, roi.grid)
+    for t, rows, r in ((0, one, roi), (1, other, shift)):
+        got = packed.unpacked(moved.where(f"trial = {t} and mock_id >= 0"), r, ["mock_id", "type"])
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, grid.pixels(rows, r, ["mock_id", "type"]).select(got.columns).collect()))
+
+
+def test_packed_counts_are_narrow():
+    for px, c in (([0, 5], [1, 1]), ([3, 70_000], [300, 2]), ([], [])):
+        a, b = packed.pack(np.array(px, np.int64), np.array(c, np.int64))
+        grid_ = np.zeros(80_000, np.int64)
+        packed.add_to(grid_, a, b)
+        assert np.flatnonzero(grid_).tolist() == px and grid_[px].tolist() == c
+    assert len(packed.pack(np.arange(10), np.ones(10, int))[0]) == 11
+
+
+def test_summed_areas_give_the_sums_of_bins():
+    r = np.random.default_rng(8)
+    for shape in ((16, 16), (12, 12, 12)):
+        dense = r.poisson(0.7, shape)
+        sums = grid.power_sums(dense, (1, 3, 5, 9, 40))
+        for k, v in enumerate((1, 3, 5, 9, 40)):
+            n, d = shape[0] // v, len(shape)
+            c = np.array([dense.sum()]) if n < 2 else dense[(slice(0, n * v),) * d].reshape([n, v] * d).sum(axis=tuple(range(1, 2 * d, 2))).ravel()
+            assert [sums[s][k] for s in ("n_bins", "s1", "s2", "s3")] == [len(c), c.sum(), (c**2).sum(), (c**3).sum()]
+
+
+def test_joint_test_is_numpys(spark):
+    r = np.random.default_rng(11)
+    rows, want = [], {}
+    for key, n, p, mix in (("a", 50, 12, 1.0), ("b", 7, 12, 0.1), ("c", 2, 1, 1.0), ("d", 5, 3, 0.0)):
+        base = r.normal(10, 3, (n, 1)) * (1 - mix) + r.normal(0, 1, (n, p)) * mix
+        real = r.normal(11, 1, p)
+        want[key] = stats.hotelling(real, base)
+        rows += [(key, m, j, float(v)) for m, curve in [(-1, real), *enumerate(base)] for j, v in enumerate(curve)]
+    rows += [("short", m, j, 1.0) for m in (-1, 0) for j in range(2)] + [("unreal", m, 0, 1.0) for m in range(9)]
+    curves = spark.createDataFrame(rows, "key string, mock_id int, scale_idx int, vmr double")
+    tested = stats.joint_test(curves, ["key"], least_mocks=2)
+    plan = tested._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    got = {t["key"]: t for t in tested.collect()}
+    assert set(got) == set(want)
+    for key, (chi, cond, n) in want.items():
+        assert math.isclose(got[key]["chi_squared"], chi, rel_tol=1e-9) and got[key]["n_mocks_used"] == n
+        assert math.isclose(got[key]["condition_number"], cond, rel_tol=1e-6), key
+    one = stats.joint_test(curves.where("key = 'short'"), ["key"], least_mocks=1).first()
+    assert one["chi_squared"] == 0.0 and one["p_value"] == 1.0 and one["condition_number"] is None
+    # a matrix that has no factor: the distance by the variances alone
+    bad = spark.range(1).select(F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(2.0), F.lit(1.0))).alias("m"), F.array(F.lit(1.0), F.lit(1.0)).alias("d"))
+    q = bad.select(stats.distance(F.col("m"), F.col("d")).alias("q"), stats.condition_number(F.col("m")).alias("c")).first()
+    assert (q["q"] is None or math.isnan(q["q"])) and q["c"] == float("inf")
+
+
+def test_resamples_as_weights_are_those_of_rows(spark):
+    r = np.random.default_rng(12)
+    rows = [(k, m, j, float(v)) for k, n in (("x", 9), ("y", 6)) for m in range(-1, n) for j, v in enumerate(r.normal(5, 1, 4))]
+    curves = spark.createDataFrame(rows, "type string, mock_id int, scale_idx int, vmr double")
+    drawn = nulls.resamples(curves.where("mock_id >= 0"), ["type"], 30)
+    real = curves.where("mock_id < 0").withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(29)))).select(drawn.columns)
+    want = {(t["type"], t["boot"]): t["chi_squared"] for t in stats.joint_test(drawn.unionByName(real), ["type", "boot"], least_mocks=2).collect()}
+    got = {(t["type"], t["boot"]): t["chi_squared"] for t in stats.resampled_tests(curves, ["type"], 30).collect()}
+    assert set(got) == set(want) and all(math.isclose(got[k], want[k], rel_tol=1e-6) for k in want)
+
+
 def test_cooccurrence_matches_numpy(uniform):
     roi = grid.roi_of(uniform, 32)
     sc = Scales.of_pixels([4], roi.extent, 32)
