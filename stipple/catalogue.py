@@ -1164,6 +1164,24 @@ def region_etl(spark, sf):
 SQL["region_etl"] = "SELECT c_custkey AS cell_label, c_acctbal AS x, c_mktsegment AS class FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'"
 
 
+@query
+def region_strata(spark, sf):
+    """Customers in a region store, read by region with the strata of each: layers of one, nuclei of the other."""
+    from .sources.store import RegionStore
+
+    n, r = read(spark, sf, "nation"), read(spark, sf, "region")
+    code = F.when(F.col("r_name") == "EUROPE", "Isocortex").when(F.col("r_name") == "ASIA", "TH").otherwise(F.col("r_name"))
+    terms = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_nationkey").alias("parcellation_index"), code.alias("division"), F.col("n_name").alias("structure"), F.concat("n_name", (F.col("n_nationkey") % 8).cast("string")).alias("substructure"))
+    c = read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("cell_label"), F.col("c_acctbal").alias("x"), F.col("c_mktsegment").alias("class"), F.col("c_nationkey").alias("parcellation_index"))
+    store = RegionStore(spark, fresh_path(spark, "store"), 8).write(c.drop("parcellation_index"), c.select("cell_label", "parcellation_index"), terms)
+    parts = [store.strata(name).groupBy(F.lit(name).alias("region"), F.col(kind).alias("stratum"), "structure").agg(F.count("*").alias("n"), F.round(F.sum("x"), 2).alias("total")) for name, kind in (("isocortex", "layer"), ("thalamus", "nucleus"))]
+    return parts[0].unionByName(parts[1])
+
+
+SQL["region_strata"] = """WITH c AS (SELECT c_acctbal AS x, r_name, n_name, n_nationkey % 8 AS layer FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT 'isocortex' AS region, CASE WHEN layer BETWEEN 1 AND 6 THEN 'L' || layer END AS stratum, n_name AS structure, count(*) AS n, round(sum(x), 2) AS total FROM c WHERE r_name = 'EUROPE' GROUP BY ALL UNION ALL SELECT 'thalamus', n_name, n_name, count(*), round(sum(x), 2) FROM c WHERE r_name = 'ASIA' GROUP BY ALL"""
+
+
 @query
 def csv_inferred(spark, sf):
     from .sources import reports, tables

@@ -32,6 +32,8 @@ from pyspark.sql import window as W
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import chance
+from ..sources.scratch import cut
+from . import order
 from .grid import Roi
 from .packed import CHUNK, occupied, pack
 
@@ -72,57 +74,57 @@ def _amount(r: int, number: Column, size: int) -> Column:
     return F.get(t, number % size) + F.get(t, F.lit(size) + ((number - number % size) / size).cast("int"))
 
 
-@dataclass(frozen=True)
-class Layout:
-    """How the points of each stratum fill their grid of ranks, and the runs of equal labels in the sorted order of (stratum, type).
+_SHAPE = ("_wide", "_high", "_rest", "_rows", "_columns")
 
-    ``shapes`` has for each stratum its key, the place of its first point, the grid's
-    width, whole rows and rest, and the rows and columns of the strata before it.
-    """
 
-    shapes: list[tuple]
-    runs: list[tuple[tuple, object, int]]
-    total: int
-    size: int
+def layout(points: DataFrame, by: list[str]) -> tuple[DataFrame, int]:
+    """(by, n, _wide, _high, _rest, _rows, _columns, _kinds, _upto) of each stratum, and the size of the random tables.
 
-    @classmethod
-    def of(cls, points: DataFrame, by: list[str]) -> Layout:
-        """From the number of points of each stratum and type, which the driver sees."""
-        runs = sorted((tuple(r[c] for c in by), r["type"], r["n"]) for r in points.groupBy(*by, "type").agg(F.count("*").alias("n")).collect())
-        sizes: dict[tuple, int] = {}
-        for key, _, n in runs:
-            sizes[key] = sizes.get(key, 0) + n
-        bases = dict(zip(sizes, accumulate([0, *sizes.values()]), strict=False))
-        wide = {key: isqrt(max(n - 1, 0)) + 1 for key, n in sizes.items()}
-        rows_before = dict(zip(sizes, accumulate([0, *(-(-n // wide[key]) for key, n in sizes.items())]), strict=False))
-        columns_before = dict(zip(sizes, accumulate([0, *wide.values()]), strict=False))
-        shapes = [(*key, bases[key], wide[key], n // wide[key], n % wide[key], rows_before[key], columns_before[key]) for key, n in sizes.items()]
-        size = isqrt(max(sum(-(-n // wide[key]) for key, n in sizes.items()), sum(wide.values()))) + 1
-        return cls(shapes, runs, sum(sizes.values()), size)
+    The points of a stratum fill a grid of ranks of ``_wide`` columns, ``_high`` whole
+    rows and ``_rest`` points in one more; ``_rows`` and ``_columns`` count those of the
+    strata before it. ``_kinds`` are its types in order and ``_upto`` how many points have
+    these or earlier ones. All this stays a table, however many strata there are.
+    """
+    counts = points.groupBy(*by, "type").agg(F.count("*").alias("n"))
+    shapes = counts.groupBy(*by).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("type", "n"))).alias("_t"))
+    wide = F.ceil(F.sqrt("n")).cast("int")
+    shapes = shapes.withColumn("_wide", wide).withColumns({"_high": F.expr("int(n div _wide)"), "_rest": F.expr("int(n % _wide)"), "_tall": F.ceil(F.col("n") / F.col("_wide"))})
+    upto = F.transform(F.sequence(F.lit(1), F.size("_t")), lambda i: F.aggregate(F.slice("_t", F.lit(1), i), F.lit(0).cast("long"), lambda total, x: total + x["n"]))
+    shapes = shapes.select(*by, "n", "_wide", "_high", "_rest", "_tall", F.transform("_t", lambda x: x["type"]).alias("_kinds"), upto.alias("_upto"))
+    shapes = order.prefix_sums(shapes, by, {"_rows": "_tall", "_columns": "_wide"})
+    shapes = cut(shapes.withColumns({c: F.col(c).cast("int") for c in ("_rows", "_columns")}), "strata")
+    most = shapes.agg(F.greatest(F.sum("_tall"), F.sum("_wide"))).first()[0] or 0
+    return shapes.drop("_tall"), isqrt(most) + 1
+
+
+def _whole(points: DataFrame) -> tuple[dict[str, int], list[tuple], int]:
+    """The same for one stratum of all points: its shape, the types with their counts and the size of the tables. The driver sees a row for each type."""
+    runs = sorted((r["type"], r["n"]) for r in points.groupBy("type").agg(F.count("*").alias("n")).collect())
+    n = sum(k for _, k in runs)
+    wide = isqrt(max(n - 1, 0)) + 1
+    return dict(zip(_SHAPE, (wide, n // wide, n % wide, 0, 0), strict=True)), runs, isqrt(max(-(-n // wide), wide)) + 1
 
 
 def shuffled(points: DataFrame, n_mocks: int, stratum: str | None = None, salt: str = "") -> DataFrame:
     """(mock_id, id, x, y[, z, stratum], type): the labels permuted over the points, in each stratum by itself if there is one.
 
     Ids are unique, types not null. Each mock has the same number of every label (in
-    every stratum). Points without a stratum keep their labels. The driver sees the
-    number of points of each stratum and type, and sends the runs of labels to all
-    tasks (``BLOCKS`` rows and one for each stratum and type) and the random tables (of
-    each mock some dozen times the fourth root of the points).
+    every stratum). Points without a stratum keep their labels. Strata are a table that
+    is joined to the points by stratum; without strata the driver sees the number of
+    points of each type, and sends the runs of labels to all tasks (``BLOCKS`` rows and
+    one for each type). The random tables (of each mock some dozen times the fourth root
+    of the points, and more with many strata) go to all tasks.
     """
     spark, by = points.sparkSession, [stratum] if stratum else []
     free = points.where(F.col(stratum).isNotNull()) if by else points
-    plan = Layout.of(free, by)
-    shapes, size, total = plan.shapes, plan.size, plan.total
     # rows and columns are about the square root of the points, so integers hold them
-    kinds = ("long", *["int"] * 5)
-    shape = ("_base", "_wide", "_high", "_rest", "_rows", "_columns")
-    rows = ranked(free.drop("type"), chance.key(f"{salt}-1", F.col("id")), by, _digits(total))
+    rows = ranked(free.drop("type"), chance.key(f"{salt}-1", F.col("id")), by, _digits(points.count()))
     if by:
-        kind = points.schema[stratum].dataType.simpleString()
-        rows = rows.join(F.broadcast(spark.createDataFrame(shapes, f"`{stratum}` {kind}, {', '.join(f'{c} {k}' for c, k in zip(shape, kinds, strict=True))}")), by)
+        shapes, size = layout(free, by)
+        rows = rows.join(shapes.drop("n"), by)
     else:
-        rows = rows.withColumns({c: F.lit(v).cast(k) for c, v, k in zip(shape, shapes[0] if shapes else (0, 1, 0, 0, 0, 0), kinds, strict=True)})
+        shape, runs, size = _whole(points)
+        rows = rows.withColumns({c: F.lit(v).cast("int") for c, v in shape.items()})
     rows = rows.withColumns({"_u": F.expr("int((k - 1) div _wide)"), "_v": F.expr("int((k - 1) % _wide)")}).drop("k")
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")  # few rows here, many times as many below
     drawn = mocks(rows, n_mocks).join(F.broadcast(_tables(spark, n_mocks, size, salt)), "mock_id")
@@ -132,54 +134,47 @@ def shuffled(points: DataFrame, n_mocks: int, stratum: str | None = None, salt:
             drawn = drawn.withColumn("_u", (u + _amount(r, F.col("_columns") + v, size)) % (F.col("_high") + F.when(v < F.col("_rest"), 1).otherwise(0)))
         else:
             drawn = drawn.withColumn("_v", (v + _amount(r, F.col("_rows") + u, size)) % F.when(u < F.col("_high"), F.col("_wide")).otherwise(F.col("_rest")))
+    # never null, as Spark should know, which would else test the whole chain of rounds for nulls before the join
+    drawn = drawn.withColumn("_at", F.coalesce(u.cast("long") * F.col("_wide") + v, F.lit(0)))
+    cols = ["mock_id", *[c for c in points.columns if c != "type"], "type"]
+    if by:
+        place = F.size(F.filter("_upto", lambda n: n <= F.col("_at")))
+        out = drawn.withColumn("type", F.get("_kinds", place)).select(*cols)
+        return out.unionByName(mocks(points.where(F.col(stratum).isNull()), n_mocks).select(*cols))
+    total = sum(n for _, n in runs)
     step = max(1, -(-total // BLOCKS))
-    starts = accumulate([0, *(n for *_, n in plan.runs)])
-    labels = [(block, lo, lo + n, t) for (_, t, n), lo in zip(plan.runs, starts, strict=False) for block in range(lo // step, (lo + n - 1) // step + 1)]
+    starts = accumulate([0, *(n for _, n in runs)])
+    labels = [(block, lo, lo + n, t) for (t, n), lo in zip(runs, starts, strict=False) for block in range(lo // step, (lo + n - 1) // step + 1)]
     kind = points.schema["type"].dataType.simpleString()
     labels = F.broadcast(spark.createDataFrame(labels, f"_block long, _lo long, _hi long, type {kind}"))
-    # never null, as Spark should know, which would else test the whole chain of rounds for nulls before the join
-    drawn = drawn.withColumn("_at", F.coalesce(F.col("_base") + u.cast("long") * F.col("_wide") + v, F.lit(0))).withColumn("_block", F.coalesce(F.expr(f"_at div {step}"), F.lit(0)))
-    out = drawn.join(labels, "_block").where((F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi")))
-    out = out.select("mock_id", *[c for c in points.columns if c != "type"], "type")
-    if by:
-        out = out.unionByName(mocks(points.where(F.col(stratum).isNull()), n_mocks).select(*out.columns))
-    return out
+    drawn = drawn.withColumn("_block", F.coalesce(F.expr(f"_at div {step}"), F.lit(0)))
+    return drawn.join(labels, "_block").where((F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi"))).select(*cols)
 
 
-class Shuffles:
-    """The permutations of ``shuffled`` for many points at once: numbers of labels from ranks, mock by mock."""
+@dataclass(frozen=True)
+class Moves:
+    """The random tables of all mocks, worked out where they are used, and the permutations they make of ranks."""
 
-    def __init__(self, plan: Layout, n_mocks: int, salt: str) -> None:
-        self.types = sorted({t for _, t, _ in plan.runs})
-        self.n_mocks, self.salt, self.size = n_mocks, salt, plan.size
-        columns = np.array([s[-6:] for s in plan.shapes] or [(0, 1, 0, 0, 0, 0)], dtype=np.int64).T
-        # one stratum: plain numbers, which cost less than one for each point
-        self.base, self.wide, self.high, self.rest, self.rows, self.columns = columns
-        self.lengths = (int((self.rows + self.high + (self.rest > 0)).max()), int((self.columns + self.wide).max()))
-        place = {t: k for k, t in enumerate(self.types)}
-        self.run_type = np.array([place[t] for _, t, _ in plan.runs], dtype=np.int64)
-        self.ends = np.cumsum([n for *_, n in plan.runs])
+    salt: str
+    size: int
 
     def amounts(self, mock: int) -> list[np.ndarray]:
-        """How far each row (even rounds) and each column (odd rounds) moves: the sum of two random numbers, by the digits of its number."""
         draw = lambda r, j: int(hashlib.md5(f"{self.salt}|{mock}|{r}|{j}".encode()).hexdigest()[:7], 16)
-        out = []
-        for r in range(ROUNDS):
-            t = np.array([draw(r, j) for j in range(2 * self.size)], dtype=np.int64)
-            number = np.arange(self.lengths[r % 2])
-            out.append(t[number % self.size] + t[self.size + number // self.size])
-        return out
+        return [np.array([draw(r, j) for j in range(2 * self.size)], dtype=np.int64) for r in range(ROUNDS)]
 
-    def labels(self, mock: int, rank: np.ndarray, stratum: np.ndarray | None) -> np.ndarray:
-        """Places in ``types`` of the labels that points of these ranks (from 0, in their stratum) get in a mock."""
-        base, wide, high, rest, rows, columns = (a[0] if stratum is None else a[stratum] for a in (self.base, self.wide, self.high, self.rest, self.rows, self.columns))
+    def places(self, tables: list[np.ndarray], rank: np.ndarray, shape: dict[str, np.ndarray | int]) -> np.ndarray:
+        """Where the points of these ranks (from 0, in their stratum) go in a mock, as ranks of their stratum."""
+        wide, high, rest, rows, columns = (shape[c] for c in _SHAPE)
         u, v = np.divmod(rank, wide)
-        for r, amount in enumerate(self.amounts(mock)):
+        for r, t in enumerate(tables):
+            # a row's number, or a column's, has two digits, each with a random number of its own
+            tens, ones = np.divmod(columns + v if r % 2 else rows + u, self.size)
+            amount = t[ones] + t[self.size + tens]
             if r % 2:
-                u = (u + amount[columns + v]) % (high + (v < rest))
+                u = (u + amount) % (high + (v < rest))
             else:
-                v = (v + amount[rows + u]) % np.where(u < high, wide, rest)
-        return self.run_type[np.searchsorted(self.ends, base + u * wide + v, side="right")]
+                v = (v + amount) % np.where(u < high, wide, rest)
+        return u * wide + v
 
 
 def shuffled_pixels(points: DataFrame, roi: Roi, n_mocks: int, stratum: str | None = None, salt: str = "", offsets: list[tuple[float, ...]] | None = None) -> DataFrame:
@@ -187,23 +182,29 @@ def shuffled_pixels(points: DataFrame, roi: Roi, n_mocks: int, stratum: str | No
 
     The shuffles are those of ``shuffled``, but no row is made for a point in a mock:
     points are ranked, each task takes a chunk of them and works out the labels of all
-    mocks in turn, and what leaves it are counts. ``offsets``: shifts of the grid's origin,
-    one for each trial, each with mocks of its own. ``type`` is as in ``points``. The
-    driver sees the number of points of each stratum and type.
+    mocks in turn, and what leaves it are counts. With strata, each point brings along the
+    shape of its stratum and its runs of labels. ``offsets``: shifts of the grid's origin,
+    one for each trial, each with mocks of its own. The driver sees the names of the types.
     """
     by, axes = [stratum] if stratum else [], list(roi.axes)
-    plan = Layout.of(points.where(F.col(stratum).isNotNull()) if by else points, by)
     shifts = offsets if offsets is not None else [(0.0,) * len(axes)]
-    moves = Shuffles(plan, n_mocks * len(shifts), salt)
-    strata = pa.array([s[0] for s in plan.shapes], to_arrow_type(points.schema[stratum].dataType)) if by else None
-    kind = to_arrow_type(points.schema["type"].dataType)
     rows = points.select("id", *axes, "type", *by)
-    free = ranked(rows.where(F.col(stratum).isNotNull()) if by else rows, chance.key(f"{salt}-1", F.col("id")), by, _digits(plan.total)).select("k", *axes, "type", *by)
+    free = rows.where(F.col(stratum).isNotNull()) if by else rows
+    ranks = ranked(free, chance.key(f"{salt}-1", F.col("id")), by, _digits(points.count()))
     if by:
-        free = free.unionByName(rows.where(F.col(stratum).isNull()).select(F.lit(0).cast("long").alias("k"), *axes, "type", *by))
-    places = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = free.repartition(places)  # few rows here, but the work of all mocks
-    cells = roi.grid ** len(axes)
+        shapes, size = layout(free, by)
+        carried = [*_SHAPE, "_kinds", "_upto"]
+        ranks = ranks.join(shapes.drop("n"), by).select("k", *axes, "type", *carried)
+        # a point without a stratum is alone in one, so it keeps its label
+        alone = dict(zip(_SHAPE, (1, 1, 0, 0, 0), strict=True))
+        ranks = ranks.unionByName(rows.where(F.col(stratum).isNull()).select(F.lit(1).cast("long").alias("k"), *axes, "type", *[F.lit(v).cast("int").alias(c) for c, v in alone.items()], F.array("type").alias("_kinds"), F.array(F.lit(1).cast("long")).alias("_upto")))
+        every = sorted(r["type"] for r in rows.select("type").distinct().collect())
+    else:
+        whole, runs, size = _whole(points)
+        ranks = ranks.select("k", *axes, "type")
+        every, ends = [t for t, _ in runs], np.cumsum([n for _, n in runs], dtype=np.int64)
+    kind, moves, cells = to_arrow_type(points.schema["type"].dataType), Moves(salt, size), roi.grid ** len(axes)
+    spread = ranks.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few rows here, but the work of all mocks
 
     def pixels(xyz: list[np.ndarray], shift: tuple[float, ...]) -> np.ndarray:
         out = np.zeros(len(xyz[0]), np.int64)
@@ -212,25 +213,31 @@ def shuffled_pixels(points: DataFrame, roi: Roi, n_mocks: int, stratum: str | No
             out = out * roi.grid + np.floor(np.minimum(np.maximum(at, 0.0), roi.grid - 1e-9)).astype(np.int64)
         return out
 
-    def count(chunk: pa.Table) -> Iterator[pa.RecordBatch]:
+    def count(chunk: pa.Table, known: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         xyz = [chunk[a].to_numpy().astype(np.float64) for a in axes]
-        known = pa.array(every, kind)
-        real = pc.index_in(chunk["type"], known).to_numpy()
-        rank, code, kept = chunk["k"].to_numpy() - 1, None, None
+        names = pa.array(every, kind)
+        real, rank = pc.index_in(chunk["type"], names).to_numpy().astype(np.int64), chunk["k"].to_numpy() - 1
         if by:
-            code = pc.fill_null(pc.index_in(chunk[stratum], strata), -1).to_numpy()
-            kept = code < 0
-            code, rank = np.where(kept, 0, code), np.where(kept, 0, rank)
-        spot = np.array([every.index(t) for t in moves.types], dtype=np.int64)
+            shape = {c: chunk[c].to_numpy().astype(np.int64) for c in _SHAPE}
+            kinds, upto = (chunk[c].combine_chunks() for c in ("_kinds", "_upto"))
+            codes, upto, first = pc.index_in(kinds.flatten(), names).to_numpy().astype(np.int64), upto.flatten().to_numpy(), np.diff(kinds.offsets.to_numpy())
+            # one rising line of all points' runs: each point's places are set behind those of the points before it
+            behind = np.concatenate([[0], np.cumsum(shape["_wide"] * (shape["_high"] + 1))])[:-1]
+            line = upto + np.repeat(behind, first)
+        else:
+            shape = whole
         for trial, shift in enumerate(shifts):
             at = pixels(xyz, shift)
             found: dict[str, list] = {"mock_id": [], "type": [], "px": [], "c": []}
             for mock in range(-1, n_mocks):
-                if mock < 0 or not len(spot):
+                if mock < 0:
                     label = real
                 else:
-                    label = spot[moves.labels(trial * n_mocks + mock, rank, code)]
-                    label = label if kept is None else np.where(kept, real, label)
+                    number = trial * n_mocks + mock
+                    if number not in known:
+                        known[number] = moves.amounts(number)
+                    place = moves.places(known[number], rank, shape)
+                    label = codes[np.searchsorted(line, behind + place, side="right")] if by else np.searchsorted(ends, place, side="right")
                 key, n = occupied(label * np.int64(cells) + at, len(every) * cells)
                 edge = np.searchsorted(key, np.arange(len(every) + 1) * cells)
                 for t in np.flatnonzero(np.diff(edge)):
@@ -241,16 +248,15 @@ def shuffled_pixels(points: DataFrame, roi: Roi, n_mocks: int, stratum: str | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        known: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             held.append(batch)
             if sum(b.num_rows for b in held) >= CHUNK:
-                yield from count(pa.Table.from_batches(held))
+                yield from count(pa.Table.from_batches(held), known)
                 held = []
         if held and sum(b.num_rows for b in held):
-            yield from count(pa.Table.from_batches(held))
+            yield from count(pa.Table.from_batches(held), known)
 
-    # points without a stratum may have types of their own
-    every = sorted({*moves.types, *(r[0] for r in rows.where(F.col(stratum).isNull()).select("type").distinct().collect())}) if by else moves.types
     return spread.mapInArrow(run, f"trial int, mock_id int, type {points.schema['type'].dataType.simpleString()}, px binary, c binary")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from . import order
+
 log = logging.getLogger(__name__)
 
 # Type levels from coarse to fine, and the division code of each named region.
@@ -93,13 +95,14 @@ def only_types(points: DataFrame, types: list[str] | DataFrame) -> DataFrame:
 def quantile_bins(points: DataFrame, value: str = "z", n: int = 5, within: str = "stratum", out: str = "bin") -> DataFrame:
     """Quantile bin (from 0) of a value within its group: edges at interpolated percentiles, equal edges once, right ends closed.
 
-    Groups are aggregated to their edges and joined back, so no group is ordered in one task.
+    Edges are found by selection (``order.quantiles``), so no group's values are held or
+    ordered in one task; then they are joined back. A group without a value has bin 0.
     """
-    edges = points.groupBy(within).agg(F.percentile(value, F.array(*[F.lit(i / n) for i in range(n + 1)])).alias("_edges"))
+    edges = order.quantiles(points, value, [within], [i / n for i in range(n + 1)], "_edges")
     inner = edges.select(F.col(within).alias("_w"), F.array_distinct("_edges").alias("_edges"))
     joined = points.join(inner, F.col(within).eqNullSafe(F.col("_w")), "left").drop("_w")
     count = F.size(F.filter(F.slice("_edges", F.lit(2), F.greatest(F.size("_edges") - 2, F.lit(0))), lambda e: e < F.col(value)))
-    return joined.withColumn(out, F.when(F.size("_edges") < 2, 0).otherwise(count).cast("long")).drop("_edges")
+    return joined.withColumn(out, F.when(F.coalesce(F.size("_edges"), F.lit(0)) < 2, 0).otherwise(count).cast("long")).drop("_edges")
 
 
 def compound_stratum(stratum: Column, depth_bin: Column) -> Column:

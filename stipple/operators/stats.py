@@ -9,9 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from ..functions import tails
+from . import order
 
 LEAST_POINTS = 5
 
@@ -228,16 +228,11 @@ def with_p_value(rows: DataFrame) -> DataFrame:
 
 
 def spearman(rows: DataFrame, a: str, b: str, least: int = 3) -> DataFrame:
-    """(n, rho, p_value) with average ranks for ties; null below ``least`` rows or for constant input.
-
-    For short tables such as one row per type: the ranks need the whole order.
-    """
-    rows = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-
-    def average_rank(c: str) -> Column:
-        return F.rank().over(W.Window.orderBy(c)) + (F.count("*").over(W.Window.partitionBy(c)) - 1) / 2.0
-
-    r = rows.withColumns({"_a": average_rank(a), "_b": average_rank(b)}).agg(F.count("*").alias("n"), F.covar_pop("_a", "_b").alias("_c"), F.stddev_pop("_a").alias("_sa"), F.stddev_pop("_b").alias("_sb"))
+    """(n, rho, p_value) with average ranks for ties; null below ``least`` rows or for constant input. Rows may be any number."""
+    there = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    both = rows.where(there(a) & there(b)).select(F.col(a).alias("_x"), F.col(b).alias("_y"))
+    ranks = order.average_ranks(order.average_ranks(both, "_x", "_a"), "_y", "_b")
+    r = ranks.agg(F.count("*").alias("n"), F.covar_pop("_a", "_b").alias("_c"), F.stddev_pop("_a").alias("_sa"), F.stddev_pop("_b").alias("_sb"))
     r = r.withColumn("rho", F.when(F.col("n") >= least, F.try_divide("_c", F.col("_sa") * F.col("_sb")))).select("n", "rho")
     inner = F.col("rho").isNotNull() & (F.abs("rho") < 1)
     t = F.col("rho") * F.sqrt((F.col("n") - 2) / F.when(inner, 1 - F.col("rho") * F.col("rho")))

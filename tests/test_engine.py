@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stipple.functions import curves as cv
 from stipple.functions.scales import Scales
-from stipple.operators import grid, nulls, packed, pairs, prep, stats
+from stipple.operators import grid, nulls, order, packed, pairs, prep, stats
 from stipple.plans import analyses as an
 
 
@@ -367,6 +367,33 @@ def test_quantile_bins_follow_ties(spark):
     assert [got[i] for i in range(10)] == list(exp) and got[99] == 0
 
 
+@pytest.mark.parametrize("few", [4, 40, 4096])
+def test_quantiles_by_selection_are_exact(spark, few):
+    r = np.random.default_rng(13)
+    # heavy tails, many ties, two values, one value, tiny and infinite ones, a group without a name
+    groups = {"tail": np.exp(r.normal(0, 12, 500)) * r.choice([-1, 1], 500), "ties": r.integers(0, 4, 300).astype(float), "two": np.array([1.0, 2.0] * 30), "one": np.full(50, 3.5), "tiny": np.array([0.0, 5e-324] * 20), "far": np.array([-np.inf, *r.normal(0, 1, 60), np.inf, np.inf]), None: r.normal(0, 1e-3, 77) + 5000}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("tail", None), ("tail", float("nan"))]
+    p = spark.createDataFrame(rows, "stratum string, z double")
+    probs = [0.0, 0.2, 0.5, 0.61, 1.0]
+    got = {q["stratum"]: q for q in order.quantiles(p, "z", ["stratum"], probs, few=few, buckets=8).collect()}
+    want = {q["stratum"]: q["q"] for q in p.where("z is not null and not isnan(z)").groupBy("stratum").agg(F.percentile("z", F.array(*[F.lit(v) for v in probs])).alias("q")).collect()}
+    assert {k: q["n"] for k, q in got.items()} == {k: len(v) for k, v in groups.items()}
+    for g in groups:
+        assert all(a == b or math.isclose(a, b, rel_tol=1e-12) or (math.isnan(a) and math.isnan(b)) for a, b in zip(got[g]["q"], want[g], strict=True)), g
+    assert order.quantiles(p.where("z > 1e300 and z < 1e301"), "z", ["stratum"], probs).count() == 0
+
+
+def test_average_ranks_over_ranges(spark):
+    import pandas as pd
+
+    r = np.random.default_rng(14)
+    v = np.concatenate([r.integers(0, 30, 300).astype(float), np.exp(r.normal(0, 8, 300)), [-0.0, 0.0, np.inf, -np.inf]])
+    rows = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)] + [(-1, None), (-2, float("nan"))], "id long, v double")
+    got = {t["id"]: t["k"] for t in order.average_ranks(rows, "v", "k", share=20).collect()}
+    want = pd.Series(v).rank(method="average")
+    assert got[-1] is None and got[-2] is None and all(got[i] == want[i] for i in range(len(v)))
+
+
 def test_spearman_ties_and_constants(spark):
     rows = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (3.0, 5.0), (4.0, 1.0)], "a double, b double")
     assert math.isclose(stats.spearman(rows, "a", "b").first()["rho"], -1.5 / math.sqrt(22.5), rel_tol=1e-9)
@@ -391,3 +418,83 @@ def test_streaming_counts_agree_with_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("px").collect())) == sorted(map(tuple, grid.pixels(rows, roi, ["type"]).collect()))
+
+
+@pytest.fixture(scope="module")
+def cells(spark):
+    r = np.random.default_rng(21)
+    rows = []
+    for i in range(900):
+        x, y = r.uniform(0, 6000, 2)
+        kind = "CD"[int(x > 3000)] if i % 2 else "EF"[int(r.integers(0, 2))]
+        rows.append((f"c{i}", float(x), float(y), 0.0, kind, f"{kind}1", int(x // 1000) if i % 9 else (7 if i % 2 else None)))
+    table = spark.createDataFrame(rows, "cell_label string, x double, y double, z double, class string, subclass string, parcellation_index int")
+    terms = spark.createDataFrame([(k, "Isocortex" if k < 5 else "TH" if k == 5 else "HPF", f"S{k}", f"SSp{k + 1}") for k in range(8)], "parcellation_index int, division string, structure string, substructure string")
+    return table, terms
+
+
+def test_region_store_prunes_and_joins_in_place(spark, cells, tmp_path):
+    from stipple.sources.store import RegionStore
+
+    table, terms = cells
+    path = str(tmp_path / "store")
+    store = RegionStore(spark, path, 4).write(table.drop("parcellation_index"), table.select("cell_label", "parcellation_index"), terms)
+    pdf = table.toPandas()
+    mine = pdf[(pdf.parcellation_index < 5)]
+    assert store.manifest()["Isocortex"]["n_cells"] == len(mine) and set(store.manifest()) == {"Isocortex", "TH", "HPF"}
+    for again in (store, RegionStore(spark, path, 4)):  # the second knows only the files
+        spark.sql(f"DROP TABLE IF EXISTS {again._name('cells')}") if again is not store else None
+        spark.sql(f"DROP TABLE IF EXISTS {again._name('places')}") if again is not store else None
+        got = again.strata("isocortex").select("cell_label", "layer", "structure", "class")
+        assert sorted((r["cell_label"], r["layer"], r["structure"], r["class"]) for r in got.collect()) == sorted((c, f"L{int(k) + 1}", f"S{int(k)}", t) for c, k, t in zip(mine.cell_label, mine.parcellation_index, mine["class"], strict=True))
+        threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        try:
+            joined = again.region("isocortex").join(again._table("places"), "cell_label", "left")
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        assert "Exchange" not in plan and "SortMergeJoin" in plan and "PartitionFilters: [isnotnull(division" in plan.replace("#", "")
+    assert {r["nucleus"] for r in store.strata("thalamus").collect()} == {"S5"} and "layer" not in store.strata("hippocampus").columns
+    assert store.region("nowhere").count() == 0 and RegionStore(spark, str(tmp_path / "none")).manifest() == {}
+
+
+def test_runner_goes_on_where_it_stopped(spark, cells, tmp_path, monkeypatch):
+    from stipple.plans import runner
+    from stipple.sources import reports
+    from stipple.sources.store import RegionStore
+
+    table, terms = cells
+    store = RegionStore(spark, str(tmp_path / "store"), 4).write(table.drop("parcellation_index"), table.select("cell_label", "parcellation_index"), terms)
+    results, few = str(tmp_path / "results"), runner.Options(n_mocks=6, min_cells=30, grid_size=32, n_trials=2, n_boot=20)
+    calls = []
+
+    def counted(name, f):
+        def call(*a):
+            calls.append(name)
+            if name == "cooccurrence" and calls.count(name) == 1:
+                raise KeyError("lost")
+            return f(*a)
+        return call
+
+    monkeypatch.setattr(runner, "ANALYSES", {k: counted(k, f) for k, f in runner.ANALYSES.items()})
+    names = ["fingerprints", "cooccurrence", "mediation"]
+    first = {(o.region, o.analysis): o for o in runner.run(store, results, ["isocortex", "nowhere"], names, few)}
+    assert first["isocortex", "fingerprints"].state == "made" and first["isocortex", "mediation"].state == "made"
+    assert first["isocortex", "cooccurrence"].state == "failed" and "lost" in first["isocortex", "cooccurrence"].message
+    assert first["nowhere", "fingerprints"].state == "skipped" and not (tmp_path / "results" / "isocortex" / "cooccurrence").exists()
+    second = {o.analysis: o.state for o in runner.run(store, results, ["isocortex"], names, few)}
+    assert second == {"fingerprints": "kept", "cooccurrence": "made", "mediation": "kept"} and calls.count("fingerprints") == 1
+    other = {o.analysis: o.state for o in runner.run(store, results, ["isocortex"], ["fingerprints"], runner.Options(n_mocks=7, min_cells=30, grid_size=32))}
+    assert other == {"fingerprints": "made"}
+    found = {r["type"]: r for r in reports.read_fingerprints(spark, results + "/isocortex/fingerprints/fingerprints.json").collect()}
+    assert set(found) == set("CDEF") and all(len(r["vmr_curve"]) == len(r["scales_um"]) > 3 for r in found.values())
+    pairs_ = reports.read_pairs(spark, results + "/isocortex/cooccurrence/cooccurrence.json").collect()
+    assert len(pairs_) == 6 and all(len(r["correlation_curve"]) == len(r["significant_scales"]) for r in pairs_)
+    assert [o.state for o in runner.run(store, results, ["hippocampus"], ["mediation"], few)] == ["skipped"]
+    assert {o.state for o in runner.run(store, results, ["isocortex"], ["regional", "jitter"], few)} == {"made"}
+    trials = reports.read_trials(spark, results + "/isocortex/jitter/trials.json").collect()
+    assert {(r["trial"], r["type"]) for r in trials} == {(t, k) for t in range(2) for k in "CDEF"}
+    assert runner.main(["--store", store.path, "--results", results, "--regions", "isocortex", "--analyses", "mediation", "regional", "--n-mocks", "6", "--min-cells", "30", "--grid-size", "32", "--n-trials", "2", "--n-boot", "20"]) == 0
+    assert calls.count("mediation") == 2 and calls.count("regional") == 1  # one was for a region without strata
+    assert not list((tmp_path / "results" / ".making").glob("*"))
