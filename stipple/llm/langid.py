@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .learn import content_hash, fold, linear_svm, platt, share_of, sigmoid
+from .learn import fold, hashed, linear_svm, platt, share_of, sigmoid
 from .store import table
 
 DIM = 4096
@@ -156,8 +156,8 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, max_docs: int = MAX_DOCS, max
     to be few.
     """
     known = docs.where("lang is not null and text is not null").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text", F.col("lang").cast("string").alias("lang"))
-    known = known.withColumn("h", content_hash("langid", F.col("id"), F.col("text")))
-    count = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_langs).collect()}
+    known = hashed(known, ["id", "text"], "langid")
+    count = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("_g", 0.02).alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_langs).collect()}
     bound = max(1, min(per_lang, max_docs // max(1, len(count))))
     share = F.create_map(*[F.lit(v) for lang, n in count.items() for v in (lang, share_of(bound, n))]) if count else F.create_map().cast("map<string,int>")
 
@@ -166,10 +166,10 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, max_docs: int = MAX_DOCS, max
         return text.map(lambda t: features(t).astype(np.float16).tobytes())
 
     lettered = F.pandas_udf(lambda text: text.map(has_letter).astype(bool), T.BooleanType())
-    some = known.where(F.col("h") < share[F.col("lang")]).dropDuplicates(["lang", "id", "text"]).where(lettered("text"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "text"))
-    some = some.withColumn("k", place).where(F.col("k") <= bound).select("lang", "h", "k", vector("text").alias("x")).toPandas()
-    some = some.sort_values(["h", "lang", "k"])
+    some = known.where(F.col("_h") < share[F.col("lang")]).dropDuplicates(["lang", "_h", "_g"]).where(lettered("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_g"))
+    some = some.withColumn("k", place).where(F.col("k") <= bound).select("lang", "_h", "k", vector("text").alias("x")).toPandas()
+    some = some.sort_values(["_h", "lang", "k"])
     x = np.array([np.frombuffer(v, np.float16) for v in some["x"]], dtype=np.float32).reshape(len(some), DIM)
     return Model(x, some["lang"].to_numpy())
 

@@ -18,9 +18,13 @@ _HASH = 1 << 30
 _SLACK = 1.3
 
 
-def content_hash(salt: str, *cols: Column) -> Column:
-    """Of an id and a text, say, so that rows under one id, or none, are picked each by itself."""
-    return F.pmod(F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("")) for c in cols], F.lit(salt)), F.lit(_HASH))
+def hashed(rows: DataFrame, cols: list[str], salt: str) -> DataFrame:
+    """``rows`` with ``_h`` and ``_g``, two hashes of an id and a text, say, by which rows under one id, or none, are picked each by itself.
+
+    Taken before a join, they let it carry the rows of a sample alone.
+    """
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
+    return rows.withColumns({"_h": F.pmod(F.xxhash64(*parts, F.lit(salt)), F.lit(_HASH)), "_g": F.xxhash64(F.lit(salt), *parts)})
 
 
 def share_of(bound: int, n: int) -> int:
@@ -28,17 +32,17 @@ def share_of(bound: int, n: int) -> int:
     return _HASH if n <= bound else min(_HASH, int(_HASH * _SLACK * bound / n))
 
 
-def bounded_sample(rows: DataFrame, bound: int, cols: list[str], salt: str) -> DataFrame:
-    """At most ``bound`` of the different rows of ``rows`` by ``cols``, each once, chosen by a hash of these columns.
+def bounded_sample(rows: DataFrame, bound: int, take: list[Column | str]) -> DataFrame:
+    """``take`` of at most ``bound`` of the different rows of ``hashed`` rows, each once, by their hashes.
 
     The same rows give the same sample, however they are dealt and repeated: one id on
-    many rows, or no id at all, is neither taken nor left as a whole, and ties of the hash
-    are settled by the columns. What is ordered is thinned before to about the bound.
+    many rows, or no id at all, is neither taken nor left as a whole, and ties of one hash
+    are settled by the other. Rows are thinned to about the bound before ``take`` is
+    worked out, and only that is ordered.
     """
-    marked = rows.withColumn("_h", content_hash(salt, *[F.col(c) for c in cols]))
-    n = marked.agg(F.approx_count_distinct("_h", 0.02)).first()[0]
-    some = marked.where(F.col("_h") < share_of(bound, n)).dropDuplicates(cols)
-    return some.orderBy("_h", *cols).limit(bound).drop("_h")
+    n = rows.agg(F.approx_count_distinct("_g", 0.02)).first()[0]
+    some = rows.where(F.col("_h") < share_of(bound, n)).dropDuplicates(["_h", "_g"]).select("_h", "_g", *take)
+    return some.orderBy("_h", "_g").limit(bound).drop("_h", "_g")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

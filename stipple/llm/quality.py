@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .learn import bounded_sample, logistic, sigmoid
+from .learn import bounded_sample, hashed, logistic, sigmoid
 from .store import cut, table
 
 LABELLED = 20000
@@ -70,14 +70,14 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Classif
     more of them to the driver than others do; documents without an id have no label.
     """
     marks = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    some = bounded_sample(marks, labelled, ["doc_id"], "quality")
+    some = bounded_sample(hashed(marks, ["doc_id"], "quality"), labelled, ["doc_id", "_quality"])
 
     @F.pandas_udf("array<double>")
     def shape(texts: pd.Series) -> pd.Series:
         return texts.map(features, na_action=None)
 
-    met = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(some, "doc_id")
-    rows = bounded_sample(met, labelled, ["doc_id", "text"], "quality-rows").select(shape("text").alias("x"), "_quality").toPandas()
+    met = hashed(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), ["doc_id", "text"], "quality-rows").join(some, "doc_id")
+    rows = bounded_sample(met, labelled, [shape("text").alias("x"), "_quality"]).toPandas()
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(len(rows), len(features("")))
     return Classifier(x, rows["_quality"].to_numpy(dtype=np.float64))
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .learn import bounded_sample, fold, non_negative_pu, sigmoid
+from .learn import bounded_sample, fold, hashed, non_negative_pu, sigmoid
 from .store import table
 
 POSITIVES, UNLABELLED, KEPT = 3000, 6000, 2000
@@ -63,23 +63,23 @@ class Model:
         return float(sigmoid(self.bias + self.weights[sorted(hits)].sum())) if hits else float(sigmoid(self.bias))
 
 
-def _vectors(docs: DataFrame) -> list[np.ndarray]:
+def _vectors(docs: DataFrame, bound: int) -> list[np.ndarray]:
+    """Features of at most ``bound`` different documents (doc_id, text, hashed), those of equal texts once."""
     @F.pandas_udf("binary")
     def vector(text: pd.Series) -> pd.Series:
         return text.map(lambda t: doc_features(t).astype("<u4").tobytes())
 
-    rows = docs.select(F.xxhash64("text").alias("h"), vector("text").alias("x")).collect()
+    rows = bounded_sample(docs, bound, [F.xxhash64("text").alias("h"), vector("text").alias("x")]).collect()
     return [np.frombuffer(x, "<u4") for x in {r["h"]: r["x"] for r in sorted(rows, key=lambda r: r["h"])}.values()]
 
 
 def fit(confirmed: DataFrame, unlabelled: DataFrame, prior: float | None, positives: int = POSITIVES, others: int = UNLABELLED) -> Model:
-    """``confirmed`` toxic and ``unlabelled`` documents (doc_id, text); ``prior``: the share of toxic ones among the unlabelled.
+    """``confirmed`` toxic and ``unlabelled`` documents, as ``learn.hashed`` by id and text; ``prior``: the share of toxic ones among the unlabelled.
 
     ``positives`` and ``others`` bound how many different documents, by id and text, of
     each kind are learned from.
     """
-    pos = _vectors(bounded_sample(confirmed.select("doc_id", "text"), positives, ["doc_id", "text"], "toxic"))
-    unl = _vectors(bounded_sample(unlabelled.select("doc_id", "text"), others, ["doc_id", "text"], "unlabelled"))
+    pos, unl = _vectors(confirmed, positives), _vectors(unlabelled, others)
     prior = min(max(prior if prior is not None else PRIOR, 1e-3), 0.5)
     if not pos or not unl:
         return Model(np.empty(0, np.uint32), np.empty(0), float(np.log(prior / (1 - prior))))
@@ -126,7 +126,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out: Column) -> Dat
     kept = labels.where(F.col("toxic").isNotNull() & ~F.coalesce(held_out, F.lit(False)))
     marks = kept.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     toxic = marks.where("toxic = 1").select("doc_id")
-    rows = docs.select("doc_id", "text").where(~F.coalesce(held_out, F.lit(False)))
+    rows = hashed(docs.select("doc_id", "text"), ["doc_id", "text"], "toxicity").where(~F.coalesce(held_out, F.lit(False)))
     # of the labelled texts, each once, as the samples hold them
     texts = rows.select("doc_id", F.xxhash64("text").alias("h")).join(marks, "doc_id").groupBy("h").agg(F.max("toxic").alias("toxic"))
     share = texts.agg(F.avg(F.col("toxic").cast("double"))).first()[0]

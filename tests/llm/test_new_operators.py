@@ -280,11 +280,11 @@ def test_damage_and_repair_as_sql_says(spark, tmp_path):
 @pytest.mark.parametrize("ident", [7, 8, 9, None])
 def test_samples_hold_with_one_id(spark, ident):
     rows = spark.range(20000).select(F.lit(ident).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
-    first, second = (sorted(r["text"] for r in learn.bounded_sample(rows.repartition(k), 3000, ["doc_id", "text"], "s").collect()) for k in (3, 7))
+    first, second = (sorted(r["text"] for r in learn.bounded_sample(learn.hashed(rows.repartition(k), ["doc_id", "text"], "s"), 3000, ["text"]).collect()) for k in (3, 7))
     assert first == second and len(first) == 3000 and len(set(first)) == 3000
     same = spark.range(5000).select(F.lit(ident).cast("long").alias("doc_id"), F.lit("one").alias("text"))
-    assert learn.bounded_sample(same, 100, ["doc_id", "text"], "s").count() == 1
-    assert learn.bounded_sample(rows.limit(0), 100, ["doc_id", "text"], "s").count() == 0
+    assert learn.bounded_sample(learn.hashed(same, ["doc_id", "text"], "s"), 100, ["text"]).count() == 1
+    assert learn.bounded_sample(learn.hashed(rows.limit(0), ["doc_id", "text"], "s"), 100, ["text"]).count() == 0
 
 
 @pytest.mark.parametrize("ident", [7, None])
@@ -315,6 +315,7 @@ def test_toxicity_with_one_id(spark):
     r = np.random.default_rng(6)
     bad, rest = [f"vile{k} scum filth" for k in range(60)], [" ".join(f"w{v}" for v in r.integers(0, 300, 20)) for _ in range(600)]
     rows = spark.createDataFrame([(1, f"{t} {rest[i]}") for i, t in enumerate(bad)] + [(2, t) for t in rest], "doc_id long, text string")
+    rows = learn.hashed(rows, ["doc_id", "text"], "t")
     first, second = (toxicity.fit(rows.where("doc_id = 1").repartition(k), rows.repartition(k + 1), 0.09, positives=50, others=400) for k in (2, 5))
     assert np.array_equal(first.weights, second.weights) and len(first.at) > 0
     assert first.score("vile3 scum filth") > 0.5 > first.score(rest[0])
@@ -322,6 +323,7 @@ def test_toxicity_with_one_id(spark):
 
 def test_chosen_features_stand_out_by_hand(spark):
     docs = spark.createDataFrame([(i, "toxicword common" if i < 40 else "common plain") for i in range(240)], "doc_id long, text string").withColumn("text", F.concat("text", F.lit(" x"), F.col("doc_id").cast("string")))
+    docs = learn.hashed(docs, ["doc_id", "text"], "t")
     model = toxicity.fit(docs.where("doc_id < 40"), docs, 1 / 6)
     kept = set(model.at)
     assert set(toxicity.word_features("toxicword")) <= kept and not set(toxicity.word_features("common")) & kept and not set(toxicity.word_features("plain")) & kept
