@@ -1171,7 +1171,7 @@ def region_strata(spark, sf):
 
     n, r = read(spark, sf, "nation"), read(spark, sf, "region")
     code = F.when(F.col("r_name") == "EUROPE", "Isocortex").when(F.col("r_name") == "ASIA", "TH").otherwise(F.col("r_name"))
-    terms = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_nationkey").alias("parcellation_index"), code.alias("division"), F.col("n_name").alias("structure"), F.concat("n_name", (F.col("n_nationkey") % 8).cast("string")).alias("substructure"))
+    terms = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_nationkey").alias("parcellation_index"), code.alias("division"), F.col("n_name").alias("structure"), F.concat("n_name", F.lit("-"), (F.col("n_nationkey") % 8).cast("string")).alias("substructure"))
     c = read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("cell_label"), F.col("c_acctbal").alias("x"), F.col("c_mktsegment").alias("class"), F.col("c_nationkey").alias("parcellation_index"))
     store = RegionStore(spark, fresh_path(spark, "store"), 8).write(c.drop("parcellation_index"), c.select("cell_label", "parcellation_index"), terms)
     parts = [store.strata(name).groupBy(F.lit(name).alias("region"), F.col(kind).alias("stratum"), "structure").agg(F.count("*").alias("n"), F.round(F.sum("x"), 2).alias("total")) for name, kind in (("isocortex", "layer"), ("thalamus", "nucleus"))]
