@@ -1058,6 +1058,21 @@ def fingerprints_json(spark, sf):
 SQL["fingerprints_json"] = f"{null_chain()}, {MEAS}, {hot_sql()} SELECT type, CAST(n_cells AS BIGINT) AS n_cells, {FIVE('vmr', 'peak_vmr_ratio', 'p_value')}, direction, p_value < 0.05 AS is_significant, CAST(NULL AS INTEGER) AS other FROM vs JOIN me USING (type) JOIN hf USING (type)"
 
 
+@query
+def completed_records(spark, sf):
+    """Records as an older writer left them, curves and statistics alone, read again with all measures."""
+    from .sources import reports
+
+    path = fresh_path(spark, "older")
+    kept = _fingerprints(spark, sf).select("type", "n_cells", "vmr_curve", "scales_um", "mock_vmr_mean", "chi_squared", "n_mocks_used")
+    reports.write_document(kept, path, "type")
+    cols = ("peak_scale_um", "peak_vmr_ratio", "integrated_excess", "width", "f_statistic", "p_value")
+    return rounded(an.completed(reports.read_fingerprints(spark, path)).select("type", "n_cells", "direction", "n_mocks_used", "is_significant", *cols), 5)
+
+
+SQL["completed_records"] = f"{null_chain()}, {MEAS}, {hot_sql()} SELECT type, CAST(n_cells AS BIGINT) AS n_cells, direction, n_mocks_used, p_value < 0.05 AS is_significant, {FIVE('peak_scale_um', 'peak_vmr_ratio', 'integrated_excess', 'width', 'f_statistic', 'p_value')} FROM me JOIN hf USING (type)"
+
+
 @query
 def report_document(spark, sf):
     """The report of a mediation with metadata and a summary before its results, written and read again."""

@@ -50,6 +50,29 @@ def fingerprints(points: DataFrame, roi: grid.Roi, scales: Scales, n_mocks: int
     return out.withColumn("is_significant", F.col("p_value") < 0.05)
 
 
+def completed(records: DataFrame, n_mocks: int | None = None) -> DataFrame:
+    """Fingerprint records (``reports.read_fingerprints``) with every measure: what a file lacks follows from its curves, and F and p from its statistic.
+
+    Files of older writers hold curves, the moments of their nulls and the statistic, but
+    not all that is derived. What a record does hold stays as it is. ``n_mocks`` is taken
+    where a record does not say how many there were.
+    """
+    wanted = ("peak_scale_um", "peak_vmr_ratio", "integrated_excess", "width", "direction")
+    at = records.select("type", F.col("n_cells").alias("n"), F.posexplode(F.arrays_zip("vmr_curve", "scales_um", "mock_vmr_mean")).alias("scale_idx", "s"))
+    rows = at.select("type", "n", "scale_idx", F.col("s.scales_um").alias("um"), F.col("s.vmr_curve").alias("vmr"), F.col("s.mock_vmr_mean").alias("null_mean"))
+    own = measures(rows.withColumn("ratio", cv.ratio(F.col("vmr"), F.col("null_mean"))), ["type"]).select("type", *[F.col(c).alias(f"_{c}") for c in wanted])
+    for c in ("f_statistic", "p_value", "n_mocks_used", *wanted):
+        if c not in records.columns:
+            records = records.withColumn(c, F.lit(None).cast("string" if c == "direction" else "double"))
+    used = F.coalesce(F.nullif(F.col("n_mocks_used").cast("long"), F.lit(0).cast("long")), F.lit(n_mocks).cast("long"))
+    given = records.select("type", "chi_squared", F.size("vmr_curve").cast("long").alias("dof"), used.alias("n_mocks_used")).where("chi_squared is not null and n_mocks_used is not null")
+    tested = stats.with_p_value(given).select("type", F.col("n_mocks_used").alias("_n"), F.col("f_statistic").alias("_f"), F.col("p_value").alias("_p"))
+    out = records.join(own, "type", "left").join(tested, "type", "left")
+    fill = {c: F.coalesce(c, f"_{c}") for c in wanted} | {"f_statistic": F.coalesce("f_statistic", "_f"), "p_value": F.coalesce("p_value", "_p"), "n_mocks_used": F.coalesce("_n", F.col("n_mocks_used").cast("long"))}
+    out = out.withColumns(fill).drop(*[f"_{c}" for c in wanted], "_n", "_f", "_p")
+    return out.withColumn("is_significant", F.col("p_value") < 0.05)
+
+
 def fingerprint_summary(found: DataFrame, sort_by: str = "integrated_excess") -> DataFrame:
     cols = ["type", "n_cells", "peak_vmr_ratio", "peak_scale_um", "integrated_excess", "width", "direction", "p_value", "is_significant"]
     return prep.latest_first(found.select(*cols), sort_by, ["type"])

@@ -142,6 +142,53 @@ def test_published_measures_follow_from_published_curves(spark):
     assert same["n"] == 8 and same["rho"] is None and same["p_value"] is None
 
 
+# A published record of an older writer and its row in the published summary; published chi-squared under both nulls with the shares given; the same for depth; a regional curve at four scales.
+OLD = {
+    "vmr_curve": [0.9989166259765625, 1.2748658424982808, 1.352873857896865, 1.5642521023874896, 1.5931033733263777, 2.010735418427726, 1.86739029216622, 2.4162970905014864, 3.4281746031746034, 4.489653973222048, 3.9502782931354368, 4.917735849056603],
+    "scales_um": [22.414385671470182, 56.03596417867546, 78.45034985014564, 112.07192835735091, 156.90069970029128, 212.93666387896673, 257.76543522190707, 336.2157850720527, 459.49490626513875, 616.39560596543, 750.8819199942511, 997.4401623804231],
+    "mock_vmr_mean": [1.000606767, 1.006133448, 1.010338647, 1.01889999, 1.034230134, 1.069358375, 1.101756489, 1.15545202, 1.277327015, 1.493772412, 1.570785978, 1.743158934],
+    "n_cells": 71, "chi_squared": 668.452732461318,
+}
+OLD_F, OLD_PEAK, OLD_RATIO = 43.19932624750014, 997.4401623804231, 3.0055809950698102
+MEDIATION = [(571.9223841417736, 49.76170710109815, 91.29922022972215), (34383.94108360121, 171.7553324307519, 99.50047805161967), (78970.90530690085, 25151.261631201058, 68.15123046461616), (4283.576461410894, 394.8612537911977, 90.781972556149), (3139519.3474930115, 582.3664112812896, 99.98145045955056), (12638.953065202513, 111.9113118503863, 99.11455235830806), (45895.75024413818, 1014.3463044532944, 97.7898905692628), (34582.615721038455, 360.14948286317895, 98.9585822953118), (4888.879216891908, 1316.959289433113, 73.06214305964454), (729.7680525075543, 332.5615549332332, 54.42914309683478), (249.54137805635503, 357.9693172734235, -43.45088580563248), (26.377629448239283, 7.99645405713771, 69.6847130526679)]
+MEDIATION_MEAN, MEDIATION_MEDIAN = 74.94187419900457, 91.04059639293558
+DEPTH = [(35469.67788785198, 3067.2360952923777, 1654.6014584241664, 3.9826542584758613), (111031.44292496462, 4256.848924476028, 2544.887183809865, 1.541871109270474), (1140.2922493575143, 570.6245915695242, 399.021769642533, 15.049021163099113), (735.6070967040642, 146.6469779809504, 148.43835286288626, -0.24352332786921238)]
+REGION = [(16.72142991401367, 4.971727420851893, 0.0060989961960534154), (64.61709837675924, 16.677494668043597, 0.014028822461678199), (142.8970415251338, 34.87087416725723, 0.02960634001541852), (7620.1493852439635, 1286.3143338467726, 2.878378297477757)]
+
+
+def test_older_records_are_completed(spark, tmp_path):
+    import json
+
+    from stipple.sources import reports
+
+    (tmp_path / "old.json").write_text(json.dumps({"k": OLD, "bare": {"n_cells": 3, "vmr_curve": [1.0, 1.0], "scales_um": [10.0, 20.0], "mock_vmr_mean": [1.0, 1.0], "p_value": 0.2}}))
+    read = reports.read_fingerprints(spark, str(tmp_path / "old.json"))
+    got = {r["type"]: r for r in an.completed(read, 50).collect()}
+    k = got["k"]
+    assert math.isclose(k["f_statistic"], OLD_F, rel_tol=1e-9) and k["p_value"] < 1e-9 and k["is_significant"] and k["n_mocks_used"] == 50
+    assert k["peak_scale_um"] == OLD_PEAK and math.isclose(k["peak_vmr_ratio"], OLD_RATIO, rel_tol=1e-8) and k["skewness_curve"] == []
+    bare = got["bare"]
+    assert bare["p_value"] == 0.2 and bare["f_statistic"] is None and not bare["is_significant"] and bare["integrated_excess"] == 0.0 and bare["width"] == 0.0
+    without = {r["type"]: r for r in an.completed(read).collect()}
+    assert without["k"]["p_value"] is None and without["k"]["is_significant"] is None and without["k"]["peak_scale_um"] == OLD_PEAK
+
+
+def test_published_shares_follow_from_published_statistics(spark):
+    rows = spark.createDataFrame([(a, b, p) for a, b, p in MEDIATION], "o double, w double, want double").withColumn("m", cv.percent_change(F.col("w"), F.col("o")))
+    assert all(math.isclose(r["m"], r["want"], rel_tol=1e-9) for r in rows.collect())
+    s = an.summary_of(rows, "m").first()
+    assert s["n"] == 12 and math.isclose(s["mean"], MEDIATION_MEAN, rel_tol=1e-9) and math.isclose(s["median"], MEDIATION_MEDIAN, rel_tol=1e-9)
+    share = lambda c: cv.percent_change(F.col(c), F.col("o"))
+    depth = spark.createDataFrame(DEPTH, "o double, l double, d double, want double").withColumn("inc", share("d") - share("l"))
+    assert all(math.isclose(r["inc"], r["want"], rel_tol=1e-6) for r in depth.collect())
+
+
+def test_published_regional_ratios_stand_out_of_their_band(spark):
+    rows = spark.createDataFrame(REGION, "vmr double, null_mean double, null_sd double").withColumn("ratio", cv.ratio(F.col("vmr"), F.col("null_mean")))
+    for r in an.envelope(rows).collect():
+        assert math.isclose(r["ratio"], r["vmr"] / r["null_mean"]) and math.isclose(r["high"] - 1, 2 * r["null_sd"] / r["null_mean"]) and r["low"] < 1 < r["high"] < r["ratio"]
+
+
 def test_curve_files_pass_over_others(spark, tmp_path):
     from stipple.sources import reports
 
