@@ -21,8 +21,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Paths of this module by application, in order.
+_MADE: dict[str, list[str]] = {}
+
+
+def made(spark: SparkSession) -> list[str]:
+    return _MADE.setdefault(spark.sparkContext.applicationId, [])
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/stipple-{uuid.uuid4().hex[:12]}-{name}"
+    path = f"{shared_dir(spark)}/stipple-{uuid.uuid4().hex[:12]}-{name}"
+    made(spark).append(path)
+    return path
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables and files that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        made(spark).remove(path)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
