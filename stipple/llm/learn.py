@@ -32,16 +32,22 @@ def share_of(bound: int, n: int) -> int:
     return _HASH if n <= bound else min(_HASH, int(_HASH * _SLACK * bound / n))
 
 
-def bounded_sample(rows: DataFrame, bound: int, take: list[Column | str]) -> DataFrame:
+def bounded_sample(rows: DataFrame, bound: int, take: list[Column | str], source: DataFrame | None = None) -> DataFrame:
     """``take`` of at most ``bound`` of the different rows of ``hashed`` rows, each once, by their hashes.
 
     The same rows give the same sample, however they are dealt and repeated: one id on
     many rows, or no id at all, is neither taken nor left as a whole, and ties of one hash
     are settled by the other. Rows are thinned to about the bound before ``take`` is
-    worked out, and only that is ordered.
+    worked out, and only that is ordered. With ``source``, the hashed table that ``rows``
+    were joined from, hashes alone go through that join, and the picked ones, ``bound`` at
+    most, are broadcast to fetch their rows.
     """
     n = rows.agg(F.approx_count_distinct("_g", 0.02)).first()[0]
-    some = rows.where(F.col("_h") < share_of(bound, n)).dropDuplicates(["_h", "_g"]).select("_h", "_g", *take)
+    some = rows.where(F.col("_h") < share_of(bound, n))
+    if source is not None:
+        picked = some.select("_h", "_g").distinct().orderBy("_h", "_g").limit(bound)
+        some = source.join(F.broadcast(picked), ["_h", "_g"], "left_semi")
+    some = some.dropDuplicates(["_h", "_g"]).select("_h", "_g", *take)
     return some.orderBy("_h", "_g").limit(bound).drop("_h", "_g")
 
 

@@ -63,13 +63,13 @@ class Model:
         return float(sigmoid(self.bias + self.weights[sorted(hits)].sum())) if hits else float(sigmoid(self.bias))
 
 
-def _vectors(docs: DataFrame, bound: int) -> list[np.ndarray]:
-    """Features of at most ``bound`` different documents (doc_id, text, hashed), those of equal texts once."""
+def _vectors(docs: DataFrame, bound: int, source: DataFrame | None = None) -> list[np.ndarray]:
+    """Features of at most ``bound`` different documents (doc_id, text, hashed), those of equal texts once; ``source`` as for ``bounded_sample``."""
     @F.pandas_udf("binary")
     def vector(text: pd.Series) -> pd.Series:
         return text.map(lambda t: doc_features(t).astype("<u4").tobytes())
 
-    rows = bounded_sample(docs, bound, [F.xxhash64("text").alias("h"), vector("text").alias("x")]).collect()
+    rows = bounded_sample(docs, bound, [F.xxhash64("text").alias("h"), vector("text").alias("x")], source).collect()
     return [np.frombuffer(x, "<u4") for x in {r["h"]: r["x"] for r in sorted(rows, key=lambda r: r["h"])}.values()]
 
 
@@ -77,9 +77,9 @@ def fit(confirmed: DataFrame, unlabelled: DataFrame, prior: float | None, positi
     """``confirmed`` toxic and ``unlabelled`` documents, as ``learn.hashed`` by id and text; ``prior``: the share of toxic ones among the unlabelled.
 
     ``positives`` and ``others`` bound how many different documents, by id and text, of
-    each kind are learned from.
+    each kind are learned from. Confirmed documents are among the unlabelled ones.
     """
-    pos, unl = _vectors(confirmed, positives), _vectors(unlabelled, others)
+    pos, unl = _vectors(confirmed, positives, unlabelled), _vectors(unlabelled, others)
     prior = min(max(prior if prior is not None else PRIOR, 1e-3), 0.5)
     if not pos or not unl:
         return Model(np.empty(0, np.uint32), np.empty(0), float(np.log(prior / (1 - prior))))
