@@ -1128,6 +1128,51 @@ def curve_files(spark, sf):
 SQL["curve_files"] = f"{null_chain()} SELECT 'nm' AS unit, CAST(scale_idx AS INTEGER) AS place, round(um * 1000, 4) AS scale, round(vmr, 4) AS vmr, round(null_mean, 4) AS null_mean, round(null_sd, 4) AS null_sd FROM vs WHERE type = '1-URGENT'"
 
 
+@query
+def result_source(spark, sf):
+    """Fingerprints of two types and the number of bad files, by the source of result files, from a folder with a document cut off beside the whole one."""
+    from .sources import reports, results
+
+    path = fresh_path(spark, "results")
+    rows = an.against_null(_labelled(spark, sf), ["type"])
+    arrays = rows.groupBy("type").agg(F.max("n").alias("n_cells"), cv.array_of("vmr").alias("vmr_curve"), cv.array_of("um").alias("scales_um"))
+    reports.write_document(arrays, f"{path}/whole", "type")
+    spark.read.text(f"{path}/whole").select(F.substring("value", 1, 60)).write.text(f"{path}/cut")
+    back = results.read(spark, path, "fingerprints", ["1-URGENT", "5-LOW"])
+    bad = back.where("error is not null").agg(F.count("*").alias("n_bad"))
+    kept = back.where("error is null").select("type", "n_cells", F.posexplode(F.arrays_zip("vmr_curve", "scales_um")).alias("place", "s"), "n_mocks_used")
+    return rounded(kept.join(bad).select("type", "n_cells", "place", "s.*", "n_mocks_used", "n_bad"))
+
+
+SQL["result_source"] = f"{null_chain()} SELECT type, CAST(n AS BIGINT) AS n_cells, CAST(scale_idx AS INTEGER) AS place, round(vmr, 6) AS vmr_curve, round(um, 6) AS scales_um, 0::BIGINT AS n_mocks_used, 1::BIGINT AS n_bad FROM vs WHERE type IN ('1-URGENT', '5-LOW')"
+
+
+@query
+def result_source_pairs(spark, sf):
+    """The pairs of one type, by the source of result files."""
+    from .sources import reports, results
+
+    path = fresh_path(spark, "result-pairs")
+    arrays = _cooccurrence(orders(spark, sf)).groupBy("type_a", "type_b").agg(cv.array_of("r").alias("correlation_curve"), cv.array_of("null_mean").alias("null_corr_mean"))
+    reports.write_document(reports.pair_records(arrays).drop("type_a", "type_b"), path, "key")
+    back = results.read(spark, path, "pairs", ["1-URGENT"])
+    return rounded(back.select("type_a", "type_b", F.posexplode(F.arrays_zip("correlation_curve", "null_corr_mean")).alias("place", "s")).select("type_a", "type_b", "place", F.col("s.correlation_curve").alias("r"), F.col("s.null_corr_mean").alias("null_mean")))
+
+
+SQL["result_source_pairs"] = f"{co_chain()} SELECT type_a, type_b, CAST(scale_idx AS INTEGER) AS place, round(r, 6) + 0.0 AS r, round(null_mean, 6) + 0.0 AS null_mean FROM co WHERE type_a = '1-URGENT' OR type_b = '1-URGENT'"
+
+
+@query
+def result_source_curves(spark, sf):
+    """All curves of a folder by the source of result files; a broken file and one of another kind are rows without a unit."""
+    from .sources import results
+
+    return rounded(results.read(spark, _curve_files(spark, sf), "curves").select("unit", "place", "scale", "vmr", "null_mean", "null_sd"), 4)
+
+
+SQL["result_source_curves"] = f"{null_chain()} SELECT CASE WHEN type = '1-URGENT' THEN 'nm' ELSE 'um' END AS unit, CAST(scale_idx AS INTEGER) AS place, round(CASE WHEN type = '1-URGENT' THEN um * 1000 ELSE um END, 4) AS scale, round(vmr, 4) AS vmr, round(CASE WHEN type = '1-URGENT' THEN null_mean END, 4) AS null_mean, round(CASE WHEN type = '1-URGENT' THEN null_sd END, 4) AS null_sd FROM vs WHERE type IN ('1-URGENT', '5-LOW') UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL FROM range(2)"
+
+
 @query
 def universal_comparison(spark, sf):
     """A curve from files beside the orders' own regional curve."""
