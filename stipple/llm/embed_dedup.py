@@ -268,3 +268,23 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all of ``embeddings`` at a cosine of 0.95 or more."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE given AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), tagged AS (
+  SELECT vec_id, x, row_number() OVER () AS n, list_sum(list_transform(x, lambda c: c * c)) AS q,
+    coalesce(len(x) = len(list_filter(x, lambda c: c IS NOT NULL AND isfinite(c))), false) AS whole
+  FROM given
+), good AS MATERIALIZED (SELECT vec_id, n, CASE WHEN whole THEN x END AS x, sqrt(q) AS norm FROM tagged WHERE whole AND q > 0
+), links AS (
+  SELECT a.n AS u, b.n AS v FROM good a JOIN good b ON len(a.x) = len(b.x) AND a.n <> b.n
+  WHERE list_dot_product(a.x, b.x) >= 0.95::DOUBLE * a.norm * b.norm
+), reach AS (
+  SELECT n AS u, n AS v FROM good UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u
+), lows AS (SELECT u AS n, min(vec_id) AS least FROM reach JOIN good ON v = good.n GROUP BY u
+), counts AS (SELECT u AS n, count(*) AS n_links FROM links GROUP BY u)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CASE WHEN lows.n IS NULL THEN vec_id ELSE least END AS component_id,
+  vec_id IS NOT DISTINCT FROM CASE WHEN lows.n IS NULL THEN vec_id ELSE least END AS kept
+FROM tagged LEFT JOIN lows USING (n) LEFT JOIN counts USING (n)
+"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP4_SQL, op4_chat
-from .embed_dedup import op8_embeddings
+from .embed_dedup import OP8_SQL, op8_embeddings
 from .filter_audit import OP11_SQL, op11_filter_audit
 from .fingerprint import op1_fingerprint
 from .host_rules import OP13_SQL, op13_host_rules
@@ -34,6 +34,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_chat": OP4_SQL,
+    "op8_embeddings": OP8_SQL,
     "op11_filter_audit": OP11_SQL,
     "op12_repair": OP12_SQL,
     "op13_host_rules": OP13_SQL,

@@ -1,7 +1,9 @@
 import hashlib
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -291,6 +293,20 @@ def test_vectors_with_null_and_repeated_ids(spark):
     assert got == sorted([(None, 2, 7, False), (7, 2, 7, True), (7, 2, 7, True), (None, 0, None, True), (9, 0, 9, True)], key=str)
 
 
+def test_vectors_match_their_sql(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(20, 8))
+    x = [np.float32(base[i % 20] + rng.normal(size=8) * 0.12 * (i % 4)).tolist() for i in range(120)]
+    x += [[0.0] * 8, None, [], [1.0, None], [float("nan"), 1.0], [float("inf"), 1.0], [1.0], [2.0], [-1.0], [1.0, 0.0], [1.0, 0.01]]
+    rows = pd.DataFrame({"vec_id": range(len(x)), "embedding": x})
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", list(rows.itertuples(index=False, name=None)))
+    want = con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({embed_dedup.OP8_SQL}) ORDER BY 1").fetchall()
+    got = embed_dedup.near_vectors(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<float>")).orderBy("vec_id").collect()
+    assert list(map(tuple, got)) == want and sum(n > 0 for _, n, _, _ in want) > 30
+
+
 def test_blocks_of_a_tile_hold_all_links(monkeypatch):
     rng = np.random.default_rng(7)
     monkeypatch.setattr(embed_dedup, "BLOCK", 16)
