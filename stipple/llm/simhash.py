@@ -314,6 +314,8 @@ class Kept:
         return any(n >= self.least * (len(own) + self.sizes[k] - n) - 1e-9 for k, n in hits.items())
 
 
+#: Parts of a large group, each with its own first rows.
+HEAD_PLACES = 64
 #: Documents of a group that one task compares in turn; larger groups go in rounds, block by block.
 IN_TURN = 256
 #: ``id`` is 0 where ``none`` says that there is none: pandas would make floats of longs with nulls.
@@ -364,6 +366,17 @@ def _not_near(rows: DataFrame, kept: DataFrame, least: float) -> DataFrame:
     return both.mapInPandas(run, f"{_CAND}, own binary")
 
 
+def _heads(rows: DataFrame, block: int) -> DataFrame:
+    """The first ``block`` rows of each group (component, none, id, text_hash), those of each of its ``HEAD_PLACES`` parts first, so no task sorts a whole group."""
+
+    def first(some: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy("component", *by).orderBy("none", "id", "text_hash")
+        return some.withColumn("at", F.row_number().over(order)).where(F.col("at") <= block).drop("at")
+
+    dealt = rows.withColumn("place", F.pmod(F.xxhash64("text_hash"), F.lit(HEAD_PLACES)).cast("int"))
+    return first(first(dealt, "place").drop("place"))
+
+
 def _stand_alone(docs: DataFrame, grouping: DataFrame, words: int, least: float) -> DataFrame:
     """(none, id, text_hash) of the rows that stay: in each group of ``grouping``, by the order of ids, those not near one that stays.
 
@@ -395,7 +408,7 @@ def _stand_alone(docs: DataFrame, grouping: DataFrame, words: int, least: float)
         if block == 1:
             heads = large.groupBy("component").agg(F.min(key).alias("key")).select("component", "key.*")
         else:
-            heads = large.select("component", "none", "id", "text_hash").withColumn("at", F.row_number().over(Window.partitionBy("component").orderBy("none", "id", "text_hash"))).where(F.col("at") <= block).drop("at")
+            heads = _heads(large.select("component", "none", "id", "text_hash"), block)
         heads = cut(heads.distinct(), "simhash-heads")
         first = cut(_in_turn(large.join(heads, heads.columns, "left_semi"), least), "simhash-first")
         stay.append(first.select("none", "id", "text_hash"))
