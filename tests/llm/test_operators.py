@@ -259,6 +259,15 @@ def test_long_chain_is_one_path(spark):
     assert [t["text"] for t in turns] == [str(i) for i in range(1, 70)]
 
 
+def test_heads_of_groups_are_their_first_rows(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(c), bool(n), int(i), int(h)) for c, n, i, h in zip(rng.choice([1, 1, 1, 2, 3], 3000), rng.random(3000) < 0.1, rng.integers(500, size=3000), rng.integers(10**9, size=3000), strict=True)]
+    df = spark.createDataFrame(rows, "component long, none boolean, id long, text_hash long")
+    for block in (7, 4096):
+        want = [r for c in (1, 2, 3) for r in sorted(x for x in rows if x[0] == c)[:block]]
+        assert sorted(map(tuple, simhash._heads(df, block).collect())) == want
+
+
 def brute_links(x, least=0.95):
     """Links by cosine in double precision among finite non-zero vectors of one length."""
     good = [v is not None and len(v) > 0 and all(c is not None and np.isfinite(c) for c in v) and any(v) for v in x]
