@@ -230,6 +230,16 @@ def test_smoothed_bootstrap_keeps_the_modes(spark):
     assert len(d) == 400 and near > 0.6
 
 
+def test_first_by_chance_is_a_plain_sorts(spark):
+    p = points(spark, [(i, float(i), 0.0, "k") for i in range(3000)])
+    for n in (1, 500, 2999, 5000):
+        want = {r["id"] for r in p.orderBy(F.md5(F.concat(F.lit("kde-fit|"), "id").cast("binary")), "id").limit(n).collect()}
+        assert {r["id"] for r in nulls.first_by_chance(p, n, "kde-fit").collect()} == want
+    assert nulls.first_by_chance(p.limit(0), 5).count() == 0
+    # neither one task nor the driver merges the sorted heads of all tasks
+    assert "TakeOrdered" not in nulls.first_by_chance(p, 500)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hotelling():
     r = np.random.default_rng(0)
     m = r.normal(5, 1, (50, 8))
