@@ -457,6 +457,35 @@ def test_spearman_ties_and_constants(spark):
     assert stats.spearman(rows.withColumn("b", F.lit(1.0)), "a", "b").first()["rho"] is None
 
 
+@pytest.mark.parametrize("means", [(1, 1, 1, 1, 1), (3, 5, 1, 2, 4), (2, 5, 4, 1, 3), (5, 4, 3, 1, 2), (1, 2, 3, 4, 5)])
+def test_spearman_peaks_and_its_sql_agree(spark, tmp_path, means):
+    import duckdb
+
+    from stipple import catalogue
+
+    # as many customers as 1, 2, ... of each nation; means in thousands: constant, rank correlations of 0, -0.3, -0.9 and 1
+    rows = [(n, 1000.0 * m) for n, m in enumerate(means) for _ in range(n + 1)]
+    spark.createDataFrame(rows, "c_nationkey int, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    got = catalogue.QUERIES["spearman_peaks"](spark, str(tmp_path)).first()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = con.execute(catalogue.SQL["spearman_peaks"]).fetchall()[0]
+    assert tuple(got) == want
+
+
+def test_p_values_of_weak_rank_correlations(spark):
+    import duckdb
+
+    from stipple import catalogue
+    from stipple.functions import tails
+
+    cases = [(25, 0.005), (25, 0.0001), (150, 0.02), (4000, 0.001), (25, -0.07), (25, 0.9), (3, 0.5), (25, 0.70711)]
+    t = F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))
+    want = [r[0] for r in spark.createDataFrame(cases, "n long, rho double").coalesce(1).select(F.round(tails.t_two_sided(t, F.col("n") - 2), 6)).collect()]
+    got = [duckdb.connect().execute(f"SELECT {catalogue.r2p_sql()} FROM (SELECT {n} AS n, {rho}::DOUBLE AS rho)").fetchall()[0][0] for n, rho in cases]
+    assert got == want
+
+
 def test_empty_points_give_empty_results(spark):
     p = points(spark, [(1, 0.0, 0.0, "A")]).where("id < 0")
     roi = grid.roi_of(p, 16)
