@@ -486,6 +486,15 @@ def test_p_values_of_weak_rank_correlations(spark):
     assert got == want
 
 
+def test_the_band_of_l_is_of_all_points(spark):
+    r = np.random.default_rng(12)
+    p = points(spark, [(i, float(x), float(y), "A") for i, (x, y) in enumerate(r.uniform(0, 100, (5200, 2)))])
+    found = an.ripley_band(p, [0.5], 100.0 * 100.0, 2).first()
+    d = np.array([[q["x"], q["y"]] for q in p.collect()])
+    near = sum(int((((d[i + 1 :] - d[i]) ** 2).sum(axis=1) <= 0.25).sum()) for i in range(len(d)))
+    assert found["n"] == 5200 and math.isclose(found["k"], 1e4 * 2 * near / (5200 * 5199), rel_tol=1e-12)
+
+
 def test_empty_points_give_empty_results(spark):
     p = points(spark, [(1, 0.0, 0.0, "A")]).where("id < 0")
     roi = grid.roi_of(p, 16)
