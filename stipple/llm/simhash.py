@@ -121,16 +121,26 @@ def _differences(queries: np.ndarray, pat: np.ndarray, own: np.ndarray) -> np.nd
 
 
 def index_pairs(queries: np.ndarray, fps: np.ndarray, max_diff: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (in queries, in fps) of all pairs of rows (of 64-bit words) that differ in ``max_diff`` bits or fewer."""
+    """Positions (in queries, in fps) of all pairs of rows (of 64-bit words) that differ in ``max_diff`` bits or fewer.
+
+    Wide fingerprints leave an upper level little to drop: as long as a level keeps more
+    than a ``SPARSE``-th, the next one is worked out as a table of queries by runs.
+    """
     order = np.lexsort(tuple(gray_rank(fps[:, k]) for k in range(fps.shape[1] - 1, -1, -1)))
     levels = _tree(fps[order])
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for at in range(0, len(queries), 1024):
-        q = np.arange(at, min(len(queries), at + 1024))
+    block = 1024 if fps.shape[1] == 1 else 64
+    by_word = [(np.ascontiguousarray(own.T), np.ascontiguousarray(pat.T)) for own, pat in levels[1:]] if fps.shape[1] > 1 else []
+    for at in range(0, len(queries), block):
+        q = np.arange(at, min(len(queries), at + block))
         node = np.zeros(len(q), np.int64)
         own, pat = levels[0]
         acc = _differences(queries[q], pat[0], own[0])
-        for own, pat in levels[1:]:
+        below = levels[1:]
+        if fps.shape[1] > 1:
+            q, node, acc, done = _tables(queries[q], acc, by_word, max_diff)
+            q, below = q + at, below[done:]
+        for own, pat in below:
             keep = acc <= max_diff
             q, node, acc = q[keep], node[keep], acc[keep]
             first = node * FAN
@@ -144,8 +154,31 @@ def index_pairs(queries: np.ndarray, fps: np.ndarray, max_diff: int) -> tuple[np
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
+#: A level of which a smaller share is kept is searched pair by pair of query and run.
+SPARSE = 32
+
+
+def _tables(queries: np.ndarray, root: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], max_diff: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The walk of ``index_pairs`` down to where few runs are kept: (query, run, differences) and how many ``levels`` (words by runs) that took. A run once beyond ``max_diff`` stays so, as differences add up."""
+    acc, words = root[:, None], np.ascontiguousarray(queries.T)
+    for done, (own, pat) in enumerate(levels):
+        if np.count_nonzero(acc <= max_diff) * SPARSE <= acc.size:
+            q, node = np.nonzero(acc <= max_diff)
+            return q, node, acc[q, node], done
+        last = done + 1 == len(levels)
+        acc = np.repeat(acc.astype(np.int16), FAN, axis=1)[:, : own.shape[1]]
+        first = min(3, len(words)) if last else len(words)  # what the first words drop at the last level needs no others
+        acc = acc + sum(np.bitwise_count((words[k, :, None] ^ pat[k]) & own[k]) for k in range(first))
+        if last and first < len(words):
+            q, node = np.nonzero(acc <= max_diff)
+            more = np.bitwise_count((words[first:, q] ^ pat[first:, node]) & own[first:, node]).sum(axis=0, dtype=np.int16)
+            return q, node, acc[q, node] + more, len(levels)
+    q, node = np.nonzero(acc <= max_diff)
+    return q, node, acc[q, node], len(levels)
+
+
 def dense_pairs(queries: np.ndarray, fps: np.ndarray, max_diff: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of ``index_pairs`` by comparing all: less work where wide fingerprints leave the hierarchy little to drop."""
+    """The pairs of ``index_pairs`` by comparing all, which the index is held against."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
     first = min(3, fps.shape[1])  # three words differ in 192 bits at most, which a byte holds
     words = [np.ascontiguousarray(fps[:, k]) for k in range(first)]
@@ -220,16 +253,14 @@ def link_edges(nodes: DataFrame, lanes: int, max_diff: int = 4, chunk: int = 409
     key = ["mask", "bits", "i", "j"]
     spread = tiles.repartition(parts(nodes.sparkSession), *key).sortWithinPartitions(*key)
 
-    search = index_pairs if lanes == 1 else dense_pairs
-
     def tile(node: np.ndarray, fps: np.ndarray, side: np.ndarray, one: bool) -> pd.DataFrame | None:
         if one:
-            a, b = search(fps, fps, max_diff)
+            a, b = index_pairs(fps, fps, max_diff)
         else:
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(left) or not len(right):
                 return None
-            a, b = search(fps[left], fps[right], max_diff)
+            a, b = index_pairs(fps[left], fps[right], max_diff)
             a, b = left[a], right[b]
         apart = a != b
         if not apart.any():

@@ -216,6 +216,25 @@ def test_upper_nodes_do_not_depend_on_size():
     assert few == many and len(bits) == 26 and {b.bit_count() for b in bits} == {12} and sum(bits).bit_count() == 26 * 12
 
 
+def test_wide_fingerprints_go_through_the_index(monkeypatch):
+    r = np.random.default_rng(9)
+    for n in (1, 2, 17, 300):
+        x = r.integers(0, 2**64, (n, 5), dtype=np.uint64)
+        x[:, 0] &= ~np.uint64(4095)
+        for k in range(n // 3):
+            x[n - 1 - k] = x[k] ^ (r.integers(0, 2**64, 5, dtype=np.uint64) & r.integers(0, 2**64, 5, dtype=np.uint64) & r.integers(0, 2**64, 5, dtype=np.uint64))
+        for sparse in (1, 32, 10**9):
+            monkeypatch.setattr(simhash, "SPARSE", sparse)
+            one, other = (set(zip(*(p.tolist() for p in f(x, x, 68)), strict=True)) for f in (simhash.index_pairs, simhash.dense_pairs))
+            assert one == other and len(one) >= n
+
+
+def test_the_pipelines_links_come_from_the_index():
+    import inspect
+
+    assert "dense_pairs" not in inspect.getsource(simhash.link_edges) and "index_pairs" in inspect.getsource(simhash.link_edges)
+
+
 def test_dense_pairs_are_those_of_the_index():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2**63, (300, 5), dtype=np.uint64)
