@@ -335,6 +335,28 @@ def test_packed_counts_are_narrow():
     assert len(packed.pack(np.arange(10), np.ones(10, int))[0]) == 11
 
 
+def test_full_grids_are_packed_without_pixels():
+    counts = np.arange(1, 1001)
+    px, c = packed.pack(np.arange(1000), counts, 1000)
+    grid_ = np.zeros(1000)
+    packed.add_to(grid_, px, c)
+    assert px == b"" and len(c) == 2001 and (grid_ == counts).all()
+    assert packed.pack(np.array([5]), np.array([2]), 1000)[0] != b""
+
+
+def test_counts_are_not_exchanged_by_type(spark, uniform):
+    # as many tasks as types would read all counts else
+    roi = grid.roi_of(uniform, 16)
+    sc = Scales.of_pixels([2, 4], roi.extent, 16)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (an.cooccurrence(uniform, roi, sc, 3, 10), packed.correlations(nulls.shuffled_pixels(uniform, roi, 3).drop("trial"), roi, sc, ["mock_id"], ["A", "B"])):
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan.split("MapInArrow")[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_summed_areas_give_the_sums_of_bins():
     r = np.random.default_rng(8)
     for shape in ((16, 16), (12, 12, 12)):
