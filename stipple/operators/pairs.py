@@ -20,6 +20,11 @@ def _d2(ax: str, ay: str, bx: str, by: str) -> Column:
     return (F.col(ax) - F.col(bx)) * (F.col(ax) - F.col(bx)) + (F.col(ay) - F.col(by)) * (F.col(ay) - F.col(by))
 
 
+def _dealt(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` over a fixed number of places by the columns they are joined on: they are few and small, but each becomes very many in the join, so Spark should not merge the places."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def _squares(points: DataFrame, wide: float, keys: list[str], depth: int) -> DataFrame:
     """Points with the cell at the finest level; a square at level 0 is a little wider than ``wide``, so rounding parts no pair."""
     step = wide * (1 + 1e-9) / 4**depth
@@ -30,7 +35,8 @@ def _meet(rows: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
     """Each row of a square with each one of its own and the eight squares around it, a pair of squares once: the ``carried`` columns as a and b, and same (square)."""
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _STEPS])
     sent = rows.withColumn("s", F.explode(steps)).select(*keys, (F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"), F.struct(*carried).alias("a"), ((F.col("s.dx") == 0) & (F.col("s.dy") == 0)).alias("same"))
-    return rows.select(*keys, "cx", "cy", F.struct(*carried).alias("b")).join(sent, [*keys, "cx", "cy"]).select(*keys, "a", "b", "same")
+    by = [*keys, "cx", "cy"]
+    return _dealt(rows.select(*by, F.struct(*carried).alias("b")), by).join(_dealt(sent, by), by).select(*keys, "a", "b", "same")
 
 
 def _flat(points: DataFrame, radii: list[float], keys: list[str]) -> DataFrame:
@@ -77,7 +83,7 @@ def _by_cells(points: DataFrame, radii: list[float], keys: list[str], leaf: int)
         if todo.isEmpty():
             break
         for side in "ab":
-            todo = todo.withColumns({c: F.col(f"{side}.{c}") for c in own}).join(parts, [*keys, *own]).withColumn(side, F.col("to")).drop("to", *own)
+            todo = _dealt(todo.withColumns({c: F.col(f"{side}.{c}") for c in own}), [*keys, *own]).join(parts, [*keys, *own]).withColumn(side, F.col("to")).drop("to", *own)
         place = lambda s: F.struct(*[F.col(f"{s}.{c}") for c in own])
         pairs = todo.where(~F.col("same") | (place("a") <= place("b"))).withColumn("same", F.col("same") & (place("a") == place("b"))).select(*keys, "a", "b", "same", "open")
     every = reduce(DataFrame.unionAll, rounds)
@@ -88,7 +94,7 @@ def _by_cells(points: DataFrame, radii: list[float], keys: list[str], leaf: int)
     placed = each.join(nodes.where("whole").select(*keys, *own), [*keys, *own]).select(*keys, *own, F.struct("id", "x", "y").alias("p"))
     edge = every.where((F.col("open") > 0) & both)
     for side in "ab":
-        edge = edge.withColumns({c: F.col(f"{side}.{c}") for c in own}).join(placed, [*keys, *own]).withColumn(side, F.struct(f"{side}.l", F.col("p.id").alias("id"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))).drop("p", *own)
+        edge = _dealt(edge.withColumns({c: F.col(f"{side}.{c}") for c in own}), [*keys, *own]).join(placed, [*keys, *own]).withColumn(side, F.struct(f"{side}.l", F.col("p.id").alias("id"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))).drop("p", *own)
     met = edge.where(~F.col("same") | (F.col("a.id") < F.col("b.id"))).withColumn("d2", _d2("a.x", "a.y", "b.x", "b.y"))
     near = met.groupBy(*keys).agg(*[F.count_if(bit("open", i) & (F.col("d2") <= r * r)).alias(n) for i, (n, r) in enumerate(zip(names, radii, strict=True))])
     return sums.unionByName(near).groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])

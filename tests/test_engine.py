@@ -280,6 +280,15 @@ def test_pair_counts_by_cells_match_brute_force(spark, leaf):
             assert got[t, rad] == flat[t, rad] == (d <= rad * rad).sum()
 
 
+@pytest.mark.parametrize("flat", [0, 4096])
+def test_pairs_of_cells_are_dealt_over_all_places(spark, flat):
+    # small tables before a join that multiplies them, so Spark would merge them into one task
+    r = np.random.default_rng(10)
+    p = points(spark, [(i, float(x), float(y), "A") for i, (x, y) in enumerate(r.uniform(0, 10, (300, 2)))])
+    plan = pairs.pair_counts(p, [1.0], ["type"], leaf=4, flat=flat)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
 def test_cells_within_a_radius_are_not_taken_apart(spark):
     # 4,000 points in a spot far smaller than the radius: one square, one pair of cells, no point compared
     r = np.random.default_rng(6)
