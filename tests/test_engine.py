@@ -624,3 +624,21 @@ def test_runner_goes_on_where_it_stopped(spark, cells, tmp_path, monkeypatch):
     assert runner.main(["--store", store.path, "--results", results, "--regions", "isocortex", "--analyses", "mediation", "regional", "--n-mocks", "6", "--min-cells", "30", "--grid-size", "32", "--n-trials", "2", "--n-boot", "20"]) == 0
     assert calls.count("mediation") == 2 and calls.count("regional") == 1  # one was for a region without strata
     assert not list((tmp_path / "results" / ".making").glob("*"))
+
+
+def test_a_task_deals_labels_in_arrays_and_no_row_is_copied_for_a_mock_before(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    rows = [(i, bool(i % 3), "AB"[int(r.integers(2))], (None, "s", "t")[int(r.integers(3))]) for i in range(300)]
+    p = spark.createDataFrame(rows, "id long, flag boolean, type string, stratum string")
+    monkeypatch.setattr(nulls, "SENT", 7)  # several batches a mock
+    drawn = nulls.shuffled(p, 4, "stratum")
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    assert drawn.columns == ["mock_id", "id", "flag", "stratum", "type"] and drawn.count() == 1200
+    kept = {x["id"]: tuple(x) for x in p.collect()}
+    for m in range(4):
+        got = drawn.where(F.col("mock_id") == m).collect()
+        assert sorted(x["id"] for x in got) == list(range(300)) and all((x["flag"], x["stratum"]) == (kept[x["id"]][1], kept[x["id"]][3]) for x in got)
+        assert all(x["type"] == kept[x["id"]][2] for x in got if x["stratum"] is None)
+        assert sorted((x["stratum"] or "", x["type"]) for x in got) == sorted((x[3] or "", x[2]) for x in rows)
+    assert nulls.shuffled(p.limit(0), 2).count() == nulls.shuffled(p.limit(0), 2, "stratum").count() == 0
