@@ -642,3 +642,46 @@ def test_a_task_deals_labels_in_arrays_and_no_row_is_copied_for_a_mock_before(sp
         assert all(x["type"] == kept[x["id"]][2] for x in got if x["stratum"] is None)
         assert sorted((x["stratum"] or "", x["type"]) for x in got) == sorted((x[3] or "", x[2]) for x in rows)
     assert nulls.shuffled(p.limit(0), 2).count() == nulls.shuffled(p.limit(0), 2, "stratum").count() == 0
+
+
+def test_draws_in_tasks_are_those_of_columns(spark):
+    from stipple.functions import chance
+
+    ids = [0, 9, 10, 99, 12_345, 10**9, 10**18 - 1, 10**18, 2**63 - 1, *range(995, 1010)]
+    for salt in ("csr", "a much longer salt than one block of md5 has room for"):
+        want = [r["u"] for r in spark.createDataFrame([(i,) for i in ids], "id long").select(chance.uniform(salt, 7, F.col("id"), "t").alias("u")).collect()]
+        assert chance.uniforms(np.array(ids), f"{salt}|7|", "|t").tolist() == want
+    many = [r["u"] for r in spark.range(20_000).select("id", chance.uniform("b", F.col("id"), "t").alias("u")).orderBy("id").collect()]
+    assert chance.uniforms(np.arange(20_000), "b|", "|t").tolist() == many
+
+
+def test_uniform_points_are_counted_where_they_are_drawn(spark, uniform):
+    hull, roi = nulls.convex_hull(uniform), grid.roi_of(uniform, 16)
+    counts = nulls.uniform_pixels(spark, hull, 500, 3, roi)
+    want = grid.pixels(nulls.uniform_in_hull(spark, hull, 500, 3), roi, ["mock_id"])
+    assert sorted(map(tuple, packed.unpacked(counts, roi, ["mock_id"]).select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_points_are_counted_in_tasks_as_by_rows(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    rows = [(i, float(x), float(y), None if i % 7 == 0 else "ab"[i % 2]) for i, (x, y) in enumerate(r.uniform(-20, 120, (400, 2)))]
+    p = points(spark, [*rows, (900, None, 5.0, "a"), (901, float("nan"), 5.0, "b"), (902, float("inf"), float("-inf"), "b")])
+    roi = grid.Roi((0.0, 0.0), (100.0, 50.0), 8)
+    want = sorted(map(repr, grid.pixels(p, roi, ["type"]).select("type", "gx", "gy", "c").collect()))
+    for held in (1 << 23, 100):  # with room for one grid, too
+        monkeypatch.setattr(packed, "HELD", held)
+        got = packed.unpacked(packed.counted(p, roi, ["type"]), roi, ["type"]).selectExpr("type", "gx", "gy", "c")
+        assert sorted(map(repr, got.collect())) == want
+    assert packed.counted(p.limit(0), roi, ["type"]).count() == 0
+
+
+def test_the_hull_is_that_of_all_points_in_any_batches(spark, uniform):
+    rows = uniform.select("x", "y").collect()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        assert nulls.convex_hull(uniform) == nulls._hull([tuple(r) for r in rows])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
