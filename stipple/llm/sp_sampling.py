@@ -72,15 +72,21 @@ class Codec:
         return out
 
     def _trie(self) -> None:
-        """States are beginnings of pieces; ``step`` holds state * 2**21 + character, sorted, and ``then`` the next state."""
+        """States are beginnings of pieces; ``step`` is a hash table of state * 2**21 + character (-1: free place), and ``then`` the next state of each."""
         state, moves = {"": 0}, {}
         for p in sorted(self.piece):
             for n in range(1, len(p) + 1):
                 if p[:n] not in state:
                     state[p[:n]] = len(state)
                     moves[(state[p[: n - 1]] << 21) | ord(p[n - 1])] = state[p[:n]]
-        self.step = np.array(sorted(moves), np.int64)
-        self.then = np.array([moves[m] for m in self.step.tolist()], np.int64)
+        self.free_bits = np.uint64(64 - max(4, (4 * len(moves)).bit_length()))
+        self.step = np.full(1 << (64 - int(self.free_bits)), -1, np.int64)
+        self.then = np.zeros(len(self.step), np.int64)
+        keys = np.array(list(moves), np.int64)
+        for m, k in zip(moves, self._place(keys).tolist(), strict=True):
+            while self.step[k] >= 0:
+                k = (k + 1) % len(self.step)
+            self.step[k], self.then[k] = m, moves[m]
         self.begin = np.zeros(0x110000, np.int32)  # the state after a first character, 0 if no piece begins with it
         for p, i in state.items():
             if len(p) == 1:
@@ -89,6 +95,24 @@ class Codec:
         for p, i in self.piece.items():
             self.piece_of[state[p]] = i
 
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        """Where the search for a key begins in ``step``; it ends at a free place."""
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.free_bits).astype(np.int64)
+
+    def _found(self, key: np.ndarray) -> np.ndarray:
+        """The next states of keys, -1 where there is none."""
+        k = self._place(key)
+        held = self.step[k]
+        out = np.where(held == key, self.then[k], -1)
+        on = np.flatnonzero((held != key) & (held >= 0))
+        while len(on):
+            k[on] = (k[on] + 1) % len(self.step)
+            held = self.step[k[on]]
+            hit = held == key[on]
+            out[on[hit]] = self.then[k[on[hit]]]
+            on = on[~hit & (held >= 0)]
+        return out
+
     def _reset(self) -> None:
         self.root: dict[str, int] = {}
         self.nodes = self.edges = 0
@@ -113,7 +137,7 @@ class Codec:
         """Adds the lattices of new units to the pool."""
         if self.edges > _POOL_EDGES:
             self._reset()
-        new = [u for u in units if u not in self.root]
+        new = list(units.difference(self.root))
         if not new:
             return
         base, old = self.nodes, self.edges
@@ -125,7 +149,7 @@ class Codec:
         ends = np.repeat(heads + sizes, sizes)  # the end of each place's unit
         left = ends - np.arange(len(chars))
         starts, pieces = [], []
-        counts = np.zeros(len(chars), np.int64)  # edges of each place so far, the shortest first
+        counts = np.zeros(len(chars), np.int32)  # edges of each place so far, the shortest first
         places = []
         at, state = np.arange(len(chars)), np.zeros(len(chars), np.int64)
         for n in range(1, self.longest + 1):
@@ -135,10 +159,8 @@ class Codec:
             else:
                 inside = at + n <= ends[at]
                 at, state = at[inside], state[inside]
-                key = (state << 21) | chars[at + n - 1]
-                k = np.minimum(np.searchsorted(self.step, key), len(self.step) - 1)
-                known = self.step[k] == key
-                state = self.then[k]
+                state = self._found((state << 21) | chars[at + n - 1])
+                known = state >= 0
             at, state = at[known], state[known]
             piece = self.piece_of[state]
             full = piece >= 0
@@ -155,9 +177,9 @@ class Codec:
             counts[where] += 1
             if not len(at):
                 break
-        first_edge = np.cumsum(counts) - counts
-        widths = np.repeat(np.arange(1, len(starts) + 1), list(map(len, starts)))
-        at = np.concatenate(starts)
+        first_edge = np.cumsum(counts, dtype=np.int64) - counts
+        widths = np.repeat(np.arange(1, len(starts) + 1, dtype=np.int32), list(map(len, starts)))
+        at = np.concatenate(starts, dtype=np.int32)
         place = np.concatenate(places)
         order = first_edge[at] + place
         start, end, ids, place = (_scattered(order, x) for x in (at, at + widths, np.concatenate(pieces), place))
@@ -165,22 +187,25 @@ class Codec:
         for k in np.flatnonzero(ids < 0):
             w[k] = self.byte_logw * len(self.chars[-ids[k] - 1])
         last = end == ends[start]
+        after = np.where(last, len(left), end)  # a unit's end is the place behind all nodes, whose beta is 0
         beta = np.zeros(len(left) + 1)
-        order = np.argsort(left, kind="stable")
+        order = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")  # short numbers are sorted by digits
         cuts = np.searchsorted(left[order], np.arange(1, left.max() + 2))
         for a, b in zip(cuts, cuts[1:], strict=False):  # the nodes so many characters before their units' ends
             nodes = order[a:b]
-            many = counts[nodes]
+            many = counts[nodes].astype(np.int64)
             e = np.repeat(first_edge[nodes] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            total = w[e] + np.where(last[e], 0.0, beta[np.where(last[e], 0, end[e])])
+            total = w[e] + beta[after[e]]
             beta[nodes] = np.logaddexp.reduceat(total, np.cumsum(many) - many)
-        logs = np.minimum(w + np.where(last, 0.0, beta[np.where(last, 0, end)]) - beta[start], 0.0)
+        logs = np.minimum(w + beta[after] - beta[start], 0.0)
         # summed edge by edge within each node, so that a unit's chances are the same in any pool
         chance = np.exp(logs)
         marks = chance.copy()
+        more = np.flatnonzero(place)
         for k in range(1, int(place.max()) + 1):
-            on = np.flatnonzero(place == k)
+            on = more[place[more] == k]
             marks[on] += marks[on - 1]
+            more = more[place[more] > k]
         marks[first_edge + counts - 1] = 2.0
         with np.errstate(divide="ignore"):
             others = np.log(1.0 - np.where(logs > -1e-12, 1.0, chance))
@@ -196,7 +221,7 @@ class Codec:
     def _walk(self, node: np.ndarray, unit: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(unit, edge) of a random path from each node to its unit's end, by unit; ``salt`` seeds each unit."""
         marks, nexts, *_ = self.edge
-        us, es, step = [], [], 0
+        us, es, step, many = [], [], 0, np.zeros(int(unit.max()) + 1 if len(unit) else 0, np.int64)
         while len(node):
             e = self.first[node].astype(np.int64)
             x = _unit_interval(salt, step)
@@ -206,14 +231,16 @@ class Codec:
                 on = on[marks[e[on]] <= x[on]]
             us.append(unit)
             es.append(e)
+            many[unit] += 1  # a unit is walked once
             node = nexts[e]
             on = node >= 0
             node, unit, salt, step = node[on], unit[on], salt[on], step + 1
         if not us:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        u, e = np.concatenate(us), np.concatenate(es)
-        order = np.argsort(u, kind="stable")
-        return u[order], e[order]
+        first, out = np.cumsum(many) - many, np.empty(int(many.sum()), np.int64)
+        for step, (u, e) in enumerate(zip(us, es, strict=True)):
+            out[first[u] + step] = e
+        return np.repeat(np.arange(len(many)), many), out
 
     def sample(self, text: str, seed: int, k: int) -> list[dict]:
         """Up to ``k`` distinct segmentations (fewer if there are no more), best key first."""
@@ -222,7 +249,7 @@ class Codec:
     def sample_block(self, texts: list[str], seeds: list[int], k: int) -> list[list[dict]]:
         """``sample`` for each text; the texts are walked together, the results do not depend on which they are."""
         split = [self.units(t) for t in texts]
-        self._learn({u for units in split for u in units})
+        self._learn(set().union(*split))
         searches = [_Search(self, units, seed) for units, seed in zip(split, seeds, strict=True)]
         for turn in range(k):
             going = [s for s in searches if s.wants(turn)]
@@ -291,9 +318,10 @@ class _Search:
 
     def __init__(self, codec: Codec, units: list[str], seed: int) -> None:
         self.codec, self.seed = codec, seed
-        self.roots = np.array(list(map(codec.root.__getitem__, units)), np.int64)
+        self.roots = np.fromiter(map(codec.root.__getitem__, units), np.int64, len(units))
         self.rng = np.random.Generator(np.random.Philox(seed))
         self.paths: list[tuple[np.ndarray, np.ndarray]] = []
+        self.logs: list[np.ndarray] = []  # the log chances along each path
         self.keys: list[float] = []
         self.after: list[np.ndarray] = []  # of each place of a path: the lower, the higher the bound of what leaves it there
         self.tops: list[float] = []
@@ -323,7 +351,7 @@ class _Search:
         self.after[w][at] = np.inf
         self.tops[w] = self._bound(self.keys[w], self.after[w])
         pick = rest[min(bisect_right(chance, self.rng.random() * chance[-1]), len(rest) - 1)]
-        self.branch = (unit, edge, at, pick, out, len(rest) == 1)
+        self.branch = (w, at, pick, out, len(rest) == 1)
         u = int(unit[at])
         later = np.arange(u + 1, len(self.roots))
         if nexts[pick] < 0:
@@ -333,19 +361,25 @@ class _Search:
     def finish(self, unit: np.ndarray, edge: np.ndarray) -> None:
         logs, others, at = self.codec.edge[3], self.codec.edge[4], 0
         taken: dict[int, tuple[int, ...]] = {}
-        if self.branch is not None:
-            u, e, at, pick, out, final = self.branch
-            unit, edge = np.concatenate([u[: at + 1], unit]), np.concatenate([e[:at], [pick], edge])
+        if self.branch is None:
+            p, leave = logs[edge], others[edge]
+        else:
+            # what the path shares with the one that it leaves is not looked up again
+            w, at, pick, out, final = self.branch
+            u, e = self.paths[w]
+            new = np.concatenate([[pick], edge])
+            p, leave = np.concatenate([self.logs[w][:at], logs[new]]), others[new]
+            unit, edge = np.concatenate([u[: at + 1], unit]), np.concatenate([e[:at], new])
             taken[at] = (*out, pick)
-        p = logs[edge]
-        leave = others[edge]
-        if self.branch is not None:
             left = 0.0 if final else max(0.0, 1.0 - math.fsum(map(math.exp, logs[[*out, pick]].tolist())))
-            leave[at] = math.log(left) if left else -np.inf
-        after = np.log(self.rng.standard_exponential(len(p)))
-        after -= np.cumsum(p) - p + leave
+            leave[0] = math.log(left) if left else -np.inf
+        after = self.rng.standard_exponential(len(p))
         after[:at] = np.inf
+        rest = np.log(after[at:])
+        rest -= (np.cumsum(p) - p)[at:] + leave
+        after[at:] = rest
         self.paths.append((unit, edge))
+        self.logs.append(p)
         self.keys.append(self.threshold)
         self.after.append(after)
         self.taken.append(taken)
@@ -359,8 +393,8 @@ class _Search:
 
     def result(self) -> list[dict]:
         found, threshold = [], self.threshold
-        for (_, e), key in zip(self.paths, self.keys, strict=True):
-            lp = float(self.codec.edge[3][e].sum())
+        for (_, e), p, key in zip(self.paths, self.logs, self.keys, strict=True):
+            lp = float(p.sum())
             gap = lp - threshold  # the threshold is -inf where every segmentation was drawn: inclusion is sure
             score = 0.0 if threshold == -np.inf else (float(np.log(-np.expm1(-np.exp(min(gap, 700.0))))) if gap > -30 else gap)
             found.append({"ids": self.codec._ids(e), "log_prob": lp, "key": key, "log_inclusion": score})

@@ -584,3 +584,21 @@ def test_a_spine_with_a_leaf_at_each_step(spark):
     m = spark.createDataFrame(rows, "tree string, msg long, parent long, score double").withColumns({"role": F.lit("user"), "text": F.col("msg").cast("string")})
     r = chat.read_back(chat.format_trees(m)).first()
     assert r["leaf"] == 117 and [t["text"] for t in r["turns"]] == [str(i) for i in range(18)] + ["117"] and abs(r["path_score"] - 1 / 19) < 1e-12
+
+
+def test_samples_do_not_depend_on_the_block_and_shared_beginnings_are_looked_up_once():
+    c = sp_sampling.Codec(P.path("piece_bpe_32k.model"))
+    texts = ["", "a", "the quick brown fox", "naïve 中文 \U0001f600 café", "x" * 300, "the quick  brown\nfox 12345"]
+    alone = [c.sample(t, seed, 4) for seed, t in enumerate(texts)]
+    together = sp_sampling.Codec(P.path("piece_bpe_32k.model")).sample_block(texts, list(range(len(texts))), 4)
+    flat = lambda rows: [[(x["ids"].tolist(), x["log_prob"], x["key"], x["log_inclusion"]) for x in r] for r in rows]
+    assert flat(alone) == flat(together)
+    search = sp_sampling._Search(c, c.units(texts[2]), 3)
+    for _ in range(3):
+        node, unit = search.start()
+        u, e = c._walk(node, unit, sp_sampling._mix(unit.astype(np.uint64)))
+        search.finish(u, e)
+    assert all(np.array_equal(p, c.edge[3][e]) for p, (_, e) in zip(search.logs, search.paths, strict=True))
+    # every move of the trie is found, and no other
+    moves = c.step[c.step >= 0]
+    assert len(moves) and np.array_equal(c._found(moves), c.then[c.step >= 0]) and (c._found(np.setdiff1d(moves + 1, moves)) == -1).all()
