@@ -685,3 +685,12 @@ def test_the_hull_is_that_of_all_points_in_any_batches(spark, uniform):
         assert nulls.convex_hull(uniform) == nulls._hull([tuple(r) for r in rows])
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_points_of_several_nulls_are_read_from_their_source_once(spark, uniform, monkeypatch):
+    made = []
+    monkeypatch.setattr(an, "cut", lambda rows, name: (made.append(name), nulls.cut(rows, name))[1])
+    p = uniform.withColumns({"z": F.col("x") + F.col("y"), "stratum": F.when(F.col("x") < 400, "a").otherwise("b")})
+    roi = grid.roi_of(p, 16)
+    got = an.depth_mediation(p, roi, Scales.of_pixels([2, 4], roi.extent, 16), 12, 50)
+    assert made == ["strata-points", "points", "curves"] and {r["type"] for r in got.collect()} == {"A", "B"}
