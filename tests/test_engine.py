@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -230,6 +231,50 @@ def test_smoothed_bootstrap_keeps_the_modes(spark):
     assert len(d) == 400 and near > 0.6
 
 
+def test_the_kernel_density_is_of_all_points(spark, monkeypatch):
+    n = 50_100
+    p = spark.range(n).select("id", (F.col("id") * 7 % 1009).cast("double").alias("x"), (F.col("id") * 11 % 997).cast("double").alias("y"))
+    draw = lambda *parts: int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2**32
+    x, y = np.arange(n) * 7 % 1009, np.arange(n) * 11 % 997
+    rank = sorted(range(n), key=lambda i: (hashlib.md5(f"kde|{i}".encode()).hexdigest(), i))
+    width = (x.std() + y.std()) / 2 * n ** (-1 / 6)
+    want = {}
+    for m in range(2):
+        for i in range(150):
+            at = rank[math.floor(draw("kde", m, i, "pick") * n)]
+            off = [math.sqrt(-2 * math.log(1 - draw("kde", m, i, a, "u"))) * math.cos(2 * math.pi * draw("kde", m, i, a, "v")) for a in "xy"]
+            want[m, i] = (x[at] + width * off[0], y[at] + width * off[1])
+    found = lambda: {(r["mock_id"], r["id"]): (r["x"], r["y"]) for r in nulls.smoothed_bootstrap(p, 150, 2).collect()}
+    sent = found()
+    assert sent.keys() == want.keys() and np.allclose([sent[k] for k in want], list(want.values()), rtol=1e-9, atol=1e-9)
+    # points that are too many to be sent meet the draws in parts of about so many draws
+    monkeypatch.setattr(nulls, "DRAWS", 50)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        drawn = nulls.smoothed_bootstrap(p, 150, 2)
+        assert drawn.rdd.getNumPartitions() == 6
+        assert found() == sent
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert nulls.smoothed_bootstrap(p.limit(0), 5, 2).count() == 0
+
+
+def test_kde_sample_and_its_sql_take_all_points(spark, tmp_path):
+    import duckdb
+
+    from stipple import catalogue
+
+    n = 70_000
+    spark.range(n).selectExpr("id AS event_id", "double(id * 7 % 1009) AS value", "timestamp_seconds(id * 37 % 999983) AS ts", "'a' AS event_type").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(tuple(r) for r in catalogue.QUERIES["kde_sample"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"SET TimeZone = 'UTC'; CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert len(got) == 20 and got == sorted(con.execute(catalogue.SQL["kde_sample"]).fetchall())
+    # a density of all points has the width that kde_bandwidth states for them; one of 50,000 is 6 % wider
+    x, width = np.arange(n) * 7 % 1009, con.execute(catalogue.SQL["kde_bandwidth"]).fetchall()[0][1]
+    assert math.isclose(np.mean([r[3] for r in got]), math.hypot(x.std(), width), rel_tol=0.01)
+
+
 def test_first_by_chance_is_a_plain_sorts(spark):
     p = points(spark, [(i, float(i), 0.0, "k") for i in range(3000)])
     for n in (1, 500, 2999, 5000):
@@ -651,6 +696,8 @@ def test_draws_in_tasks_are_those_of_columns(spark):
     for salt in ("csr", "a much longer salt than one block of md5 has room for"):
         want = [r["u"] for r in spark.createDataFrame([(i,) for i in ids], "id long").select(chance.uniform(salt, 7, F.col("id"), "t").alias("u")).collect()]
         assert chance.uniforms(np.array(ids), f"{salt}|7|", "|t").tolist() == want
+        want = [r["z"] for r in spark.createDataFrame([(i,) for i in ids], "id long").select(chance.normal(salt, 7, F.col("id"), "t").alias("z")).collect()]
+        assert np.allclose(chance.normals(np.array(ids), f"{salt}|7|", "|t"), want, rtol=1e-12, atol=1e-12)
     many = [r["u"] for r in spark.range(20_000).select("id", chance.uniform("b", F.col("id"), "t").alias("u")).orderBy("id").collect()]
     assert chance.uniforms(np.arange(20_000), "b|", "|t").tolist() == many
 
